@@ -1,0 +1,21 @@
+"""Dead letters: one place for rows a stage could not process."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldlink.sources import topics
+
+DEADLETTER_COLUMNS = ["seq", "topic", "stage", "reason"]
+
+
+def malformed_messages(log: DataFrame, schemas: dict) -> DataFrame:
+    """Messages whose JSON does not decode, per topic (C6): the row is kept aside,
+    the rest of the batch goes on."""
+    return topics.malformed(log, schemas)
+
+
+def tag(df: DataFrame, stage: str, topic: str) -> DataFrame:
+    """Shape a stage's dead-letter rows (``seq, reason``) for a shared dead-letter table."""
+    return df.select("seq", F.lit(topic).alias("topic"), F.lit(stage).alias("stage"), "reason")
