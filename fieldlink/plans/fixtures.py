@@ -46,6 +46,17 @@ from fieldlink.config import (
 )
 
 LISTING_MTIME = "2024-01-01 00:00:00"
+# Which event type carries each topic (a log partitioned by topic prunes the
+# rest at the scan; the stand-in does the same with a pushed-down filter).
+TOPIC_EVENT_TYPE = {
+    TOPIC_IMAGEFEED: "signup",
+    TOPIC_IMAGE_DOWNLOAD: "view",
+    TOPIC_VOLUME_INFO: "view",
+    TOPIC_ASSET_BROADCAST: "purchase",
+    TOPIC_ASSET_REQUEST: "click",
+    TOPIC_AUDIT: "error",
+    TOPIC_REPLICA_INFO: "error",
+}
 FEED_FILE_ITEMS = 50  # items per stand-in feed file
 
 
@@ -97,9 +108,11 @@ def documents(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> Data
         F.lit(None).cast("string").alias("extra"))
 
 
-def event_rows(spark: SparkSession, d: str) -> DataFrame:
+def event_rows(spark: SparkSession, d: str, event_types: list[str] | None = None) -> DataFrame:
     """Events with asset, page fields and ``k``: the base of every message."""
     ev = table(spark, d, "events")
+    if event_types is not None:
+        ev = ev.filter(F.col("event_type").isin(*event_types))
     pages = table(spark, d, "pages")
     n_assets = pages.select((F.count(F.lit(1)) * 6 / 5).cast("bigint")).scalar()
     e = ev.select(
@@ -113,9 +126,10 @@ def event_rows(spark: SparkSession, d: str) -> DataFrame:
             .withColumn("origin", F.when(F.col("user_id") % 2 == 0, F.lit(HQ)).otherwise(F.lit(EDGE))))
 
 
-def topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> DataFrame:
-    """The topic log ``(seq, ts, origin, topic, key, value)``."""
-    e = event_rows(spark, d)
+def topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES,
+              topics: list[str] | None = None) -> DataFrame:
+    """The topic log ``(seq, ts, origin, topic, key, value)``, optionally only some topics."""
+    e = event_rows(spark, d, None if topics is None else sorted({TOPIC_EVENT_TYPE[t] for t in topics}))
     max_ms = table(spark, d, "events").select(F.unix_millis(F.max("ts").cast("timestamp"))).scalar()
     k = F.col("k")
     asset_body = lambda status: F.to_json(F.struct(
@@ -147,15 +161,21 @@ def topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> Data
     def one(topic: str, key: Column, value: Column) -> Column:
         return F.struct(F.lit(topic).alias("topic"), key.alias("key"), value.alias("value"))
 
-    msgs = (F.when(F.col("event_type") == "signup", F.array(one(TOPIC_IMAGEFEED, ak, feed)))
-            .when(F.col("event_type") == "view", F.array(one(TOPIC_IMAGE_DOWNLOAD, ak, download),
-                                                         one(TOPIC_VOLUME_INFO, uk, volume)))
-            .when(F.col("event_type") == "purchase",
-                  F.array(one(TOPIC_ASSET_BROADCAST, ak, asset_body(F.lit(STATUS_SUCCESS)))))
-            .when(F.col("event_type") == "click",
-                  F.array(one(TOPIC_ASSET_REQUEST, ak, asset_body(F.lit(STATUS_REQUESTING)))))
-            .when(F.col("event_type") == "error", F.array(one(TOPIC_AUDIT, uk, audit),
-                                                          one(TOPIC_REPLICA_INFO, uk, replica))))
+    by_type = {
+        "signup": [(TOPIC_IMAGEFEED, ak, feed)],
+        "view": [(TOPIC_IMAGE_DOWNLOAD, ak, download), (TOPIC_VOLUME_INFO, uk, volume)],
+        "purchase": [(TOPIC_ASSET_BROADCAST, ak, asset_body(F.lit(STATUS_SUCCESS)))],
+        "click": [(TOPIC_ASSET_REQUEST, ak, asset_body(F.lit(STATUS_REQUESTING)))],
+        "error": [(TOPIC_AUDIT, uk, audit), (TOPIC_REPLICA_INFO, uk, replica)],
+    }
+    msgs = None
+    for etype, outs in by_type.items():
+        outs = [o for o in outs if topics is None or o[0] in topics]
+        if not outs:
+            continue
+        arr = F.array(*[one(*o) for o in outs])
+        cond = F.col("event_type") == etype
+        msgs = F.when(cond, arr) if msgs is None else msgs.when(cond, arr)
     rows = e.select("seq", "ts", "origin", "k", F.explode(msgs).alias("m"))
     value = F.when(F.col("k") == 99, F.expr("substring(m.value, 1, length(m.value) - 1)")) \
         .otherwise(F.col("m.value"))
@@ -177,7 +197,7 @@ def document_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def actions(spark: SparkSession, d: str, event_type: str) -> DataFrame:
     """An action log ``(seq, ts, assetID)`` from one event type."""
-    return event_rows(spark, d).filter(F.col("event_type") == event_type).select("seq", "ts", "assetID")
+    return event_rows(spark, d, [event_type]).select("seq", "ts", "assetID")
 
 
 def clicks(spark: SparkSession, d: str) -> DataFrame:
@@ -192,8 +212,7 @@ def request_publications(spark: SparkSession, d: str) -> DataFrame:
 
 def store_results(spark: SparkSession, d: str) -> DataFrame:
     """Copy-job outcome per IMAGEFEED message: ``ok`` is false when ``k < 10``."""
-    return (event_rows(spark, d).filter(F.col("event_type") == "signup")
-            .select("seq", (F.col("k") >= 10).alias("ok")))
+    return event_rows(spark, d, ["signup"]).select("seq", (F.col("k") >= 10).alias("ok"))
 
 
 def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITES) -> DataFrame:

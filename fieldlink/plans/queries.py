@@ -64,7 +64,7 @@ def _log(spark, d):
 
 
 def _consume(spark, d, topic):
-    return topics.consume(_log(spark, d), topic, TOPIC_SCHEMAS[topic])
+    return topics.consume(fix.topic_log(spark, d, SITES, [topic]), topic, TOPIC_SCHEMAS[topic])
 
 
 def _normalized_feed(spark, d):
