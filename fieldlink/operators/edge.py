@@ -39,13 +39,10 @@ def broadcast_listener(broadcasts: DataFrame) -> DataFrame:
             .select("assetID", "_b.*", F.lit(STATUS_LISTED).alias("status")))
 
 
-def asset_lifecycle(broadcasts: DataFrame, clicks: DataFrame, published: DataFrame,
-                    mirror_listing: DataFrame, sites: Sites = DEFAULT_SITES) -> DataFrame:
-    """Status of every broadcast asset.
+def lifecycle_state(broadcasts: DataFrame, clicks: DataFrame, published: DataFrame) -> DataFrame:
+    """Per asset: first broadcast record, last click, last publication (E5 aggregate).
 
-    ``broadcasts``: ASSET_BROADCAST records; ``clicks``: row clicks
-    ``(seq, ts, assetID)``; ``published``: ASSET_REQUEST publications
-    ``(seq, ts, assetID)``; ``mirror_listing``: the edge mirror volume.
+    Works on batch and streaming input (update mode).
     """
     rt = rec_type(broadcasts)
     b = broadcasts.select("assetID", F.lit("b").alias("kind"), "seq",
@@ -53,12 +50,15 @@ def asset_lifecycle(broadcasts: DataFrame, clicks: DataFrame, published: DataFra
     c = clicks.select("assetID", F.lit("c").alias("kind"), "seq", F.lit(None).cast(rt).alias("rec"))
     p = published.select("assetID", F.lit("p").alias("kind"), "seq", _seq_ts_rec(rt).alias("rec"))
     ev = b.unionByName(c).unionByName(p)
-    agg = (ev.groupBy("assetID").agg(
+    return ev.groupBy("assetID").agg(
         F.min(F.when(F.col("kind") == "b", F.col("rec"))).alias("_b"),
         F.max(F.when(F.col("kind") == "c", F.col("seq"))).alias("c_seq"),
         F.max(F.when(F.col("kind") == "p", F.col("rec"))).alias("_p"))
-        .filter(F.col("_b").isNotNull()))
-    st = agg.select(
+
+
+def lifecycle_status(state: DataFrame, mirror_listing: DataFrame, sites: Sites = DEFAULT_SITES) -> DataFrame:
+    """Closed-form status of each broadcast asset, given the mirror listing (D3)."""
+    st = state.filter(F.col("_b").isNotNull()).select(
         "assetID",
         F.col("_b.seq").alias("b_seq"), "c_seq", F.col("_p.seq").alias("p_seq"), F.col("_p.ts").alias("p_ts"),
         F.col("_b.title").alias("title"), F.col("_b.description").alias("description"),
@@ -73,6 +73,17 @@ def asset_lifecycle(broadcasts: DataFrame, clicks: DataFrame, published: DataFra
     return st.withColumn("status", status)
 
 
+def asset_lifecycle(broadcasts: DataFrame, clicks: DataFrame, published: DataFrame,
+                    mirror_listing: DataFrame, sites: Sites = DEFAULT_SITES) -> DataFrame:
+    """Status of every broadcast asset.
+
+    ``broadcasts``: ASSET_BROADCAST records; ``clicks``: row clicks
+    ``(seq, ts, assetID)``; ``published``: ASSET_REQUEST publications
+    ``(seq, ts, assetID)``; ``mirror_listing``: the edge mirror volume.
+    """
+    return lifecycle_status(lifecycle_state(broadcasts, clicks, published), mirror_listing, sites)
+
+
 def _seq_ts_rec(rt):
     return F.struct(*[F.col(f.name) if f.name in ("seq", "ts") else F.lit(None).cast(f.dataType).alias(f.name)
                       for f in rt.fields])

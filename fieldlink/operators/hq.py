@@ -43,16 +43,18 @@ def normalize_feed(items: DataFrame, id_fields: tuple[str, ...] = ("item_id", "h
         ln["href"].alias("href"),
         last_segment(ln["href"]).alias("filename"),
         F.when(d.isNull(), F.lit("no_data")).when(ln["href"].isNull(), F.lit("no_link")).alias("reason"),
+        F.col("item"),
     )
 
 
-def feed_messages(normalized: DataFrame, sites: Sites = DEFAULT_SITES) -> DataFrame:
-    """IMAGEFEED message bodies for valid items (B1)."""
+def feed_messages(normalized: DataFrame, sites: Sites = DEFAULT_SITES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """IMAGEFEED message bodies for valid items (B1); ``keep`` columns pass through."""
     return normalized.filter(F.col("reason").isNull()).select(
         "title", "description",
         last_segment(F.lit(sites.image_table)).alias("tablename"),
         "assetID",
         F.lit(MESSAGE_CREATOR_ID).alias("messageCreatorID"),
+        *keep,
     )
 
 
@@ -74,24 +76,21 @@ def document_fields(documents: DataFrame) -> DataFrame:
     )
 
 
-def image_download(feed_msgs: DataFrame, documents: DataFrame, source_listing: DataFrame,
-                   store_results: DataFrame, sites: Sites = DEFAULT_SITES) -> DataFrame:
-    """All IMAGEFEED messages with their download outcome.
+def plan_downloads(feed_msgs: DataFrame, documents: DataFrame, source_listing: DataFrame,
+                   sites: Sites = DEFAULT_SITES) -> DataFrame:
+    """IMAGEFEED messages looked up and checked against the source volume.
 
-    ``outcome``: ``not_found`` (no document), ``file_missing`` (no source
-    file), ``failed`` (storing or the document update failed), ``success``.
-    ``store_results`` is ``(seq, ok)`` from the copy job.
+    ``outcome`` is ``not_found`` (no document), ``file_missing`` (no source
+    file) or ``pending`` (to be stored from ``src`` to ``location``).
     """
     m = feed_msgs.select("seq", "ts", "assetID")
     j = m.join(document_fields(documents), "assetID", "left")
     j = j.withColumn("filename", last_segment("doc_href"))
     j = j.withColumn("src", asset_path(sites.source_images, F.col("assetID"), F.col("filename"), sites.layout))
     j = file_present(j, source_listing, "src", "src_present")
-    j = j.join(store_results.select("seq", F.col("ok").alias("stored")), "seq", "left")
     outcome = (F.when(F.col("doc_found").isNull(), F.lit("not_found"))
                .when(~F.col("src_present"), F.lit("file_missing"))
-               .when(F.coalesce(F.col("stored"), F.lit(False)), F.lit(STATUS_SUCCESS))
-               .otherwise(F.lit(STATUS_FAILED)))
+               .otherwise(F.lit("pending")))
     location = asset_path(sites.download_dir, F.col("assetID"), F.col("filename"), sites.layout)
     return j.select(
         "seq", "ts", "assetID",
@@ -103,6 +102,32 @@ def image_download(feed_msgs: DataFrame, documents: DataFrame, source_listing: D
     )
 
 
+def resolve_downloads(planned: DataFrame, store_results: DataFrame) -> DataFrame:
+    """Settle ``pending`` rows with the copy job's ``(seq, ok)``: success or failed."""
+    j = planned.join(store_results.select("seq", F.col("ok").alias("_stored")), "seq", "left")
+    outcome = (F.when(F.col("outcome") != "pending", F.col("outcome"))
+               .when(F.coalesce(F.col("_stored"), F.lit(False)), F.lit(STATUS_SUCCESS))
+               .otherwise(F.lit(STATUS_FAILED)))
+    return j.withColumn("outcome", outcome).drop("_stored")
+
+
+def image_download(feed_msgs: DataFrame, documents: DataFrame, source_listing: DataFrame,
+                   store_results: DataFrame, sites: Sites = DEFAULT_SITES) -> DataFrame:
+    """All IMAGEFEED messages with their download outcome.
+
+    ``outcome``: ``not_found``, ``file_missing``, ``failed`` (storing or the
+    document update failed) or ``success``; ``store_results`` is ``(seq, ok)``
+    from the copy job (:func:`store_manifest` feeds it).
+    """
+    return resolve_downloads(plan_downloads(feed_msgs, documents, source_listing, sites), store_results)
+
+
+def store_manifest(planned: DataFrame) -> DataFrame:
+    """Copies to make for pending downloads: ``seq, src, dst``."""
+    return planned.filter(F.col("outcome") == "pending").select(
+        "seq", "src", F.col("location").alias("dst"))
+
+
 def download_published(outcomes: DataFrame) -> DataFrame:
     """IMAGE_DOWNLOAD messages: success and failed rows, ``status`` set."""
     return (outcomes.filter(F.col("outcome").isin(STATUS_SUCCESS, STATUS_FAILED))
@@ -119,7 +144,9 @@ def download_document_updates(outcomes: DataFrame, documents: DataFrame) -> Data
     """Whole documents with ``imageDownloadLocation`` set, for successful downloads."""
     ok = outcomes.filter(F.col("outcome") == STATUS_SUCCESS).select(
         F.col("assetID").alias("_id"), "location", "seq")
-    return (documents.join(ok, "_id").withColumn("imageDownloadLocation", F.col("location"))
+    return (documents.drop("seq", "rev").join(ok, "_id")
+            .withColumn("imageDownloadLocation", F.col("location"))
+            .withColumn("rev", F.lit(1))
             .drop("location"))
 
 

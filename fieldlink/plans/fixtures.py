@@ -192,7 +192,7 @@ def document_changes(spark: SparkSession, d: str) -> DataFrame:
     links = F.when(F.col("url").isNotNull(), F.array(F.struct(F.col("url").alias("href"))))
     return e.select(F.col("assetID").alias("_id"), data.alias("data"), links.alias("links"),
                     F.lit(None).cast("string").alias("imageDownloadLocation"),
-                    F.col("props").alias("extra"), "seq")
+                    F.col("props").alias("extra"), "seq", F.lit(0).alias("rev"))
 
 
 def actions(spark: SparkSession, d: str, event_type: str) -> DataFrame:

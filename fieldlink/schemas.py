@@ -37,8 +37,11 @@ DOCUMENT = T.StructType([
     T.StructField("imageDownloadLocation", S, True),
     T.StructField("extra", S, True),
 ])
-# Changelog row: a whole document version plus its ordering key.
-DOCUMENT_CHANGE = T.StructType(DOCUMENT.fields + [T.StructField("seq", L, False)])
+# Changelog row: a whole document version plus its ordering key (seq, rev):
+# ``seq`` is the message that caused the write, ``rev`` orders several writes
+# caused by one message (the download stage's update comes after the feed's).
+DOCUMENT_CHANGE = T.StructType(DOCUMENT.fields + [T.StructField("seq", L, False),
+                                                  T.StructField("rev", T.IntegerType(), True)])
 
 # Message bodies per topic.
 IMAGEFEED_MSG = _struct(("title", S), ("description", S), ("tablename", S),

@@ -17,25 +17,28 @@ from fieldlink.schemas import DOCUMENT, DOCUMENT_CHANGE
 DOC_FIELDS = [f.name for f in DOCUMENT.fields]
 
 
-def current(changes: DataFrame, key: str = "_id", order: str = "seq") -> DataFrame:
-    """Latest whole document per key (last write wins)."""
+def current(changes: DataFrame, key: str = "_id", order: tuple[str, ...] = ("seq", "rev")) -> DataFrame:
+    """Latest whole document per key (last write wins, by ``order``)."""
     value_cols = [c for c in changes.columns if c != key]
-    latest = F.max_by(F.struct(*[F.col(c) for c in value_cols]), F.col(order))
+    by = [F.coalesce(F.col(c), F.lit(0)) for c in order if c in changes.columns]
+    latest = F.max_by(F.struct(*[F.col(c) for c in value_cols]), F.struct(*by) if len(by) > 1 else by[0])
     return (changes.groupBy(key).agg(latest.alias("_d"))
             .select(key, *[F.col(f"_d.{c}").alias(c) for c in value_cols]))
 
 
-def upsert(changelog_path: str, changes: DataFrame, batch_id: int | None = None) -> None:
+def upsert(changelog_path: str, changes: DataFrame, batch_id: int | None = None,
+           producer: str = "default") -> None:
     """Append document versions; with ``batch_id`` the write is idempotent.
 
-    A retried micro-batch overwrites its own ``batch=<id>`` folder instead of
-    appending a second copy.
+    Each producer writes under its own ``<producer>/`` folder; a retried
+    micro-batch overwrites its own ``batch=<id>`` folder instead of appending
+    a second copy.
     """
     rows = changes.select(*[F.col(f.name).cast(f.dataType) for f in DOCUMENT_CHANGE.fields])
     if batch_id is None:
-        rows.write.mode("append").parquet(changelog_path)
+        rows.write.mode("append").parquet(f"{changelog_path}/{producer}")
     else:
-        rows.write.mode("overwrite").parquet(f"{changelog_path}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{changelog_path}/{producer}/batch={batch_id}")
 
 
 def read_changelog(spark: SparkSession, changelog_path: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Topic log: consume, produce, replicate, expire.
 
 A topic is a set of rows ``(seq, ts, origin, topic, key, value)`` stored as
-parquet partitioned by ``topic``; ``value`` is the message's JSON text. A
-consumer reads with a declared schema, prunes to its topic partition and
-decodes with ``from_json``. Rows whose JSON does not parse are split off to a
+parquet in the topic's own folder; ``value`` is the message's JSON text. A
+consumer reads with a declared schema (no inference) and decodes with
+``from_json``. Rows whose JSON does not parse are split off to a
 dead letter instead of ending the consumer.
 """
 
@@ -20,15 +20,35 @@ CORRUPT = "_corrupt"
 ENVELOPE = ["seq", "ts", "origin", "topic", "key"]
 
 
-def read_topic_log(spark: SparkSession, base: str, streaming: bool = False,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Open the topic log under ``base`` (``topic=<name>/`` partitions)."""
+def topic_path(base: str, topic: str) -> str:
+    """Each topic lives in its own folder under ``base`` and has one producer."""
+    return f"{base.rstrip('/')}/{topic}"
+
+
+def read_topic(spark: SparkSession, base: str, topic: str, streaming: bool = False,
+               max_files_per_trigger: int | None = None) -> DataFrame:
+    """Open one topic folder.
+
+    A folder written by the streaming file sink is read through its commit
+    log (only committed files); a folder written by ``foreachBatch`` holds
+    ``batch=<id>/`` sub-folders and is listed recursively.
+    """
+    path = topic_path(base, topic)
     if streaming:
-        r = spark.readStream.schema(TOPIC_LOG)
+        r = spark.readStream.schema(TOPIC_LOG).option("recursiveFileLookup", "true")
         if max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-        return r.parquet(base)
-    return spark.read.schema(TOPIC_LOG).parquet(base)
+        return r.parquet(path)
+    return spark.read.schema(TOPIC_LOG).option("recursiveFileLookup", "true").parquet(path)
+
+
+def read_topic_log(spark: SparkSession, base: str, topic_names: list[str]) -> DataFrame:
+    """Several topics as one log (batch)."""
+    out = None
+    for t in topic_names:
+        df = read_topic(spark, base, t)
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def subscribe(log: DataFrame, topic: str) -> DataFrame:
@@ -85,20 +105,28 @@ def encode(df: DataFrame, topic: str, fields: list[str], origin: str | Column,
     )
 
 
-def write_topic(rows: DataFrame, base: str, mode: str = "append") -> None:
-    """Append encoded rows to the log under ``base`` (batch)."""
-    rows.write.mode(mode).partitionBy("topic").parquet(base)
+def write_topic(rows: DataFrame, base: str, topic: str, batch_id: int | None = None) -> None:
+    """Append encoded rows to a topic (batch or inside ``foreachBatch``).
+
+    With ``batch_id`` the rows replace ``batch=<id>/``, so a retried
+    micro-batch does not append a second copy.
+    """
+    path = topic_path(base, topic)
+    if batch_id is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def write_topic_stream(rows: DataFrame, base: str, checkpoint: str, trigger: dict | None = None,
-                       query_name: str | None = None):
+def write_topic_stream(rows: DataFrame, base: str, topic: str, checkpoint: str,
+                       trigger: dict | None = None, query_name: str | None = None):
     """Streaming produce through the parquet file sink (exactly-once)."""
-    w = (rows.writeStream.format("parquet").partitionBy("topic")
-         .option("checkpointLocation", checkpoint).outputMode("append"))
+    w = (rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+         .outputMode("append"))
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start(base)
+    return w.start(topic_path(base, topic))
 
 
 def replicate(site_logs: dict[str, DataFrame]) -> DataFrame:

@@ -1,0 +1,87 @@
+"""Scalar expressions against the Python standard library."""
+
+import datetime
+import os
+import posixpath
+import textwrap
+import urllib.parse
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from fieldlink import functions as fx
+
+WORDS = st.lists(st.text(alphabet="abcdefghijklmnopqrstuvwxyz0123456789.,;&%!", min_size=1, max_size=18),
+                 min_size=0, max_size=14)
+SEPS = st.sampled_from([" ", "  ", "\t", " \n "])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(WORDS, SEPS), min_size=20, max_size=20), st.sampled_from([12, 32, 64]))
+def test_shorten_matches_textwrap(spark, samples, width):
+    texts = [sep.join(words) for words, sep in samples]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", fx.shorten("t", width).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == textwrap.shorten(t, width), (t, width)
+
+
+def test_timedelta_text_matches_python(spark):
+    secs = [0, 1, 59, 3599, 3600, 86399, 86400, 86401, 90061, 172800, 1234567, -1, -86400, -90061]
+    df = spark.createDataFrame([(s,) for s in secs], "s bigint")
+    got = [r.t for r in df.select(fx.timedelta_text("s").alias("t")).orderBy(F.monotonically_increasing_id()).collect()]
+    assert got == [str(datetime.timedelta(seconds=s)) for s in secs]
+
+
+def test_ms_to_seconds_truncates_toward_zero(spark):
+    vals = [0, 999, 1000, 1999, -1, -999, -1000, -1001, 123456789, -123456789]
+    df = spark.createDataFrame([(v,) for v in vals], "v bigint")
+    got = [r.s for r in df.select(fx.ms_to_seconds("v").alias("s")).orderBy(F.monotonically_increasing_id()).collect()]
+    assert got == [int(v / 1000) for v in vals]
+
+
+def test_paths_match_posixpath(spark):
+    paths = ["/apps/x/files.mirror", "/apps/x/files.mirror/", "a/b/c.jpg?x=1", "c.jpg", "/", "a//b//"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    rows = df.select("p", fx.last_segment("p").alias("last"), fx.basename("p").alias("base"),
+                     fx.basename_normpath("p").alias("norm")).collect()
+    for r in rows:
+        assert r.last == r.p.split("/").pop()
+        assert r.base == posixpath.basename(r.p)
+        assert r.norm == os.path.basename(os.path.normpath(r.p))
+
+
+def test_quote_plus_matches_urllib(spark):
+    vals = ["a b*~/:?&=%#é", "/apps/fieldlink/imagesTable", "x+y", "日本 語", "A-Z_a.z~0"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    for r in df.select("v", fx.quote_plus("v").alias("q")).collect():
+        assert r.q == urllib.parse.quote_plus(r.v)
+
+
+def test_second_word_and_asset_id(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("IMAGE Feed", 1, "u"), ("Solo", 2, "v")], "n string, a int, b string")
+    rows = df.select(fx.second_word("n").alias("w"), fx.asset_id("a", "b").alias("h"), "a", "b").collect()
+    assert [r.w for r in rows] == ["Feed", None]
+    for r in rows:
+        assert r.h == hashlib.sha256(f"{r.a}:{r.b}".encode()).hexdigest()[:12]
+
+
+def test_topic_address_and_utf8(spark):
+    df = spark.createDataFrame([("/s/p", "T", "héllo")], "s string, t string, x string")
+    r = df.select(fx.topic_address("s", "t").alias("a"), fx.utf8_roundtrip("x").alias("u")).first()
+    assert r.a == "/s/p:T" and r.u == "héllo"
+
+
+@pytest.mark.parametrize("root,path,rel", [
+    ("/apps/a", "file:/apps/a/x/y.jpg", "x/y.jpg"),
+    ("/apps/a/", "/apps/a/y.jpg", "y.jpg"),
+    ("/apps/a", "/apps/b/y.jpg", None),
+    ("/apps/files.mirror", "hdfs://nn:8020/apps/files.mirror/q", "q"),
+])
+def test_relative_to(spark, root, path, rel):
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(fx.relative_to("p", root).alias("r")).first().r == rel
