@@ -94,6 +94,15 @@ def _start(df: DataFrame, name: str, layout: Layout, spark: SparkSession, batch_
     return w.foreachBatch(batch_fn).start()
 
 
+def ensure_dirs(spark: SparkSession, *paths: str) -> None:
+    """Create folders (through the Hadoop file system, so any shared store works)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        jp = jvm.org.apache.hadoop.fs.Path(p)
+        jp.getFileSystem(conf).mkdirs(jp)
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -133,8 +142,9 @@ def start_feed_service(spark: SparkSession, layout: Layout, feed_dir: str, trigg
 
 def start_download_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
     """Image Download: IMAGEFEED -> lookup, copy, document update -> IMAGE_DOWNLOAD."""
-    src = topics.read_topic(spark, layout.topics, TOPIC_IMAGEFEED, streaming=True)
     s = layout.sites
+    ensure_dirs(spark, f"{layout.topics}/{TOPIC_IMAGEFEED}", s.source_images)
+    src = topics.read_topic(spark, layout.topics, TOPIC_IMAGEFEED, streaming=True)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         msgs = topics.consume(df, TOPIC_IMAGEFEED, IMAGEFEED_MSG)
@@ -161,6 +171,7 @@ def start_download_service(spark: SparkSession, layout: Layout, trigger: dict |
 
 def start_broadcast_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
     """Asset Broadcast: IMAGE_DOWNLOAD minus failed -> ASSET_BROADCAST (file sink, exactly-once)."""
+    ensure_dirs(spark, f"{layout.topics}/{TOPIC_IMAGE_DOWNLOAD}")
     src = topics.read_topic(spark, layout.topics, TOPIC_IMAGE_DOWNLOAD, streaming=True)
     out = hq.asset_broadcast(topics.consume(src, TOPIC_IMAGE_DOWNLOAD, ASSET_MSG))
     rows = topics.encode(out, TOPIC_ASSET_BROADCAST, ASSET_FIELDS, HQ)
@@ -171,6 +182,7 @@ def start_broadcast_service(spark: SparkSession, layout: Layout, trigger: dict |
 def start_response_service(spark: SparkSession, layout: Layout, trigger: dict | None = None,
                            request_topics: str | None = None):
     """Asset Response: ASSET_REQUEST -> lookup -> copy into the mission volume."""
+    ensure_dirs(spark, f"{request_topics or layout.topics}/{TOPIC_ASSET_REQUEST}")
     src = topics.read_topic(spark, request_topics or layout.topics, TOPIC_ASSET_REQUEST, streaming=True)
     s = layout.sites
 
@@ -196,6 +208,7 @@ def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topic
     Each micro-batch appends the changed per-asset aggregates; the current
     state is the newest row per asset (:func:`current_asset_state`).
     """
+    ensure_dirs(spark, layout.clicks, layout.publications, f"{broadcast_topics}/{TOPIC_ASSET_BROADCAST}")
     b = topics.consume(topics.read_topic(spark, broadcast_topics, TOPIC_ASSET_BROADCAST, streaming=True),
                        TOPIC_ASSET_BROADCAST, ASSET_MSG)
     c = spark.readStream.schema(ASSET_ACTION).option("recursiveFileLookup", "true").parquet(layout.clicks)
@@ -216,6 +229,7 @@ def current_asset_state(spark: SparkSession, layout: Layout) -> DataFrame:
 
 def asset_table(spark: SparkSession, layout: Layout) -> DataFrame:
     """Asset Viewer's view: every broadcast asset with its status, against the live mirror listing."""
+    ensure_dirs(spark, layout.sites.edge_files, layout.asset_state)
     listing = volumes.list_volume(spark, layout.sites.edge_files)
     return edge.lifecycle_status(current_asset_state(spark, layout), listing, layout.sites)
 
@@ -254,6 +268,7 @@ def start_replication(spark: SparkSession, src: Layout, dst: Layout, topic: str,
     per direction gives multi-master replication. Pausing is ``stop()``;
     resuming restarts from the checkpoint.
     """
+    ensure_dirs(spark, f"{src.topics}/{topic}")
     rows = topics.read_topic(spark, src.topics, topic, streaming=True).filter(F.col("origin") == origin)
     name = f"replicate_{origin}_{topic}".lower()
     return topics.write_topic_stream(rows, dst.replica, topic, src.checkpoint(spark, name), trigger, name)
@@ -261,6 +276,7 @@ def start_replication(spark: SparkSession, src: Layout, dst: Layout, topic: str,
 
 def site_topic(spark: SparkSession, layout: Layout, topic: str) -> DataFrame:
     """A site's view of a replicated topic: own rows plus replicated ones, duplicates removed."""
+    ensure_dirs(spark, f"{layout.topics}/{topic}", f"{layout.replica}/{topic}")
     own = topics.read_topic(spark, layout.topics, topic)
     rep = topics.read_topic(spark, layout.replica, topic)
     return own.unionByName(rep).dropDuplicates(["origin", "topic", "seq"])
