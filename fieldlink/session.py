@@ -39,6 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # arrives with spark.checkpoint.dir already pointing at shared storage.
         if master and master.startswith("local"):
             conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="fieldlink-ckpt-")
+            conf.setdefault("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="fieldlink-wh-"))
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -161,3 +161,25 @@ def expire(log: DataFrame, ttl_seconds: int = TOPIC_TTL_SECONDS, now: Column | N
     if now is None:
         now = log.select(F.max("ts")).scalar()
     return log.filter(F.col("ts") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+
+
+def compact_expired(spark: SparkSession, base: str, topic: str, out_base: str,
+                    ttl_seconds: int = TOPIC_TTL_SECONDS, now: Column | None = None) -> None:
+    """Physical retention: write the rows still inside ``ttl`` to a new topic folder.
+
+    The old folder can then be dropped; readers switch to ``out_base``.
+    """
+    kept = expire(read_topic(spark, base, topic), ttl_seconds, now)
+    kept.write.mode("overwrite").parquet(topic_path(out_base, topic))
+
+
+def dedupe_stream(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """At-least-once delivery made idempotent in a stream.
+
+    ``ts`` is cast to TIMESTAMP (watermarks reject ``timestamp_ntz``); state
+    for a key is kept only while its ``ts`` is within ``delay`` of the newest.
+    """
+    return (rows.withColumn("_event_time", F.col("ts").cast("timestamp"))
+            .withWatermark("_event_time", delay)
+            .dropDuplicatesWithinWatermark(["origin", "topic", "seq"])
+            .drop("_event_time"))

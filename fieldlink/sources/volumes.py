@@ -114,3 +114,30 @@ def mirror_apply(plan: DataFrame, dst_root: str, src_root: str) -> DataFrame:
         F.regexp_replace("src_path", "^file:", "").alias("src"),
         F.concat_ws("/", F.lit(dst_root.rstrip("/")), F.col("rel_path")).alias("dst"))
     return copy_files(todo)
+
+
+def _read_batches_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        contents, errs = [], []
+        for p in pdf["path"]:
+            try:
+                f, fp = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p)
+                with f.open_input_stream(fp) as s:
+                    contents.append(s.read())
+                errs.append(None)
+            except Exception as e:  # absent or unreadable: None, like the reference
+                contents.append(None)
+                errs.append(f"{type(e).__name__}: {e}")
+        yield pd.DataFrame({"path": pdf["path"], "content": contents, "error": errs})
+
+
+def read_files(wanted: DataFrame, path_col: str = "path") -> DataFrame:
+    """Bytes of the wanted files (A7): ``path, content, error``; absent files give null content.
+
+    Only the wanted files are opened (a ``binaryFile`` scan of the whole
+    volume would read every file's bytes); the work is spread by path.
+    """
+    paths = wanted.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull()).distinct()
+    return paths.repartition("path").mapInPandas(_read_batches_fn, "path string, content binary, error string")

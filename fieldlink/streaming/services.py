@@ -147,8 +147,10 @@ def start_download_service(spark: SparkSession, layout: Layout, trigger: dict |
     src = topics.read_topic(spark, layout.topics, TOPIC_IMAGEFEED, streaming=True)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        msgs = topics.consume(df, TOPIC_IMAGEFEED, IMAGEFEED_MSG)
-        current = docs.read_current(spark, layout.documents)  # re-read per batch: fresh state
+        msgs = topics.consume(df, TOPIC_IMAGEFEED, IMAGEFEED_MSG).persist()
+        # Re-read per batch (fresh state), only the ids this batch needs: the
+        # semi join is pushed below the newest-version aggregate.
+        current = docs.lookup(docs.read_current(spark, layout.documents), msgs)
         planned = hq.plan_downloads(msgs, current, volumes.list_volume(spark, s.source_images), s).persist()
         manifest = hq.store_manifest(planned)
         copied = volumes.copy_files(manifest.select("src", "dst"))
@@ -165,6 +167,7 @@ def start_download_service(spark: SparkSession, layout: Layout, trigger: dict |
         _write_batch(hq.download_deadletter(outcomes), f"{layout.deadletter}/download", batch_id)
         outcomes.unpersist()
         planned.unpersist()
+        msgs.unpersist()
 
     return _start(src, "image_download", layout, spark, batch, trigger)
 
@@ -188,7 +191,8 @@ def start_response_service(spark: SparkSession, layout: Layout, trigger: dict |
 
     def batch(df: DataFrame, batch_id: int) -> None:
         msgs = topics.consume(df, TOPIC_ASSET_REQUEST, ASSET_MSG)
-        responses = hq.asset_response(msgs, docs.read_current(spark, layout.documents), s).persist()
+        current = docs.lookup(docs.read_current(spark, layout.documents), msgs)
+        responses = hq.asset_response(msgs, current, s).persist()
         manifest = hq.response_copies(responses)
         copied = volumes.copy_files(manifest.select("src", "dst"))
         _write_batch(manifest.join(copied.select("src", "dst", "ok", "error"), ["src", "dst"], "left"),
@@ -274,6 +278,39 @@ def start_replication(spark: SparkSession, src: Layout, dst: Layout, topic: str,
     return topics.write_topic_stream(rows, dst.replica, topic, src.checkpoint(spark, name), trigger, name)
 
 
+def site_topic_stream(spark: SparkSession, layout: Layout, topic: str, delay: str = "1 hour") -> DataFrame:
+    """Streaming view of a replicated topic at one site, deduplicated within ``delay``."""
+    ensure_dirs(spark, f"{layout.topics}/{topic}", f"{layout.replica}/{topic}")
+    own = topics.read_topic(spark, layout.topics, topic, streaming=True)
+    rep = topics.read_topic(spark, layout.replica, topic, streaming=True)
+    return topics.dedupe_stream(own.unionByName(rep), delay)
+
+
+def start_counters_service(spark: SparkSession, layout: Layout, sources: dict[str, str],
+                           trigger: dict | None = None):
+    """Service counters as a streaming count per service (E1, J8), update mode.
+
+    ``sources`` maps a service name to the topic folder it emits (or reads).
+    Each micro-batch writes the changed counts; :func:`current_counters` reads them.
+    """
+    parts = None
+    for service, topic in sources.items():
+        ensure_dirs(spark, f"{layout.topics}/{topic}")
+        s = topics.read_topic(spark, layout.topics, topic, streaming=True).select(F.lit(service).alias("service"))
+        parts = s if parts is None else parts.unionByName(s)
+    counts = parts.groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        _write_batch(df.withColumn("batch", F.lit(batch_id).cast("bigint")), f"{layout.base}/counters", batch_id)
+
+    return _start(counts, "service_counters", layout, spark, batch, trigger, output_mode="update")
+
+
+def current_counters(spark: SparkSession, layout: Layout) -> DataFrame:
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{layout.base}/counters")
+    return rows.groupBy("service").agg(F.max_by("n", "batch").alias("n"))
+
+
 def site_topic(spark: SparkSession, layout: Layout, topic: str) -> DataFrame:
     """A site's view of a replicated topic: own rows plus replicated ones, duplicates removed."""
     ensure_dirs(spark, f"{layout.topics}/{topic}", f"{layout.replica}/{topic}")

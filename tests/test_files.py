@@ -112,3 +112,38 @@ def test_expire_keeps_recent(spark):
     log = spark.createDataFrame(rows, TOPIC_LOG)
     assert sorted(r.seq for r in topics.expire(log, 38400).collect()) == [2, 3]
     assert sorted(r.seq for r in topics.expire(log, 3600, now=F.lit(datetime(2024, 1, 1, 12, 30))).collect()) == [3]
+
+
+def test_read_files_only_wanted(spark, tmp_path):
+    write(str(tmp_path / "v/a.jpg"), b"A")
+    write(str(tmp_path / "v/b.jpg"), b"BB")
+    wanted = spark.createDataFrame([(str(tmp_path / "v/a.jpg"),), (str(tmp_path / "v/zz.jpg"),)], "path string")
+    got = {os.path.basename(r.path): r.content for r in volumes.read_files(wanted).collect()}
+    assert got == {"a.jpg": b"A", "zz.jpg": None}
+
+
+def test_compact_expired(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(1, datetime(2024, 1, 1, 0, 0), "HQ", "T", None, "{}"), (2, datetime(2024, 1, 2, 0, 0), "HQ", "T", None, "{}")]
+    base, out = str(tmp_path / "t"), str(tmp_path / "t2")
+    topics.write_topic(spark.createDataFrame(rows, TOPIC_LOG), base, "T")
+    topics.compact_expired(spark, base, "T", out, 3600)
+    assert [r.seq for r in topics.read_topic(spark, out, "T").collect()] == [2]
+
+
+def test_catalog_init_and_drop(spark, tmp_path):
+    from fieldlink.config import Sites
+    from fieldlink.sources import catalog
+    from fieldlink.streaming.services import Layout
+
+    sites = Sites(hq_root=str(tmp_path / "hq"), edge_root=str(tmp_path / "edge"))
+    hqL, edL = Layout(str(tmp_path / "p_hq"), sites), Layout(str(tmp_path / "p_edge"), sites)
+    catalog.init_catalog(spark, hqL, "fl_test_hq", ["IMAGEFEED"])
+    catalog.init_catalog(spark, hqL, "fl_test_hq", ["IMAGEFEED"])  # already there: no error
+    assert os.path.isdir(f"{hqL.topics}/IMAGEFEED")
+    assert spark.table("fl_test_hq.topic_imagefeed").count() == 0
+    catalog.init_catalog(spark, edL, "fl_test_edge")
+    catalog.drop_catalog(spark, [edL], "fl_test_edge")
+    catalog.drop_catalog(spark, [hqL], "fl_test_hq")
+    assert not os.path.exists(hqL.base) and not os.path.exists(edL.base)

@@ -122,3 +122,23 @@ def test_broadcast_stream_equals_batch(spark, env):
     streamed = sorted(r.seq for r in topic_rows(spark, hqL.topics, "ASSET_BROADCAST").collect())
     batch = sorted(r.seq for r in hq.asset_broadcast(topics.consume(log, "IMAGE_DOWNLOAD", ASSET_MSG)).collect())
     assert streamed == batch and len(batch) > 0
+
+
+def test_dedupe_and_counters_streams(spark, env):
+    from datetime import datetime
+
+    from fieldlink.schemas import TOPIC_LOG
+
+    _sites, hqL, edL, tmp = env
+    row = lambda seq, origin: (seq, datetime(2024, 1, 1, 0, 0, seq), origin, "ASSET_BROADCAST", "a", "{}")
+    topics.write_topic(spark.createDataFrame([row(1, "HQ"), row(2, "HQ")], TOPIC_LOG), edL.topics, "ASSET_BROADCAST", 0)
+    topics.write_topic(spark.createDataFrame([row(1, "HQ"), row(3, "EDGE")], TOPIC_LOG), edL.replica, "ASSET_BROADCAST", 0)
+    q = (svc.site_topic_stream(spark, edL, "ASSET_BROADCAST").writeStream.format("memory").queryName("dedupe_view")
+         .option("checkpointLocation", str(tmp / "ck_dedupe")).trigger(availableNow=True).start())
+    run(q)
+    assert sorted(r.seq for r in spark.table("dedupe_view").collect()) == [1, 2, 3]
+
+    run(svc.start_counters_service(spark, edL, {"Broadcast Listener": "ASSET_BROADCAST", "Asset Request": "ASSET_REQUEST"}))
+    topics.write_topic(spark.createDataFrame([row(4, "HQ")], TOPIC_LOG), edL.topics, "ASSET_BROADCAST", 1)
+    run(svc.start_counters_service(spark, edL, {"Broadcast Listener": "ASSET_BROADCAST", "Asset Request": "ASSET_REQUEST"}))
+    assert {r.service: r.n for r in svc.current_counters(spark, edL).collect()} == {"Broadcast Listener": 3}
