@@ -148,9 +148,8 @@ def start_download_service(spark: SparkSession, layout: Layout, trigger: dict |
 
     def batch(df: DataFrame, batch_id: int) -> None:
         msgs = topics.consume(df, TOPIC_IMAGEFEED, IMAGEFEED_MSG).persist()
-        # Re-read per batch (fresh state), only the ids this batch needs: the
-        # semi join is pushed below the newest-version aggregate.
-        current = docs.lookup(docs.read_current(spark, layout.documents), msgs)
+        # Re-read per batch (fresh state), only the ids this batch needs.
+        current = docs.read_current(spark, layout.documents, ids=msgs)
         planned = hq.plan_downloads(msgs, current, volumes.list_volume(spark, s.source_images), s).persist()
         manifest = hq.store_manifest(planned)
         copied = volumes.copy_files(manifest.select("src", "dst"))
@@ -191,7 +190,7 @@ def start_response_service(spark: SparkSession, layout: Layout, trigger: dict |
 
     def batch(df: DataFrame, batch_id: int) -> None:
         msgs = topics.consume(df, TOPIC_ASSET_REQUEST, ASSET_MSG)
-        current = docs.lookup(docs.read_current(spark, layout.documents), msgs)
+        current = docs.read_current(spark, layout.documents, ids=msgs)
         responses = hq.asset_response(msgs, current, s).persist()
         manifest = hq.response_copies(responses)
         copied = volumes.copy_files(manifest.select("src", "dst"))

@@ -39,3 +39,15 @@ def test_lookup_and_compact(spark, tmp_path):
     docs.upsert(again, spark.createDataFrame([change("b", 9, "nine")], SCHEMA))
     cur = {r._id: r.data[0].title for r in docs.read_current(spark, again, snap).collect()}
     assert cur == {"a": "four", "b": "nine"}
+
+
+def test_current_for_ids_aggregates_only_those(spark, tmp_path):
+    """Services read only the batch's ids from the changelog, not every document."""
+    base = str(tmp_path / "docs")
+    docs.upsert(base, spark.createDataFrame([change("a", 1, "one"), change("b", 2, "two"), change("a", 3, "x")],
+                                            SCHEMA))
+    ids = spark.createDataFrame([("a",), ("q",)], "assetID string")
+    df = docs.read_current(spark, base, ids=ids)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Aggregate")  # the semi join sits below the aggregate
+    assert [(r._id, r.seq) for r in df.collect()] == [("a", 3)]
