@@ -52,8 +52,13 @@ def ms_to_seconds(ms) -> Column:
 
 
 def epoch_millis(ts) -> Column:
-    """Epoch milliseconds of a (ntz or ltz) timestamp, truncated."""
-    return F.unix_millis(_c(ts).cast("timestamp"))
+    """Epoch milliseconds of a wall-clock (``timestamp_ntz``) value, truncated.
+
+    Computed as a difference of wall-clock values, so the session time zone
+    does not enter.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MILLISECOND", epoch, _c(ts).cast("timestamp_ntz"))
 
 
 def quote_plus(s) -> Column:

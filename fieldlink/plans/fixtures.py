@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlink.functions.text import epoch_millis
+
 from fieldlink.config import (
     DEFAULT_SITES,
     HQ,
@@ -130,7 +132,7 @@ def topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES,
               topics: list[str] | None = None) -> DataFrame:
     """The topic log ``(seq, ts, origin, topic, key, value)``, optionally only some topics."""
     e = event_rows(spark, d, None if topics is None else sorted({TOPIC_EVENT_TYPE[t] for t in topics}))
-    max_ms = table(spark, d, "events").select(F.unix_millis(F.max("ts").cast("timestamp"))).scalar()
+    max_ms = table(spark, d, "events").select(epoch_millis(F.max("ts"))).scalar()
     k = F.col("k")
     asset_body = lambda status: F.to_json(F.struct(
         "title", F.col("url").alias("description"), "filename", "assetID", status.alias("status")))
@@ -141,7 +143,7 @@ def topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES,
     volume = F.to_json(F.struct(
         F.lit(max_ms).alias("timestamp"),
         F.when(k % 7 == 0, F.array().cast("array<struct<lastSuccessfulMirrorTime:bigint>>"))
-        .otherwise(F.array(F.struct(F.unix_millis(F.col("ts").cast("timestamp"))
+        .otherwise(F.array(F.struct(epoch_millis(F.col("ts"))
                                     .alias("lastSuccessfulMirrorTime")))).alias("data")))
     audit = F.to_json(F.struct(
         F.when(k % 4 == 0, F.lit("DB_UPSTREAMADD")).when(k % 4 == 1, F.lit("DB_UPSTREAMREMOVE"))

@@ -81,9 +81,10 @@ def copy_files(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
 
     Idempotent: running it again rewrites the same files.
     """
-    m = manifest.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
+    m = manifest.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     m = m.repartition(partitions, "dst") if partitions else m.repartition("dst")
-    return m.mapInPandas(_copy_batches, COPY_RESULT_SCHEMA)
+    # Clustered by dst already, so the de-duplication adds no second shuffle.
+    return m.dropDuplicates(["dst", "src"]).mapInPandas(_copy_batches, COPY_RESULT_SCHEMA)
 
 
 def mirror_diff(src: DataFrame, src_root: str, dst: DataFrame, dst_root: str,
@@ -139,5 +140,6 @@ def read_files(wanted: DataFrame, path_col: str = "path") -> DataFrame:
     Only the wanted files are opened (a ``binaryFile`` scan of the whole
     volume would read every file's bytes); the work is spread by path.
     """
-    paths = wanted.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull()).distinct()
-    return paths.repartition("path").mapInPandas(_read_batches_fn, "path string, content binary, error string")
+    paths = wanted.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull())
+    return (paths.repartition("path").dropDuplicates(["path"])
+            .mapInPandas(_read_batches_fn, "path string, content binary, error string"))
