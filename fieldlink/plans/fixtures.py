@@ -110,8 +110,9 @@ def documents(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> Data
         F.lit(None).cast("string").alias("extra"))
 
 
-def event_rows(spark: SparkSession, d: str, event_types: list[str] | None = None) -> DataFrame:
-    """Events with asset, page fields and ``k``: the base of every message."""
+def event_rows(spark: SparkSession, d: str, event_types: list[str] | None = None,
+               with_pages: bool = True) -> DataFrame:
+    """Events with asset, ``k`` and (optionally) page fields: the base of every message."""
     ev = table(spark, d, "events")
     if event_types is not None:
         ev = ev.filter(F.col("event_type").isin(*event_types))
@@ -122,9 +123,10 @@ def event_rows(spark: SparkSession, d: str, event_types: list[str] | None = None
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         (F.col("event_id") % n_assets).alias("asset_no"),
         F.col("props"))
-    p = page_info(spark, d).select(F.col("page_id").alias("asset_no"), "title", "url", "filename")
-    return (e.join(p, "asset_no", "left")
-            .withColumn("assetID", _aid(F.col("asset_no")))
+    if with_pages:
+        p = page_info(spark, d).select(F.col("page_id").alias("asset_no"), "title", "url", "filename")
+        e = e.join(p, "asset_no", "left")
+    return (e.withColumn("assetID", _aid(F.col("asset_no")))
             .withColumn("origin", F.when(F.col("user_id") % 2 == 0, F.lit(HQ)).otherwise(F.lit(EDGE))))
 
 
@@ -199,7 +201,7 @@ def document_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def actions(spark: SparkSession, d: str, event_type: str) -> DataFrame:
     """An action log ``(seq, ts, assetID)`` from one event type."""
-    return event_rows(spark, d, [event_type]).select("seq", "ts", "assetID")
+    return event_rows(spark, d, [event_type], with_pages=False).select("seq", "ts", "assetID")
 
 
 def clicks(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +216,7 @@ def request_publications(spark: SparkSession, d: str) -> DataFrame:
 
 def store_results(spark: SparkSession, d: str) -> DataFrame:
     """Copy-job outcome per IMAGEFEED message: ``ok`` is false when ``k < 10``."""
-    return event_rows(spark, d, ["signup"]).select("seq", (F.col("k") >= 10).alias("ok"))
+    return event_rows(spark, d, ["signup"], with_pages=False).select("seq", (F.col("k") >= 10).alias("ok"))
 
 
 def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITES) -> DataFrame:
@@ -240,3 +242,40 @@ def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITE
         F.concat(F.lit("file:"), F.concat_ws("/", F.lit(root), F.col("assetID"), F.col("filename"))).alias("path"),
         F.lit(LISTING_MTIME).cast("timestamp").alias("modificationTime"),
         F.col("length").cast("bigint").alias("length"))
+
+
+STANDIN_VERSION = "1"
+
+
+def stored_topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:
+    """The stand-in topic log written once as an archive partitioned by ``topic``.
+
+    Stored under the shared ``spark.checkpoint.dir`` and keyed by the input
+    files and this module's version, so every query of a session reads the
+    same stored log through the library's topic source, as a deployment
+    would. Written to a temporary folder and renamed, so concurrent sessions
+    never see a half-written log.
+    """
+    import hashlib
+    import uuid
+
+    from fieldlink.session import ensure_checkpoint_dir
+    from fieldlink.sources.topics import write_topic_log
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stamp = [STANDIN_VERSION, d, sites.hq_root, sites.edge_root]
+    for name in ("events", "pages"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        st = p.getFileSystem(conf).getFileStatus(p)
+        stamp += [str(st.getLen()), str(st.getModificationTime())]
+    key = hashlib.sha256("|".join(stamp).encode()).hexdigest()[:16]
+    root = f"{ensure_checkpoint_dir(spark)}/fieldlink-standins"
+    final = jvm.org.apache.hadoop.fs.Path(f"{root}/topic_log_{key}")
+    fs = final.getFileSystem(conf)
+    if not fs.exists(final):
+        tmp = f"{root}/_tmp_{key}_{uuid.uuid4().hex}"
+        write_topic_log(topic_log(spark, d, sites), tmp)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final) and not fs.exists(final):
+            raise RuntimeError(f"could not publish stand-in log {final}")
+    return final.toString()

@@ -60,11 +60,14 @@ TOPIC_SCHEMAS = {
 # --- shared building blocks ---------------------------------------------------
 
 def _log(spark, d):
-    return fix.topic_log(spark, d, SITES)
+    """The whole topic log (stored stand-in archive)."""
+    return topics.read_topic_log(spark, fix.stored_topic_log(spark, d, SITES))
 
 
 def _consume(spark, d, topic):
-    return topics.consume(fix.topic_log(spark, d, SITES, [topic]), topic, TOPIC_SCHEMAS[topic])
+    """One topic read from the stored log (only its partition is listed) and decoded."""
+    raw = topics.read_topic(spark, fix.stored_topic_log(spark, d, SITES), topic, partitioned=True)
+    return topics.consume(raw, topic, TOPIC_SCHEMAS[topic])
 
 
 def _normalized_feed(spark, d):
@@ -104,33 +107,40 @@ def _tiles(spark, d):
 # --- A: sources and sinks -----------------------------------------------------
 
 def feed_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """A3/B2: feed files exploded from ``collection.items``; id, title, description, link, file name."""
     return _normalized_feed(spark, d).select("assetID", "title", "description", "href", "filename")
 
 
 def feed_message(spark, d):
+    """B1: IMAGEFEED message bodies for the valid feed items."""
     return hq.feed_messages(_normalized_feed(spark, d), SITES)
 
 
 def assign_asset_ids(spark, d):
+    """B2: stable 12-hex asset id from ``page_id:url``."""
     p = fix.table(spark, d, "pages")
     return p.select("page_id", fx.asset_id(F.col("page_id"), F.col("url")).alias("asset_id"))
 
 
 def feed_sample(spark, d):
+    """Five feed items without replacement in a seeded hash order."""
     return hq.sample_items(_normalized_feed(spark, d), SAMPLE_N, SAMPLE_SEED).select("assetID", "title")
 
 
 def topic_consume(spark, d):
+    """Well-formed IMAGEFEED messages decoded from the topic log."""
     return _consume(spark, d, TOPIC_IMAGEFEED).select("seq", "assetID", "title", "origin")
 
 
 def document_upsert(spark, d):
+    """A4: every event as a whole-document write; newest version per id."""
     cur = docs.current(fix.document_changes(spark, d))
     return cur.select(F.col("_id").alias("assetID"), "seq",
                       F.get_json_object("extra", "$.k").cast("int").alias("k"))
 
 
 def document_lookup(spark, d):
+    """A5: stored documents whose id appears in an IMAGEFEED message."""
     found = docs.lookup(fix.documents(spark, d, SITES), _consume(spark, d, TOPIC_IMAGEFEED))
     return found.select(F.col("_id").alias("assetID"), F.get(F.col("data"), 0)["title"].alias("title"))
 
@@ -138,75 +148,94 @@ def document_lookup(spark, d):
 # --- HQ stages ----------------------------------------------------------------
 
 def image_download(spark, d):
+    """IMAGEFEED messages looked up in the documents, checked against the source
+    listing, given a download location, and settled with the copy job's result table
+    (``store_results``; the byte copy itself runs in the streaming service). Published rows."""
     return hq.download_published(_download_outcomes(spark, d)).select(
         "seq", "assetID", "title", "description", "filename", "location", "status")
 
 
 def image_download_deadletter(spark, d):
+    """Messages with no document (``not_found``) or no source file (``file_missing``)."""
     return hq.download_deadletter(_download_outcomes(spark, d))
 
 
 def download_outcomes(spark, d):
+    """Message count per download outcome."""
     return hq.download_outcome_counts(_download_outcomes(spark, d))
 
 
 def asset_broadcast(spark, d):
+    """IMAGE_DOWNLOAD records forwarded unless failed."""
     return hq.asset_broadcast(_consume(spark, d, TOPIC_IMAGE_DOWNLOAD)).select("seq", "assetID", "status")
 
 
 def asset_response(spark, d):
+    """ASSET_REQUEST messages looked up; copy manifest per asset with request counts."""
     return hq.response_copies(_responses(spark, d)).select("assetID", "filename", "src", "dst", "n_requests")
 
 
 def asset_response_deadletter(spark, d):
+    """Requests whose document is missing or has no location."""
     return hq.response_deadletter(_responses(spark, d))
 
 
 # --- EDGE stages --------------------------------------------------------------
 
 def broadcast_listener(spark, d):
+    """First broadcast per asset, status ``!``."""
     return edge.broadcast_listener(_consume(spark, d, TOPIC_ASSET_BROADCAST)).select("assetID", "seq", "status")
 
 
 def asset_lifecycle(spark, d):
+    """Closed-form status per broadcast asset from broadcasts, clicks, publications and the mirror listing."""
     return _lifecycle(spark, d).select("assetID", "status")
 
 
 def asset_status_counts(spark, d):
+    """E5: assets per status."""
     return edge.status_counts(_lifecycle(spark, d))
 
 
 def asset_request_publish(spark, d):
+    """C4: assets waiting in ``requesting...``."""
     return edge.request_publish(_lifecycle(spark, d))
 
 
 def asset_viewer(spark, d):
+    """C4/D3: assets whose file is in the mirror, with its path."""
     return edge.viewer(_lifecycle(spark, d)).select("assetID", "path")
 
 
 def published_assets(spark, d):
+    """The asset table newest first with a 1-based position."""
     return edge.published_assets(_lifecycle(spark, d))
 
 
 # --- monitoring ---------------------------------------------------------------
 
 def audit_replication(spark, d):
+    """Audit records flagged when they show the upstream replication being added."""
     return monitor.audit_replication(_consume(spark, d, TOPIC_AUDIT), SITES)
 
 
 def replica_state(spark, d):
+    """Latest derived replica state per replica."""
     return monitor.replica_state(_replica_obs(spark, d))
 
 
 def replica_state_changes(spark, d):
+    """E3/F: observations whose derived state differs from the replica's previous one."""
     return monitor.replica_state_changes(_replica_obs(spark, d)).select("replica", "seq", "state", "prev_state")
 
 
 def mirror_lag(spark, d):
+    """Lag of the latest volume observation per replica, as seconds and text."""
     return monitor.mirror_lag(_consume(spark, d, TOPIC_VOLUME_INFO))
 
 
 def service_counters(spark, d):
+    """Rows each service emitted (or read), zero for services with none."""
     outcomes = _download_outcomes(spark, d)
     responses = _responses(spark, d)
     counted = {
@@ -225,43 +254,51 @@ def service_counters(spark, d):
 # --- volumes and topics -------------------------------------------------------
 
 def mirror_diff(spark, d):
+    """Mirror plan between the HQ files listing and the edge mirror listing."""
     plan = _mirror_diff(fix.listing(spark, d, "hq_files", SITES), SITES.hq_files,
                         fix.listing(spark, d, "mirror", SITES), SITES.edge_files)
     return plan.select("rel_path", "action")
 
 
 def volume_usage(spark, d):
+    """Files and bytes per volume listing."""
     return _volume_usage({SITES.hq_files: fix.listing(spark, d, "hq_files", SITES),
                           SITES.edge_files: fix.listing(spark, d, "mirror", SITES)})
 
 
 def topic_replicate(spark, d):
+    """The log split by origin site, replicated both ways; each site's view."""
     log = _log(spark, d)
     sites = {s: log.filter(F.col("origin") == s) for s in ("HQ", "EDGE")}
     return topics.replicate(sites).select("site", "origin", "topic", "seq")
 
 
 def topic_retention(spark, d):
+    """Messages within 38400 s of the newest."""
     return topics.expire(_log(spark, d), TOPIC_TTL_SECONDS).select("seq", "topic", "ts")
 
 
 def malformed_messages(spark, d):
+    """Messages whose JSON does not decode."""
     return _malformed(_log(spark, d), TOPIC_SCHEMAS).select("seq", "topic")
 
 
 # --- activity -----------------------------------------------------------------
 
 def activity_feed(spark, d):
+    """The five services' tiles, newest 20, texts shortened."""
     return activity.newest(_tiles(spark, d), ACTIVITY_N)
 
 
 def activity_visible(spark, d):
+    """Tiles still shown after a one-day time-to-live (viewer tiles never expire)."""
     return activity.visible(_tiles(spark, d), ACTIVITY_TTL_S).select("seq", "service")
 
 
 # --- scalar functions ---------------------------------------------------------
 
 def path_and_text_functions(spark, d):
+    """I: the scalar functions over page URLs and titles."""
     p = fix.page_info(spark, d)
     secs = F.col("html_len") * 97 - 400000
     return p.select(

@@ -26,13 +26,18 @@ def topic_path(base: str, topic: str) -> str:
 
 
 def read_topic(spark: SparkSession, base: str, topic: str, streaming: bool = False,
-               max_files_per_trigger: int | None = None) -> DataFrame:
-    """Open one topic folder.
-
-    A folder written by the streaming file sink is read through its commit
-    log (only committed files); a folder written by ``foreachBatch`` holds
-    ``batch=<id>/`` sub-folders and is listed recursively.
+               max_files_per_trigger: int | None = None, partitioned: bool = False) -> DataFrame:
+    """Open one topic.
+
+    Two layouts: a folder per topic (``<base>/<topic>``; written by the
+    streaming file sink and read through its commit log, or by
+    ``foreachBatch`` as ``batch=<id>/`` sub-folders), or an archive log
+    partitioned by ``topic`` (``partitioned=True``: ``<base>/topic=<name>/``,
+    where only that partition's files are listed and read).
     """
+    if partitioned and not streaming:
+        return (spark.read.schema(TOPIC_LOG).option("basePath", base)
+                .parquet(f"{base.rstrip('/')}/topic={topic}"))
     path = topic_path(base, topic)
     if streaming:
         r = spark.readStream.schema(TOPIC_LOG).option("recursiveFileLookup", "true")
@@ -42,8 +47,11 @@ def read_topic(spark: SparkSession, base: str, topic: str, streaming: bool = Fal
     return spark.read.schema(TOPIC_LOG).option("recursiveFileLookup", "true").parquet(path)
 
 
-def read_topic_log(spark: SparkSession, base: str, topic_names: list[str]) -> DataFrame:
-    """Several topics as one log (batch)."""
+def read_topic_log(spark: SparkSession, base: str, topic_names: list[str] | None = None) -> DataFrame:
+    """Several topics as one log (batch). Without names: the whole archive log
+    partitioned by ``topic`` under ``base``."""
+    if topic_names is None:
+        return spark.read.schema(TOPIC_LOG).parquet(base)
     out = None
     for t in topic_names:
         df = read_topic(spark, base, t)
@@ -105,6 +113,11 @@ def encode(df: DataFrame, topic: str, fields: list[str], origin: str | Column,
     )
 
 
+def write_topic_log(rows: DataFrame, base: str, mode: str = "errorifexists") -> None:
+    """Write rows of many topics as an archive log partitioned by ``topic``."""
+    rows.write.mode(mode).partitionBy("topic").parquet(base)
+
+
 def write_topic(rows: DataFrame, base: str, topic: str, batch_id: int | None = None) -> None:
     """Append encoded rows to a topic (batch or inside ``foreachBatch``).
 
