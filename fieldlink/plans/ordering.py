@@ -24,10 +24,15 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row index
 
 
 def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    """Range-partition and sort, then checkpoint.
+
+    Without ``partitions`` the count is left to AQE, which coalesces the range
+    shuffle to its advisory partition size (neighbouring ranges merge, so the
+    order across partitions holds).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).checkpoint(eager=True)
 
 
 def with_position(df: DataFrame, order: list[Column], out: str = "pos",
