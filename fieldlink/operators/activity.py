@@ -17,6 +17,7 @@ from fieldlink.config import (
     TILE_IMAGE_FEED,
     TILE_RESPONSE_TITLE_PREFIX,
     TILE_TITLE_WIDTH,
+    TILE_TTL_SECONDS,
 )
 from fieldlink.functions.text import shorten
 
@@ -73,7 +74,7 @@ def newest(tiles: DataFrame, n: int = 20) -> DataFrame:
         "image_url")
 
 
-def visible(tiles: DataFrame, ttl_seconds: int, now: Column | None = None) -> DataFrame:
+def visible(tiles: DataFrame, ttl_seconds: int = TILE_TTL_SECONDS, now: Column | None = None) -> DataFrame:
     """Tiles still shown: viewer tiles never expire, others live ``ttl_seconds``."""
     if now is None:
         now = tiles.select(F.max("ts")).scalar()

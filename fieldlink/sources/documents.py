@@ -42,6 +42,12 @@ def upsert(changelog_path: str, changes: DataFrame, batch_id: int | None = None,
 
 
 def read_changelog(spark: SparkSession, changelog_path: str) -> DataFrame:
+    """All document versions; an empty table before the first write."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(changelog_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.mkdirs(p)
     return (spark.read.schema(DOCUMENT_CHANGE).option("recursiveFileLookup", "true")
             .parquet(changelog_path))
 

@@ -7,10 +7,16 @@ run copies, or keep the "document before message" order run in
 ``foreachBatch``: every write there replaces ``batch=<id>/`` so a retried
 micro-batch leaves the same files. The two kinds never share a folder.
 
-``trigger`` defaults to ``availableNow`` (drain what is there, then stop); in
-production pass ``{"processingTime": "2 seconds"}`` (HQ) or ``"3 seconds"``
-(EDGE). Checkpoints live under ``<checkpoint root>/<service>``; the root
-defaults to ``spark.checkpoint.dir``.
+``trigger`` defaults to ``availableNow`` (drain what is there, then stop);
+:func:`start_hq` and :func:`start_edge` use the services' periods (2 s at HQ,
+3 s at the edge). Checkpoints live under ``<checkpoint root>/<service>``; the
+root defaults to ``spark.checkpoint.dir``.
+
+``seq`` is one logical clock per deployment: new feed items get
+``batch_id << 40 | row id`` (up to 128 partitions per micro-batch), derived
+messages keep the seq of the message that caused them, and the edge stamps
+clicks and publications from the same clock, so that "click after broadcast"
+and "published after click" can be compared across topics.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from fieldlink.config import (
     Sites,
 )
 from fieldlink.operators import edge, hq
-from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, DOCUMENT_CHANGE, FEED_FILE, IMAGEFEED_MSG, STORE_RESULT
+from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, FEED_FILE, IMAGEFEED_MSG, STORE_RESULT
 from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
@@ -322,9 +328,29 @@ def documents_now(spark: SparkSession, layout: Layout) -> DataFrame:
     return docs.read_current(spark, layout.documents)
 
 
-__all__ = [
-    "Layout", "start_feed_service", "start_download_service", "start_broadcast_service",
-    "start_response_service", "start_lifecycle_service", "current_asset_state", "asset_table",
-    "record_clicks", "publish_requests", "start_replication", "site_topic", "documents_now",
-    "DOCUMENT_CHANGE",
-]
+HQ_PERIOD = {"processingTime": "2 seconds"}
+EDGE_PERIOD = {"processingTime": "3 seconds"}
+
+
+def start_hq(spark: SparkSession, layout: Layout, feed_dir: str, trigger: dict | None = HQ_PERIOD,
+             request_topics: str | None = None) -> dict:
+    """Start the HQ services (J1); each returned query can be stopped and restarted on its own."""
+    return {
+        "image_feed": start_feed_service(spark, layout, feed_dir, trigger),
+        "image_download": start_download_service(spark, layout, trigger),
+        "asset_broadcast": start_broadcast_service(spark, layout, trigger),
+        "asset_response": start_response_service(spark, layout, trigger, request_topics),
+    }
+
+
+def start_edge(spark: SparkSession, layout: Layout, broadcast_topics: str,
+               trigger: dict | None = EDGE_PERIOD) -> dict:
+    """Start the EDGE streaming services (asset state). Requests are published by
+    :func:`publish_requests` and the viewer reads :func:`asset_table`."""
+    return {"asset_lifecycle": start_lifecycle_service(spark, layout, broadcast_topics, trigger)}
+
+
+def stop_all(queries: dict) -> None:
+    """Stop services; a restart with the same layout resumes from the checkpoints."""
+    for q in queries.values():
+        q.stop()

@@ -142,3 +142,22 @@ def test_dedupe_and_counters_streams(spark, env):
     topics.write_topic(spark.createDataFrame([row(4, "HQ")], TOPIC_LOG), edL.topics, "ASSET_BROADCAST", 1)
     run(svc.start_counters_service(spark, edL, {"Broadcast Listener": "ASSET_BROADCAST", "Asset Request": "ASSET_REQUEST"}))
     assert {r.service: r.n for r in svc.current_counters(spark, edL).collect()} == {"Broadcast Listener": 3}
+
+
+def test_site_runner_stop_and_resume(spark, env):
+    sites, hqL, _edL, tmp = env
+    iid, href = "1", "http://img/a/moon.jpg"
+    write(f"{sites.source_images}/{aid(iid, href)}/moon.jpg", b"m")
+    feed_file(str(tmp / "feed/f1.json"), [(iid, "Moon", href)])
+    trig = {"processingTime": "1 second"}
+    qs = svc.start_hq(spark, hqL, str(tmp / "feed"), trig)
+    for name in ("image_feed", "image_download", "asset_broadcast", "image_download", "asset_broadcast"):
+        qs[name].processAllAvailable()
+    svc.stop_all(qs)
+    assert topic_rows(spark, hqL.topics, "ASSET_BROADCAST").count() == 1
+    qs = svc.start_hq(spark, hqL, str(tmp / "feed"), trig)  # resume from checkpoints: nothing is redone
+    for q in qs.values():
+        q.processAllAvailable()
+    svc.stop_all(qs)
+    assert topic_rows(spark, hqL.topics, "ASSET_BROADCAST").count() == 1
+    assert topic_rows(spark, hqL.topics, "IMAGE_DOWNLOAD").count() == 1
