@@ -27,6 +27,7 @@ from fieldlink import functions as fx
 from fieldlink.operators import activity, edge, hq, monitor
 from fieldlink.operators.deadletter import malformed_messages as _malformed
 from fieldlink.plans import fixtures as fix
+from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.schemas import (
     ASSET_MSG,
     AUDIT_MSG,
@@ -292,7 +293,11 @@ def activity_feed(spark, d):
 
 def activity_visible(spark, d):
     """Tiles still shown after a one-day time-to-live (viewer tiles never expire)."""
-    return activity.visible(_tiles(spark, d), ACTIVITY_TTL_S).select("seq", "service")
+    ensure_checkpoint_dir(spark)
+    # "now" is the newest tile: written once (reliable checkpoint) so the max
+    # and the filter read the tiles instead of computing the five producers twice.
+    tiles = _tiles(spark, d).checkpoint(eager=True)
+    return activity.visible(tiles, ACTIVITY_TTL_S).select("seq", "service")
 
 
 # --- scalar functions ---------------------------------------------------------
