@@ -161,3 +161,35 @@ def test_site_runner_stop_and_resume(spark, env):
     svc.stop_all(qs)
     assert topic_rows(spark, hqL.topics, "ASSET_BROADCAST").count() == 1
     assert topic_rows(spark, hqL.topics, "IMAGE_DOWNLOAD").count() == 1
+
+
+def test_download_sees_documents_written_after_start(spark, env):
+    """Within one running query, a document written later is found (re-read per batch)."""
+    from fieldlink.schemas import IMAGEFEED_MSG
+    from fieldlink.sources import documents as docs
+
+    sites, hqL, _edL, tmp = env
+    schema = ("_id string, data array<struct<title:string,description:string,item_id:string>>, "
+              "links array<struct<href:string>>, imageDownloadLocation string, extra string, seq long, rev int")
+
+    def doc_and_msg(n, seq, batch):
+        a = f"asset{n:07d}"
+        write(f"{sites.source_images}/{a}/p{n}.jpg", b"x")
+        docs.upsert(hqL.documents, spark.createDataFrame(
+            [(a, [(f"T{n}", "d", None)], [(f"http://h/p{n}.jpg",)], None, None, seq, 0)], schema), batch, "test")
+        msg = spark.createDataFrame([(seq, a, f"T{n}")], "seq long, assetID string, title string") \
+            .withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("description", F.lit("d")) \
+            .withColumn("tablename", F.lit("imagesTable")).withColumn("messageCreatorID", F.lit("ezshow"))
+        topics.write_topic(topics.encode(msg, "IMAGEFEED", ["title", "description", "tablename", "assetID",
+                                                            "messageCreatorID"], "HQ"), hqL.topics, "IMAGEFEED", batch)
+        return a
+
+    a1 = doc_and_msg(1, 1, 0)
+    q = svc.start_download_service(spark, hqL, {"processingTime": "1 second"})
+    q.processAllAvailable()
+    a2 = doc_and_msg(2, 2, 1)  # document and message arrive after the query started
+    q.processAllAvailable()
+    q.stop()
+    got = {r.assetID: r.status for r in topic_rows(spark, hqL.topics, "IMAGE_DOWNLOAD").collect()}
+    assert got == {a1: "success", a2: "success"}
+    assert IMAGEFEED_MSG is not None
