@@ -328,6 +328,50 @@ def documents_now(spark: SparkSession, layout: Layout) -> DataFrame:
     return docs.read_current(spark, layout.documents)
 
 
+def _changes_with_state(key, batches, state):
+    """Per replica: emit observations whose state differs from the last one kept in state.
+
+    Rows of one micro-batch are ordered by ``seq``; a row older than the last
+    one seen is late and is skipped, since the order it should have taken is gone.
+    """
+    import pandas as pd
+
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+    last_seq, last_state = (state.get if state.exists else (None, None))
+    out = []
+    for seq, st in zip(pdf["seq"].tolist(), pdf["state"].tolist()):
+        if last_seq is not None and seq <= last_seq:
+            continue
+        if st != last_state:
+            out.append((key[0], seq, st, last_state))
+        last_seq, last_state = seq, st
+    state.update((last_seq, last_state))
+    yield pd.DataFrame(out, columns=["replica", "seq", "state", "prev_state"])
+
+
+def start_replica_monitor(spark: SparkSession, layout: Layout, trigger: dict | None = None):
+    """Upstream Comm (E3 streaming): replica state changes, kept per replica in state.
+
+    ``applyInPandasWithState`` holds one row per replica (last seq and state);
+    changes go through the file sink to ``<base>/replica_changes``.
+    """
+    from fieldlink.config import TOPIC_REPLICA_INFO
+    from fieldlink.operators import monitor
+    from fieldlink.schemas import REPLICA_INFO_MSG
+
+    ensure_dirs(spark, f"{layout.topics}/{TOPIC_REPLICA_INFO}")
+    src = topics.consume(topics.read_topic(spark, layout.topics, TOPIC_REPLICA_INFO, streaming=True),
+                         TOPIC_REPLICA_INFO, REPLICA_INFO_MSG)
+    obs = monitor.replica_observations(src, layout.sites).select("replica", "seq", "state")
+    changes = obs.groupBy("replica").applyInPandasWithState(
+        _changes_with_state, "replica string, seq long, state string, prev_state string",
+        "last_seq long, last_state string", "append", "NoTimeout")
+    return (changes.writeStream.format("parquet").queryName("replica_monitor")
+            .option("checkpointLocation", layout.checkpoint(spark, "replica_monitor"))
+            .trigger(**(trigger or {"availableNow": True})).outputMode("append")
+            .start(f"{layout.base}/replica_changes"))
+
+
 HQ_PERIOD = {"processingTime": "2 seconds"}
 EDGE_PERIOD = {"processingTime": "3 seconds"}
 

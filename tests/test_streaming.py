@@ -193,3 +193,22 @@ def test_download_sees_documents_written_after_start(spark, env):
     got = {r.assetID: r.status for r in topic_rows(spark, hqL.topics, "IMAGE_DOWNLOAD").collect()}
     assert got == {a1: "success", a2: "success"}
     assert IMAGEFEED_MSG is not None
+
+
+def test_replica_monitor_stream_equals_batch(spark, env):
+    from fieldlink.operators import monitor
+    from fieldlink.plans import fixtures as fix
+    from fieldlink.schemas import REPLICA_INFO_MSG
+
+    sites, hqL, _edL, _tmp = env
+    log = fix.topic_log(spark, "/root/testdata/sf0.001", sites, topics=["REPLICA_INFO"])
+    topics.write_topic(log.filter("seq < 500"), hqL.topics, "REPLICA_INFO", 0)
+    run(svc.start_replica_monitor(spark, hqL))
+    topics.write_topic(log.filter("seq >= 500"), hqL.topics, "REPLICA_INFO", 1)
+    run(svc.start_replica_monitor(spark, hqL))
+    streamed = sorted(tuple(r) for r in spark.read.parquet(f"{hqL.base}/replica_changes")
+                      .select("replica", "seq", "state", "prev_state").collect())
+    obs = monitor.replica_observations(topics.consume(log, "REPLICA_INFO", REPLICA_INFO_MSG), sites)
+    batch = sorted(tuple(r) for r in monitor.replica_state_changes(obs)
+                   .select("replica", "seq", "state", "prev_state").collect())
+    assert streamed == batch and len(batch) > 0
