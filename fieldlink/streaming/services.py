@@ -372,6 +372,43 @@ def start_replica_monitor(spark: SparkSession, layout: Layout, trigger: dict | N
             .start(f"{layout.base}/replica_changes"))
 
 
+def start_audit_listener(spark: SparkSession, layout: Layout, trigger: dict | None = None):
+    """Audit Listener (C3 streaming): audit records with the "replication established" flag."""
+    from fieldlink.config import TOPIC_AUDIT
+    from fieldlink.operators import monitor
+    from fieldlink.schemas import AUDIT_MSG
+
+    ensure_dirs(spark, f"{layout.topics}/{TOPIC_AUDIT}")
+    audit = topics.consume(topics.read_topic(spark, layout.topics, TOPIC_AUDIT, streaming=True), TOPIC_AUDIT, AUDIT_MSG)
+    return (monitor.audit_replication(audit, layout.sites).writeStream.format("parquet")
+            .queryName("audit_listener").option("checkpointLocation", layout.checkpoint(spark, "audit_listener"))
+            .trigger(**(trigger or {"availableNow": True})).outputMode("append")
+            .start(f"{layout.base}/audit"))
+
+
+def start_mirror_lag_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
+    """Mirror lag (E4 streaming): latest volume observation per replica, update mode."""
+    from fieldlink.config import TOPIC_VOLUME_INFO
+    from fieldlink.operators import monitor
+    from fieldlink.schemas import VOLUME_INFO_MSG
+
+    ensure_dirs(spark, f"{layout.topics}/{TOPIC_VOLUME_INFO}")
+    vi = topics.consume(topics.read_topic(spark, layout.topics, TOPIC_VOLUME_INFO, streaming=True),
+                        TOPIC_VOLUME_INFO, VOLUME_INFO_MSG)
+    lag = monitor.mirror_lag(vi)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        _write_batch(df.withColumn("batch", F.lit(batch_id).cast("bigint")), f"{layout.base}/mirror_lag", batch_id)
+
+    return _start(lag, "mirror_lag", layout, spark, batch, trigger, output_mode="update")
+
+
+def current_mirror_lag(spark: SparkSession, layout: Layout) -> DataFrame:
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{layout.base}/mirror_lag")
+    return (rows.groupBy("replica").agg(F.max_by(F.struct("lag_s", "lag_text"), "batch").alias("_l"))
+            .select("replica", "_l.lag_s", "_l.lag_text"))
+
+
 HQ_PERIOD = {"processingTime": "2 seconds"}
 EDGE_PERIOD = {"processingTime": "3 seconds"}
 
@@ -389,9 +426,15 @@ def start_hq(spark: SparkSession, layout: Layout, feed_dir: str, trigger: dict |
 
 def start_edge(spark: SparkSession, layout: Layout, broadcast_topics: str,
                trigger: dict | None = EDGE_PERIOD) -> dict:
-    """Start the EDGE streaming services (asset state). Requests are published by
-    :func:`publish_requests` and the viewer reads :func:`asset_table`."""
-    return {"asset_lifecycle": start_lifecycle_service(spark, layout, broadcast_topics, trigger)}
+    """Start the EDGE streaming services: asset state, audit listener, replica
+    monitor and mirror lag. Requests are published by :func:`publish_requests`
+    and the viewer reads :func:`asset_table`."""
+    return {
+        "asset_lifecycle": start_lifecycle_service(spark, layout, broadcast_topics, trigger),
+        "audit_listener": start_audit_listener(spark, layout, trigger),
+        "replica_monitor": start_replica_monitor(spark, layout, trigger),
+        "mirror_lag": start_mirror_lag_service(spark, layout, trigger),
+    }
 
 
 def stop_all(queries: dict) -> None:

@@ -212,3 +212,27 @@ def test_replica_monitor_stream_equals_batch(spark, env):
     batch = sorted(tuple(r) for r in monitor.replica_state_changes(obs)
                    .select("replica", "seq", "state", "prev_state").collect())
     assert streamed == batch and len(batch) > 0
+
+
+def test_audit_and_mirror_lag_streams_equal_batch(spark, env):
+    from fieldlink.operators import monitor
+    from fieldlink.plans import fixtures as fix
+    from fieldlink.schemas import AUDIT_MSG, VOLUME_INFO_MSG
+
+    sites, hqL, _edL, _tmp = env
+    log = fix.topic_log(spark, "/root/testdata/sf0.001", sites, topics=["AUDIT", "VOLUME_INFO"])
+    for t in ("AUDIT", "VOLUME_INFO"):
+        topics.write_topic(log.filter(f"topic = '{t}' AND seq < 600"), hqL.topics, t, 0)
+    run(svc.start_audit_listener(spark, hqL))
+    run(svc.start_mirror_lag_service(spark, hqL))
+    for t in ("AUDIT", "VOLUME_INFO"):
+        topics.write_topic(log.filter(f"topic = '{t}' AND seq >= 600"), hqL.topics, t, 1)
+    run(svc.start_audit_listener(spark, hqL))
+    run(svc.start_mirror_lag_service(spark, hqL))
+    audit_s = sorted(tuple(r) for r in spark.read.parquet(f"{hqL.base}/audit").collect())
+    audit_b = sorted(tuple(r) for r in monitor.audit_replication(
+        topics.consume(log, "AUDIT", AUDIT_MSG), sites).collect())
+    assert audit_s == audit_b and any(r[3] for r in audit_b)
+    lag_s = sorted(tuple(r) for r in svc.current_mirror_lag(spark, hqL).collect())
+    lag_b = sorted(tuple(r) for r in monitor.mirror_lag(topics.consume(log, "VOLUME_INFO", VOLUME_INFO_MSG)).collect())
+    assert lag_s == lag_b and len(lag_b) > 0
