@@ -244,7 +244,7 @@ def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITE
         F.col("length").cast("bigint").alias("length"))
 
 
-STANDIN_VERSION = "1"
+STANDIN_VERSION = "2"
 
 
 def stored_topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:

@@ -36,8 +36,8 @@ def read_topic(spark: SparkSession, base: str, topic: str, streaming: bool = Fal
     where only that partition's files are listed and read).
     """
     if partitioned and not streaming:
-        return (spark.read.schema(TOPIC_LOG).option("basePath", base)
-                .parquet(f"{base.rstrip('/')}/topic={topic}"))
+        return (spark.read.option("basePath", base).parquet(f"{base.rstrip('/')}/topic={topic}")
+                .select(*[F.col(f.name).cast(f.dataType) for f in TOPIC_LOG.fields], *_day_col(base, spark)))
     path = topic_path(base, topic)
     if streaming:
         r = spark.readStream.schema(TOPIC_LOG).option("recursiveFileLookup", "true")
@@ -51,7 +51,8 @@ def read_topic_log(spark: SparkSession, base: str, topic_names: list[str] | None
     """Several topics as one log (batch). Without names: the whole archive log
     partitioned by ``topic`` under ``base``."""
     if topic_names is None:
-        return spark.read.schema(TOPIC_LOG).parquet(base)
+        return (spark.read.parquet(base)
+                .select(*[F.col(f.name).cast(f.dataType) for f in TOPIC_LOG.fields], *_day_col(base, spark)))
     out = None
     for t in topic_names:
         df = read_topic(spark, base, t)
@@ -59,6 +60,21 @@ def read_topic_log(spark: SparkSession, base: str, topic_names: list[str] | None
     return out
 
 
+def _day_col(base: str, spark: SparkSession) -> list:
+    """``dt`` when the archive is partitioned by day (kept so filters on it prune folders)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("topic="):
+            for sub in fs.listStatus(st.getPath()):
+                if sub.isDirectory() and sub.getPath().getName().startswith("dt="):
+                    return [F.col("dt")]
+            return []
+    return []
+
+
 def subscribe(log: DataFrame, topic: str) -> DataFrame:
     """One topic; on a partitioned log this is partition pruning."""
     return log.filter(F.col("topic") == F.lit(topic))
@@ -113,9 +129,18 @@ def encode(df: DataFrame, topic: str, fields: list[str], origin: str | Column,
     )
 
 
-def write_topic_log(rows: DataFrame, base: str, mode: str = "errorifexists") -> None:
-    """Write rows of many topics as an archive log partitioned by ``topic``."""
-    rows.write.mode(mode).partitionBy("topic").parquet(base)
+def write_topic_log(rows: DataFrame, base: str, mode: str = "errorifexists", by_day: bool = True) -> None:
+    """Write rows of many topics as an archive log partitioned by ``topic`` (and day).
+
+    With ``by_day`` each topic folder holds ``dt=<date>/`` folders: retention
+    drops whole days and readers of recent data prune the rest. Rows are
+    clustered by the partition columns first, so each folder gets few files.
+    """
+    if by_day:
+        rows = rows.withColumn("dt", F.to_date("ts"))
+        rows.repartition("topic", "dt").write.mode(mode).partitionBy("topic", "dt").parquet(base)
+    else:
+        rows.write.mode(mode).partitionBy("topic").parquet(base)
 
 
 def write_topic(rows: DataFrame, base: str, topic: str, batch_id: int | None = None) -> None:
@@ -173,7 +198,11 @@ def expire(log: DataFrame, ttl_seconds: int = TOPIC_TTL_SECONDS, now: Column | N
     """
     if now is None:
         now = log.select(F.max("ts")).scalar()
-    return log.filter(F.col("ts") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    cutoff = now - F.make_dt_interval(secs=F.lit(ttl_seconds))
+    keep = F.col("ts") >= cutoff
+    if "dt" in log.columns:  # day-partitioned archive: whole older days are never read
+        keep = (F.col("dt") >= F.to_date(cutoff)) & keep
+    return log.filter(keep)
 
 
 def compact_expired(spark: SparkSession, base: str, topic: str, out_base: str,
