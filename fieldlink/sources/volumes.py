@@ -109,12 +109,43 @@ def mirror_diff(src: DataFrame, src_root: str, dst: DataFrame, dst_root: str,
     return out if include_same else out.filter(F.col("action") != "same")
 
 
-def mirror_apply(plan: DataFrame, dst_root: str, src_root: str) -> DataFrame:
-    """Carry out a mirror plan's copies and refreshes (deletes are reported only)."""
+def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        oks, errs = [], []
+        for p in pdf["dst"]:
+            try:
+                f, fp = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p)
+                if f.get_file_info(fp).type == pafs.FileType.File:
+                    f.delete_file(fp)
+                oks.append(True)  # already gone counts as done: deletes are idempotent
+                errs.append(None)
+            except Exception as e:
+                oks.append(False)
+                errs.append(f"{type(e).__name__}: {e}")
+        yield pd.DataFrame({"src": [None] * len(pdf), "dst": pdf["dst"], "ok": oks, "error": errs})
+
+
+def delete_files(paths: DataFrame, path_col: str = "dst") -> DataFrame:
+    """Delete each distinct path; returns ``src (null), dst, ok, error``."""
+    p = paths.select(F.col(path_col).alias("dst")).filter(F.col("dst").isNotNull())
+    return p.repartition("dst").dropDuplicates(["dst"]).mapInPandas(_delete_batches, COPY_RESULT_SCHEMA)
+
+
+def mirror_apply(plan: DataFrame, dst_root: str, src_root: str, delete: bool = True) -> DataFrame:
+    """Carry out a mirror plan: copy new and changed files, and (one-way mirror)
+    delete files that are gone from the source. Returns one row per action."""
+    root = dst_root.rstrip("/")
     todo = plan.filter(F.col("action").isin("copy", "refresh")).select(
         F.regexp_replace("src_path", "^file:", "").alias("src"),
-        F.concat_ws("/", F.lit(dst_root.rstrip("/")), F.col("rel_path")).alias("dst"))
-    return copy_files(todo)
+        F.concat_ws("/", F.lit(root), F.col("rel_path")).alias("dst"))
+    done = copy_files(todo)
+    if delete:
+        gone = plan.filter(F.col("action") == "delete").select(
+            F.concat_ws("/", F.lit(root), F.col("rel_path")).alias("dst"))
+        done = done.unionByName(delete_files(gone))
+    return done
 
 
 def _read_batches_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
