@@ -101,9 +101,9 @@ def status_counts(lifecycle: DataFrame) -> DataFrame:
     return lifecycle.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def request_publish(lifecycle: DataFrame) -> DataFrame:
+def request_publish(lifecycle: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Assets waiting to be requested (C4): published with status ``requesting...``."""
-    return lifecycle.filter(F.col("status") == STATUS_REQUESTING).select("assetID", "title", "status")
+    return lifecycle.filter(F.col("status") == STATUS_REQUESTING).select("assetID", "title", "status", *extra)
 
 
 def viewer(lifecycle: DataFrame) -> DataFrame:

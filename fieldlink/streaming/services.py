@@ -230,10 +230,42 @@ def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topic
     return _start(state, "asset_lifecycle", layout, spark, batch, trigger, output_mode="update")
 
 
+def _latest_by_batch(rows: DataFrame, key: str) -> DataFrame:
+    latest = F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col("batch"))
+    return rows.groupBy(key).agg(latest.alias("_s")).select(key, "_s.*")
+
+
 def current_asset_state(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Newest aggregate row per asset (the update-mode output of every batch so far)."""
     rows = spark.read.option("recursiveFileLookup", "true").parquet(layout.asset_state)
-    latest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("assetID",)]), F.col("batch"))
-    return rows.groupBy("assetID").agg(latest.alias("_s")).select("assetID", "_s.*").drop("batch")
+    return _latest_by_batch(rows, "assetID").drop("batch")
+
+
+def compact_state(spark: SparkSession, path: str, key: str) -> None:
+    """Fold the older ``batch=<id>/`` folders of an update-mode output into one.
+
+    Readers take the newest row per key, so replacing those folders by their
+    newest rows (tagged with the newest folded batch id) changes nothing they
+    see and bounds their cost by the number of keys. The newest folder is left
+    alone: it may be in progress or be retried, while older batches are
+    committed and never rerun. Safe to run beside the stream.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(conf)
+    found = sorted(((int(st.getPath().getName().split("=", 1)[1]), st.getPath()) for st in fs.listStatus(base)
+                    if st.getPath().getName().startswith("batch=")), key=lambda t: t[0])
+    olds = found[:-1]
+    if len(olds) < 2:
+        return
+    last = olds[-1][0]
+    snap = f"{path}/_compacting"
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(*[p.toString() for _, p in olds])
+    _latest_by_batch(rows, key).withColumn("batch", F.lit(last).cast("bigint")).write.mode("overwrite").parquet(snap)
+    for _, p in olds:  # readers skip "_" folders, so the snapshot is invisible until renamed
+        fs.delete(p, True)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(snap), jvm.org.apache.hadoop.fs.Path(f"{path}/batch={last}"))
 
 
 def asset_table(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -255,9 +287,7 @@ def publish_requests(spark: SparkSession, layout: Layout, batch_id: int) -> Data
     Writes the ASSET_REQUEST messages and the publication log (which turns
     the assets into ``requested``). Returns what was published.
     """
-    table = asset_table(spark, layout)
-    pending = edge.request_publish(table.withColumn("seq", F.col("c_seq"))).join(
-        table.select("assetID", "description", "filename", "c_seq"), "assetID")
+    pending = edge.request_publish(asset_table(spark, layout), extra=("description", "filename", "c_seq"))
     rows = pending.select("assetID", "title", "description", "filename", "status",
                           F.col("c_seq").alias("seq"),
                           F.current_timestamp().cast("timestamp_ntz").alias("ts")).persist()

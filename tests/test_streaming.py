@@ -236,3 +236,17 @@ def test_audit_and_mirror_lag_streams_equal_batch(spark, env):
     lag_s = sorted(tuple(r) for r in svc.current_mirror_lag(spark, hqL).collect())
     lag_b = sorted(tuple(r) for r in monitor.mirror_lag(topics.consume(log, "VOLUME_INFO", VOLUME_INFO_MSG)).collect())
     assert lag_s == lag_b and len(lag_b) > 0
+
+
+def test_compact_state_keeps_newest(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for b, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("c", 5)], [("c", 6)]]):
+        spark.createDataFrame(rows, "assetID string, v long").withColumn("batch", F.lit(b).cast("bigint")) \
+            .write.parquet(f"{path}/batch={b}")
+    before = sorted(tuple(r) for r in svc._latest_by_batch(spark.read.option("recursiveFileLookup", "true")
+                                                            .parquet(path), "assetID").drop("batch").collect())
+    svc.compact_state(spark, path, "assetID")
+    assert sorted(os.listdir(path)) == ["batch=2", "batch=3"]  # the newest folder is left alone
+    after = sorted(tuple(r) for r in svc._latest_by_batch(spark.read.option("recursiveFileLookup", "true")
+                                                           .parquet(path), "assetID").drop("batch").collect())
+    assert before == after == [("a", 2), ("b", 1), ("c", 6)]
