@@ -86,14 +86,16 @@ def mirror_lag(volume_info: DataFrame) -> DataFrame:
 def service_counters(spark: SparkSession, counted: dict[str, DataFrame]) -> DataFrame:
     """``service, n``: rows each service emitted; services with none show 0.
 
-    ``counted`` maps a service name to the DataFrame of what it emitted or read.
-    Each side is counted with a partial aggregate; the service list is a fixed
+    ``counted`` maps a service name to the DataFrame of what it emitted or
+    read. The tagged rows are unioned and counted in one aggregate (partial
+    counts per task, one small shuffle); the service list is a fixed
     nine-row table.
     """
     parts = None
     for name, df in counted.items():
-        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("service"), "n")
-        parts = c if parts is None else parts.unionByName(c)
+        tagged = df.select(F.lit(name).alias("service"))
+        parts = tagged if parts is None else parts.unionByName(tagged)
+    counts = parts.groupBy("service").agg(F.count(F.lit(1)).alias("n"))
     names = spark.createDataFrame([(n,) for _, n in SERVICES], "service string")
-    return (names.join(parts, "service", "left")
+    return (names.join(counts, "service", "left")
             .select("service", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
