@@ -77,7 +77,7 @@ HQ = "HQ"
 EDGE = "EDGE"
 HQ_ROOT = "/apps/fieldlink"
 EDGE_ROOT = "/apps/fieldlink-edge"
-SOURCE_IMAGES_ROOT = "images"
+SOURCE_IMAGES_ROOT = "/srv/fieldlink/images"  # HQ-local folder the feed's images come from
 
 # Extra topics for monitoring observations and the edge request log.
 TOPIC_AUDIT = "AUDIT"

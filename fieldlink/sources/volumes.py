@@ -37,17 +37,23 @@ def volume_usage(listings: dict[str, DataFrame]) -> DataFrame:
                                          F.sum("length").cast("bigint").alias("bytes"))
 
 
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+
+
+def plain_path(p) -> "F.Column":
+    """Path without ``scheme:`` or ``scheme://authority`` (listings say ``file:/a``, callers ``/a``)."""
+    return F.regexp_replace(F.col(p) if isinstance(p, str) else p, _SCHEME, "")
+
+
 def file_present(wanted: DataFrame, listing: DataFrame, path_col: str = "path",
                  out: str = "present") -> DataFrame:
     """Add a boolean ``out``: does ``wanted[path_col]`` exist in ``listing``?
 
-    Listing paths carry a scheme (``file:``); both sides are compared without it.
-    A listing holds each path once, so the left join adds no rows.
+    Both sides are compared without scheme and authority. A listing holds
+    each path once, so the left join adds no rows.
     """
-    lst = (listing.select(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-                          .alias("_lp"))
-           .withColumn(out, F.lit(True)))
-    j = wanted.join(lst, F.col(path_col) == F.col("_lp"), "left").drop("_lp")
+    lst = listing.select(plain_path("path").alias("_lp")).withColumn(out, F.lit(True))
+    j = wanted.join(lst, plain_path(path_col) == F.col("_lp"), "left").drop("_lp")
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 

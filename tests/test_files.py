@@ -148,3 +148,33 @@ def test_catalog_init_and_drop(spark, tmp_path):
     catalog.drop_catalog(spark, [edL], "fl_test_edge")
     catalog.drop_catalog(spark, [hqL], "fl_test_hq")
     assert not os.path.exists(hqL.base) and not os.path.exists(edL.base)
+
+
+def test_broadcast_deadletter_for_missing_status(spark):
+    rows = [(1, "a", "success"), (2, "b", None), (3, "c", "failed")]
+    df = spark.createDataFrame(rows, "seq long, assetID string, status string")
+    assert [r.seq for r in hq.asset_broadcast(df).collect()] == [1]
+    assert [(r.seq, r.reason) for r in hq.broadcast_deadletter(df).collect()] == [(2, "no_status")]
+
+
+def test_flat_layout_collides_by_asset_does_not(spark):
+    from fieldlink.config import LAYOUT_FLAT, Sites
+
+    docs_rows = [("a1", [("t", "d", None)], [("http://x/1/img.jpg",)], "/dl/a1/img.jpg", None),
+                 ("a2", [("t", "d", None)], [("http://x/2/img.jpg",)], "/dl/a2/img.jpg", None)]
+    docs_df = spark.createDataFrame(docs_rows, "_id string, data array<struct<title:string,description:string,"
+                                               "item_id:string>>, links array<struct<href:string>>, "
+                                               "imageDownloadLocation string, extra string")
+    reqs = spark.createDataFrame([(1, None, "a1", "t"), (2, None, "a2", "t")],
+                                 "seq long, ts timestamp_ntz, assetID string, title string")
+    by_asset = {r.dst for r in hq.response_copies(hq.asset_response(reqs, docs_df, Sites(hq_root="/hq"))).collect()}
+    flat = {r.dst for r in hq.response_copies(hq.asset_response(reqs, docs_df, Sites(hq_root="/hq", layout=LAYOUT_FLAT))).collect()}
+    assert by_asset == {"/hq/files/a1/img.jpg", "/hq/files/a2/img.jpg"}
+    assert flat == {"/hq/files/img.jpg"}  # the reference's behaviour: both assets land on one path
+
+
+def test_file_present_ignores_scheme(spark):
+    wanted = spark.createDataFrame([("hdfs://nn:8020/v/a.jpg",), ("/v/b.jpg",)], "p string")
+    listing = spark.createDataFrame([("file:/v/a.jpg",), ("hdfs://nn:8020/v/b.jpg",)], "path string")
+    got = {r.p: r.present for r in volumes.file_present(wanted, listing, "p").collect()}
+    assert got == {"hdfs://nn:8020/v/a.jpg": True, "/v/b.jpg": True}
