@@ -244,38 +244,54 @@ def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITE
         F.col("length").cast("bigint").alias("length"))
 
 
-STANDIN_VERSION = "2"
+STANDIN_VERSION = "3"
 
 
-def stored_topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:
-    """The stand-in topic log written once as an archive partitioned by ``topic``.
+def _stored(spark: SparkSession, d: str, sites: Sites, name: str, write) -> str:
+    """Write a stand-in once under the shared ``spark.checkpoint.dir``.
 
-    Stored under the shared ``spark.checkpoint.dir`` and keyed by the input
-    files and this module's version, so every query of a session reads the
-    same stored log through the library's topic source, as a deployment
+    Keyed by the input files, the site roots and this module's version, so
+    every query of a session reads the same stored data, as a deployment
     would. Written to a temporary folder and renamed, so concurrent sessions
-    never see a half-written log.
+    never see a half-written table.
     """
     import hashlib
     import uuid
 
     from fieldlink.session import ensure_checkpoint_dir
-    from fieldlink.sources.topics import write_topic_log
 
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    stamp = [STANDIN_VERSION, d, sites.hq_root, sites.edge_root]
-    for name in ("events", "pages"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    stamp = [STANDIN_VERSION, name, d, sites.hq_root, sites.edge_root, sites.source_images, sites.layout]
+    for t in ("events", "pages"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
         st = p.getFileSystem(conf).getFileStatus(p)
         stamp += [str(st.getLen()), str(st.getModificationTime())]
     key = hashlib.sha256("|".join(stamp).encode()).hexdigest()[:16]
     root = f"{ensure_checkpoint_dir(spark)}/fieldlink-standins"
-    final = jvm.org.apache.hadoop.fs.Path(f"{root}/topic_log_{key}")
+    final = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}_{key}")
     fs = final.getFileSystem(conf)
     if not fs.exists(final):
-        tmp = f"{root}/_tmp_{key}_{uuid.uuid4().hex}"
-        write_topic_log(topic_log(spark, d, sites), tmp)
+        tmp = f"{root}/_tmp_{name}_{key}_{uuid.uuid4().hex}"
+        write(tmp)
         if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final) and not fs.exists(final):
-            raise RuntimeError(f"could not publish stand-in log {final}")
+            raise RuntimeError(f"could not publish stand-in {final}")
     return final.toString()
+
+
+def stored_topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:
+    """The stand-in topic log, stored once as an archive partitioned by topic and day."""
+    from fieldlink.sources.topics import write_topic_log
+
+    return _stored(spark, d, sites, "topic_log", lambda path: write_topic_log(topic_log(spark, d, sites), path))
+
+
+def stored_documents(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:
+    """The stand-in documents, stored once as a document changelog (one version each)."""
+    from fieldlink.sources.documents import upsert
+
+    def write(path: str) -> None:
+        upsert(path, documents(spark, d, sites).withColumn("seq", F.lit(0).cast("bigint"))
+               .withColumn("rev", F.lit(0)), producer="standin")
+
+    return _stored(spark, d, sites, "documents", write)

@@ -71,17 +71,25 @@ def _consume(spark, d, topic):
     return topics.consume(raw, topic, TOPIC_SCHEMAS[topic])
 
 
+def _documents(spark, d, ids=None):
+    """The document table (stored stand-in changelog), newest version per id; with
+    ``ids``, only those documents are aggregated."""
+    return docs.read_current(spark, fix.stored_documents(spark, d, SITES), ids=ids)
+
+
 def _normalized_feed(spark, d):
     return hq.normalize_feed(feedsrc.explode_items(fix.feed_files(spark, d)))
 
 
 def _download_outcomes(spark, d):
-    return hq.image_download(_consume(spark, d, TOPIC_IMAGEFEED), fix.documents(spark, d, SITES),
-                             fix.listing(spark, d, "images", SITES), fix.store_results(spark, d), SITES)
+    msgs = _consume(spark, d, TOPIC_IMAGEFEED)
+    return hq.image_download(msgs, _documents(spark, d, msgs), fix.listing(spark, d, "images", SITES),
+                             fix.store_results(spark, d), SITES)
 
 
 def _responses(spark, d):
-    return hq.asset_response(_consume(spark, d, TOPIC_ASSET_REQUEST), fix.documents(spark, d, SITES), SITES)
+    msgs = _consume(spark, d, TOPIC_ASSET_REQUEST)
+    return hq.asset_response(msgs, _documents(spark, d, msgs), SITES)
 
 
 def _lifecycle(spark, d):
@@ -142,7 +150,7 @@ def document_upsert(spark, d):
 
 def document_lookup(spark, d):
     """A5: stored documents whose id appears in an IMAGEFEED message."""
-    found = docs.lookup(fix.documents(spark, d, SITES), _consume(spark, d, TOPIC_IMAGEFEED))
+    found = docs.lookup(_documents(spark, d), _consume(spark, d, TOPIC_IMAGEFEED))
     return found.select(F.col("_id").alias("assetID"), F.get(F.col("data"), 0)["title"].alias("title"))
 
 
