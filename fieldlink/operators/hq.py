@@ -141,9 +141,15 @@ def download_deadletter(outcomes: DataFrame) -> DataFrame:
 
 
 def download_document_updates(outcomes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Whole documents with ``imageDownloadLocation`` set, for successful downloads."""
-    ok = outcomes.filter(F.col("outcome") == STATUS_SUCCESS).select(
-        F.col("assetID").alias("_id"), "location", "seq")
+    """Whole documents with ``imageDownloadLocation`` set, for successful downloads.
+
+    One update per document: many successful messages for one asset fold into
+    the newest (combined map-side), so a popular asset does not write a
+    version per message.
+    """
+    ok = (outcomes.filter(F.col("outcome") == STATUS_SUCCESS)
+          .groupBy(F.col("assetID").alias("_id"))
+          .agg(F.max_by("location", "seq").alias("location"), F.max("seq").alias("seq")))
     return (documents.drop("seq", "rev").join(ok, "_id")
             .withColumn("imageDownloadLocation", F.col("location"))
             .withColumn("rev", F.lit(1))

@@ -88,9 +88,12 @@ def copy_files(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
     Idempotent: running it again rewrites the same files.
     """
     m = manifest.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    # De-duplicate first (combined map-side, so a popular asset's many copy
+    # requests shrink to one row per task before any shuffle), then group the
+    # distinct copies by destination so two copies to one path never race.
+    m = m.dropDuplicates(["dst", "src"])
     m = m.repartition(partitions, "dst") if partitions else m.repartition("dst")
-    # Clustered by dst already, so the de-duplication adds no second shuffle.
-    return m.dropDuplicates(["dst", "src"]).mapInPandas(_copy_batches, COPY_RESULT_SCHEMA)
+    return m.mapInPandas(_copy_batches, COPY_RESULT_SCHEMA)
 
 
 def mirror_diff(src: DataFrame, src_root: str, dst: DataFrame, dst_root: str,
@@ -136,7 +139,7 @@ def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def delete_files(paths: DataFrame, path_col: str = "dst") -> DataFrame:
     """Delete each distinct path; returns ``src (null), dst, ok, error``."""
     p = paths.select(F.col(path_col).alias("dst")).filter(F.col("dst").isNotNull())
-    return p.repartition("dst").dropDuplicates(["dst"]).mapInPandas(_delete_batches, COPY_RESULT_SCHEMA)
+    return p.dropDuplicates(["dst"]).mapInPandas(_delete_batches, COPY_RESULT_SCHEMA)
 
 
 def mirror_apply(plan: DataFrame, dst_root: str, src_root: str, delete: bool = True) -> DataFrame:
@@ -175,8 +178,9 @@ def read_files(wanted: DataFrame, path_col: str = "path") -> DataFrame:
     """Bytes of the wanted files (A7): ``path, content, error``; absent files give null content.
 
     Only the wanted files are opened (a ``binaryFile`` scan of the whole
-    volume would read every file's bytes); the work is spread by path.
+    volume would read every file's bytes); the distinct paths are spread by
+    the de-duplication's hash partitioning.
     """
     paths = wanted.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull())
-    return (paths.repartition("path").dropDuplicates(["path"])
+    return (paths.dropDuplicates(["path"])  # combined map-side: hot paths shrink before the shuffle
             .mapInPandas(_read_batches_fn, "path string, content binary, error string"))
