@@ -37,7 +37,7 @@ from fieldlink.config import (
     Sites,
 )
 from fieldlink.operators import edge, hq
-from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, FEED_FILE, IMAGEFEED_MSG, STORE_RESULT
+from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, IMAGEFEED_MSG, STORE_RESULT
 from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
@@ -121,10 +121,12 @@ def _read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def start_feed_service(spark: SparkSession, layout: Layout, feed_dir: str, trigger: dict | None = None):
     """IMAGE Feed: new feed files -> documents (first) -> IMAGEFEED messages."""
-    src = spark.readStream.schema(FEED_FILE).option("multiLine", "true").json(feed_dir)
-    items = hq.normalize_feed(feedsrc.explode_items(src))
+    src = feedsrc.read_feed_files(spark, feed_dir, streaming=True)
 
-    def batch(df: DataFrame, batch_id: int) -> None:
+    def batch(files: DataFrame, batch_id: int) -> None:
+        files = files.persist()
+        _write_batch(feedsrc.bad_feed_files(files), f"{layout.deadletter}/feed_files", batch_id)
+        df = hq.normalize_feed(feedsrc.explode_items(files))
         df = (df.withColumn("seq", (F.lit(batch_id).cast("bigint") * F.lit(1 << _SEQ_SHIFT))
                             + F.monotonically_increasing_id())
               .withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
@@ -142,8 +144,9 @@ def start_feed_service(spark: SparkSession, layout: Layout, feed_dir: str, trigg
         _write_batch(df.filter(F.col("reason").isNotNull()).select(
             "seq", F.lit("feed").alias("stage"), "reason"), f"{layout.deadletter}/feed", batch_id)
         df.unpersist()
+        files.unpersist()
 
-    return _start(items, "image_feed", layout, spark, batch, trigger)
+    return _start(src, "image_feed", layout, spark, batch, trigger)
 
 
 def start_download_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):

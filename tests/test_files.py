@@ -178,3 +178,15 @@ def test_file_present_ignores_scheme(spark):
     listing = spark.createDataFrame([("file:/v/a.jpg",), ("hdfs://nn:8020/v/b.jpg",)], "path string")
     got = {r.p: r.present for r in volumes.file_present(wanted, listing, "p").collect()}
     assert got == {"hdfs://nn:8020/v/a.jpg": True, "/v/b.jpg": True}
+
+
+def test_malformed_feed_file_goes_to_dead_letter(spark, tmp_path):
+    good = {"collection": {"items": [{"data": [{"title": "Moon", "description": "m", "item_id": "1"}],
+                                      "links": [{"href": "http://img/a/moon.jpg"}]}]}}
+    write(str(tmp_path / "feed/good.json"), json.dumps(good).encode())
+    write(str(tmp_path / "feed/bad.json"), b'{"collection": {"items": [ {"data": ')
+    files = feedsrc.read_feed_files(spark, str(tmp_path / "feed"))
+    items = feedsrc.explode_items(files).collect()
+    assert [i.item.data[0].title for i in items] == ["Moon"]
+    bad = feedsrc.bad_feed_files(files).collect()
+    assert [(os.path.basename(b.file), b.reason, b.parsed) for b in bad] == [("bad.json", "malformed_json", False)]
