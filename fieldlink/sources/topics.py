@@ -75,6 +75,48 @@ def _day_col(base: str, spark: SparkSession) -> list:
     return []
 
 
+KAFKA_MISSING = ("the Kafka connector (spark-sql-kafka) is not on the classpath; "
+                 "use the folder topics or add the connector package")
+
+
+def read_topic_kafka(spark: SparkSession, servers: str, topic: str, origin: str,
+                     streaming: bool = True, options: dict | None = None) -> DataFrame:
+    """A Kafka topic as topic-log rows: ``seq`` = offset, ``ts`` = broker time.
+
+    Offsets are ordered per Kafka partition; ``origin`` names the site whose
+    cluster this is. Needs the Kafka connector on the classpath.
+    """
+    r = spark.readStream if streaming else spark.read
+    r = r.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    r = r.option("startingOffsets", "earliest")
+    for k, v in (options or {}).items():
+        r = r.option(k, v)
+    try:
+        raw = r.load()
+    except Exception as e:  # the connector is an optional package
+        if "kafka" in str(e).lower() and ("find data source" in str(e).lower() or "DATA_SOURCE_NOT_FOUND" in str(e)):
+            raise RuntimeError(KAFKA_MISSING) from e
+        raise
+    return raw.select(
+        F.col("offset").alias("seq"), F.col("timestamp").cast("timestamp_ntz").alias("ts"),
+        F.lit(origin).alias("origin"), F.col("topic"), F.col("key").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"))
+
+
+def write_topic_kafka(rows: DataFrame, servers: str, topic: str, checkpoint: str,
+                      trigger: dict | None = None):
+    """Produce topic-log rows to Kafka (``key``, ``value`` as UTF-8)."""
+    out = rows.select(F.col("key"), F.col("value"))
+    w = (out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
+    try:
+        return w.start()
+    except Exception as e:
+        if "kafka" in str(e).lower() and ("find data source" in str(e).lower() or "DATA_SOURCE_NOT_FOUND" in str(e)):
+            raise RuntimeError(KAFKA_MISSING) from e
+        raise
+
+
 def subscribe(log: DataFrame, topic: str) -> DataFrame:
     """One topic; on a partitioned log this is partition pruning."""
     return log.filter(F.col("topic") == F.lit(topic))

@@ -190,3 +190,10 @@ def test_malformed_feed_file_goes_to_dead_letter(spark, tmp_path):
     assert [i.item.data[0].title for i in items] == ["Moon"]
     bad = feedsrc.bad_feed_files(files).collect()
     assert [(os.path.basename(b.file), b.reason, b.parsed) for b in bad] == [("bad.json", "malformed_json", False)]
+
+
+def test_kafka_topics_are_gated(spark):
+    import pytest
+
+    with pytest.raises(RuntimeError, match="Kafka connector"):
+        topics.read_topic_kafka(spark, "localhost:1", "IMAGEFEED", "HQ")
