@@ -206,6 +206,8 @@ def start_response_service(spark: SparkSession, layout: Layout, trigger: dict |
         _write_batch(manifest.join(copied.select("src", "dst", "ok", "error"), ["src", "dst"], "left"),
                      f"{layout.copies}/response", batch_id)
         _write_batch(hq.response_deadletter(responses), f"{layout.deadletter}/response", batch_id)
+        _write_batch(responses.filter(F.col("reason").isNull())
+                     .select("seq", "ts", "assetID", "msg_title", "reason"), f"{layout.base}/responses", batch_id)
         responses.unpersist()
 
     return _start(src, "asset_response", layout, spark, batch, trigger)
@@ -442,6 +444,33 @@ def current_mirror_lag(spark: SparkSession, layout: Layout) -> DataFrame:
             .select("replica", "_l.lag_s", "_l.lag_text"))
 
 
+def site_tiles(spark: SparkSession, hq_layout: Layout, edge_layout: Layout) -> DataFrame:
+    """The activity tiles of the running sites (B6), from what the services wrote.
+
+    Feed, download and broadcast tiles come from their topics, response tiles
+    from the response service's request log, viewer tiles from the edge
+    asset table. Feed this to :func:`fieldlink.operators.activity.newest` or
+    :func:`~fieldlink.operators.activity.visible`.
+    """
+    from fieldlink.functions.paths import asset_path
+    from fieldlink.operators import activity
+
+    s = hq_layout.sites
+    ensure_dirs(spark, f"{hq_layout.base}/responses")
+    feed = topics.consume(topics.read_topic(spark, hq_layout.topics, TOPIC_IMAGEFEED), TOPIC_IMAGEFEED, IMAGEFEED_MSG)
+    dl = topics.consume(topics.read_topic(spark, hq_layout.topics, TOPIC_IMAGE_DOWNLOAD), TOPIC_IMAGE_DOWNLOAD,
+                        ASSET_MSG).withColumn("location", asset_path(s.download_dir, F.col("assetID"),
+                                                                     F.col("filename"), s.layout))
+    bc = topics.consume(topics.read_topic(spark, hq_layout.topics, TOPIC_ASSET_BROADCAST), TOPIC_ASSET_BROADCAST,
+                        ASSET_MSG)
+    resp = spark.read.option("recursiveFileLookup", "true").schema(
+        "seq long, ts timestamp_ntz, assetID string, msg_title string, reason string").parquet(
+        f"{hq_layout.base}/responses")
+    return activity.all_tiles(
+        activity.feed_tiles(feed), activity.download_tiles(dl), activity.broadcast_tiles(bc),
+        activity.response_tiles(resp), activity.viewer_tiles(edge.viewer(asset_table(spark, edge_layout))))
+
+
 HQ_PERIOD = {"processingTime": "2 seconds"}
 EDGE_PERIOD = {"processingTime": "3 seconds"}
 

@@ -100,6 +100,18 @@ def test_round_trip(spark, env):
     table = {r.assetID: r.status for r in svc.asset_table(spark, edL).collect()}
     assert table == {ids["Moon"]: "received", ids["Mars"]: "!"}
 
+    from fieldlink.operators import activity
+    tiles = svc.site_tiles(spark, hqL, edL)
+    by_service = {}
+    for r in tiles.collect():
+        by_service.setdefault(r.service, []).append(r)
+    assert {k: len(v) for k, v in by_service.items()} == {
+        "IMAGE Feed Service": 3, "Image Download Service": 2, "Asset Broadcast Service": 2,
+        "Asset Response Service": 1, "Asset Viewer Service": 1}
+    assert by_service["Asset Viewer Service"][0].image_url == f"{sites.edge_files}/{ids['Moon']}/moon.jpg"
+    newest = activity.newest(tiles, 3).collect()
+    assert len(newest) == 3 and newest[0].seq >= newest[-1].seq
+
     # restart: a new feed file is the only thing processed
     feed_file(str(tmp / "feed/f2.json"), [("9", "Io", "http://img/e/io.jpg")])
     run(svc.start_feed_service(spark, hqL, str(tmp / "feed")))
