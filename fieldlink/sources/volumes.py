@@ -1,8 +1,8 @@
 """Volumes: listing, usage, file copies and mirror sync planning.
 
-Listings come from the ``binaryFile`` source with ``content`` pruned, so only
-metadata is read. Spark's file index does not return zero-length files; such
-files are absent from every listing here (and therefore never mirrored).
+Listings are walked by executors below the volume's top level (zero-length
+files included); the ``binaryFile`` source (``content`` pruned) is an option,
+but it leaves zero-length files out.
 Copies run in executors through ``mapInPandas`` with ``pyarrow.fs``, which
 speaks to local, HDFS and object-store paths alike; the manifest is
 repartitioned by destination so two copies to one path never race.
@@ -21,10 +21,59 @@ from fieldlink.functions.paths import relative_to
 COPY_RESULT_SCHEMA = "src string, dst string, ok boolean, error string"
 
 
-def list_volume(spark: SparkSession, path: str) -> DataFrame:
-    """Recursive listing: ``path, modificationTime, length``."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select("path", "modificationTime", "length"))
+LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint"
+
+
+def _fs_and_path(p: str):
+    from pyarrow import fs as pafs
+
+    if "://" not in p:
+        p = "file://" + (p[len("file:"):] if p.startswith("file:") else p)
+    return pafs.FileSystem.from_uri(p)
+
+
+def _list_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        rows = []
+        for d in pdf["dir"]:
+            f, root = _fs_and_path(d)
+            prefix = "file:" if "://" not in d else d.split("://", 1)[0] + "://" + d.split("://", 1)[1].split("/", 1)[0]
+            for info in f.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
+                if info.type == pafs.FileType.File and not info.base_name.startswith(("_", ".")):
+                    rows.append((prefix + info.path, info.mtime, info.size))
+        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length"])
+
+
+def list_volume(spark: SparkSession, path: str, method: str = "tree") -> DataFrame:
+    """Recursive listing: ``path, modificationTime, length`` (paths as ``scheme:/...``).
+
+    ``tree`` (default): the driver reads only the volume's top level; the
+    sub-trees are walked by executors (``mapInPandas`` with ``pyarrow.fs``).
+    Zero-length files are included. ``pyarrow.fs`` must reach the store
+    (local, S3, GCS; HDFS through libhdfs). ``binaryFile``: Spark's file
+    source with ``content`` pruned, which reaches any Hadoop store but holds
+    every file status on the driver and leaves zero-length files out.
+    """
+    if method == "binaryFile":
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                .select("path", "modificationTime", "length"))
+    from pyarrow import fs as pafs
+
+    f, root = _fs_and_path(path)
+    prefix = "file:" if "://" not in path else path.split("://", 1)[0] + "://" + path.split("://", 1)[1].split("/", 1)[0]
+    top = f.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True))
+    files = [(prefix + i.path, i.mtime, i.size) for i in top
+             if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
+    dirs = [(prefix + i.path,) for i in top
+            if i.type == pafs.FileType.Directory and not i.base_name.startswith(("_", "."))]
+    here = spark.createDataFrame(files, LISTING_SCHEMA)
+    if not dirs:
+        return here
+    n = max(1, min(len(dirs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    nested = spark.createDataFrame(dirs, "dir string").repartition(n).mapInPandas(_list_trees, LISTING_SCHEMA)
+    return here.unionByName(nested)
 
 
 def volume_usage(listings: dict[str, DataFrame]) -> DataFrame:
@@ -66,8 +115,8 @@ def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         oks, errs = [], []
         for src, dst in zip(pdf["src"], pdf["dst"]):
             try:
-                sfs, spath = pafs.FileSystem.from_uri(src if "://" in src else "file://" + src)
-                dfs, dpath = pafs.FileSystem.from_uri(dst if "://" in dst else "file://" + dst)
+                sfs, spath = _fs_and_path(src)
+                dfs, dpath = _fs_and_path(dst)
                 info = sfs.get_file_info(spath)
                 if info.type != pafs.FileType.File:
                     raise FileNotFoundError(src)
@@ -125,7 +174,7 @@ def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         oks, errs = [], []
         for p in pdf["dst"]:
             try:
-                f, fp = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p)
+                f, fp = _fs_and_path(p)
                 if f.get_file_info(fp).type == pafs.FileType.File:
                     f.delete_file(fp)
                 oks.append(True)  # already gone counts as done: deletes are idempotent
@@ -147,7 +196,7 @@ def mirror_apply(plan: DataFrame, dst_root: str, src_root: str, delete: bool = T
     delete files that are gone from the source. Returns one row per action."""
     root = dst_root.rstrip("/")
     todo = plan.filter(F.col("action").isin("copy", "refresh")).select(
-        F.regexp_replace("src_path", "^file:", "").alias("src"),
+        F.col("src_path").alias("src"),
         F.concat_ws("/", F.lit(root), F.col("rel_path")).alias("dst"))
     done = copy_files(todo)
     if delete:
@@ -158,13 +207,11 @@ def mirror_apply(plan: DataFrame, dst_root: str, src_root: str, delete: bool = T
 
 
 def _read_batches_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs as pafs
-
     for pdf in batches:
         contents, errs = [], []
         for p in pdf["path"]:
             try:
-                f, fp = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p)
+                f, fp = _fs_and_path(p)
                 with f.open_input_stream(fp) as s:
                     contents.append(s.read())
                 errs.append(None)

@@ -23,10 +23,13 @@ def test_listing_usage_and_zero_length(spark, tmp_path):
     write(f"{root}/a/b/y.jpg", b"12")
     write(f"{root}/empty.jpg", b"")
     lst = volumes.list_volume(spark, root)
-    names = sorted(os.path.basename(r.path) for r in lst.collect())
-    assert names == ["x.jpg", "y.jpg"]  # zero-length files are not listed (documented)
+    got = sorted((r.path, r.length) for r in lst.collect())
+    assert got == [(f"file:{root}/a/b/y.jpg", 2), (f"file:{root}/a/x.jpg", 5), (f"file:{root}/empty.jpg", 0)]
+    assert all(r.modificationTime is not None for r in lst.collect())
     u = volumes.volume_usage({"v": lst}).first()
-    assert (u.volume, u.n_files, u.bytes) == ("v", 2, 7)
+    assert (u.volume, u.n_files, u.bytes) == ("v", 3, 7)
+    via_source = sorted(os.path.basename(r.path) for r in volumes.list_volume(spark, root, "binaryFile").collect())
+    assert via_source == ["x.jpg", "y.jpg"]  # Spark's file source leaves zero-length files out
 
 
 def test_copy_files_overwrites_and_reports(spark, tmp_path):
@@ -52,11 +55,12 @@ def test_mirror_diff_and_apply(spark, tmp_path):
     write(f"{d}/3/c.jpg", b"c")
     os.utime(f"{d}/3/c.jpg", (os.path.getmtime(f"{s}/3/c.jpg") + 10,) * 2)
     write(f"{d}/4/gone.jpg", b"g")         # delete
+    write(f"{s}/5/empty.jpg", b"")         # copy (a zero-length file is a file too)
     plan = volumes.mirror_diff(volumes.list_volume(spark, s), s, volumes.list_volume(spark, d), d)
     got = {r.rel_path: r.action for r in plan.collect()}
-    assert got == {"1/a.jpg": "copy", "2/b.jpg": "refresh", "4/gone.jpg": "delete"}
+    assert got == {"1/a.jpg": "copy", "2/b.jpg": "refresh", "4/gone.jpg": "delete", "5/empty.jpg": "copy"}
     res = volumes.mirror_apply(plan, d, s).collect()
-    assert all(r.ok for r in res) and len(res) == 3
+    assert all(r.ok for r in res) and len(res) == 4
     again = volumes.mirror_diff(volumes.list_volume(spark, s), s, volumes.list_volume(spark, d), d)
     assert again.count() == 0  # mirror now equals the source
     assert not os.path.exists(f"{d}/4/gone.jpg")
