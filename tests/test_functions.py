@@ -85,3 +85,15 @@ def test_topic_address_and_utf8(spark):
 def test_relative_to(spark, root, path, rel):
     df = spark.createDataFrame([(path,)], "p string")
     assert df.select(fx.relative_to("p", root).alias("r")).first().r == rel
+
+
+def test_shorten_on_real_titles_and_urls(spark):
+    from fieldlink.plans import fixtures as fix
+
+    p = fix.page_info(spark, "/root/testdata/sf0.01")
+    rows = p.select("title", "url", fx.shorten("title", 32).alias("t32"),
+                    fx.shorten("url", 64).alias("u64")).collect()
+    assert rows
+    for r in rows:
+        assert r.t32 == textwrap.shorten(r.title, 32)
+        assert r.u64 == textwrap.shorten(r.url, 64)
