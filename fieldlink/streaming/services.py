@@ -363,48 +363,51 @@ def documents_now(spark: SparkSession, layout: Layout) -> DataFrame:
     return docs.read_current(spark, layout.documents)
 
 
-def _changes_with_state(key, batches, state):
-    """Per replica: emit observations whose state differs from the last one kept in state.
-
-    Rows of one micro-batch are ordered by ``seq``; a row older than the last
-    one seen is late and is skipped, since the order it should have taken is gone.
-    """
-    import pandas as pd
-
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    last_seq, last_state = (state.get if state.exists else (None, None))
-    out = []
-    for seq, st in zip(pdf["seq"].tolist(), pdf["state"].tolist()):
-        if last_seq is not None and seq <= last_seq:
-            continue
-        if st != last_state:
-            out.append((key[0], seq, st, last_state))
-        last_seq, last_state = seq, st
-    state.update((last_seq, last_state))
-    yield pd.DataFrame(out, columns=["replica", "seq", "state", "prev_state"])
-
-
 def start_replica_monitor(spark: SparkSession, layout: Layout, trigger: dict | None = None):
-    """Upstream Comm (E3 streaming): replica state changes, kept per replica in state.
-
-    ``applyInPandasWithState`` holds one row per replica (last seq and state);
-    changes go through the file sink to ``<base>/replica_changes``.
+    """Upstream Comm (E3 streaming): replica state changes across micro-batches.
+
+    Each micro-batch is seeded with the last known (seq, state) of every
+    replica from earlier batches, then runs the same skew-safe
+    :func:`~fieldlink.plans.ordering.with_previous` as the batch query: a hot
+    replica is spread over range partitions instead of one task (a first run
+    can hold the whole backlog in one micro-batch). Rows older than the
+    replica's last seen seq are late and skipped. Changes go to
+    ``<base>/replica_changes``, the last states to ``<base>/replica_last``;
+    both are written per batch id, so a retried batch rewrites the same files
+    and reads only earlier batches' state.
     """
     from fieldlink.config import TOPIC_REPLICA_INFO
     from fieldlink.operators import monitor
+    from fieldlink.plans.ordering import with_previous
     from fieldlink.schemas import REPLICA_INFO_MSG
 
-    ensure_dirs(spark, f"{layout.topics}/{TOPIC_REPLICA_INFO}")
+    last_path = f"{layout.base}/replica_last"
+    ensure_dirs(spark, f"{layout.topics}/{TOPIC_REPLICA_INFO}", last_path)
     src = topics.consume(topics.read_topic(spark, layout.topics, TOPIC_REPLICA_INFO, streaming=True),
                          TOPIC_REPLICA_INFO, REPLICA_INFO_MSG)
     obs = monitor.replica_observations(src, layout.sites).select("replica", "seq", "state")
-    changes = obs.groupBy("replica").applyInPandasWithState(
-        _changes_with_state, "replica string, seq long, state string, prev_state string",
-        "last_seq long, last_state string", "append", "NoTimeout")
-    return (changes.writeStream.format("parquet").queryName("replica_monitor")
-            .option("checkpointLocation", layout.checkpoint(spark, "replica_monitor"))
-            .trigger(**(trigger or {"availableNow": True})).outputMode("append")
-            .start(f"{layout.base}/replica_changes"))
+    last_schema = "replica string, seq long, state string, batch long"
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        earlier = (spark.read.schema(last_schema).option("recursiveFileLookup", "true").parquet(last_path)
+                   .filter(F.col("batch") < batch_id))
+        last = _latest_by_batch(earlier, "replica").select("replica", F.col("seq").alias("_last_seq"),
+                                                           F.col("state").alias("_last_state"))
+        new = (df.join(last, "replica", "left")
+               .filter(F.col("_last_seq").isNull() | (F.col("seq") > F.col("_last_seq")))
+               .select("replica", "seq", "state", F.lit(False).alias("_seed")))
+        seeds = last.select("replica", F.col("_last_seq").alias("seq"), F.col("_last_state").alias("state"),
+                            F.lit(True).alias("_seed"))
+        prev = with_previous(new.unionByName(seeds), "replica", "seq", "state", out="prev_state")
+        changes = prev.filter(~F.col("_seed") & (F.col("prev_state").isNull() |
+                                                  (F.col("prev_state") != F.col("state"))))
+        _write_batch(changes.select("replica", "seq", "state", "prev_state"), f"{layout.base}/replica_changes",
+                     batch_id)
+        newest = (new.groupBy("replica").agg(F.max_by(F.struct("seq", "state"), "seq").alias("_n"))
+                  .select("replica", "_n.seq", "_n.state", F.lit(batch_id).cast("bigint").alias("batch")))
+        _write_batch(newest, last_path, batch_id)
+
+    return _start(obs, "replica_monitor", layout, spark, batch, trigger)
 
 
 def start_audit_listener(spark: SparkSession, layout: Layout, trigger: dict | None = None):

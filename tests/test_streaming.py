@@ -218,7 +218,8 @@ def test_replica_monitor_stream_equals_batch(spark, env):
     run(svc.start_replica_monitor(spark, hqL))
     topics.write_topic(log.filter("seq >= 500"), hqL.topics, "REPLICA_INFO", 1)
     run(svc.start_replica_monitor(spark, hqL))
-    streamed = sorted(tuple(r) for r in spark.read.parquet(f"{hqL.base}/replica_changes")
+    streamed = sorted(tuple(r) for r in spark.read.option("recursiveFileLookup", "true")
+                      .parquet(f"{hqL.base}/replica_changes")
                       .select("replica", "seq", "state", "prev_state").collect())
     obs = monitor.replica_observations(topics.consume(log, "REPLICA_INFO", REPLICA_INFO_MSG), sites)
     batch = sorted(tuple(r) for r in monitor.replica_state_changes(obs)
