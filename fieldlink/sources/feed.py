@@ -27,10 +27,11 @@ def read_feed_files(spark: SparkSession, path: str, streaming: bool = False) ->
 
 
 def explode_items(feed: DataFrame) -> DataFrame:
-    """One row per item of ``collection.items`` (``item`` column) of well-formed files."""
+    """One row per item of ``collection.items`` (``item``, and ``item_pos`` within
+    its file) of well-formed files."""
     cols = [F.col(c) for c in ("file",) if c in feed.columns]
     ok = feed.filter(F.col(CORRUPT).isNull()) if CORRUPT in feed.columns else feed
-    return ok.select(*cols, F.explode(F.col("collection.items")).alias("item"))
+    return ok.select(*cols, F.posexplode(F.col("collection.items")).alias("item_pos", "item"))
 
 
 def bad_feed_files(feed: DataFrame) -> DataFrame:

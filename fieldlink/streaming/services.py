@@ -13,7 +13,7 @@ micro-batch leaves the same files. The two kinds never share a folder.
 root defaults to ``spark.checkpoint.dir``.
 
 ``seq`` is one logical clock per deployment: new feed items get
-``batch_id << 40 | row id`` (up to 128 partitions per micro-batch), derived
+``batch_id << 32 | position`` (position in the micro-batch by file and item), derived
 messages keep the seq of the message that caused them, and the edge stamps
 clicks and publications from the same clock, so that "click after broadcast"
 and "published after click" can be compared across topics.
@@ -45,7 +45,7 @@ from fieldlink.sources import topics, volumes
 
 ASSET_FIELDS = ["title", "description", "filename", "assetID", "status"]
 FEED_FIELDS = ["title", "description", "tablename", "assetID", "messageCreatorID"]
-_SEQ_SHIFT = 40  # seq of a new feed item = batch_id << 40 | row id within the batch
+_SEQ_SHIFT = 32  # seq of a new feed item = batch_id << 32 | its 1-based position in the batch
 
 
 @dataclass(frozen=True)
@@ -126,9 +126,11 @@ def start_feed_service(spark: SparkSession, layout: Layout, feed_dir: str, trigg
     def batch(files: DataFrame, batch_id: int) -> None:
         files = files.persist()
         _write_batch(feedsrc.bad_feed_files(files), f"{layout.deadletter}/feed_files", batch_id)
-        df = hq.normalize_feed(feedsrc.explode_items(files))
-        df = (df.withColumn("seq", (F.lit(batch_id).cast("bigint") * F.lit(1 << _SEQ_SHIFT))
-                            + F.monotonically_increasing_id())
+        from fieldlink.plans.ordering import with_position
+
+        # Consecutive, retry-stable numbering: items ordered by (file, position in file).
+        df = with_position(hq.normalize_feed(feedsrc.explode_items(files)), [F.col("file"), F.col("item_pos")])
+        df = (df.withColumn("seq", F.lit(batch_id).cast("bigint") * F.lit(1 << _SEQ_SHIFT) + F.col("pos"))
               .withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
               .persist())
         valid = df.filter(F.col("reason").isNull())
