@@ -244,7 +244,7 @@ def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITE
         F.col("length").cast("bigint").alias("length"))
 
 
-STANDIN_VERSION = "3"
+STANDIN_VERSION = "4"
 
 
 def _stored(spark: SparkSession, d: str, sites: Sites, name: str, write) -> str:
@@ -295,3 +295,12 @@ def stored_documents(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES)
                .withColumn("rev", F.lit(0)), producer="standin")
 
     return _stored(spark, d, sites, "documents", write)
+
+
+def stored_listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITES) -> DataFrame:
+    """A stand-in volume listing, stored once like the other stand-ins."""
+    from fieldlink.schemas import LISTING
+
+    path = _stored(spark, d, sites, f"listing_{which}",
+                   lambda p: listing(spark, d, which, sites).write.parquet(p))
+    return spark.read.schema(LISTING).parquet(path)

@@ -83,7 +83,7 @@ def _normalized_feed(spark, d):
 
 def _download_outcomes(spark, d):
     msgs = _consume(spark, d, TOPIC_IMAGEFEED)
-    return hq.image_download(msgs, _documents(spark, d, msgs), fix.listing(spark, d, "images", SITES),
+    return hq.image_download(msgs, _documents(spark, d, msgs), fix.stored_listing(spark, d, "images", SITES),
                              fix.store_results(spark, d), SITES)
 
 
@@ -94,7 +94,7 @@ def _responses(spark, d):
 
 def _lifecycle(spark, d):
     return edge.asset_lifecycle(_consume(spark, d, TOPIC_ASSET_BROADCAST), fix.clicks(spark, d),
-                                fix.request_publications(spark, d), fix.listing(spark, d, "mirror", SITES),
+                                fix.request_publications(spark, d), fix.stored_listing(spark, d, "mirror", SITES),
                                 SITES)
 
 
@@ -264,15 +264,15 @@ def service_counters(spark, d):
 
 def mirror_diff(spark, d):
     """Mirror plan between the HQ files listing and the edge mirror listing."""
-    plan = _mirror_diff(fix.listing(spark, d, "hq_files", SITES), SITES.hq_files,
-                        fix.listing(spark, d, "mirror", SITES), SITES.edge_files)
+    plan = _mirror_diff(fix.stored_listing(spark, d, "hq_files", SITES), SITES.hq_files,
+                        fix.stored_listing(spark, d, "mirror", SITES), SITES.edge_files)
     return plan.select("rel_path", "action")
 
 
 def volume_usage(spark, d):
     """Files and bytes per volume listing."""
-    return _volume_usage({SITES.hq_files: fix.listing(spark, d, "hq_files", SITES),
-                          SITES.edge_files: fix.listing(spark, d, "mirror", SITES)})
+    return _volume_usage({SITES.hq_files: fix.stored_listing(spark, d, "hq_files", SITES),
+                          SITES.edge_files: fix.stored_listing(spark, d, "mirror", SITES)})
 
 
 def topic_replicate(spark, d):
