@@ -259,24 +259,20 @@ def _stored(spark: SparkSession, d: str, sites: Sites, name: str, write) -> str:
     import uuid
 
     from fieldlink.session import ensure_checkpoint_dir
+    from fieldlink.sources import fs
 
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     stamp = [STANDIN_VERSION, name, d, sites.hq_root, sites.edge_root, sites.source_images, sites.layout]
     for t in ("events", "pages"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
-        st = p.getFileSystem(conf).getFileStatus(p)
-        stamp += [str(st.getLen()), str(st.getModificationTime())]
+        stamp += [str(x) for x in fs.file_size_and_mtime(f"{d}/{t}.parquet")]
     key = hashlib.sha256("|".join(stamp).encode()).hexdigest()[:16]
     root = f"{ensure_checkpoint_dir(spark)}/fieldlink-standins"
-    final = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}_{key}")
-    fs = final.getFileSystem(conf)
+    final = f"{root}/{name}_{key}"
     if not fs.exists(final):
         tmp = f"{root}/_tmp_{name}_{key}_{uuid.uuid4().hex}"
         write(tmp)
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final) and not fs.exists(final):
+        if not fs.rename(tmp, final) and not fs.exists(final):
             raise RuntimeError(f"could not publish stand-in {final}")
-    return final.toString()
+    return final
 
 
 def stored_topic_log(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:

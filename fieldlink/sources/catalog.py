@@ -9,27 +9,20 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from fieldlink.schemas import DOCUMENT_CHANGE, TOPIC_LOG
+from fieldlink.sources import fs
 
 
 def _ddl(schema) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def init_catalog(spark: SparkSession, layout, database: str = "fieldlink", topic_names: list[str] = ()) -> list[str]:
     """Create a site's folders and register its tables; returns what was created or found."""
     folders = [layout.topics, layout.replica, layout.documents, layout.deadletter, layout.asset_state,
                layout.clicks, layout.publications, layout.copies, layout.sites.hq_files,
                layout.sites.download_dir, layout.sites.edge_files]
     folders += [f"{layout.topics}/{t}" for t in topic_names]
-    for f in folders:
-        fs, p = _fs(spark, f)
-        fs.mkdirs(p)
+    fs.mkdirs(*folders)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.documents ({_ddl(DOCUMENT_CHANGE)}) "
               f"USING parquet LOCATION '{layout.documents}' OPTIONS (recursiveFileLookup 'true')")
@@ -45,6 +38,4 @@ def drop_catalog(spark: SparkSession, layouts: list, database: str = "fieldlink"
     spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
     for layout in layouts:
         for f in (layout.base, layout.sites.edge_files):
-            fs, p = _fs(spark, f)
-            if fs.exists(p):
-                fs.delete(p, True)
+            fs.delete_dir(f)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlink.schemas import DOCUMENT, DOCUMENT_CHANGE
+from fieldlink.sources import fs
 
 DOC_FIELDS = [f.name for f in DOCUMENT.fields]
 
@@ -43,11 +44,8 @@ def upsert(changelog_path: str, changes: DataFrame, batch_id: int | None = None,
 
 def read_changelog(spark: SparkSession, changelog_path: str) -> DataFrame:
     """All document versions; an empty table before the first write."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(changelog_path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        fs.mkdirs(p)
+    if not fs.exists(changelog_path):
+        fs.mkdirs(changelog_path)
     return (spark.read.schema(DOCUMENT_CHANGE).option("recursiveFileLookup", "true")
             .parquet(changelog_path))
 

@@ -62,16 +62,11 @@ def read_topic_log(spark: SparkSession, base: str, topic_names: list[str] | None
 
 def _day_col(base: str, spark: SparkSession) -> list:
     """``dt`` when the archive is partitioned by day (kept so filters on it prune folders)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("topic="):
-            for sub in fs.listStatus(st.getPath()):
-                if sub.isDirectory() and sub.getPath().getName().startswith("dt="):
-                    return [F.col("dt")]
-            return []
+    from fieldlink.sources import fs
+
+    for name, is_dir in fs.list_dir(base):
+        if is_dir and name.startswith("topic="):
+            return [F.col("dt")] if any(d and n.startswith("dt=") for n, d in fs.list_dir(f"{base}/{name}")) else []
     return []
 
 

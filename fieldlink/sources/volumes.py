@@ -25,11 +25,9 @@ LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint"
 
 
 def _fs_and_path(p: str):
-    from pyarrow import fs as pafs
+    from fieldlink.sources.fs import resolve
 
-    if "://" not in p:
-        p = "file://" + (p[len("file:"):] if p.startswith("file:") else p)
-    return pafs.FileSystem.from_uri(p)
+    return resolve(p)
 
 
 def _list_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

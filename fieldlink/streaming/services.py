@@ -41,7 +41,7 @@ from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, IMAGEFEED_MSG, STORE_RESU
 from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
-from fieldlink.sources import topics, volumes
+from fieldlink.sources import fs, topics, volumes
 
 ASSET_FIELDS = ["title", "description", "filename", "assetID", "status"]
 FEED_FIELDS = ["title", "description", "tablename", "assetID", "messageCreatorID"]
@@ -101,12 +101,8 @@ def _start(df: DataFrame, name: str, layout: Layout, spark: SparkSession, batch_
 
 
 def ensure_dirs(spark: SparkSession, *paths: str) -> None:
-    """Create folders (through the Hadoop file system, so any shared store works)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        jp = jvm.org.apache.hadoop.fs.Path(p)
-        jp.getFileSystem(conf).mkdirs(jp)
+    """Create folders on the shared store (``spark`` kept for call symmetry)."""
+    fs.mkdirs(*paths)
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -257,22 +253,18 @@ def compact_state(spark: SparkSession, path: str, key: str) -> None:
     alone: it may be in progress or be retried, while older batches are
     committed and never rerun. Safe to run beside the stream.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(path)
-    fs = base.getFileSystem(conf)
-    found = sorted(((int(st.getPath().getName().split("=", 1)[1]), st.getPath()) for st in fs.listStatus(base)
-                    if st.getPath().getName().startswith("batch=")), key=lambda t: t[0])
+    found = sorted((int(name.split("=", 1)[1]), f"{path}/{name}") for name, is_dir in fs.list_dir(path)
+                   if is_dir and name.startswith("batch="))
     olds = found[:-1]
     if len(olds) < 2:
         return
     last = olds[-1][0]
     snap = f"{path}/_compacting"
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(*[p.toString() for _, p in olds])
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(*[p for _, p in olds])
     _latest_by_batch(rows, key).withColumn("batch", F.lit(last).cast("bigint")).write.mode("overwrite").parquet(snap)
     for _, p in olds:  # readers skip "_" folders, so the snapshot is invisible until renamed
-        fs.delete(p, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(snap), jvm.org.apache.hadoop.fs.Path(f"{path}/batch={last}"))
+        fs.delete_dir(p)
+    fs.rename(snap, f"{path}/batch={last}")
 
 
 def asset_table(spark: SparkSession, layout: Layout) -> DataFrame:
