@@ -496,6 +496,20 @@ def start_edge(spark: SparkSession, layout: Layout, broadcast_topics: str,
     }
 
 
+def service_status(queries: dict) -> list[dict]:
+    """Per service: active flag, trigger, last batch id, rows in the last batch.
+
+    The reference shows each service's name, period, on/off switch and count;
+    here that comes from each streaming query's progress report.
+    """
+    out = []
+    for name, q in queries.items():
+        p = q.lastProgress or {}
+        out.append({"service": name, "active": q.isActive, "batch": p.get("batchId"),
+                    "rows_last_batch": p.get("numInputRows"), "status": q.status.get("message")})
+    return out
+
+
 def stop_all(queries: dict) -> None:
     """Stop services; a restart with the same layout resumes from the checkpoints."""
     for q in queries.values():

@@ -165,7 +165,10 @@ def test_site_runner_stop_and_resume(spark, env):
     qs = svc.start_hq(spark, hqL, str(tmp / "feed"), trig)
     for name in ("image_feed", "image_download", "asset_broadcast", "image_download", "asset_broadcast"):
         qs[name].processAllAvailable()
+    status = {s["service"]: s for s in svc.service_status(qs)}
+    assert all(s["active"] for s in status.values()) and status["image_feed"]["batch"] is not None
     svc.stop_all(qs)
+    assert not any(s["active"] for s in svc.service_status(qs))
     assert topic_rows(spark, hqL.topics, "ASSET_BROADCAST").count() == 1
     qs = svc.start_hq(spark, hqL, str(tmp / "feed"), trig)  # resume from checkpoints: nothing is redone
     for q in qs.values():
