@@ -42,3 +42,13 @@ def test_with_position_empty_partitions(spark):
     df = spark.createDataFrame([(i,) for i in range(3)], "seq long")
     got = sorted((r.seq, r.pos) for r in with_position(df, [F.col("seq")], partitions=9).collect())
     assert got == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_helpers_on_empty_and_single_partition(spark):
+    empty = spark.createDataFrame([], "key string, seq long, state string")
+    assert with_previous(empty, "key", "seq", "state").count() == 0
+    assert with_position(empty, [F.col("seq")]).count() == 0
+    one = spark.createDataFrame([("k", 2, "A"), ("k", 1, "B"), ("j", 5, "A")], "key string, seq long, state string")
+    got = sorted(tuple(r) for r in with_previous(one, "key", "seq", "state", out="prev", partitions=1)
+                 .select("key", "seq", "prev").collect())
+    assert got == [("j", 5, None), ("k", 1, None), ("k", 2, "B")]
