@@ -240,6 +240,7 @@ ORACLE_SQL: dict[str, str] = {
     "malformed_messages": _with(PG, MSG, LOG) + "SELECT seq, topic FROM lg WHERE bad",
     "path_and_text_functions": _with(PG) + (
         "SELECT page_id, split_part(url, '/', -1) AS last_segment, "
+        "regexp_extract(url, '([^/]*)$', 1) AS basename, "
         "regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS basename_normpath, "
         "substr(sha256(CAST(page_id AS VARCHAR) || ':' || url), 1, 12) AS asset_id, "
         "CAST(json_object('url', url) AS VARCHAR) AS json_text, url AS json_roundtrip, "

@@ -317,6 +317,7 @@ def path_and_text_functions(spark, d):
     return p.select(
         "page_id",
         fx.last_segment("url").alias("last_segment"),
+        fx.basename("url").alias("basename"),
         fx.basename_normpath("url").alias("basename_normpath"),
         fx.asset_id(F.col("page_id"), F.col("url")).alias("asset_id"),
         F.to_json(F.struct(F.col("url"))).alias("json_text"),
