@@ -2,9 +2,13 @@
 
 These functions only reshape ``pages`` and ``events`` into the record shapes
 the stages read (feed files, stored documents, the topic log, volume
-listings, click and publication logs, copy results). They do none of a
-stage's work: every join, lookup, routing, aggregation and state decision is
-done by ``fieldlink.operators`` on top of them.
+listings, click and publication logs, copy results). Their one join (events
+to pages) fills in a message's own fields (title, URL, file name), as its
+producer would have. They do none of a stage's work: the lookups, routing,
+aggregation and state decisions are done by ``fieldlink.operators`` on top of
+them. The topic log, the documents and the listings are written once per
+session under ``spark.checkpoint.dir`` (``stored_*``) and read back through
+the library's own sources.
 
 Mapping (one row of ``events`` is one message):
 
@@ -26,7 +30,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlink.functions.text import epoch_millis
-
 from fieldlink.config import (
     DEFAULT_SITES,
     HQ,
