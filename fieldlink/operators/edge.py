@@ -39,23 +39,35 @@ def broadcast_listener(broadcasts: DataFrame) -> DataFrame:
             .select("assetID", "_b.*", F.lit(STATUS_LISTED).alias("status")))
 
 
-def lifecycle_state(broadcasts: DataFrame, clicks: DataFrame, published: DataFrame) -> DataFrame:
-    """Per asset: first broadcast record, last click, last publication (E5 aggregate).
-
-    Works on batch and streaming input (update mode).
-    """
+def lifecycle_events(broadcasts: DataFrame, clicks: DataFrame, published: DataFrame) -> DataFrame:
+    """The three event kinds as one stream: ``assetID, kind, seq, rec``."""
     rt = rec_type(broadcasts)
     b = broadcasts.select("assetID", F.lit("b").alias("kind"), "seq",
                           F.struct("seq", "ts", "title", "description", "filename").alias("rec"))
     c = clicks.select("assetID", F.lit("c").alias("kind"), "seq", F.lit(None).cast(rt).alias("rec"))
     p = published.select("assetID", F.lit("p").alias("kind"), "seq", _seq_ts_rec(rt).alias("rec"))
-    ev = b.unionByName(c).unionByName(p)
-    return ev.groupBy("assetID").agg(
+    return b.unionByName(c).unionByName(p)
+
+
+def lifecycle_fold(events: DataFrame) -> DataFrame:
+    """Per asset: first broadcast record, last click, last publication (E5 aggregate)."""
+    return events.groupBy("assetID").agg(
         F.min(F.when(F.col("kind") == "b", F.col("rec"))).alias("_b"),
         F.max(F.when(F.col("kind") == "c", F.col("seq"))).alias("c_seq"),
         F.max(F.when(F.col("kind") == "p", F.col("rec"))).alias("_p"))
 
 
+def lifecycle_merge(states: DataFrame) -> DataFrame:
+    """Combine partial per-asset states (``min``/``max`` are associative)."""
+    return states.groupBy("assetID").agg(F.min("_b").alias("_b"), F.max("c_seq").alias("c_seq"),
+                                         F.max("_p").alias("_p"))
+
+
+def lifecycle_state(broadcasts: DataFrame, clicks: DataFrame, published: DataFrame) -> DataFrame:
+    """Per asset: first broadcast record, last click, last publication (E5 aggregate)."""
+    return lifecycle_fold(lifecycle_events(broadcasts, clicks, published))
+
+
 def lifecycle_status(state: DataFrame, mirror_listing: DataFrame, sites: Sites = DEFAULT_SITES) -> DataFrame:
     """Closed-form status of each broadcast asset, given the mirror listing (D3)."""
     st = state.filter(F.col("_b").isNotNull()).select(

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlink.config import (
     DEFAULT_SITES,
@@ -215,22 +216,36 @@ def start_response_service(spark: SparkSession, layout: Layout, trigger: dict |
 
 def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topics: str,
                             trigger: dict | None = None):
-    """Broadcast Listener + asset state: streaming aggregate in update mode.
-
-    Each micro-batch appends the changed per-asset aggregates; the current
-    state is the newest row per asset (:func:`current_asset_state`).
+    """Broadcast Listener + asset state, kept in an explicit state table.
+
+    Each micro-batch folds its broadcast, click and publication events per
+    asset (partial aggregation first), reads the earlier state of only the
+    touched assets (semi join), merges the two with the same ``min``/``max``,
+    and writes the merged rows as ``batch=<id>``. Readers take the newest row
+    per asset (:func:`current_asset_state`). No state is held inside Spark's
+    streaming state store, so :func:`compact_state` can also drop long-idle
+    assets (``keep``). A retried batch reads only earlier batches.
     """
-    ensure_dirs(spark, layout.clicks, layout.publications, f"{broadcast_topics}/{TOPIC_ASSET_BROADCAST}")
+    ensure_dirs(spark, layout.clicks, layout.publications, layout.asset_state,
+                f"{broadcast_topics}/{TOPIC_ASSET_BROADCAST}")
     b = topics.consume(topics.read_topic(spark, broadcast_topics, TOPIC_ASSET_BROADCAST, streaming=True),
                        TOPIC_ASSET_BROADCAST, ASSET_MSG)
     c = spark.readStream.schema(ASSET_ACTION).option("recursiveFileLookup", "true").parquet(layout.clicks)
     p = spark.readStream.schema(ASSET_ACTION).option("recursiveFileLookup", "true").parquet(layout.publications)
-    state = edge.lifecycle_state(b, c, p)
+    events = edge.lifecycle_events(b, c, p)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        _write_batch(df.withColumn("batch", F.lit(batch_id).cast("bigint")), layout.asset_state, batch_id)
+        delta = edge.lifecycle_fold(df).persist()
+        state_schema = T.StructType(delta.schema.fields + [T.StructField("batch", T.LongType(), True)])
+        earlier = (spark.read.schema(state_schema).option("recursiveFileLookup", "true")
+                   .parquet(layout.asset_state).filter(F.col("batch") < batch_id))
+        before = _latest_by_batch(earlier, "assetID").drop("batch").join(delta.select("assetID"), "assetID",
+                                                                          "left_semi")
+        merged = edge.lifecycle_merge(before.unionByName(delta))
+        _write_batch(merged.withColumn("batch", F.lit(batch_id).cast("bigint")), layout.asset_state, batch_id)
+        delta.unpersist()
 
-    return _start(state, "asset_lifecycle", layout, spark, batch, trigger, output_mode="update")
+    return _start(events, "asset_lifecycle", layout, spark, batch, trigger)
 
 
 def _latest_by_batch(rows: DataFrame, key: str) -> DataFrame:
@@ -244,14 +259,16 @@ def current_asset_state(spark: SparkSession, layout: Layout) -> DataFrame:
     return _latest_by_batch(rows, "assetID").drop("batch")
 
 
-def compact_state(spark: SparkSession, path: str, key: str) -> None:
+def compact_state(spark: SparkSession, path: str, key: str, keep=None) -> None:
     """Fold the older ``batch=<id>/`` folders of an update-mode output into one.
 
     Readers take the newest row per key, so replacing those folders by their
     newest rows (tagged with the newest folded batch id) changes nothing they
     see and bounds their cost by the number of keys. The newest folder is left
     alone: it may be in progress or be retried, while older batches are
-    committed and never rerun. Safe to run beside the stream.
+    committed and never rerun. Safe to run beside the stream. ``keep`` (a
+    Column over the state's columns) drops rows while folding, e.g. assets
+    idle for too long.
     """
     found = sorted((int(name.split("=", 1)[1]), f"{path}/{name}") for name, is_dir in fs.list_dir(path)
                    if is_dir and name.startswith("batch="))
@@ -261,7 +278,10 @@ def compact_state(spark: SparkSession, path: str, key: str) -> None:
     last = olds[-1][0]
     snap = f"{path}/_compacting"
     rows = spark.read.option("recursiveFileLookup", "true").parquet(*[p for _, p in olds])
-    _latest_by_batch(rows, key).withColumn("batch", F.lit(last).cast("bigint")).write.mode("overwrite").parquet(snap)
+    folded = _latest_by_batch(rows, key)
+    if keep is not None:
+        folded = folded.filter(keep)
+    folded.withColumn("batch", F.lit(last).cast("bigint")).write.mode("overwrite").parquet(snap)
     for _, p in olds:  # readers skip "_" folders, so the snapshot is invisible until renamed
         fs.delete_dir(p)
     fs.rename(snap, f"{path}/batch={last}")

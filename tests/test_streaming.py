@@ -266,3 +266,32 @@ def test_compact_state_keeps_newest(spark, tmp_path):
     after = sorted(tuple(r) for r in svc._latest_by_batch(spark.read.option("recursiveFileLookup", "true")
                                                            .parquet(path), "assetID").drop("batch").collect())
     assert before == after == [("a", 2), ("b", 1), ("c", 6)]
+
+
+def test_lifecycle_state_table_equals_batch_and_expires(spark, env):
+    from fieldlink.operators import edge
+    from fieldlink.plans import fixtures as fix
+    from fieldlink.schemas import ASSET_MSG as AM
+
+    sites, _hqL, edL, _tmp = env
+    d = "/root/testdata/sf0.001"
+    log = fix.topic_log(spark, d, sites, topics=["ASSET_BROADCAST"])
+    clicks, pubs = fix.clicks(spark, d), fix.request_publications(spark, d)
+    for i, cond in enumerate(["seq < 400", "seq >= 400 AND seq < 800", "seq >= 800"]):
+        topics.write_topic(log.filter(cond), edL.replica, "ASSET_BROADCAST", i)
+        svc.record_clicks(spark, edL, clicks.filter(cond), i)
+        svc._write_batch(pubs.filter(cond), edL.publications, i)
+        run(svc.start_lifecycle_service(spark, edL, edL.replica))
+    streamed = sorted(tuple(r) for r in svc.current_asset_state(spark, edL)
+                      .select("assetID", "_b.seq", "c_seq", "_p.seq").collect())
+    batch = sorted(tuple(r) for r in edge.lifecycle_state(topics.consume(log, "ASSET_BROADCAST", AM), clicks, pubs)
+                   .filter("_b IS NOT NULL OR c_seq IS NOT NULL OR _p IS NOT NULL")
+                   .select("assetID", "_b.seq", "c_seq", "_p.seq").collect())
+    assert streamed == batch and len(batch) > 0
+    before = spark.read.option("recursiveFileLookup", "true").parquet(
+        f"{edL.asset_state}/batch=0", f"{edL.asset_state}/batch=1")
+    assert before.filter("_b IS NULL").count() > 0  # clicks on assets never broadcast
+    svc.compact_state(spark, edL.asset_state, "assetID", keep=F.col("_b").isNotNull())
+    assert sorted(os.listdir(edL.asset_state)) == ["batch=1", "batch=2"]
+    folded = spark.read.parquet(f"{edL.asset_state}/batch=1")
+    assert folded.count() > 0 and folded.filter("_b IS NULL").count() == 0
