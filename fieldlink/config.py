@@ -84,9 +84,12 @@ TOPIC_AUDIT = "AUDIT"
 TOPIC_REPLICA_INFO = "REPLICA_INFO"
 TOPIC_VOLUME_INFO = "VOLUME_INFO"
 
-# File layout: "by_asset" stores <root>/<assetID>/<filename> so that assets
-# whose URLs end in the same name do not overwrite each other; "flat" keeps
-# <root>/<filename>.
+# File layout. "sharded" (default) stores <root>/<assetID[0:2]>/<assetID>/<filename>:
+# assets whose URLs end in the same name do not overwrite each other, and a
+# volume's top level has at most 256 folders (asset ids are hex), so no single
+# directory grows with the number of assets. "by_asset" drops the shard level;
+# "flat" keeps <root>/<filename>.
+LAYOUT_SHARDED = "sharded"
 LAYOUT_BY_ASSET = "by_asset"
 LAYOUT_FLAT = "flat"
 
@@ -98,7 +101,7 @@ class Sites:
     hq_root: str = HQ_ROOT
     edge_root: str = EDGE_ROOT
     source_images: str = SOURCE_IMAGES_ROOT
-    layout: str = LAYOUT_BY_ASSET
+    layout: str = LAYOUT_SHARDED
 
     @property
     def download_dir(self) -> str:

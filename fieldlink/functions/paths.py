@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldlink.config import LAYOUT_BY_ASSET, LAYOUT_FLAT
+from fieldlink.config import LAYOUT_BY_ASSET, LAYOUT_FLAT, LAYOUT_SHARDED
 
 
 def _c(x) -> Column:
@@ -35,8 +35,11 @@ def topic_address(stream, topic) -> Column:
     return F.concat_ws(":", _c(stream), _c(topic))
 
 
-def asset_path(root: str, asset_id, filename, layout: str = LAYOUT_BY_ASSET) -> Column:
+def asset_path(root: str, asset_id, filename, layout: str = LAYOUT_SHARDED) -> Column:
     """Where an asset's file lives under ``root`` for the chosen layout."""
+    if layout == LAYOUT_SHARDED:
+        aid = _c(asset_id)
+        return F.concat_ws("/", F.lit(root), F.substring(aid, 1, 2), aid, _c(filename))
     if layout == LAYOUT_BY_ASSET:
         return F.concat_ws("/", F.lit(root), _c(asset_id), _c(filename))
     if layout == LAYOUT_FLAT:

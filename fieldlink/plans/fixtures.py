@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlink.functions.paths import asset_path
 from fieldlink.functions.text import epoch_millis
 from fieldlink.config import (
     DEFAULT_SITES,
@@ -103,7 +104,7 @@ def documents(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> Data
     """Stored documents: one per page; those with a source file have a location."""
     p = page_info(spark, d)
     loc = F.when(F.col("page_id") % 10 != 0,
-                 F.concat_ws("/", F.lit(sites.download_dir), F.col("assetID"), F.col("filename")))
+                 asset_path(sites.download_dir, F.col("assetID"), F.col("filename"), sites.layout))
     return p.select(
         F.col("assetID").alias("_id"),
         F.array(F.struct(F.col("title"), F.col("url").alias("description"),
@@ -242,12 +243,12 @@ def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITE
     else:
         raise ValueError(which)
     return rows.select(
-        F.concat(F.lit("file:"), F.concat_ws("/", F.lit(root), F.col("assetID"), F.col("filename"))).alias("path"),
+        F.concat(F.lit("file:"), asset_path(root, F.col("assetID"), F.col("filename"), sites.layout)).alias("path"),
         F.lit(LISTING_MTIME).cast("timestamp").alias("modificationTime"),
         F.col("length").cast("bigint").alias("length"))
 
 
-STANDIN_VERSION = "4"
+STANDIN_VERSION = "5"
 
 
 def _stored(spark: SparkSession, d: str, sites: Sites, name: str, write) -> str:

@@ -19,6 +19,15 @@ SITE = {
 }
 
 
+def rel_sql(aid: str, fn: str) -> str:
+    """An asset file's path below a volume root, for the default layout."""
+    if S.layout == "sharded":
+        return f"substr({aid}, 1, 2) || '/' || {aid} || '/' || {fn}"
+    if S.layout == "by_asset":
+        return f"{aid} || '/' || {fn}"
+    return fn
+
+
 def shorten_sql(x: str, width: int) -> str:
     c = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
     room = width - 6
@@ -63,21 +72,21 @@ LOG = """lg AS (
 
 DOCS = f"""docs AS (
   SELECT assetID, page_id, title, url, filename, TRUE AS found,
-         CASE WHEN page_id % 10 <> 0 THEN '{SITE['download_dir']}/' || assetID || '/' || filename END AS location
+         CASE WHEN page_id % 10 <> 0 THEN '{SITE['download_dir']}/' || {rel_sql('assetID', 'filename')} END AS location
   FROM pg)"""
 
 LISTINGS = f"""src_files AS (
-  SELECT assetID || '/' || filename AS rel_path, html_len AS len FROM pg WHERE page_id % 10 <> 0),
+  SELECT {rel_sql('assetID', 'filename')} AS rel_path, html_len AS len FROM pg WHERE page_id % 10 <> 0),
 mir_files AS (
-  SELECT assetID || '/' || filename AS rel_path,
+  SELECT {rel_sql('assetID', 'filename')} AS rel_path,
          html_len + CASE WHEN page_id % 9 = 0 THEN 1 ELSE 0 END AS len
   FROM pg WHERE (page_id % 10 <> 0 AND page_id % 3 = 0) OR page_id % 20 = 0)"""
 
 DL = f"""dl AS (
   SELECT m.seq, m.ts, m.assetID, d.title, d.url AS description, d.filename,
-         '{SITE['download_dir']}/' || m.assetID || '/' || d.filename AS location,
+         '{SITE['download_dir']}/' || {rel_sql('m.assetID', 'd.filename')} AS location,
          CASE WHEN d.found IS NULL THEN 'not_found'
-              WHEN '{SITE['images']}/' || m.assetID || '/' || d.filename
+              WHEN '{SITE['images']}/' || {rel_sql('m.assetID', 'd.filename')}
                    NOT IN (SELECT '{SITE['images']}/' || rel_path FROM src_files) THEN 'file_missing'
               WHEN m.k >= 10 THEN 'success' ELSE 'failed' END AS outcome
   FROM msg m LEFT JOIN docs d ON d.assetID = m.assetID
@@ -96,7 +105,8 @@ c AS (SELECT assetID, max(seq) AS c_seq FROM msg WHERE event_type = 'click' GROU
 p AS (SELECT assetID, max(seq) AS p_seq, arg_max(ts, seq) AS p_ts FROM msg WHERE event_type = 'view' GROUP BY assetID),
 lc0 AS (
   SELECT b.assetID, b.b_seq, c.c_seq, p.p_seq, p.p_ts, b.title, b.description, b.filename,
-         concat_ws('/', '{SITE['edge_files']}', b.assetID, b.filename) AS path
+         CASE WHEN b.filename IS NULL THEN concat_ws('/', '{SITE['edge_files']}', {"substr(b.assetID, 1, 2), " if S.layout == "sharded" else ""}b.assetID)
+              ELSE '{SITE['edge_files']}/' || {rel_sql('b.assetID', 'b.filename')} END AS path
   FROM b LEFT JOIN c ON c.assetID = b.assetID LEFT JOIN p ON p.assetID = b.assetID),
 lc AS (
   SELECT lc0.*,
@@ -180,7 +190,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT assetID, title, status FROM lc WHERE status = 'requesting...'"),
     "asset_response": _with(PG, MSG, DOCS, RQ) + (
         f"SELECT assetID, split_part(location, '/', -1) AS filename, location AS src, "
-        f"'{SITE['hq_files']}/' || assetID || '/' || split_part(location, '/', -1) AS dst, "
+        f"'{SITE['hq_files']}/' || {rel_sql('assetID', "split_part(location, '/', -1)")} AS dst, "
         f"count(*) AS n_requests FROM rq WHERE found AND location IS NOT NULL GROUP BY assetID, location"),
     "asset_response_deadletter": _with(PG, MSG, DOCS, RQ) + (
         "SELECT seq, assetID, CASE WHEN found IS NULL THEN 'not_found' ELSE 'no_location' END AS reason "

@@ -17,3 +17,8 @@ def spark():
     s = build_session("local[4]", 8)
     yield s
     s.stop()
+
+
+def rel(asset_id: str, filename: str) -> str:
+    """An asset file's path below a volume root in the default (sharded) layout."""
+    return f"{asset_id[:2]}/{asset_id}/{filename}"

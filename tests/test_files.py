@@ -162,7 +162,7 @@ def test_broadcast_deadletter_for_missing_status(spark):
 
 
 def test_flat_layout_collides_by_asset_does_not(spark):
-    from fieldlink.config import LAYOUT_FLAT, Sites
+    from fieldlink.config import LAYOUT_BY_ASSET, LAYOUT_FLAT, Sites
 
     docs_rows = [("a1", [("t", "d", None)], [("http://x/1/img.jpg",)], "/dl/a1/img.jpg", None),
                  ("a2", [("t", "d", None)], [("http://x/2/img.jpg",)], "/dl/a2/img.jpg", None)]
@@ -171,9 +171,12 @@ def test_flat_layout_collides_by_asset_does_not(spark):
                                                "imageDownloadLocation string, extra string")
     reqs = spark.createDataFrame([(1, None, "a1", "t"), (2, None, "a2", "t")],
                                  "seq long, ts timestamp_ntz, assetID string, title string")
-    by_asset = {r.dst for r in hq.response_copies(hq.asset_response(reqs, docs_df, Sites(hq_root="/hq"))).collect()}
-    flat = {r.dst for r in hq.response_copies(hq.asset_response(reqs, docs_df, Sites(hq_root="/hq", layout=LAYOUT_FLAT))).collect()}
-    assert by_asset == {"/hq/files/a1/img.jpg", "/hq/files/a2/img.jpg"}
+    def dsts(**kw):
+        return {r.dst for r in hq.response_copies(hq.asset_response(reqs, docs_df, Sites(hq_root="/hq", **kw))).collect()}
+
+    assert dsts() == {"/hq/files/a1/a1/img.jpg", "/hq/files/a2/a2/img.jpg"}  # default: sharded by asset id
+    assert dsts(layout=LAYOUT_BY_ASSET) == {"/hq/files/a1/img.jpg", "/hq/files/a2/img.jpg"}
+    flat = dsts(layout=LAYOUT_FLAT)
     assert flat == {"/hq/files/img.jpg"}  # the reference's behaviour: both assets land on one path
 
 

@@ -5,6 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from conftest import rel
 from fieldlink.operators import edge
 from fieldlink.config import Sites
 
@@ -52,7 +53,7 @@ def test_closed_form_equals_fold(spark, histories, seed):
             else:
                 p.append((s, aid))
         if present:
-            files.append((f"file:/e/files.mirror/{aid}/f{i}.jpg", 1))
+            files.append((f"file:/e/files.mirror/{rel(aid, f'f{i}.jpg')}", 1))
         expected[aid] = fold(events, present)
     bdf = spark.createDataFrame(b, "seq long, assetID string, title string, description string, filename string") \
         .selectExpr("seq", "cast(null as timestamp_ntz) as ts", "title", "description", "filename", "assetID")

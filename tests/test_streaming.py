@@ -14,6 +14,7 @@ from fieldlink.schemas import ASSET_MSG
 from fieldlink.sources import topics
 from fieldlink.sources import volumes
 from fieldlink.streaming import services as svc
+from conftest import rel
 
 
 def aid(item_id, href):
@@ -57,15 +58,15 @@ def test_round_trip(spark, env):
     items = [("1", "Moon", "http://img/a/moon.jpg"), ("2", "Mars", "http://img/b/mars.jpg"),
              ("3", "Venus", "http://img/c/venus.jpg"), ("4", None, "http://img/d/none.jpg")]
     ids = {t: aid(i, h) for i, t, h in items if t}
-    write(f"{sites.source_images}/{ids['Moon']}/moon.jpg", b"moon-bytes")
-    write(f"{sites.source_images}/{ids['Mars']}/mars.jpg", b"mars-bytes")   # Venus has no source file
+    write(f"{sites.source_images}/{rel(ids['Moon'], 'moon.jpg')}", b"moon-bytes")
+    write(f"{sites.source_images}/{rel(ids['Mars'], 'mars.jpg')}", b"mars-bytes")   # Venus has no source file
     feed_file(str(tmp / "feed/f1.json"), items)
 
     run(svc.start_feed_service(spark, hqL, str(tmp / "feed")))
     assert topic_rows(spark, hqL.topics, "IMAGEFEED", __import__("fieldlink.schemas", fromlist=["x"]).IMAGEFEED_MSG).count() == 3
     run(svc.start_download_service(spark, hqL))
     docs_now = {r._id: r.imageDownloadLocation for r in svc.documents_now(spark, hqL).collect()}
-    assert docs_now[ids["Moon"]] == f"{sites.download_dir}/{ids['Moon']}/moon.jpg"
+    assert docs_now[ids["Moon"]] == f"{sites.download_dir}/{rel(ids['Moon'], 'moon.jpg')}"
     assert docs_now[ids["Venus"]] is None
     assert open(docs_now[ids["Moon"]], "rb").read() == b"moon-bytes"
     dl = {r.assetID: r.status for r in topic_rows(spark, hqL.topics, "IMAGE_DOWNLOAD").collect()}
@@ -91,7 +92,7 @@ def test_round_trip(spark, env):
 
     run(svc.start_replication(spark, edL, hqL, "ASSET_REQUEST", "EDGE"))
     run(svc.start_response_service(spark, hqL, request_topics=hqL.replica))
-    copied = f"{sites.hq_files}/{ids['Moon']}/moon.jpg"
+    copied = f"{sites.hq_files}/{rel(ids['Moon'], 'moon.jpg')}"
     assert open(copied, "rb").read() == b"moon-bytes"
 
     plan = volumes.mirror_diff(volumes.list_volume(spark, sites.hq_files), sites.hq_files,
@@ -108,7 +109,7 @@ def test_round_trip(spark, env):
     assert {k: len(v) for k, v in by_service.items()} == {
         "IMAGE Feed Service": 3, "Image Download Service": 2, "Asset Broadcast Service": 2,
         "Asset Response Service": 1, "Asset Viewer Service": 1}
-    assert by_service["Asset Viewer Service"][0].image_url == f"{sites.edge_files}/{ids['Moon']}/moon.jpg"
+    assert by_service["Asset Viewer Service"][0].image_url == f"{sites.edge_files}/{rel(ids['Moon'], 'moon.jpg')}"
     newest = activity.newest(tiles, 3).collect()
     assert len(newest) == 3 and newest[0].seq >= newest[-1].seq
 
@@ -159,7 +160,7 @@ def test_dedupe_and_counters_streams(spark, env):
 def test_site_runner_stop_and_resume(spark, env):
     sites, hqL, _edL, tmp = env
     iid, href = "1", "http://img/a/moon.jpg"
-    write(f"{sites.source_images}/{aid(iid, href)}/moon.jpg", b"m")
+    write(f"{sites.source_images}/{rel(aid(iid, href), 'moon.jpg')}", b"m")
     feed_file(str(tmp / "feed/f1.json"), [(iid, "Moon", href)])
     trig = {"processingTime": "1 second"}
     qs = svc.start_hq(spark, hqL, str(tmp / "feed"), trig)
@@ -189,7 +190,7 @@ def test_download_sees_documents_written_after_start(spark, env):
 
     def doc_and_msg(n, seq, batch):
         a = f"asset{n:07d}"
-        write(f"{sites.source_images}/{a}/p{n}.jpg", b"x")
+        write(f"{sites.source_images}/{rel(a, f'p{n}.jpg')}", b"x")
         docs.upsert(hqL.documents, spark.createDataFrame(
             [(a, [(f"T{n}", "d", None)], [(f"http://h/p{n}.jpg",)], None, None, seq, 0)], schema), batch, "test")
         msg = spark.createDataFrame([(seq, a, f"T{n}")], "seq long, assetID string, title string") \
