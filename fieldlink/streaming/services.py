@@ -239,8 +239,9 @@ def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topic
         state_schema = T.StructType(delta.schema.fields + [T.StructField("batch", T.LongType(), True)])
         earlier = (spark.read.schema(state_schema).option("recursiveFileLookup", "true")
                    .parquet(layout.asset_state).filter(F.col("batch") < batch_id))
-        before = _latest_by_batch(earlier, "assetID").drop("batch").join(delta.select("assetID"), "assetID",
-                                                                          "left_semi")
+        # Only the touched assets' history is aggregated (semi join first).
+        touched = earlier.join(delta.select("assetID"), "assetID", "left_semi")
+        before = _latest_by_batch(touched, "assetID").drop("batch")
         merged = edge.lifecycle_merge(before.unionByName(delta))
         _write_batch(merged.withColumn("batch", F.lit(batch_id).cast("bigint")), layout.asset_state, batch_id)
         delta.unpersist()
@@ -404,7 +405,8 @@ def start_replica_monitor(spark: SparkSession, layout: Layout, trigger: dict | N
 
     def batch(df: DataFrame, batch_id: int) -> None:
         earlier = (spark.read.schema(last_schema).option("recursiveFileLookup", "true").parquet(last_path)
-                   .filter(F.col("batch") < batch_id))
+                   .filter(F.col("batch") < batch_id)
+                   .join(df.select("replica"), "replica", "left_semi"))  # only replicas in this batch
         last = _latest_by_batch(earlier, "replica").select("replica", F.col("seq").alias("_last_seq"),
                                                            F.col("state").alias("_last_state"))
         new = (df.join(last, "replica", "left")
