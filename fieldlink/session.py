@@ -56,9 +56,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the submitter sets it to shared storage; it is only filled in
-    here (with a fresh local scratch folder) when unset, as in tests.
+    here (with a fresh local scratch folder) when unset in a local session, as
+    in tests. A Spark Connect session has no SparkContext; there the setting
+    must come from the server.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return d
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
