@@ -35,3 +35,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["seq", "assetID", "title", "description", "filename", "location", "status"]
     assert df.count() > 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE", "date": "DATE"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_types_match_oracle(spark, con, name):
+    schema = E.queries()[name](spark, SF01).schema
+    got = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    want = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert got == want
