@@ -248,7 +248,7 @@ def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITE
         F.col("length").cast("bigint").alias("length"))
 
 
-STANDIN_VERSION = "5"
+STANDIN_VERSION = "6"
 
 
 def _stored(spark: SparkSession, d: str, sites: Sites, name: str, write) -> str:
@@ -304,3 +304,26 @@ def stored_listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAU
     path = _stored(spark, d, sites, f"listing_{which}",
                    lambda p: listing(spark, d, which, sites).write.parquet(p))
     return spark.read.schema(LISTING).parquet(path)
+
+
+ACTION_KINDS = {"click": "click", "publication": "view", "store": "signup"}
+
+
+def stored_actions(spark: SparkSession, d: str, kind: str, sites: Sites = DEFAULT_SITES) -> DataFrame:
+    """Click, publication and copy-result logs, stored once (partitioned by kind).
+
+    ``kind``: ``click`` -> ``(seq, ts, assetID)`` row clicks; ``publication``
+    -> request publications; ``store`` -> ``(seq, ok)`` copy outcomes.
+    """
+    def write(path: str) -> None:
+        e = event_rows(spark, d, list(ACTION_KINDS.values()), with_pages=False)
+        kinds = F.create_map(*[x for k, v in ACTION_KINDS.items() for x in (F.lit(v), F.lit(k))])
+        (e.select("seq", "ts", "assetID", (F.col("k") >= 10).alias("ok"),
+                  kinds[F.col("event_type")].alias("kind"))
+         .write.partitionBy("kind").parquet(path))
+
+    path = _stored(spark, d, sites, "actions", write)
+    rows = spark.read.option("basePath", path).parquet(f"{path}/kind={kind}")
+    if kind == "store":
+        return rows.select("seq", "ok")
+    return rows.select("seq", "ts", "assetID")

@@ -84,7 +84,7 @@ def _normalized_feed(spark, d):
 def _download_outcomes(spark, d):
     msgs = _consume(spark, d, TOPIC_IMAGEFEED)
     return hq.image_download(msgs, _documents(spark, d, msgs), fix.stored_listing(spark, d, "images", SITES),
-                             fix.store_results(spark, d), SITES)
+                             fix.stored_actions(spark, d, "store", SITES), SITES)
 
 
 def _responses(spark, d):
@@ -93,8 +93,8 @@ def _responses(spark, d):
 
 
 def _lifecycle(spark, d):
-    return edge.asset_lifecycle(_consume(spark, d, TOPIC_ASSET_BROADCAST), fix.clicks(spark, d),
-                                fix.request_publications(spark, d), fix.stored_listing(spark, d, "mirror", SITES),
+    return edge.asset_lifecycle(_consume(spark, d, TOPIC_ASSET_BROADCAST), fix.stored_actions(spark, d, "click", SITES),
+                                fix.stored_actions(spark, d, "publication", SITES), fix.stored_listing(spark, d, "mirror", SITES),
                                 SITES)
 
 
@@ -254,7 +254,7 @@ def service_counters(spark, d):
         "Asset Response": responses.filter(F.col("reason").isNull()),
         "Audit Listener": _consume(spark, d, TOPIC_AUDIT),
         "Broadcast Listener": _consume(spark, d, TOPIC_ASSET_BROADCAST),
-        "Asset Request": fix.request_publications(spark, d),
+        "Asset Request": fix.stored_actions(spark, d, "publication", SITES),
         "Asset Viewer": edge.viewer(_lifecycle(spark, d)),
     }
     return monitor.service_counters(spark, counted)
