@@ -24,7 +24,12 @@ def asset_id(*cols, n: int = 12) -> Column:
 def shorten(s, width: int, placeholder: str = SHORTEN_PLACEHOLDER) -> Column:
     """``textwrap.shorten(s, width)``: collapse whitespace, cut at a word end.
 
-    Differs from Python only when Python would break inside a hyphenated word.
+    The kept head is the longest prefix ending before a space that fits with
+    the placeholder. Python can also cut after a hyphen: between letters
+    (``well-known``), or inside a word longer than the width (after its last
+    hyphen within the line). Those cuts are not made here. This keeps the
+    expression a plain regular expression, which the SQL oracle can state as
+    well. It equals Python on every title and URL of the test data.
     """
     collapsed = F.trim(F.regexp_replace(_c(s), r"(?U)\s+", " "))
     room = width - len(placeholder)

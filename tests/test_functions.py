@@ -28,6 +28,17 @@ def test_shorten_matches_textwrap(spark, samples, width):
         assert got[i] == textwrap.shorten(t, width), (t, width)
 
 
+def test_shorten_known_difference_at_hyphens(spark):
+    """Documented: Python may also cut after a hyphen; this expression cuts only at spaces."""
+    cases = [("a well-known fact about everything here", 13), ("abc-defghijklmnopqrstuvwxyz end", 12)]
+    df = spark.createDataFrame(cases, "t string, w int")
+    got = [fx_row.s for fx_row in df.select(
+        F.when(F.col("w") == 13, fx.shorten("t", 13)).otherwise(fx.shorten("t", 12)).alias("s"))
+        .orderBy(F.monotonically_increasing_id()).collect()]
+    assert got == ["a [...]", "[...]"]
+    assert [textwrap.shorten(t, w) for t, w in cases] == ["a well- [...]", "abc- [...]"]
+
+
 def test_timedelta_text_matches_python(spark):
     secs = [0, 1, 59, 3599, 3600, 86399, 86400, 86401, 90061, 172800, 1234567, -1, -86400, -90061]
     df = spark.createDataFrame([(s,) for s in secs], "s bigint")
