@@ -46,3 +46,51 @@ def test_replicate_brute_force(spark, rows):
             if at == site or (o == at and at != site):  # own copy, or forwarded by its origin site
                 want.add((site, o, q))
     assert got == sorted(want)
+
+
+DOC_SCHEMA = ("_id string, data array<struct<title:string,description:string,item_id:string>>, "
+              "links array<struct<href:string>>, imageDownloadLocation string, extra string")
+
+msgs_st = st.lists(st.tuples(st.integers(0, 9), st.booleans()), min_size=1, max_size=30)  # (asset, copy ok)
+assets_st = st.dictionaries(st.integers(0, 9), st.tuples(st.booleans(), st.booleans()), max_size=10)  # file, location
+
+
+@settings(max_examples=8, deadline=None)
+@given(msgs_st, assets_st)
+def test_download_and_response_routing_brute_force(spark, msgs, assets):
+    from fieldlink.config import Sites
+    from fieldlink.operators import hq
+
+    sites = Sites(hq_root="/hq", source_images="/img")
+    aid = lambda n: f"a{n:03d}"
+    docs = [(aid(n), [("t", "d", None)], [(f"http://x/{n}/f{n}.jpg",)],
+             f"/dl/{aid(n)}/f{n}.jpg" if has_loc else None, None) for n, (_, has_loc) in assets.items()]
+    listing = [(f"file:/img/{aid(n)[:2]}/{aid(n)}/f{n}.jpg",) for n, (has_file, _) in assets.items() if has_file]
+    m = spark.createDataFrame([(i, None, aid(n), "t") for i, (n, _) in enumerate(msgs)],
+                              "seq long, ts timestamp_ntz, assetID string, title string")
+    d = spark.createDataFrame(docs, DOC_SCHEMA)
+    lst = spark.createDataFrame(listing, "path string")
+    store = spark.createDataFrame([(i, ok) for i, (_, ok) in enumerate(msgs)], "seq long, ok boolean")
+
+    got = {r.seq: r.outcome for r in hq.image_download(m, d, lst, store, sites).collect()}
+    want = {}
+    for i, (n, ok) in enumerate(msgs):
+        if n not in assets:
+            want[i] = "not_found"
+        elif not assets[n][0]:
+            want[i] = "file_missing"
+        else:
+            want[i] = "success" if ok else "failed"
+    assert got == want
+
+    resp = hq.asset_response(m, d, sites)
+    got_dead = {r.seq: r.reason for r in hq.response_deadletter(resp).collect()}
+    want_dead = {i: ("not_found" if n not in assets else "no_location")
+                 for i, (n, _) in enumerate(msgs) if n not in assets or not assets[n][1]}
+    assert got_dead == want_dead
+    got_copies = {r.assetID: r.n_requests for r in hq.response_copies(resp).collect()}
+    want_copies = {}
+    for n, _ in msgs:
+        if n in assets and assets[n][1]:
+            want_copies[aid(n)] = want_copies.get(aid(n), 0) + 1
+    assert got_copies == want_copies
