@@ -206,3 +206,17 @@ def response_copies(responses: DataFrame) -> DataFrame:
 
 def response_deadletter(responses: DataFrame) -> DataFrame:
     return responses.filter(F.col("reason").isNotNull()).select("seq", "assetID", "reason")
+
+
+def filename_collisions(documents: DataFrame) -> DataFrame:
+    """File names shared by more than one asset: ``filename, n_assets`` (SURVEY M).
+
+    With flat storage these assets would overwrite each other's file; the
+    default layout keeps them apart, and this report shows where it matters.
+    The distinct count is two-phase (partial per task first), so one very
+    common name does not gather all its rows in one task.
+    """
+    named = document_fields(documents).select("assetID", last_segment("doc_href").alias("filename"))
+    return (named.filter(F.col("filename").isNotNull())
+            .groupBy("filename").agg(F.countDistinct("assetID").alias("n_assets"))
+            .filter(F.col("n_assets") > 1))

@@ -179,6 +179,9 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT seq, assetID, outcome AS reason FROM dl WHERE outcome IN ('not_found', 'file_missing')"),
     "download_outcomes": _with(PG, MSG, DOCS, LISTINGS, DL) + (
         "SELECT outcome, count(*) AS n FROM dl GROUP BY outcome"),
+    "filename_collisions": _with(PG) + (
+        "SELECT filename, count(DISTINCT assetID) AS n_assets FROM pg GROUP BY filename "
+        "HAVING count(DISTINCT assetID) > 1"),
     "asset_broadcast": _with(PG, MSG) + (
         "SELECT seq, assetID, 'success' AS status FROM msg WHERE event_type = 'view' AND NOT bad AND k >= 10"),
     "broadcast_listener": _with(PG, MSG) + (

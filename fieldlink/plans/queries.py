@@ -169,6 +169,11 @@ def image_download_deadletter(spark, d):
     return hq.download_deadletter(_download_outcomes(spark, d))
 
 
+def filename_collisions(spark, d):
+    """M: file names shared by several stored documents (flat storage would overwrite them)."""
+    return hq.filename_collisions(_documents(spark, d))
+
+
 def download_outcomes(spark, d):
     """Message count per download outcome."""
     return hq.download_outcome_counts(_download_outcomes(spark, d))
@@ -347,6 +352,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "image_download": image_download,
     "image_download_deadletter": image_download_deadletter,
     "download_outcomes": download_outcomes,
+    "filename_collisions": filename_collisions,
     "asset_broadcast": asset_broadcast,
     "broadcast_listener": broadcast_listener,
     "asset_lifecycle": asset_lifecycle,
