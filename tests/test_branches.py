@@ -49,3 +49,16 @@ def test_mirror_lag_has_error_and_lag(spark):
 
 def test_malformed_present(spark):
     assert E.queries()["malformed_messages"](spark, SF01).count() > 0
+
+
+def test_counts_equal_fixtures_md(spark):
+    """Counts computed independently in FIXTURES.md section 4 (sf0.01), where definitions coincide."""
+    from fieldlink.config import DEFAULT_SITES as S
+
+    usage = {r.volume: r.n_files for r in E.queries()["volume_usage"](spark, SF01).collect()}
+    assert usage == {S.hq_files: 225, S.edge_files: 88}
+    diff = {}
+    for r in E.queries()["mirror_diff"](spark, SF01).collect():
+        diff[r.action] = diff.get(r.action, 0) + 1
+    assert diff == {"copy": 150, "refresh": 25, "delete": 13}
+    assert E.queries()["filename_collisions"](spark, SF01).count() == 8
