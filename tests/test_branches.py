@@ -62,3 +62,5 @@ def test_counts_equal_fixtures_md(spark):
         diff[r.action] = diff.get(r.action, 0) + 1
     assert diff == {"copy": 150, "refresh": 25, "delete": 13}
     assert E.queries()["filename_collisions"](spark, SF01).count() == 8
+    life = {r.status: r.n for r in E.queries()["asset_status_counts"](spark, SF01).collect()}
+    assert life == {"!": 1, "requesting...": 145, "requested": 102, "received": 52}
