@@ -6,6 +6,8 @@ Commands:
   mirror   one mirror pass from the HQ files volume to the edge mirror
   publish  publish every asset waiting in "requesting..." once
   status   print the edge asset table
+  init     create a site's folders and catalog tables (already there: fine)
+  drop     drop a site's tables and folders (give the edge site first)
 
 Roots default to the values in ``fieldlink.config``; ``--once`` drains what is
 there and stops (``availableNow``) instead of running on the period.
@@ -21,7 +23,7 @@ from fieldlink.config import Sites
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="fieldlink")
-    ap.add_argument("command", choices=["hq", "edge", "mirror", "publish", "status"])
+    ap.add_argument("command", choices=["hq", "edge", "mirror", "publish", "status", "init", "drop"])
     ap.add_argument("--base", required=True, help="pipeline folder of this site (shared storage)")
     ap.add_argument("--feed", help="feed folder (hq)")
     ap.add_argument("--peer-base", help="the other site's pipeline folder (replication)")
@@ -82,6 +84,19 @@ def main(argv: list[str] | None = None) -> None:
         plan = volumes.mirror_diff(volumes.list_volume(spark, sites.hq_files), sites.hq_files,
                                    volumes.list_volume(spark, sites.edge_files), sites.edge_files)
         volumes.mirror_apply(plan, sites.edge_files, sites.hq_files).show(truncate=False)
+    elif a.command == "init":
+        from fieldlink.config import (TOPIC_ASSET_BROADCAST, TOPIC_ASSET_REQUEST, TOPIC_IMAGE_DOWNLOAD,
+                                      TOPIC_IMAGEFEED)
+        from fieldlink.sources import catalog
+
+        names = [TOPIC_IMAGEFEED, TOPIC_IMAGE_DOWNLOAD, TOPIC_ASSET_BROADCAST, TOPIC_ASSET_REQUEST]
+        for f in catalog.init_catalog(spark, layout, topic_names=names):
+            print(f)
+    elif a.command == "drop":
+        from fieldlink.sources import catalog
+
+        layouts = [layout] + ([svc.Layout(a.peer_base, sites)] if a.peer_base else [])
+        catalog.drop_catalog(spark, layouts)
     elif a.command == "publish":
         svc.publish_requests(spark, layout, int(time.time())).show(truncate=False)
     else:
