@@ -15,6 +15,7 @@ from fieldlink.functions.text import (  # noqa: F401
     quote_plus,
     second_word,
     shorten,
+    shorten_exact,
     timedelta_text,
     utf8_roundtrip,
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +39,21 @@ def shorten(s, width: int, placeholder: str = SHORTEN_PLACEHOLDER) -> Column:
     return F.when(F.length(collapsed) <= width, collapsed).otherwise(cut)
 
 
+def shorten_exact(s, width: int, placeholder: str = SHORTEN_PLACEHOLDER) -> Column:
+    """``textwrap.shorten`` itself, as a vectorized (Arrow) pandas UDF.
+
+    Exact also at hyphens, but Python: use it on few rows (after a top-k, as
+    :func:`fieldlink.operators.activity.newest` does with ``exact=True``).
+    """
+    @F.pandas_udf("string")
+    def _shorten(col: pd.Series) -> pd.Series:
+        import textwrap
+
+        return col.map(lambda v: None if v is None else textwrap.shorten(v, width, placeholder=placeholder))
+
+    return _shorten(_c(s))
+
+
 def timedelta_text(seconds) -> Column:
     """``str(datetime.timedelta(seconds=n))`` for whole seconds, e.g. ``1 day, 2:03:04``."""
     s = _c(seconds).cast("bigint")

@@ -19,7 +19,7 @@ from fieldlink.config import (
     TILE_TITLE_WIDTH,
     TILE_TTL_SECONDS,
 )
-from fieldlink.functions.text import shorten
+from fieldlink.functions.text import shorten, shorten_exact
 
 TILE_COLUMNS = ["seq", "ts", "service", "title", "description", "image_url"]
 
@@ -64,13 +64,18 @@ def all_tiles(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def newest(tiles: DataFrame, n: int = 20) -> DataFrame:
-    """Newest ``n`` tiles with shortened texts (G2: a distributed top-k)."""
+def newest(tiles: DataFrame, n: int = 20, exact: bool = False) -> DataFrame:
+    """Newest ``n`` tiles with shortened texts (G2: a distributed top-k).
+
+    ``exact`` shortens with Python's own ``textwrap`` (a pandas UDF on the
+    ``n`` rows left after the top-k) instead of the JVM expression.
+    """
+    cut = shorten_exact if exact else shorten
     top = tiles.orderBy(F.col("seq").desc(), F.col("service")).limit(n)
     return top.select(
         "seq", "service",
-        shorten(F.col("title"), TILE_TITLE_WIDTH).alias("title_short"),
-        shorten(F.col("description"), TILE_DESCRIPTION_WIDTH).alias("description_short"),
+        cut(F.col("title"), TILE_TITLE_WIDTH).alias("title_short"),
+        cut(F.col("description"), TILE_DESCRIPTION_WIDTH).alias("description_short"),
         "image_url")
 
 

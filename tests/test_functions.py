@@ -108,3 +108,23 @@ def test_shorten_on_real_titles_and_urls(spark):
     for r in rows:
         assert r.t32 == textwrap.shorten(r.title, 32)
         assert r.u64 == textwrap.shorten(r.url, 64)
+
+
+def test_shorten_exact_equals_textwrap_with_hyphens(spark):
+    texts = ["a well-known fact about everything here", "abc-defghijklmnopqrstuvwxyz end", None,
+             "state-of-the-art tools for every-day use", "00000-0000000 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for w in (12, 13, 20):
+        got = [r.s for r in df.select(fx.shorten_exact("t", w).alias("s")).orderBy(F.monotonically_increasing_id()).collect()]
+        assert got == [None if t is None else textwrap.shorten(t, w) for t in texts]
+
+
+def test_newest_exact_after_top_k(spark):
+    from fieldlink.operators import activity
+
+    tiles = spark.createDataFrame([(i, None, "S", f"title-number-{i} and-more words", "d", None) for i in range(50)],
+                                  "seq long, ts timestamp_ntz, service string, title string, description string, "
+                                  "image_url string")
+    top = activity.newest(tiles, 3, exact=True).collect()
+    assert [r.seq for r in top] == [49, 48, 47]
+    assert [r.title_short for r in top] == [textwrap.shorten(f"title-number-{i} and-more words", 32) for i in (49, 48, 47)]
