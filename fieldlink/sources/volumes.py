@@ -3,9 +3,10 @@
 Listings are walked by executors below the volume's top level (zero-length
 files included); the ``binaryFile`` source (``content`` pruned) is an option,
 but it leaves zero-length files out.
-Copies run in executors through ``mapInPandas`` with ``pyarrow.fs``, which
-speaks to local, HDFS and object-store paths alike; the manifest is
-repartitioned by destination so two copies to one path never race.
+Copies, reads and deletes run in executors through ``mapInPandas`` with
+``pyarrow.fs``, which speaks to local, HDFS and object-store paths alike; a
+manifest is de-duplicated map-side first, then grouped by destination so two
+copies to one path never race.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 from fieldlink.functions.paths import relative_to
 
 COPY_RESULT_SCHEMA = "src string, dst string, ok boolean, error string"
-
-
 LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint"
 
 
@@ -30,6 +29,14 @@ def _fs_and_path(p: str):
     return resolve(p)
 
 
+def _prefix(p: str) -> str:
+    """``file:`` for local paths, ``scheme://authority`` for URIs (as listings print paths)."""
+    if "://" not in p:
+        return "file:"
+    scheme, rest = p.split("://", 1)
+    return f"{scheme}://{rest.split('/', 1)[0]}"
+
+
 def _list_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
 
@@ -37,7 +44,7 @@ def _list_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for d in pdf["dir"]:
             f, root = _fs_and_path(d)
-            prefix = "file:" if "://" not in d else d.split("://", 1)[0] + "://" + d.split("://", 1)[1].split("/", 1)[0]
+            prefix = _prefix(d)
             for info in f.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
                 if info.type == pafs.FileType.File and not info.base_name.startswith(("_", ".")):
                     rows.append((prefix + info.path, info.mtime, info.size))
@@ -60,7 +67,7 @@ def list_volume(spark: SparkSession, path: str, method: str = "tree") -> DataFra
     from pyarrow import fs as pafs
 
     f, root = _fs_and_path(path)
-    prefix = "file:" if "://" not in path else path.split("://", 1)[0] + "://" + path.split("://", 1)[1].split("/", 1)[0]
+    prefix = _prefix(path)
     top = f.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True))
     files = [(prefix + i.path, i.mtime, i.size) for i in top
              if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
