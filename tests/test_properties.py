@@ -94,3 +94,28 @@ def test_download_and_response_routing_brute_force(spark, msgs, assets):
         if n in assets and assets[n][1]:
             want_copies[aid(n)] = want_copies.get(aid(n), 0) + 1
     assert got_copies == want_copies
+
+
+msg_st = st.lists(st.tuples(st.text(alphabet="abcé\"\\ {}:,x", max_size=12), st.sampled_from(["success", "failed", None]),
+                            st.integers(0, 5)), min_size=1, max_size=25)
+
+
+@settings(max_examples=8, deadline=None)
+@given(msg_st)
+def test_consume_and_malformed_partition_the_topic(spark, rows):
+    import json
+
+    from fieldlink.schemas import ASSET_MSG
+
+    log_rows, expect_ok = [], {}
+    for i, (title, status, cut) in enumerate(rows):
+        body = json.dumps({"title": title, "description": "d", "filename": "f", "assetID": f"a{i}", "status": status})
+        value = body[:-cut] if cut else body
+        log_rows.append((i, None, "HQ", "T", None, value))
+        if not cut:
+            expect_ok[i] = (title, status)
+    log = spark.createDataFrame(log_rows, TOPIC_LOG)
+    ok = {r.seq: (r.title, r.status) for r in topics.consume(log, "T", ASSET_MSG).collect()}
+    bad = {r.seq for r in topics.malformed(log, {"T": ASSET_MSG}).collect()}
+    assert ok == expect_ok
+    assert bad == set(range(len(rows))) - set(expect_ok)
