@@ -93,9 +93,12 @@ def _responses(spark, d):
 
 
 def _lifecycle(spark, d):
-    return edge.asset_lifecycle(_consume(spark, d, TOPIC_ASSET_BROADCAST), fix.stored_actions(spark, d, "click", SITES),
-                                fix.stored_actions(spark, d, "publication", SITES), fix.stored_listing(spark, d, "mirror", SITES),
-                                SITES)
+    return edge.asset_lifecycle(
+        _consume(spark, d, TOPIC_ASSET_BROADCAST),
+        fix.stored_actions(spark, d, "click", SITES),
+        fix.stored_actions(spark, d, "publication", SITES),
+        fix.stored_listing(spark, d, "mirror", SITES),
+        SITES)
 
 
 def _replica_obs(spark, d):
