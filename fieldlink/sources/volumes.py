@@ -81,6 +81,32 @@ def list_volume(spark: SparkSession, path: str, method: str = "tree") -> DataFra
     return here.unionByName(nested)
 
 
+def _stat_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        rows = []
+        for p in pdf["path"]:
+            try:
+                f, q = _fs_and_path(p)
+                info = f.get_file_info(q)
+            except Exception:  # unreachable store or bad path: treated as absent
+                continue
+            if info.type == pafs.FileType.File:
+                rows.append((_prefix(p) + q if "://" not in p else p, info.mtime, info.size))
+        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length"])
+
+
+def stat_files(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """Listing rows (``path, modificationTime, length``) for those of the given paths that exist.
+
+    Checks only the paths asked for, spread over executors, so a stage that
+    needs a few files' presence does not list a whole volume.
+    """
+    p = paths.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull()).dropDuplicates(["path"])
+    return p.mapInPandas(_stat_batches, LISTING_SCHEMA)
+
+
 def volume_usage(listings: dict[str, DataFrame]) -> DataFrame:
     """Files and bytes per volume: ``volume, n_files, bytes``."""
     parts = [df.select(F.lit(name).alias("volume"), "length") for name, df in listings.items()]

@@ -157,8 +157,11 @@ def start_download_service(spark: SparkSession, layout: Layout, trigger: dict |
     def batch(df: DataFrame, batch_id: int) -> None:
         msgs = topics.consume(df, TOPIC_IMAGEFEED, IMAGEFEED_MSG).persist()
         # Re-read per batch (fresh state), only the ids this batch needs.
-        current = docs.read_current(spark, layout.documents, ids=msgs)
-        planned = hq.plan_downloads(msgs, current, volumes.list_volume(spark, s.source_images), s).persist()
+        current = docs.read_current(spark, layout.documents, ids=msgs).persist()
+        # Presence of just this batch's source files (not a listing of the whole volume).
+        wanted = hq.plan_downloads(msgs, current, spark.createDataFrame([], volumes.LISTING_SCHEMA), s)
+        present = volumes.stat_files(wanted.filter(F.col("outcome") != "not_found"), "src")
+        planned = hq.plan_downloads(msgs, current, present, s).persist()
         manifest = hq.store_manifest(planned)
         copied = volumes.copy_files(manifest.select("src", "dst"))
         results = manifest.join(copied.select("src", "dst", "ok"), ["src", "dst"], "left") \
@@ -174,6 +177,7 @@ def start_download_service(spark: SparkSession, layout: Layout, trigger: dict |
         _write_batch(hq.download_deadletter(outcomes), f"{layout.deadletter}/download", batch_id)
         outcomes.unpersist()
         planned.unpersist()
+        current.unpersist()
         msgs.unpersist()
 
     return _start(src, "image_download", layout, spark, batch, trigger)
@@ -291,8 +295,12 @@ def compact_state(spark: SparkSession, path: str, key: str, keep=None) -> None:
 def asset_table(spark: SparkSession, layout: Layout) -> DataFrame:
     """Asset Viewer's view: every broadcast asset with its status, against the live mirror listing."""
     ensure_dirs(spark, layout.sites.edge_files, layout.asset_state)
-    listing = volumes.list_volume(spark, layout.sites.edge_files)
-    return edge.lifecycle_status(current_asset_state(spark, layout), listing, layout.sites)
+    state = current_asset_state(spark, layout)
+    # Only assets whose status hinges on the file (published since the last
+    # click) need a presence check; those paths are checked, not the volume.
+    unchecked = edge.lifecycle_status(state, spark.createDataFrame([], volumes.LISTING_SCHEMA), layout.sites)
+    present = volumes.stat_files(unchecked.filter(F.col("status") == "requested"), "path")
+    return edge.lifecycle_status(state, present, layout.sites)
 
 
 def record_clicks(spark: SparkSession, layout: Layout, clicks: DataFrame, batch_id: int) -> None:

@@ -204,3 +204,12 @@ def test_kafka_topics_are_gated(spark):
 
     with pytest.raises(RuntimeError, match="Kafka connector"):
         topics.read_topic_kafka(spark, "localhost:1", "IMAGEFEED", "HQ")
+
+
+def test_stat_files_only_existing(spark, tmp_path):
+    write(str(tmp_path / "v/a.jpg"), b"abc")
+    write(str(tmp_path / "v/e.jpg"), b"")
+    paths = spark.createDataFrame([(str(tmp_path / "v/a.jpg"),), (str(tmp_path / "v/e.jpg"),),
+                                   (str(tmp_path / "v/none.jpg"),), (str(tmp_path / "v/a.jpg"),)], "path string")
+    got = sorted((r.path, r.length) for r in volumes.stat_files(paths).collect())
+    assert got == [(f"file:{tmp_path}/v/a.jpg", 3), (f"file:{tmp_path}/v/e.jpg", 0)]
