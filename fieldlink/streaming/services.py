@@ -116,36 +116,66 @@ def _read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
 
 # --- HQ ------------------------------------------------------------------------
 
+def feed_batch(spark: SparkSession, layout: Layout, files: DataFrame, batch_id: int) -> None:
+    """One micro-batch of the feed service (idempotent: a retry rewrites the same folders)."""
+    from fieldlink.plans.ordering import with_position
+
+    files = files.persist()
+    _write_batch(feedsrc.bad_feed_files(files), f"{layout.deadletter}/feed_files", batch_id)
+    # Consecutive, retry-stable numbering: items ordered by (file, position in file).
+    df = with_position(hq.normalize_feed(feedsrc.explode_items(files)), [F.col("file"), F.col("item_pos")])
+    df = (df.withColumn("seq", F.lit(batch_id).cast("bigint") * F.lit(1 << _SEQ_SHIFT) + F.col("pos"))
+          .withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
+          .persist())
+    valid = df.filter(F.col("reason").isNull())
+    changes = valid.select(
+        F.col("assetID").alias("_id"), F.col("item.data").alias("data"), F.col("item.links").alias("links"),
+        F.lit(None).cast("string").alias("imageDownloadLocation"), F.lit(None).cast("string").alias("extra"),
+        "seq", F.lit(0).alias("rev"))
+    # Documents first: if the upsert fails the batch fails and nothing is published.
+    docs.upsert(layout.documents, changes, batch_id, producer="feed")
+    msgs = hq.feed_messages(valid, layout.sites, keep=("seq", "ts"))
+    topics.write_topic(topics.encode(msgs, TOPIC_IMAGEFEED, FEED_FIELDS, HQ), layout.topics,
+                       TOPIC_IMAGEFEED, batch_id)
+    _write_batch(df.filter(F.col("reason").isNotNull()).select(
+        "seq", F.lit("feed").alias("stage"), "reason"), f"{layout.deadletter}/feed", batch_id)
+    df.unpersist()
+    files.unpersist()
+
+
 def start_feed_service(spark: SparkSession, layout: Layout, feed_dir: str, trigger: dict | None = None):
     """IMAGE Feed: new feed files -> documents (first) -> IMAGEFEED messages."""
     src = feedsrc.read_feed_files(spark, feed_dir, streaming=True)
+    return _start(src, "image_feed", layout, spark, lambda df, bid: feed_batch(spark, layout, df, bid), trigger)
 
-    def batch(files: DataFrame, batch_id: int) -> None:
-        files = files.persist()
-        _write_batch(feedsrc.bad_feed_files(files), f"{layout.deadletter}/feed_files", batch_id)
-        from fieldlink.plans.ordering import with_position
-
-        # Consecutive, retry-stable numbering: items ordered by (file, position in file).
-        df = with_position(hq.normalize_feed(feedsrc.explode_items(files)), [F.col("file"), F.col("item_pos")])
-        df = (df.withColumn("seq", F.lit(batch_id).cast("bigint") * F.lit(1 << _SEQ_SHIFT) + F.col("pos"))
-              .withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
-              .persist())
-        valid = df.filter(F.col("reason").isNull())
-        changes = valid.select(
-            F.col("assetID").alias("_id"), F.col("item.data").alias("data"), F.col("item.links").alias("links"),
-            F.lit(None).cast("string").alias("imageDownloadLocation"), F.lit(None).cast("string").alias("extra"),
-            "seq", F.lit(0).alias("rev"))
-        # Documents first: if the upsert fails the batch fails and nothing is published.
-        docs.upsert(layout.documents, changes, batch_id, producer="feed")
-        msgs = hq.feed_messages(valid, layout.sites, keep=("seq", "ts"))
-        topics.write_topic(topics.encode(msgs, TOPIC_IMAGEFEED, FEED_FIELDS, HQ), layout.topics,
-                           TOPIC_IMAGEFEED, batch_id)
-        _write_batch(df.filter(F.col("reason").isNotNull()).select(
-            "seq", F.lit("feed").alias("stage"), "reason"), f"{layout.deadletter}/feed", batch_id)
-        df.unpersist()
-        files.unpersist()
-
-    return _start(src, "image_feed", layout, spark, batch, trigger)
+
+def download_batch(spark: SparkSession, layout: Layout, df: DataFrame, batch_id: int) -> None:
+    """One micro-batch of the download service (idempotent: a retry rewrites the same folders)."""
+    s = layout.sites
+    msgs = topics.consume(df, TOPIC_IMAGEFEED, IMAGEFEED_MSG).persist()
+    # Re-read per batch (fresh state), only the ids this batch needs.
+    current = docs.read_current(spark, layout.documents, ids=msgs).persist()
+    # Presence of just this batch's source files (not a listing of the whole volume).
+    wanted = hq.plan_downloads(msgs, current, spark.createDataFrame([], volumes.LISTING_SCHEMA), s)
+    present = volumes.stat_files(wanted.filter(F.col("outcome") != "not_found"), "src")
+    planned = hq.plan_downloads(msgs, current, present, s).persist()
+    manifest = hq.store_manifest(planned)
+    copied = volumes.copy_files(manifest.select("src", "dst"))
+    results = manifest.join(copied.select("src", "dst", "ok"), ["src", "dst"], "left") \
+        .select("seq", F.coalesce(F.col("ok"), F.lit(False)).alias("ok"))
+    _write_batch(results, layout.copies + "/download", batch_id)
+    stored = _read_batches(spark, f"{layout.copies}/download/batch={batch_id}", STORE_RESULT)
+    outcomes = hq.resolve_downloads(planned, stored).persist()
+    docs.upsert(layout.documents, hq.download_document_updates(outcomes, current), batch_id,
+                producer="download")
+    pub = hq.download_published(outcomes)
+    topics.write_topic(topics.encode(pub, TOPIC_IMAGE_DOWNLOAD, ASSET_FIELDS, HQ), layout.topics,
+                       TOPIC_IMAGE_DOWNLOAD, batch_id)
+    _write_batch(hq.download_deadletter(outcomes), f"{layout.deadletter}/download", batch_id)
+    outcomes.unpersist()
+    planned.unpersist()
+    current.unpersist()
+    msgs.unpersist()
 
 
 def start_download_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
@@ -153,34 +183,7 @@ def start_download_service(spark: SparkSession, layout: Layout, trigger: dict |
     s = layout.sites
     ensure_dirs(spark, f"{layout.topics}/{TOPIC_IMAGEFEED}", s.source_images)
     src = topics.read_topic(spark, layout.topics, TOPIC_IMAGEFEED, streaming=True)
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        msgs = topics.consume(df, TOPIC_IMAGEFEED, IMAGEFEED_MSG).persist()
-        # Re-read per batch (fresh state), only the ids this batch needs.
-        current = docs.read_current(spark, layout.documents, ids=msgs).persist()
-        # Presence of just this batch's source files (not a listing of the whole volume).
-        wanted = hq.plan_downloads(msgs, current, spark.createDataFrame([], volumes.LISTING_SCHEMA), s)
-        present = volumes.stat_files(wanted.filter(F.col("outcome") != "not_found"), "src")
-        planned = hq.plan_downloads(msgs, current, present, s).persist()
-        manifest = hq.store_manifest(planned)
-        copied = volumes.copy_files(manifest.select("src", "dst"))
-        results = manifest.join(copied.select("src", "dst", "ok"), ["src", "dst"], "left") \
-            .select("seq", F.coalesce(F.col("ok"), F.lit(False)).alias("ok"))
-        _write_batch(results, layout.copies + "/download", batch_id)
-        stored = _read_batches(spark, f"{layout.copies}/download/batch={batch_id}", STORE_RESULT)
-        outcomes = hq.resolve_downloads(planned, stored).persist()
-        docs.upsert(layout.documents, hq.download_document_updates(outcomes, current), batch_id,
-                    producer="download")
-        pub = hq.download_published(outcomes)
-        topics.write_topic(topics.encode(pub, TOPIC_IMAGE_DOWNLOAD, ASSET_FIELDS, HQ), layout.topics,
-                           TOPIC_IMAGE_DOWNLOAD, batch_id)
-        _write_batch(hq.download_deadletter(outcomes), f"{layout.deadletter}/download", batch_id)
-        outcomes.unpersist()
-        planned.unpersist()
-        current.unpersist()
-        msgs.unpersist()
-
-    return _start(src, "image_download", layout, spark, batch, trigger)
+    return _start(src, "image_download", layout, spark, lambda d, bid: download_batch(spark, layout, d, bid), trigger)
 
 
 def start_broadcast_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):

@@ -296,3 +296,28 @@ def test_lifecycle_state_table_equals_batch_and_expires(spark, env):
     assert sorted(os.listdir(edL.asset_state)) == ["batch=1", "batch=2"]
     folded = spark.read.parquet(f"{edL.asset_state}/batch=1")
     assert folded.count() > 0 and folded.filter("_b IS NULL").count() == 0
+
+
+def test_retried_batches_leave_the_same_output(spark, env):
+    """A micro-batch run twice with the same id (a retry) rewrites its folders: nothing doubles."""
+    from fieldlink.schemas import IMAGEFEED_MSG
+    from fieldlink.sources import documents as docs
+
+    sites, hqL, _edL, tmp = env
+    items = [("1", "Moon", "http://img/a/moon.jpg"), ("2", "Mars", "http://img/b/mars.jpg")]
+    for i, t, h in items:
+        write(f"{sites.source_images}/{rel(aid(i, h), h.rsplit('/', 1)[1])}", b"x")
+    feed_file(str(tmp / "feed/f1.json"), items)
+    from fieldlink.sources import feed as feedsrc
+
+    files = feedsrc.read_feed_files(spark, str(tmp / "feed"))
+    for _ in range(2):
+        svc.feed_batch(spark, hqL, files, 0)
+    feed_msgs = topics.read_topic(spark, hqL.topics, "IMAGEFEED")
+    assert feed_msgs.count() == 2
+    for _ in range(2):
+        svc.download_batch(spark, hqL, feed_msgs, 0)
+    assert topic_rows(spark, hqL.topics, "IMAGE_DOWNLOAD").count() == 2
+    assert docs.read_changelog(spark, hqL.documents).count() == 4  # 2 feed versions + 2 location updates
+    assert {r.imageDownloadLocation is not None for r in docs.read_current(spark, hqL.documents).collect()} == {True}
+    assert topics.consume(feed_msgs, "IMAGEFEED", IMAGEFEED_MSG).count() == 2
