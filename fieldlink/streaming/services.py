@@ -373,8 +373,9 @@ def start_counters_service(spark: SparkSession, layout: Layout, sources: dict[st
 
 
 def current_counters(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Newest count per service."""
     rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{layout.base}/counters")
-    return rows.groupBy("service").agg(F.max_by("n", "batch").alias("n"))
+    return _latest_by_batch(rows, "service").select("service", "n")
 
 
 def site_topic(spark: SparkSession, layout: Layout, topic: str) -> DataFrame:
@@ -469,9 +470,9 @@ def start_mirror_lag_service(spark: SparkSession, layout: Layout, trigger: dict
 
 
 def current_mirror_lag(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Newest lag per replica."""
     rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{layout.base}/mirror_lag")
-    return (rows.groupBy("replica").agg(F.max_by(F.struct("lag_s", "lag_text"), "batch").alias("_l"))
-            .select("replica", "_l.lag_s", "_l.lag_text"))
+    return _latest_by_batch(rows, "replica").select("replica", "lag_s", "lag_text")
 
 
 def site_tiles(spark: SparkSession, hq_layout: Layout, edge_layout: Layout) -> DataFrame:
