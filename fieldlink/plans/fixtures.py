@@ -6,9 +6,10 @@ listings, click and publication logs, copy results). Their one join (events
 to pages) fills in a message's own fields (title, URL, file name), as its
 producer would have. They do none of a stage's work: the lookups, routing,
 aggregation and state decisions are done by ``fieldlink.operators`` on top of
-them. The topic log, the documents and the listings are written once per
-session under ``spark.checkpoint.dir`` (``stored_*``) and read back through
-the library's own sources.
+them. The topic log, documents, change log, listings, action logs and the
+feed (as JSON files) are written once per session under
+``spark.checkpoint.dir`` (``stored_*``) and read back through the library's
+own sources.
 
 Mapping (one row of ``events`` is one message):
 
@@ -248,7 +249,7 @@ def listing(spark: SparkSession, d: str, which: str, sites: Sites = DEFAULT_SITE
         F.col("length").cast("bigint").alias("length"))
 
 
-STANDIN_VERSION = "6"
+STANDIN_VERSION = "7"
 
 
 def _stored(spark: SparkSession, d: str, sites: Sites, name: str, write) -> str:
@@ -327,3 +328,19 @@ def stored_actions(spark: SparkSession, d: str, kind: str, sites: Sites = DEFAUL
     if kind == "store":
         return rows.select("seq", "ok")
     return rows.select("seq", "ts", "assetID")
+
+
+def stored_feed_files(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:
+    """The stand-in feed written as JSON feed files (one ``collection`` per file),
+    to be read back by :func:`fieldlink.sources.feed.read_feed_files`."""
+    return _stored(spark, d, sites, "feed_files",
+                   lambda p: feed_files(spark, d).write.option("maxRecordsPerFile", 1).json(p))
+
+
+def stored_document_changes(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> DataFrame:
+    """The stand-in document change log, stored once."""
+    from fieldlink.schemas import DOCUMENT_CHANGE
+
+    path = _stored(spark, d, sites, "document_changes",
+                   lambda p: document_changes(spark, d).write.parquet(p))
+    return spark.read.schema(DOCUMENT_CHANGE).parquet(path)

@@ -78,7 +78,9 @@ def _documents(spark, d, ids=None):
 
 
 def _normalized_feed(spark, d):
-    return hq.normalize_feed(feedsrc.explode_items(fix.feed_files(spark, d)))
+    """Feed files read as JSON (declared schema), items exploded and normalized."""
+    files = feedsrc.read_feed_files(spark, fix.stored_feed_files(spark, d, SITES))
+    return hq.normalize_feed(feedsrc.explode_items(files))
 
 
 def _download_outcomes(spark, d):
@@ -146,7 +148,7 @@ def topic_consume(spark, d):
 
 def document_upsert(spark, d):
     """A4: every event as a whole-document write; newest version per id."""
-    cur = docs.current(fix.document_changes(spark, d))
+    cur = docs.current(fix.stored_document_changes(spark, d, SITES))
     return cur.select(F.col("_id").alias("assetID"), "seq",
                       F.get_json_object("extra", "$.k").cast("int").alias("k"))
 
