@@ -15,7 +15,10 @@ _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 def resolve(path: str):
     """``(filesystem, path inside it)`` for a Spark-style path."""
     if "://" not in path:
-        path = "file://" + (path[len("file:"):] if path.startswith("file:") else path)
+        import os
+
+        local = path[len("file:"):] if path.startswith("file:") else path
+        path = "file://" + os.path.abspath(local)
     scheme, rest = path.split("://", 1)
     return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
