@@ -128,3 +128,13 @@ def test_newest_exact_after_top_k(spark):
     top = activity.newest(tiles, 3, exact=True).collect()
     assert [r.seq for r in top] == [49, 48, 47]
     assert [r.title_short for r in top] == [textwrap.shorten(f"title-number-{i} and-more words", 32) for i in (49, 48, 47)]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(-10**9, 10**9), min_size=30, max_size=30))
+def test_timedelta_and_ms_random(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v bigint")
+    rows = {r.i: (r.t, r.s) for r in df.select("i", fx.timedelta_text("v").alias("t"),
+                                               fx.ms_to_seconds("v").alias("s")).collect()}
+    for i, v in enumerate(values):
+        assert rows[i] == (str(datetime.timedelta(seconds=v)), int(v / 1000))
