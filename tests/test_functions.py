@@ -138,3 +138,11 @@ def test_timedelta_and_ms_random(spark, values):
                                                fx.ms_to_seconds("v").alias("s")).collect()}
     for i, v in enumerate(values):
         assert rows[i] == (str(datetime.timedelta(seconds=v)), int(v / 1000))
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(max_size=15), min_size=20, max_size=20))
+def test_quote_plus_random_unicode(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r.q for r in df.select("i", fx.quote_plus("v").alias("q")).collect()}
+    assert got == {i: urllib.parse.quote_plus(v) for i, v in enumerate(values)}
