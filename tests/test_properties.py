@@ -119,3 +119,15 @@ def test_consume_and_malformed_partition_the_topic(spark, rows):
     bad = {r.seq for r in topics.malformed(log, {"T": ASSET_MSG}).collect()}
     assert ok == expect_ok
     assert bad == set(range(len(rows))) - set(expect_ok)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(0, 10**6), min_size=1, max_size=40), st.integers(1, 10**6))
+def test_expire_brute_force(spark, offsets, ttl):
+    from datetime import datetime, timedelta
+
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(seconds=o), "HQ", "T", None, "{}") for i, o in enumerate(offsets)]
+    got = sorted(r.seq for r in topics.expire(spark.createDataFrame(rows, TOPIC_LOG), ttl).collect())
+    newest = max(offsets)
+    assert got == sorted(i for i, o in enumerate(offsets) if o >= newest - ttl)
