@@ -131,3 +131,26 @@ def test_expire_brute_force(spark, offsets, ttl):
     got = sorted(r.seq for r in topics.expire(spark.createDataFrame(rows, TOPIC_LOG), ttl).collect())
     newest = max(offsets)
     assert got == sorted(i for i, o in enumerate(offsets) if o >= newest - ttl)
+
+
+tiles_st = st.lists(st.tuples(st.integers(0, 10**5), st.sampled_from(["Asset Viewer Service", "IMAGE Feed Service",
+                                                                        "Asset Response Service"])),
+                    min_size=1, max_size=40, unique_by=lambda t: t)
+
+
+@settings(max_examples=6, deadline=None)
+@given(tiles_st, st.integers(1, 5 * 10**4), st.integers(1, 10))
+def test_activity_newest_and_visible_brute_force(spark, tiles, ttl, n):
+    from datetime import datetime, timedelta
+
+    from fieldlink.operators import activity
+
+    base = datetime(2024, 1, 1)
+    rows = [(s, base + timedelta(seconds=s), svc, f"t{s}", "d", None) for s, svc in tiles]
+    df = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, service string, title string, "
+                                     "description string, image_url string")
+    top = [(r.seq, r.service) for r in activity.newest(df, n).collect()]
+    assert top == sorted(tiles, key=lambda t: (-t[0], t[1]))[:n]
+    vis = sorted((r.seq, r.service) for r in activity.visible(df, ttl).collect())
+    newest = max(s for s, _ in tiles)
+    assert vis == sorted(t for t in tiles if t[1] == "Asset Viewer Service" or t[0] >= newest - ttl)
