@@ -154,3 +154,23 @@ def test_activity_newest_and_visible_brute_force(spark, tiles, ttl, n):
     vis = sorted((r.seq, r.service) for r in activity.visible(df, ttl).collect())
     newest = max(s for s, _ in tiles)
     assert vis == sorted(t for t in tiles if t[1] == "Asset Viewer Service" or t[0] >= newest - ttl)
+
+
+changes_st = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 20), st.integers(0, 2),
+                                st.text(alphabet="xyz", min_size=1, max_size=3)),
+                      min_size=1, max_size=30, unique_by=lambda t: (t[0], t[1], t[2]))
+
+
+@settings(max_examples=8, deadline=None)
+@given(changes_st)
+def test_document_last_write_wins_brute_force(spark, changes):
+    from fieldlink.sources import documents as docs
+
+    rows = [(i, [(t, "d", None)], [("h",)], None, None, seq, rev) for i, seq, rev, t in changes]
+    df = spark.createDataFrame(rows, DOC_SCHEMA + ", seq long, rev int")
+    got = {r._id: (r.seq, r.rev, r.data[0].title) for r in docs.current(df).collect()}
+    want = {}
+    for i, seq, rev, t in changes:
+        if i not in want or (seq, rev) > want[i][:2]:
+            want[i] = (seq, rev, t)
+    assert got == want
