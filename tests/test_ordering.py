@@ -52,3 +52,21 @@ def test_helpers_on_empty_and_single_partition(spark):
     got = sorted(tuple(r) for r in with_previous(one, "key", "seq", "state", out="prev", partitions=1)
                  .select("key", "seq", "prev").collect())
     assert got == [("j", 5, None), ("k", 1, None), ("k", 2, "B")]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "k1", "k2"]), st.sampled_from(["A", "B", None])),
+                min_size=1, max_size=200), st.integers(1, 9))
+def test_helpers_random_against_windows(spark, rows, parts):
+    df = spark.createDataFrame([(k, i, v) for i, (k, v) in enumerate(rows)], "key string, seq long, state string")
+    got_prev = {(r.key, r.seq): r.prev for r in with_previous(df, "key", "seq", "state", out="prev",
+                                                              partitions=parts).collect()}
+    w = Window.partitionBy("key").orderBy("seq")
+    want_prev = {(r.key, r.seq): r.prev for r in df.select("key", "seq", F.lag("state").over(w).alias("prev")).collect()}
+    assert got_prev == want_prev
+    got_pos = {r.seq: r.pos for r in with_position(df, [F.col("seq").desc()], partitions=parts).collect()}
+    assert got_pos == {len(rows) - 1 - i: i + 1 for i in range(len(rows))}
