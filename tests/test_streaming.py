@@ -321,3 +321,18 @@ def test_retried_batches_leave_the_same_output(spark, env):
     assert docs.read_changelog(spark, hqL.documents).count() == 4  # 2 feed versions + 2 location updates
     assert {r.imageDownloadLocation is not None for r in docs.read_current(spark, hqL.documents).collect()} == {True}
     assert topics.consume(feed_msgs, "IMAGEFEED", IMAGEFEED_MSG).count() == 2
+
+
+def test_site_topic_batch_view_drops_duplicates(spark, env):
+    from datetime import datetime
+
+    from fieldlink.schemas import TOPIC_LOG
+
+    _sites, _hqL, edL, _tmp = env
+    row = lambda seq, origin: (seq, datetime(2024, 1, 1), origin, "ASSET_REQUEST", "a", "{}")
+    topics.write_topic(spark.createDataFrame([row(1, "EDGE"), row(2, "EDGE")], TOPIC_LOG), edL.topics,
+                       "ASSET_REQUEST", 0)
+    topics.write_topic(spark.createDataFrame([row(5, "HQ"), row(5, "HQ"), row(6, "HQ")], TOPIC_LOG), edL.replica,
+                       "ASSET_REQUEST", 0)
+    got = sorted((r.origin, r.seq) for r in svc.site_topic(spark, edL, "ASSET_REQUEST").collect())
+    assert got == [("EDGE", 1), ("EDGE", 2), ("HQ", 5), ("HQ", 6)]
