@@ -69,7 +69,7 @@ def segments_for(n: int, distance: int) -> int:
         near = sum(math.comb(width, e) for e in range(distance // m + 1))
         return m * (min(near, max(n, 1)) + near * n / 2.0**width)
 
-    return min(range(1, distance + 2), key=cost)
+    return min(range(1, distance // 2 + 2), key=cost)
 
 
 def rotated(fp: np.ndarray, by: int) -> np.ndarray:
