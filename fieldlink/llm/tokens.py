@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+
 #: Words kept per worker; a full cache starts anew.
-CACHE = 400_000
+CACHE = 700_000
 
 
 class WordEncoder:
-    """Ids of a tokenizer whose pre-tokenizer drops white space.
+    """Ids of a tokenizer whose pre-tokenizer drops white space and whose normaliser lower-cases.
 
     White space never joins what stands around it, so the ids of a text are
-    those of its words in order. Each word is encoded by the library
-    once and its ids kept as little-endian unsigned 32-bit bytes.
+    those of its words in order. Words not known yet are encoded by the
+    library together and kept as little-endian unsigned 32-bit bytes: words of
+    letters in one text, told apart by the pieces that end a word; others with
+    a special token between them. A word of letters and the full stop or comma
+    behind it are apart to the pre-tokenizer too, so their ids are joined.
     """
 
     def __init__(self, path: str):
@@ -21,24 +26,78 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.between, self.marker = max(special.items(), key=lambda x: x[1])
+        #: A word with one of these may hold a special token.
+        self.begins = {t[:2].encode() for t in special}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        # Lower-casing A-Z beforehand changes nothing where the normaliser does it anyway.
+        self.lowers = self._ids("Q") == self._ids("q")
+        stops = {c: self._ids(c.decode()) for c in (b".", b",")}
+        self.stops = {c: ids for c, ids in stops.items() if self._ids("qz" + c.decode()) == self._ids("qz") + ids}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _array(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _ids(self, text: str) -> bytes:
+        return self._array(text).tobytes()
 
-        split = [t.encode().split() for t in texts]
+    def _learn(self, words: set[bytes]) -> None:
+        known, letters, other, ended, odd = self.known, set(), [], [], []
+        stops, begins = self.stops, self.begins
+        for w in words:
+            if w[-1:] in stops and (stem := w[:-1]).decode().isalpha():
+                ended.append(w)
+                if stem not in known:
+                    letters.add(stem)
+            elif w.decode().isalpha():
+                letters.add(w)
+            elif any(m in w for m in begins):
+                odd.append(w)
+            else:
+                other.append(w)
+        for w in odd:
+            known[w] = self._ids(w.decode())
+        letters = list(letters)
+        for at in range(0, len(letters), 20_000):
+            some = letters[at : at + 20_000]
+            ids = self._array(b" ".join(some).decode())
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(some):  # not a word's end for each word
+                other += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, cut in zip(some, cuts):
+                known[w] = raw[4 * start : 4 * cut]
+                start = cut
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
+            ids = self._array(self.between.join([w.decode() for w in some]))
+            raw, start = ids.tobytes(), 0
+            for w, cut in zip(some, [*np.flatnonzero(ids == self.marker).tolist(), len(ids)], strict=True):
+                known[w] = raw[4 * start : 4 * cut]
+                start = cut + 1
+        for w in ended:
+            known[w] = known[w[:-1]] + stops[w[-1:]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        split = []
+        for t in texts:
+            raw = t.encode()
+            split.append((raw.lower() if self.lowers and not any(m in raw for m in self.begins) else raw).split())
         known, out = self.known, []
         # A few texts at a time: what one step needs is in the cache together.
         for k in range(0, len(split), 200):
             part = split[k : k + 200]
-            new = list({w for ws in part for w in ws if w not in known})
-            if new and len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({w for ws in part for w in ws})
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                for w, e in zip(some, found):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            new = {w for ws in part for w in ws if w not in known}
+            if new:
+                if len(known) + len(new) > CACHE:
+                    known.clear()
+                    new = {w for ws in part for w in ws}
+                self._learn(new)
             out += [b"".join(map(known.__getitem__, ws)) for ws in part]
         return out
 
