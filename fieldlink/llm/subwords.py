@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +75,7 @@ class Vocabulary:
         whatever follows. A word starts from the states it shares with the
         word before.
         """
+        ids, known, fits, longest = self.ids, self._fits, self.fits, self.longest
         last: list[str | None] = []  # the piece that ends at each character of the current path
         prior = ""
         for word in sorted(words):
@@ -83,38 +86,34 @@ class Vocabulary:
                 shared += 1
             del last[shared:]
             for end in range(shared + 1, len(word) + 1):
-                last.append(self._step(word, end, last))
+                found = None  # no piece boundary lies here
+                for start in range(end - longest if end > longest else 0, end):
+                    piece = word[start:end]
+                    if piece not in ids:
+                        if start == end - 1:
+                            found = piece  # outside the vocabulary: bytes, merged with nothing
+                        continue
+                    before = None
+                    if start:
+                        before = last[start - 1]
+                        if before is None:
+                            continue
+                        if before not in ids:
+                            before = None
+                    ok = known.get((before, piece))
+                    if ok or (ok is None and fits(before, piece)):
+                        found = piece
+                        break
+                last.append(found)
             out, end = [], len(word)
             while end:
                 piece = last[end - 1]
-                out.append([self.ids[piece]] if piece in self.ids else [self.byte[b] for b in piece.encode()])
+                out += [ids[piece]] if piece in ids else [self.byte[b] for b in reversed(piece.encode())]
                 end -= len(piece)
-            self.words[word] = np.array([i for p in reversed(out) for i in p], "<u4").tobytes()
+            out.reverse()
+            self.words[word] = array("I", out).tobytes()
             prior = word
 
-    def _step(self, word: str, end: int, last: list[str | None]) -> str | None:
-        """The last piece of the best segmentation of word[:end]; None while no piece boundary lies there."""
-        ids, fits = self.ids, self.fits
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece not in ids:
-                if start == end - 1:
-                    return piece  # outside the vocabulary: bytes, merged with nothing
-                continue
-            if start == 0:
-                if fits(None, piece):
-                    return piece
-            else:
-                before = last[start - 1]
-                if before is None:
-                    continue
-                if before not in ids:
-                    if fits(None, piece):
-                        return piece
-                elif fits(before, piece):
-                    return piece
-        return None
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts: the words of the marked text one after another."""
         marked = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
