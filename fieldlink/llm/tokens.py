@@ -6,8 +6,8 @@ import os
 
 import numpy as np
 
-#: Words kept per worker; a full cache starts anew.
-CACHE = 700_000
+#: Words kept per worker; of a full cache the shorter half stays, as short words come again more often.
+CACHE = 500_000
 
 
 class WordEncoder:
@@ -95,8 +95,10 @@ class WordEncoder:
             new = {w for ws in part for w in ws if w not in known}
             if new:
                 if len(known) + len(new) > CACHE:
+                    stay = sorted(known.items(), key=lambda x: len(x[0]))[: CACHE // 2]
                     known.clear()
-                    new = {w for ws in part for w in ws}
+                    known.update(stay)
+                    new = {w for ws in part for w in ws if w not in known}
                 self._learn(new)
             out += [b"".join(map(known.__getitem__, ws)) for ws in part]
         return out
