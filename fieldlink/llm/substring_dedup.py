@@ -79,9 +79,12 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 1, id_c
     """
     found = staged(units(docs, unit, min_words, id_col, text_col), "units")
     groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-    shared = staged(found.join(groups.drop("n"), ["h1", "h2"]), "shared-units")
+    # Written first: a join straight on an aggregate could not split a hot digest.
+    groups = staged(groups.drop("n"), "unit-groups")
+    shared = staged(found.join(groups, ["h1", "h2"]), "shared-units")
     first = shared.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h1", "h2").agg(
         F.min("row").alias("first_row"))
+    first = staged(first, "first-units")
     return shared.join(first, ["h1", "h2"], "left").where(
         (F.col("row") != F.col("first_row")) | F.col("again")).select("doc_id", "row", "start", "end")
 
