@@ -1,0 +1,14 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def llm(spark):
+    from fieldlink.session import ship_package
+
+    ship_package(spark)
+    return spark

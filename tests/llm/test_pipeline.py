@@ -1,0 +1,94 @@
+"""The pipeline against a version by hand, stage by stage, and the optional registration."""
+
+import os
+import re
+import string
+import sys
+from collections import Counter
+
+import pytest
+from llm_fixtures import SF01, words
+from test_dedup import classes, plain_fingerprint
+from test_text_operators import check_packed
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline  # noqa: E402
+from fieldlink.llm import pii, quality  # noqa: E402
+from fieldlink.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
+
+
+def lower(t):
+    return (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+
+
+@pytest.fixture(scope="module")
+def folder(llm, tmp_path_factory):
+    """The test documents with nulls, repeats and edited copies added."""
+    out = str(tmp_path_factory.mktemp("pipe"))
+    docs = llm.read.parquet(f"{SF01}/documents.parquet").limit(500)
+    more = [(90_001, None, "en", "x", None), (90_002, "", "en", "x", 0), (None, "Name a.b@c.example.org here", "en", None, 3)]
+    more += [(91_000 + k, words(80, 1) + f" {k} x{k}", "en", "x", None) for k in range(12)] * 2
+    docs.unionByName(llm.createDataFrame(more, docs.schema)).repartition(3).write.parquet(f"{out}/documents.parquet")
+    llm.read.parquet(f"{SF01}/labels.parquet").write.parquet(f"{out}/labels.parquet")
+    return out
+
+
+def test_stages_by_hand(llm, folder):
+    docs = llm.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    rows = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = rows(docs)
+        after = stage(llm, docs, folder)
+        if k == 0:
+            model = quality.fit(docs, llm.read.parquet(f"{folder}/labels.parquet"))
+            keep = lambda t: model.score(*quality._flat([quality.line_features(t)]))[0] >= 0.3
+            assert rows(after) == Counter({x: n for x, n in before.items() if keep(x[1])}) and sum(before.values()) > after.count()
+        elif k == 1:
+            first = {}
+            for i, t in before:
+                if i is not None:
+                    first[lower(t)] = min(i, first.get(lower(t), i))
+            want = {(first.get(lower(t)), lower(t)) for _, t in before}
+            assert Counter((i, lower(t)) for i, t in rows(after).elements()) == Counter(want)
+        elif k == 2:
+            fps = {x: plain_fingerprint(x[1]) for x in before}
+            root = classes(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 4)
+            least = {}
+            for (i, _), fp in fps.items():
+                if i is not None:
+                    least[root[fp]] = min(i, least.get(root[fp], i))
+            assert Counter(i for i, _ in rows(after).elements()) == Counter(least.get(root[r]) for r in set(root.values()))
+            assert sum(rows(after).values()) < sum(before.values())
+        elif k == 3:
+            w = pii.fit(docs)
+            assert rows(after) == Counter((i, None if t is None else pii.masked(t, pii.spans_of(t, w))) for i, t in before.elements())
+            assert after.where("text LIKE '%@%.example.%'").count() == 0
+            assert after.where("n_chars <> length(text)").count() == 0
+        else:
+            check_packed(after.collect(), list(before.elements()))
+            break
+        assert after.columns == columns
+        docs = corpus_pipeline.staged(after, "test-stage")
+
+
+def test_run_packs_what_the_stages_keep(llm, folder):
+    docs = llm.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.staged(stage(llm, docs, folder), "test-run")
+    check_packed(corpus_pipeline.run(llm, folder).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_stages_take_empty_tables(llm, folder):
+    docs = llm.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(llm, docs, folder).count() == 0
+
+
+def test_every_operator_is_registered_once():
+    import __spark_entry__ as E
+
+    for n in range(1, 11):
+        assert sum(bool(re.match(rf"op{n}_", k)) for k in QUERIES) == 1
+    assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
