@@ -18,6 +18,8 @@ from __future__ import annotations
 import argparse
 import time
 
+from pyspark.sql import functions as F
+
 from fieldlink.config import Sites
 
 
@@ -30,11 +32,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--hq-root")
     ap.add_argument("--edge-root")
     ap.add_argument("--source-images")
+    ap.add_argument("--checkpoint", help="folder of the services' positions (default: below --base)")
     ap.add_argument("--master", default=None)
     ap.add_argument("--once", action="store_true")
     a = ap.parse_args(argv)
 
-    from fieldlink.session import build_session
+    from fieldlink.config import EDGE, HQ
+    from fieldlink.session import build_session, ship_package
     from fieldlink.sources import volumes
     from fieldlink.streaming import services as svc
 
@@ -42,7 +46,8 @@ def main(argv: list[str] | None = None) -> None:
                             "source_images": a.source_images}.items() if v}
     sites = Sites(**kw)
     spark = build_session(a.master, app_name=f"fieldlink-{a.command}")
-    layout = svc.Layout(a.base, sites)
+    ship_package(spark)
+    layout = svc.Layout(a.base, sites, a.checkpoint)
     once = {"availableNow": True} if a.once else None
 
     if a.command in ("hq", "edge") and a.once:
@@ -64,6 +69,9 @@ def main(argv: list[str] | None = None) -> None:
                 steps.append(lambda: svc.start_replication(spark, layout, peer, "ASSET_REQUEST", "EDGE", once))
         for step in steps:
             step().awaitTermination()
+        site, foreign = (HQ, layout.replica) if a.command == "hq" else (EDGE, layout.replica)
+        for q in svc.start_deadletter_service(spark, layout, site, once, foreign).values():
+            q.awaitTermination()
     elif a.command in ("hq", "edge"):
         if a.command == "hq":
             qs = svc.start_hq(spark, layout, a.feed, svc.HQ_PERIOD, layout.replica)
@@ -82,8 +90,15 @@ def main(argv: list[str] | None = None) -> None:
             svc.stop_all(qs)
     elif a.command == "mirror":
         plan = volumes.mirror_diff(volumes.list_volume(spark, sites.hq_files), sites.hq_files,
-                                   volumes.list_volume(spark, sites.edge_files), sites.edge_files)
-        volumes.mirror_apply(plan, sites.edge_files, sites.hq_files).show(truncate=False)
+                                   volumes.list_volume(spark, sites.edge_files, missing_ok=True), sites.edge_files)
+        # The copies and deletes happen in this write, which runs every task.
+        log = f"{a.base}/mirror_runs/run={time.time_ns()}"
+        volumes.mirror_apply(plan, sites.edge_files, sites.hq_files).write.parquet(log)
+        done = spark.read.parquet(log)
+        for r in done.groupBy(F.when(F.col("src").isNull(), "delete").otherwise("copy").alias("action"), "ok").count().collect():
+            print(f"{r['action']}: {r['count']} {'done' if r['ok'] else 'failed'}")
+        for r in done.where("NOT ok").toLocalIterator():
+            print(r["dst"], r["error"])
     elif a.command == "init":
         from fieldlink.config import (TOPIC_ASSET_BROADCAST, TOPIC_ASSET_REQUEST, TOPIC_IMAGE_DOWNLOAD,
                                       TOPIC_IMAGEFEED)
@@ -98,9 +113,11 @@ def main(argv: list[str] | None = None) -> None:
         layouts = [layout] + ([svc.Layout(a.peer_base, sites)] if a.peer_base else [])
         catalog.drop_catalog(spark, layouts)
     elif a.command == "publish":
-        svc.publish_requests(spark, layout, int(time.time())).show(truncate=False)
+        for r in svc.publish_requests(spark, layout, int(time.time())).toLocalIterator():
+            print(r["assetID"], r["title"], sep="\t")
     else:
-        svc.asset_table(spark, layout).select("assetID", "title", "status").show(truncate=False)
+        for r in svc.asset_table(spark, layout).select("assetID", "title", "status").toLocalIterator():
+            print(r["assetID"], r["title"], r["status"], sep="\t")
     spark.stop()
 
 

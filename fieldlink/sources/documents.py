@@ -63,15 +63,18 @@ def read_current(spark: SparkSession, changelog_path: str, snapshot_path: str |
     if snapshot_path:
         changes = spark.read.schema(DOCUMENT_CHANGE).parquet(snapshot_path).unionByName(changes)
     if ids is not None:
-        changes = changes.join(ids.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull()),
-                               "_id", "left_semi")
+        changes = changes.join(_distinct_ids(ids, id_col), "_id", "left_semi")
     return current(changes)
 
 
 def lookup(documents: DataFrame, ids: DataFrame, id_col: str = "assetID") -> DataFrame:
     """Documents whose ``_id`` is among ``ids`` (absent ids give no row)."""
-    wanted = ids.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull())
-    return documents.join(wanted, "_id", "left_semi")
+    return documents.join(_distinct_ids(ids, id_col), "_id", "left_semi")
+
+
+def _distinct_ids(ids: DataFrame, id_col: str) -> DataFrame:
+    """Each id once: a popular id shrinks in every task before the shuffle, which a semi join's right side needs."""
+    return ids.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull()).distinct()
 
 
 def compact(spark: SparkSession, changelog_path: str, snapshot_path: str,

@@ -152,6 +152,19 @@ def malformed(log: DataFrame, schemas: dict[str, T.StructType]) -> DataFrame:
     return parts
 
 
+def unusable(log: DataFrame, topic: str, schema: T.StructType, needs: str | None = None) -> DataFrame:
+    """Rows of ``topic`` that no stage can use: ``seq, topic, origin, raw, reason``.
+
+    ``malformed`` rows do not decode; rows whose field ``needs`` is null are
+    ``no_<field>``.
+    """
+    reason = F.when(_is_bad(), F.lit("malformed"))
+    if needs:
+        reason = reason.when(F.col(f"_msg.{needs}").isNull(), F.lit(f"no_{needs}"))
+    df = _parse(subscribe(log, topic), schema).withColumn("reason", reason)
+    return df.filter(F.col("reason").isNotNull()).select("seq", "topic", "origin", F.col("value").alias("raw"), "reason")
+
+
 def encode(df: DataFrame, topic: str, fields: list[str], origin: str | Column,
            seq: str = "seq", ts: str = "ts", key: str | None = "assetID") -> DataFrame:
     """Turn rows into topic-log rows: JSON ``value`` from ``fields``."""

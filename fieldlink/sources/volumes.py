@@ -46,20 +46,23 @@ def _list_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             f, root = _fs_and_path(d)
             prefix = _prefix(d)
             for info in f.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
-                if info.type == pafs.FileType.File and not info.base_name.startswith(("_", ".")):
+                if info.type == pafs.FileType.File:
                     rows.append((prefix + info.path, info.mtime, info.size))
         yield pd.DataFrame(rows, columns=["path", "modificationTime", "length"])
 
 
-def list_volume(spark: SparkSession, path: str, method: str = "tree") -> DataFrame:
+def list_volume(spark: SparkSession, path: str, method: str = "tree", missing_ok: bool = False) -> DataFrame:
     """Recursive listing: ``path, modificationTime, length`` (paths as ``scheme:/...``).
 
     ``tree`` (default): the driver reads only the volume's top level; the
     sub-trees are walked by executors (``mapInPandas`` with ``pyarrow.fs``).
-    Zero-length files are included. ``pyarrow.fs`` must reach the store
+    Every file counts, whatever its name or length. A root that does not exist
+    is an error unless ``missing_ok``: an empty listing of a mistyped source
+    would make a mirror delete all it has. ``pyarrow.fs`` must reach the store
     (local, S3, GCS; HDFS through libhdfs). ``binaryFile``: Spark's file
     source with ``content`` pruned, which reaches any Hadoop store but holds
-    every file status on the driver and leaves zero-length files out.
+    every file status on the driver and leaves out zero-length files and
+    names that begin with ``_`` or ``.``.
     """
     if method == "binaryFile":
         return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -68,11 +71,9 @@ def list_volume(spark: SparkSession, path: str, method: str = "tree") -> DataFra
 
     f, root = _fs_and_path(path)
     prefix = _prefix(path)
-    top = f.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True))
-    files = [(prefix + i.path, i.mtime, i.size) for i in top
-             if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
-    dirs = [(prefix + i.path,) for i in top
-            if i.type == pafs.FileType.Directory and not i.base_name.startswith(("_", "."))]
+    top = f.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=missing_ok))
+    files = [(prefix + i.path, i.mtime, i.size) for i in top if i.type == pafs.FileType.File]
+    dirs = [(prefix + i.path,) for i in top if i.type == pafs.FileType.Directory]
     here = spark.createDataFrame(files, LISTING_SCHEMA)
     if not dirs:
         return here
@@ -89,9 +90,9 @@ def _stat_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in pdf["path"]:
             try:
                 f, q = _fs_and_path(p)
-                info = f.get_file_info(q)
-            except Exception:  # unreachable store or bad path: treated as absent
+            except ValueError:  # not a path at all, so no file stands there
                 continue
+            info = f.get_file_info(q)  # a store that can't be reached fails the task, and the batch retries
             if info.type == pafs.FileType.File:
                 rows.append((_prefix(p) + q if "://" not in p else p, info.mtime, info.size))
         yield pd.DataFrame(rows, columns=["path", "modificationTime", "length"])
@@ -104,7 +105,7 @@ def stat_files(paths: DataFrame, path_col: str = "path") -> DataFrame:
     needs a few files' presence does not list a whole volume.
     """
     p = paths.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull()).dropDuplicates(["path"])
-    return p.mapInPandas(_stat_batches, LISTING_SCHEMA)
+    return _spread(p, "path").mapInPandas(_stat_batches, LISTING_SCHEMA)
 
 
 def volume_usage(listings: dict[str, DataFrame]) -> DataFrame:
@@ -162,6 +163,16 @@ def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "ok": oks, "error": errs})
 
 
+def _spread(rows: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Deal file work to a fixed number of tasks.
+
+    A number given explicitly is not merged by AQE, which would judge the rows
+    by their few bytes, not by the files they stand for.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key)
+
+
 def copy_files(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
     """Copy each distinct ``(src, dst)``, overwriting; returns ``src, dst, ok, error``.
 
@@ -172,8 +183,7 @@ def copy_files(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
     # requests shrink to one row per task before any shuffle), then group the
     # distinct copies by destination so two copies to one path never race.
     m = m.dropDuplicates(["dst", "src"])
-    m = m.repartition(partitions, "dst") if partitions else m.repartition("dst")
-    return m.mapInPandas(_copy_batches, COPY_RESULT_SCHEMA)
+    return _spread(m, "dst", partitions).mapInPandas(_copy_batches, COPY_RESULT_SCHEMA)
 
 
 def mirror_diff(src: DataFrame, src_root: str, dst: DataFrame, dst_root: str,
@@ -219,7 +229,7 @@ def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def delete_files(paths: DataFrame, path_col: str = "dst") -> DataFrame:
     """Delete each distinct path; returns ``src (null), dst, ok, error``."""
     p = paths.select(F.col(path_col).alias("dst")).filter(F.col("dst").isNotNull())
-    return p.dropDuplicates(["dst"]).mapInPandas(_delete_batches, COPY_RESULT_SCHEMA)
+    return _spread(p.dropDuplicates(["dst"]), "dst").mapInPandas(_delete_batches, COPY_RESULT_SCHEMA)
 
 
 def mirror_apply(plan: DataFrame, dst_root: str, src_root: str, delete: bool = True) -> DataFrame:
@@ -260,5 +270,5 @@ def read_files(wanted: DataFrame, path_col: str = "path") -> DataFrame:
     the de-duplication's hash partitioning.
     """
     paths = wanted.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull())
-    return (paths.dropDuplicates(["path"])  # combined map-side: hot paths shrink before the shuffle
+    return (_spread(paths.dropDuplicates(["path"]), "path")  # combined map-side: hot paths shrink before the shuffle
             .mapInPandas(_read_batches_fn, "path string, content binary, error string"))

@@ -10,7 +10,8 @@ micro-batch leaves the same files. The two kinds never share a folder.
 ``trigger`` defaults to ``availableNow`` (drain what is there, then stop);
 :func:`start_hq` and :func:`start_edge` use the services' periods (2 s at HQ,
 3 s at the edge). Checkpoints live under ``<checkpoint root>/<service>``; the
-root defaults to ``spark.checkpoint.dir``.
+root defaults to a folder below the site's own base, so positions live as long
+as the site's data. A service that ran before refuses to start without them.
 
 ``seq`` is one logical clock per deployment: new feed items get
 ``batch_id << 32 | position`` (position in the micro-batch by file and item), derived
@@ -31,6 +32,7 @@ from fieldlink.config import (
     DEFAULT_SITES,
     EDGE,
     HQ,
+    STATUS_FAILED,
     TOPIC_ASSET_BROADCAST,
     TOPIC_ASSET_REQUEST,
     TOPIC_IMAGE_DOWNLOAD,
@@ -39,7 +41,6 @@ from fieldlink.config import (
 )
 from fieldlink.operators import edge, hq
 from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, IMAGEFEED_MSG, STORE_RESULT
-from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
 from fieldlink.sources import fs, topics, volumes
@@ -90,8 +91,18 @@ class Layout:
         return f"{self.base}/copies"
 
     def checkpoint(self, spark: SparkSession, name: str) -> str:
-        root = self.checkpoint_root or f"{ensure_checkpoint_dir(spark)}/streams"
-        return f"{root}/{self.base.strip('/').replace('/', '_')}/{name}"
+        """The service's position folder; an error if it is lost while its output is still there.
+
+        From an empty checkpoint a service would count its batches from 0 again
+        and overwrite, skip or repeat what it wrote before.
+        """
+        root = self.checkpoint_root or f"{self.base}/_positions"
+        path = f"{root}/{self.base.strip('/').replace('/', '_')}/{name}"
+        ran = f"{self.base}/_ran/{name}"
+        if fs.exists(ran) and not fs.exists(path):
+            raise RuntimeError(f"{name} ran on {self.base} before, but its checkpoint {path} is gone")
+        fs.mkdirs(path, ran)
+        return path
 
 
 def _start(df: DataFrame, name: str, layout: Layout, spark: SparkSession, batch_fn=None,
@@ -106,6 +117,43 @@ def ensure_dirs(spark: SparkSession, *paths: str) -> None:
     fs.mkdirs(*paths)
 
 
+#: What each site's services read, and how; undecodable rows of these topics are dead letters.
+def _consumed(site: str) -> dict[str, T.StructType]:
+    from fieldlink.config import TOPIC_AUDIT, TOPIC_REPLICA_INFO, TOPIC_VOLUME_INFO
+    from fieldlink.schemas import AUDIT_MSG, REPLICA_INFO_MSG, VOLUME_INFO_MSG
+
+    if site == HQ:
+        return {TOPIC_IMAGEFEED: IMAGEFEED_MSG, TOPIC_IMAGE_DOWNLOAD: ASSET_MSG, TOPIC_ASSET_REQUEST: ASSET_MSG}
+    return {TOPIC_ASSET_BROADCAST: ASSET_MSG, TOPIC_AUDIT: AUDIT_MSG, TOPIC_REPLICA_INFO: REPLICA_INFO_MSG,
+            TOPIC_VOLUME_INFO: VOLUME_INFO_MSG}
+
+
+def start_deadletter_service(spark: SparkSession, layout: Layout, site: str, trigger: dict | None = None,
+                             replicated: str | None = None) -> dict:
+    """Streaming queries that keep what the services can't use, one per topic the site consumes.
+
+    ``<deadletter>/messages/<topic>`` gets ``seq, topic, origin, raw, reason``:
+    rows whose JSON does not decode (``malformed``) and, of IMAGE_DOWNLOAD,
+    records without a status (``no_status``). ``replicated`` is the folder of
+    the topic that comes from the other site. Exactly-once through the file
+    sink; with the services' own outputs every row in is a row out or a dead
+    letter.
+    """
+    queries = {}
+    for topic, schema in _consumed(site).items():
+        foreign = topic == (TOPIC_ASSET_REQUEST if site == HQ else TOPIC_ASSET_BROADCAST)
+        base = replicated if foreign and replicated else layout.topics
+        ensure_dirs(spark, f"{base}/{topic}")
+        src = topics.read_topic(spark, base, topic, streaming=True)
+        bad = topics.unusable(src, topic, schema, needs="status" if topic == TOPIC_IMAGE_DOWNLOAD else None)
+        name = f"deadletter_{topic.lower()}"
+        queries[name] = (bad.writeStream.format("parquet").queryName(name).outputMode("append")
+                         .option("checkpointLocation", layout.checkpoint(spark, name))
+                         .trigger(**(trigger or {"availableNow": True}))
+                         .start(f"{layout.deadletter}/messages/{topic}"))
+    return queries
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -168,10 +216,13 @@ def download_batch(spark: SparkSession, layout: Layout, df: DataFrame, batch_id:
     outcomes = hq.resolve_downloads(planned, stored).persist()
     docs.upsert(layout.documents, hq.download_document_updates(outcomes, current), batch_id,
                 producer="download")
-    pub = hq.download_published(outcomes)
+    # A failed copy publishes nothing: there is no file to announce. Its dead letter says why.
+    pub = hq.download_published(outcomes.filter(F.col("outcome") != STATUS_FAILED))
     topics.write_topic(topics.encode(pub, TOPIC_IMAGE_DOWNLOAD, ASSET_FIELDS, HQ), layout.topics,
                        TOPIC_IMAGE_DOWNLOAD, batch_id)
-    _write_batch(hq.download_deadletter(outcomes), f"{layout.deadletter}/download", batch_id)
+    unstored = outcomes.filter(F.col("outcome") == STATUS_FAILED).select(
+        "seq", "assetID", F.lit("store_failed").alias("reason"))
+    _write_batch(hq.download_deadletter(outcomes).unionByName(unstored), f"{layout.deadletter}/download", batch_id)
     outcomes.unpersist()
     planned.unpersist()
     current.unpersist()
@@ -209,11 +260,18 @@ def start_response_service(spark: SparkSession, layout: Layout, trigger: dict |
         responses = hq.asset_response(msgs, current, s).persist()
         manifest = hq.response_copies(responses)
         copied = volumes.copy_files(manifest.select("src", "dst"))
-        _write_batch(manifest.join(copied.select("src", "dst", "ok", "error"), ["src", "dst"], "left"),
-                     f"{layout.copies}/response", batch_id)
-        _write_batch(hq.response_deadletter(responses), f"{layout.deadletter}/response", batch_id)
-        _write_batch(responses.filter(F.col("reason").isNull())
+        results = manifest.join(copied.select("src", "dst", "ok", "error"), ["src", "dst"], "left")
+        _write_batch(results, f"{layout.copies}/response", batch_id)
+        # The copies' outcomes as written: reading them does not copy again.
+        stored = _read_batches(spark, f"{layout.copies}/response/batch={batch_id}", results.schema)
+        stored = stored.select("src", "dst", F.coalesce("ok", F.lit(False)).alias("stored"))
+        settled = responses.join(stored, ["src", "dst"], "left").withColumn("reason", F.when(
+            F.col("reason").isNull() & ~F.coalesce("stored", F.lit(False)), F.lit("store_failed")).otherwise(F.col("reason")))
+        settled = settled.persist()
+        _write_batch(hq.response_deadletter(settled), f"{layout.deadletter}/response", batch_id)
+        _write_batch(settled.filter(F.col("reason").isNull())
                      .select("seq", "ts", "assetID", "msg_title", "reason"), f"{layout.base}/responses", batch_id)
+        settled.unpersist()
         responses.unpersist()
 
     return _start(src, "asset_response", layout, spark, batch, trigger)
@@ -244,8 +302,7 @@ def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topic
     def batch(df: DataFrame, batch_id: int) -> None:
         delta = edge.lifecycle_fold(df).persist()
         state_schema = T.StructType(delta.schema.fields + [T.StructField("batch", T.LongType(), True)])
-        earlier = (spark.read.schema(state_schema).option("recursiveFileLookup", "true")
-                   .parquet(layout.asset_state).filter(F.col("batch") < batch_id))
+        earlier = read_state(spark, layout.asset_state, state_schema).filter(F.col("batch") < batch_id)
         # Only the touched assets' history is aggregated (semi join first).
         touched = earlier.join(delta.select("assetID"), "assetID", "left_semi")
         before = _latest_by_batch(touched, "assetID").drop("batch")
@@ -263,36 +320,52 @@ def _latest_by_batch(rows: DataFrame, key: str) -> DataFrame:
 
 def current_asset_state(spark: SparkSession, layout: Layout) -> DataFrame:
     """Newest aggregate row per asset (the update-mode output of every batch so far)."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(layout.asset_state)
+    rows = read_state(spark, layout.asset_state)
     return _latest_by_batch(rows, "assetID").drop("batch")
 
 
+def _state_folders(path: str) -> tuple[int, list[int], list[int]]:
+    """Newest complete fold (-1: none), batch ids, fold ids."""
+    names = [name for name, is_dir in fs.list_dir(path) if is_dir]
+    batches, folds = (sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{kind}=")) for kind in ("batch", "fold"))
+    done = max((n for n in folds if fs.exists(f"{path}/fold={n}/_SUCCESS")), default=-1)
+    return done, batches, folds
+
+
+def read_state(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Rows of an update-mode output: the newest complete fold and the batches after it."""
+    done, batches, _ = _state_folders(path)
+    folders = [f"{path}/fold={done}"] * (done >= 0) + [f"{path}/batch={n}" for n in batches if n > done]
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return (reader.schema(schema) if schema is not None else reader).parquet(*(folders or [path]))
+
+
 def compact_state(spark: SparkSession, path: str, key: str, keep=None) -> None:
-    """Fold the older ``batch=<id>/`` folders of an update-mode output into one.
-
-    Readers take the newest row per key, so replacing those folders by their
-    newest rows (tagged with the newest folded batch id) changes nothing they
-    see and bounds their cost by the number of keys. The newest folder is left
-    alone: it may be in progress or be retried, while older batches are
-    committed and never rerun. Safe to run beside the stream. ``keep`` (a
-    Column over the state's columns) drops rows while folding, e.g. assets
-    idle for too long.
+    """Fold the older ``batch=<id>/`` folders of an update-mode output into ``fold=<id>/``.
+
+    Readers (:func:`read_state`) take the newest complete fold and the batches
+    after it, so they switch when the fold's ``_SUCCESS`` appears. Nothing is
+    renamed, and folded folders are deleted only by the next call: a failure at
+    any step leaves every row readable, and a reader that listed the older
+    files can still finish. The newest batch folder is left alone;
+    it may be in progress or be retried. ``keep`` (a Column over the state's
+    columns) drops rows while folding, e.g. assets idle for too long.
     """
-    found = sorted((int(name.split("=", 1)[1]), f"{path}/{name}") for name, is_dir in fs.list_dir(path)
-                   if is_dir and name.startswith("batch="))
-    olds = found[:-1]
-    if len(olds) < 2:
+    done, batches, folds = _state_folders(path)
+    for n in batches:
+        if n <= done:
+            fs.delete_dir(f"{path}/batch={n}")
+    for n in folds:
+        if n < done:
+            fs.delete_dir(f"{path}/fold={n}")
+    olds = [n for n in batches if n > done][:-1]
+    if not olds or len(olds) + (done >= 0) < 2:
         return
-    last = olds[-1][0]
-    snap = f"{path}/_compacting"
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(*[p for _, p in olds])
-    folded = _latest_by_batch(rows, key)
+    sources = [f"{path}/batch={n}" for n in olds] + [f"{path}/fold={done}"] * (done >= 0)
+    folded = _latest_by_batch(spark.read.option("recursiveFileLookup", "true").parquet(*sources), key)
     if keep is not None:
         folded = folded.filter(keep)
-    folded.withColumn("batch", F.lit(last).cast("bigint")).write.mode("overwrite").parquet(snap)
-    for _, p in olds:  # readers skip "_" folders, so the snapshot is invisible until renamed
-        fs.delete_dir(p)
-    fs.rename(snap, f"{path}/batch={last}")
+    folded.withColumn("batch", F.lit(olds[-1]).cast("bigint")).write.mode("overwrite").parquet(f"{path}/fold={olds[-1]}")
 
 
 def asset_table(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -313,12 +386,16 @@ def record_clicks(spark: SparkSession, layout: Layout, clicks: DataFrame, batch_
 
 
 def publish_requests(spark: SparkSession, layout: Layout, batch_id: int) -> DataFrame:
-    """Asset Request: publish every ``requesting...`` asset once per run.
+    """Asset Request: publish every ``requesting...`` asset once per click.
 
-    Writes the ASSET_REQUEST messages and the publication log (which turns
+    The asset state lags behind what was published, so clicks whose
+    publication is already logged are left out. Writes the ASSET_REQUEST messages and the publication log (which turns
     the assets into ``requested``). Returns what was published.
     """
     pending = edge.request_publish(asset_table(spark, layout), extra=("description", "filename", "c_seq"))
+    ensure_dirs(spark, layout.publications)
+    logged = _read_batches(spark, layout.publications, ASSET_ACTION).select("assetID", F.col("seq").alias("c_seq"))
+    pending = pending.join(logged.distinct(), ["assetID", "c_seq"], "left_anti")
     rows = pending.select("assetID", "title", "description", "filename", "status",
                           F.col("c_seq").alias("seq"),
                           F.current_timestamp().cast("timestamp_ntz").alias("ts")).persist()
@@ -374,7 +451,7 @@ def start_counters_service(spark: SparkSession, layout: Layout, sources: dict[st
 
 def current_counters(spark: SparkSession, layout: Layout) -> DataFrame:
     """Newest count per service."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{layout.base}/counters")
+    rows = read_state(spark, f"{layout.base}/counters")
     return _latest_by_batch(rows, "service").select("service", "n")
 
 
@@ -397,8 +474,8 @@ def start_replica_monitor(spark: SparkSession, layout: Layout, trigger: dict | N
     replica from earlier batches, then runs the same skew-safe
     :func:`~fieldlink.plans.ordering.with_previous` as the batch query: a hot
     replica is spread over range partitions instead of one task (a first run
-    can hold the whole backlog in one micro-batch). Rows older than the
-    replica's last seen seq are late and skipped. Changes go to
+    can hold the whole backlog in one micro-batch). Rows not newer than the
+    replica's last seen seq are late and go to the dead letter. Changes go to
     ``<base>/replica_changes``, the last states to ``<base>/replica_last``;
     both are written per batch id, so a retried batch rewrites the same files
     and reads only earlier batches' state.
@@ -416,12 +493,15 @@ def start_replica_monitor(spark: SparkSession, layout: Layout, trigger: dict | N
     last_schema = "replica string, seq long, state string, batch long"
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        earlier = (spark.read.schema(last_schema).option("recursiveFileLookup", "true").parquet(last_path)
+        earlier = (read_state(spark, last_path, last_schema)
                    .filter(F.col("batch") < batch_id)
-                   .join(df.select("replica"), "replica", "left_semi"))  # only replicas in this batch
+                   .join(df.select("replica").distinct(), "replica", "left_semi"))  # only replicas in this batch
         last = _latest_by_batch(earlier, "replica").select("replica", F.col("seq").alias("_last_seq"),
                                                            F.col("state").alias("_last_state"))
-        new = (df.join(last, "replica", "left")
+        seen = df.join(last, "replica", "left")
+        _write_batch(seen.filter(F.col("seq") <= F.col("_last_seq")).select(
+            "replica", "seq", "state", F.lit("late").alias("reason")), f"{layout.deadletter}/replica", batch_id)
+        new = (seen
                .filter(F.col("_last_seq").isNull() | (F.col("seq") > F.col("_last_seq")))
                .select("replica", "seq", "state", F.lit(False).alias("_seed")))
         seeds = last.select("replica", F.col("_last_seq").alias("seq"), F.col("_last_state").alias("state"),
@@ -471,7 +551,7 @@ def start_mirror_lag_service(spark: SparkSession, layout: Layout, trigger: dict
 
 def current_mirror_lag(spark: SparkSession, layout: Layout) -> DataFrame:
     """Newest lag per replica."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{layout.base}/mirror_lag")
+    rows = read_state(spark, f"{layout.base}/mirror_lag")
     return _latest_by_batch(rows, "replica").select("replica", "lag_s", "lag_text")
 
 
@@ -514,6 +594,7 @@ def start_hq(spark: SparkSession, layout: Layout, feed_dir: str, trigger: dict |
         "image_download": start_download_service(spark, layout, trigger),
         "asset_broadcast": start_broadcast_service(spark, layout, trigger),
         "asset_response": start_response_service(spark, layout, trigger, request_topics),
+        **start_deadletter_service(spark, layout, HQ, trigger, request_topics),
     }
 
 
@@ -527,6 +608,7 @@ def start_edge(spark: SparkSession, layout: Layout, broadcast_topics: str,
         "audit_listener": start_audit_listener(spark, layout, trigger),
         "replica_monitor": start_replica_monitor(spark, layout, trigger),
         "mirror_lag": start_mirror_lag_service(spark, layout, trigger),
+        **start_deadletter_service(spark, layout, EDGE, trigger, broadcast_topics),
     }
 
 

@@ -262,11 +262,15 @@ def test_compact_state_keeps_newest(spark, tmp_path):
             .write.parquet(f"{path}/batch={b}")
     before = sorted(tuple(r) for r in svc._latest_by_batch(spark.read.option("recursiveFileLookup", "true")
                                                             .parquet(path), "assetID").drop("batch").collect())
+    now = lambda: sorted(tuple(r) for r in svc._latest_by_batch(
+        svc.read_state(spark, path), "assetID").drop("batch").collect())
     svc.compact_state(spark, path, "assetID")
-    assert sorted(os.listdir(path)) == ["batch=2", "batch=3"]  # the newest folder is left alone
-    after = sorted(tuple(r) for r in svc._latest_by_batch(spark.read.option("recursiveFileLookup", "true")
-                                                           .parquet(path), "assetID").drop("batch").collect())
-    assert before == after == [("a", 2), ("b", 1), ("c", 6)]
+    # Folded folders stay until the next call finds the fold complete; the newest is left alone.
+    assert sorted(os.listdir(path)) == ["batch=0", "batch=1", "batch=2", "batch=3", "fold=2"]
+    assert before == now() == [("a", 2), ("b", 1), ("c", 6)]
+    svc.compact_state(spark, path, "assetID")
+    assert sorted(os.listdir(path)) == ["batch=3", "fold=2"]
+    assert now() == before
 
 
 def test_lifecycle_state_table_equals_batch_and_expires(spark, env):
@@ -293,8 +297,8 @@ def test_lifecycle_state_table_equals_batch_and_expires(spark, env):
         f"{edL.asset_state}/batch=0", f"{edL.asset_state}/batch=1")
     assert before.filter("_b IS NULL").count() > 0  # clicks on assets never broadcast
     svc.compact_state(spark, edL.asset_state, "assetID", keep=F.col("_b").isNotNull())
-    assert sorted(os.listdir(edL.asset_state)) == ["batch=1", "batch=2"]
-    folded = spark.read.parquet(f"{edL.asset_state}/batch=1")
+    assert sorted(os.listdir(edL.asset_state)) == ["batch=0", "batch=1", "batch=2", "fold=1"]
+    folded = spark.read.parquet(f"{edL.asset_state}/fold=1")
     assert folded.count() > 0 and folded.filter("_b IS NULL").count() == 0
 
 
