@@ -8,6 +8,8 @@ import numpy as np
 
 #: Words kept per worker; of a full cache the shorter half stays, as short words come again more often.
 CACHE = 500_000
+#: Bytes of the longest word that is kept.
+LONG = 12
 
 
 class WordEncoder:
@@ -23,9 +25,13 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.plain, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        # Lower-case ASCII words of letters need no normalising and are one word each to the pre-tokenizer.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.between, self.marker = max(special.items(), key=lambda x: x[1])
         #: A word with one of these may hold a special token.
@@ -34,44 +40,54 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         # Lower-casing A-Z beforehand changes nothing where the normaliser does it anyway.
-        self.lowers = self._ids("Q") == self._ids("q")
+        sample = "quick brown zebras"
+        self.lowers = self._ids("Q") == self._ids("q") and (self._array(sample, self.plain) == self._array(sample)).all()
         stops = {c: self._ids(c.decode()) for c in (b".", b",")}
         self.stops = {c: ids for c, ids in stops.items() if self._ids("qz" + c.decode()) == self._ids("qz") + ids}
 
-    def _array(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _array(self, text: str, tokenizer=None) -> np.ndarray:
+        found = (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4")
 
     def _ids(self, text: str) -> bytes:
         return self._array(text).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        known, letters, other, ended, odd = self.known, set(), [], [], []
-        stops, begins = self.stops, self.begins
+        known, stops, begins = self.known, self.stops, self.begins
+        letters, wide, other, ended, odd = set(), set(), [], [], []
         for w in words:
-            if w[-1:] in stops and (stem := w[:-1]).decode().isalpha():
-                ended.append(w)
+            stem = w[:-1] if w[-1:] in stops else w
+            if stem.isalpha() and stem.islower():  # of bytes: ASCII letters
                 if stem not in known:
                     letters.add(stem)
-            elif w.decode().isalpha():
-                letters.add(w)
+            elif stem.decode().isalpha():
+                if stem not in known:
+                    wide.add(stem)
             elif any(m in w for m in begins):
                 odd.append(w)
+                continue
             else:
                 other.append(w)
+                continue
+            if stem is not w:
+                ended.append(w)
         for w in odd:
             known[w] = self._ids(w.decode())
-        letters = list(letters)
-        for at in range(0, len(letters), 20_000):
-            some = letters[at : at + 20_000]
-            ids = self._array(b" ".join(some).decode())
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) != len(some):  # not a word's end for each word
-                other += some
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, cut in zip(some, cuts):
-                known[w] = raw[4 * start : 4 * cut]
-                start = cut
+        if not self.lowers:
+            wide |= letters
+            letters = set()
+        for tokenizer, group in ((self.plain, list(letters)), (self.tokenizer, list(wide))):
+            for at in range(0, len(group), 20_000):
+                some = group[at : at + 20_000]
+                ids = self._array(b" ".join(some).decode(), tokenizer)
+                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cuts) != len(some):  # not a word's end for each word
+                    other += some
+                    continue
+                raw, start = ids.tobytes(), 0
+                for w, cut in zip(some, cuts):
+                    known[w] = raw[4 * start : 4 * cut]
+                    start = cut
         for at in range(0, len(other), 20_000):
             some = other[at : at + 20_000]
             ids = self._array(self.between.join([w.decode() for w in some]))
@@ -101,6 +117,9 @@ class WordEncoder:
                     new = {w for ws in part for w in ws if w not in known}
                 self._learn(new)
             out += [b"".join(map(known.__getitem__, ws)) for ws in part]
+            for w in new:  # a long word hardly comes again
+                if len(w) > LONG:
+                    known.pop(w, None)
         return out
 
 
