@@ -25,7 +25,6 @@ from fieldlink.config import (
 )
 from fieldlink import functions as fx
 from fieldlink.operators import activity, edge, hq, monitor
-from fieldlink.operators.deadletter import malformed_messages as _malformed
 from fieldlink.plans import fixtures as fix
 from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.schemas import (
@@ -299,7 +298,7 @@ def topic_retention(spark, d):
 
 def malformed_messages(spark, d):
     """Messages whose JSON does not decode."""
-    return _malformed(_log(spark, d), TOPIC_SCHEMAS).select("seq", "topic")
+    return topics.malformed(_log(spark, d), TOPIC_SCHEMAS).select("seq", "topic")
 
 
 # --- activity -----------------------------------------------------------------

@@ -184,11 +184,12 @@ def write_topic_log(rows: DataFrame, base: str, mode: str = "errorifexists", by_
 
     With ``by_day`` each topic folder holds ``dt=<date>/`` folders: retention
     drops whole days and readers of recent data prune the rest. Rows are
-    clustered by the partition columns first, so each folder gets few files.
+    rebalanced by the partition columns first, so each folder gets few files and
+    AQE splits a topic-day that is larger than a task should write.
     """
     if by_day:
         rows = rows.withColumn("dt", F.to_date("ts"))
-        rows.repartition("topic", "dt").write.mode(mode).partitionBy("topic", "dt").parquet(base)
+        rows.hint("rebalance", "topic", "dt").write.mode(mode).partitionBy("topic", "dt").parquet(base)
     else:
         rows.write.mode(mode).partitionBy("topic").parquet(base)
 

@@ -41,6 +41,7 @@ from fieldlink.config import (
 )
 from fieldlink.operators import edge, hq
 from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, IMAGEFEED_MSG, STORE_RESULT
+from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
 from fieldlink.sources import fs, topics, volumes
@@ -176,9 +177,18 @@ def feed_batch(spark: SparkSession, layout: Layout, files: DataFrame, batch_id:
           .withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
           .persist())
     valid = df.filter(F.col("reason").isNull())
-    changes = valid.select(
+    # An item that comes again unchanged keeps the location its file is already stored at.
+    # Checkpointed, as a retry overwrites this batch's own folder of the changelog.
+    ensure_checkpoint_dir(spark)
+    earlier = docs.read_changelog(spark, layout.documents).filter(F.col("seq") < F.lit(batch_id << _SEQ_SHIFT))
+    stored = docs.lookup(earlier, valid)
+    stored = docs.current(stored).select(
+        F.col("_id").alias("assetID"), F.col("data").alias("_data"), F.col("links").alias("_links"),
+        F.col("imageDownloadLocation").alias("_location")).checkpoint(eager=True)
+    same = F.col("item.data").eqNullSafe(F.col("_data")) & F.col("item.links").eqNullSafe(F.col("_links"))
+    changes = valid.join(stored, "assetID", "left").select(
         F.col("assetID").alias("_id"), F.col("item.data").alias("data"), F.col("item.links").alias("links"),
-        F.lit(None).cast("string").alias("imageDownloadLocation"), F.lit(None).cast("string").alias("extra"),
+        F.when(same, F.col("_location")).alias("imageDownloadLocation"), F.lit(None).cast("string").alias("extra"),
         "seq", F.lit(0).alias("rev"))
     # Documents first: if the upsert fails the batch fails and nothing is published.
     docs.upsert(layout.documents, changes, batch_id, producer="feed")

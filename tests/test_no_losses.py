@@ -137,3 +137,27 @@ def test_a_hot_asset_shrinks_before_the_lookup(spark):
     msgs = spark.range(1000).select(F.lit("hot").alias("assetID"))
     plan = documents.lookup(docs, msgs)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and documents.lookup(docs, msgs).count() == 1
+
+
+def test_an_unchanged_item_keeps_its_location(spark, tmp_path):
+    import json
+
+    from fieldlink.sources import feed as feedsrc
+
+    layout = svc.Layout(str(tmp_path / "hq"))
+    item = lambda title: {"data": [{"title": title, "description": "d", "item_id": "1"}], "links": [{"href": "http://i/a.jpg"}]}
+    (tmp_path / "feed").mkdir()
+
+    def ingest(batch, title):
+        (tmp_path / "feed/f.json").write_text(json.dumps({"collection": {"items": [item(title)]}}))
+        svc.feed_batch(spark, layout, feedsrc.read_feed_files(spark, str(tmp_path / "feed")), batch)
+        return documents.read_current(spark, layout.documents).collect()[0]
+
+    first = ingest(0, "Moon")
+    located = documents.read_changelog(spark, layout.documents).withColumn("imageDownloadLocation", F.lit("/at/a.jpg")) \
+        .withColumn("rev", F.lit(1))
+    documents.upsert(layout.documents, spark.createDataFrame(located.collect(), documents.DOCUMENT_CHANGE), 0, producer="download")
+    assert first["imageDownloadLocation"] is None
+    for _ in range(2):  # the second time as a retry
+        assert ingest(1, "Moon")["imageDownloadLocation"] == "/at/a.jpg"
+    assert ingest(2, "Mars")["imageDownloadLocation"] is None
