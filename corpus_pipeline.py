@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlink.llm import exact_dedup, packing, pii, quality, simhash
-from fieldlink.llm.common import ascii_lower, documents, staged
+from fieldlink.llm.common import ascii_lower, documents, staged, unused
 from fieldlink.session import ship_package
 
 #: Documents scored below this are rejected.
@@ -22,8 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rejects what the line classifier scores below QUALITY; learnt from the labels outside the held-out fold."""
     ship_package(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("__score", quality.scorer(model)(F.coalesce(docs["text"], F.lit(""))))
-    return scored.where(F.col("__score") >= QUALITY).drop("__score")
+    score = unused(docs, "__score")
+    scored = docs.withColumn(score, quality.scorer(model)(F.coalesce(docs["text"], F.lit(""))))
+    return scored.where(F.col(score) >= QUALITY).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlink.llm.common import ascii_lower, id_and_text, staged
+from fieldlink.llm.common import ascii_lower, id_and_text, staged, unused
 
 
 def md5_128(text: Column) -> Column:
@@ -55,13 +55,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns: one per distinct normalised text."""
     marks = staged(assign(docs, id_col, text_col, **how).where("kept"), "exact-kept")
     keys = marks.select(marks["doc_id"].alias("__keep"), "text_sha256").distinct()
-    hashed = docs.withColumn("__sha", F.sha2(how.get("normalise", lambda c: c)(F.coalesce(docs[text_col], F.lit(""))), 256))
-    stay = hashed.join(keys, (hashed[id_col].eqNullSafe(keys["__keep"])) & (hashed["__sha"] == keys["text_sha256"]),
+    sha = unused(docs, "__sha")
+    hashed = docs.withColumn(sha, F.sha2(how.get("normalise", lambda c: c)(F.coalesce(docs[text_col], F.lit(""))), 256))
+    stay = hashed.join(keys, (hashed[id_col].eqNullSafe(keys["__keep"])) & (hashed[sha] == keys["text_sha256"]),
                        "left_semi")
     repeated = marks.groupBy("doc_id", "text_sha256").count().where("count > 1")
     if not repeated.isEmpty():  # rows that repeat an id and its text
-        stay = stay.dropDuplicates([id_col, "__sha"])
-    return stay.drop("__sha")
+        stay = stay.dropDuplicates([id_col, sha])
+    return stay.select(docs.columns)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

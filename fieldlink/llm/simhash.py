@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlink.llm.common import components, documents, id_and_text, staged
+from fieldlink.llm.common import components, documents, id_and_text, staged, unused
 
 BITS = 64
 #: Hashes counted at a time, which bounds a very long text's memory.
@@ -260,7 +260,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_groups(docs, id_col, text_col, words, distance)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("__row"))
     stay = staged(stay.select("__row"), "near-kept")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").drop("__row")
+    row = unused(docs, "__row")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(
+        stay.withColumnRenamed("__row", row), row, "left_semi").select(docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,21 @@
 """Rows that every operator must handle."""
 
+import pytest
 from pyspark.sql import types as T
 
 SF01 = "/root/testdata/sf0.01"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 #: Columns whose names the operators use themselves.
-CLASHING = ["h", "row", "fp", "u", "v", "size", "n", "words", "start", "score", "__row", "__split", "bucket"]
+CLASHING = ["h", "row", "fp", "u", "v", "size", "n", "words", "start", "score", "__row", "__sha", "__split", "bucket"]
+
+
+@pytest.fixture(scope="session")
+def llm(spark):
+    """The session, with the package sent to its workers."""
+    from fieldlink.session import ship_package
+
+    ship_package(spark)
+    return spark
 
 
 def table(spark, rows, parts=3):

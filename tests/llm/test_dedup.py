@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldlink.llm import common, exact_dedup, simhash, substring_dedup
 
-from llm_fixtures import ODD, SF01, table, words
+from llm_fixtures import ODD, SF01, llm, table, words  # noqa: F401
 
 
 def lower(t):
@@ -106,8 +106,9 @@ def test_simhash_components(llm, block, monkeypatch):
     want = Counter((i, fp, least.get(root[fp])) for (i, _), fp in zip(rows, fps))
     assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got.collect()) == want
     assert len(set(root.values())) < len(set(fps)) < len(rows)
-    kept = simhash.deduplicate(table(llm, rows)).collect()
-    assert len(kept) == len({root[fp] for fp in fps})
+    kept = simhash.deduplicate(table(llm, rows))
+    assert kept.count() == len({root[fp] for fp in fps})
+    assert kept.columns == table(llm, rows).columns and kept.where("__row <> 'x'").count() == 0
 
 
 @pytest.mark.parametrize("m", [1, 2, 3, 5])

@@ -7,7 +7,7 @@ import sys
 from collections import Counter
 
 import pytest
-from llm_fixtures import SF01, words
+from llm_fixtures import SF01, llm, words  # noqa: F401
 from test_dedup import classes, plain_fingerprint
 from test_text_operators import check_packed
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from llm_fixtures import ODD, SF01, table, words
+from llm_fixtures import ODD, SF01, llm, table, words  # noqa: F401
 from pyspark.sql import functions as F
 
 from fieldlink.llm import cutting_stock, license_scan, packing, pii, piecewise, quality, sharding, subwords, tokens
