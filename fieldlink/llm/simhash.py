@@ -44,14 +44,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``doc_id, row, fp`` of every row: its place in the input and the 64 bits as a long."""
+    """``doc_id, digest, fp`` of every row: the text's MD5 and the 64 bits as a long."""
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             fp = np.array([fingerprint(t, words) for t in f["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "row": f["row"], "fp": fp})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "digest": f["digest"], "fp": fp})
 
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInPandas(of, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, fp long")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
+    return rows.mapInPandas(of, f"doc_id {dict(rows.dtypes)['doc_id']}, digest binary, fp long")
 
 
 # --- the join of the trie with itself ---------------------------------------------------------
@@ -233,7 +233,7 @@ def links(reps: DataFrame, distance: int = 4, block: int = 20_000) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                 distance: int = 4) -> DataFrame:
-    """``doc_id, row, fp, root, component_id``: one row per input row.
+    """``doc_id, digest, fp, root, component_id``: one row per input row.
 
     Documents whose fingerprints are at most ``distance`` bits apart are
     linked; ``component_id`` is the smallest id reachable over links and
@@ -251,18 +251,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = staged(roots.join(least, "root").select("fp", "root", "component_id"), "fingerprint-components")
-    return marked.join(labels, "fp", "left").select("doc_id", "row", "fp", "root", "component_id")
+    return marked.join(labels, "fp", "left").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                 distance: int = 4) -> DataFrame:
-    """One row of each component of near copies, with all columns: the smallest id, the first of equal ids."""
+    """One row of each component of near copies, with all columns: the smallest id.
+
+    Of rows that share that id the one whose text has the smallest digest
+    stays, and one of rows that repeat both. The rows that stay are named by
+    id and digest, not by their place, so a second read of ``docs`` may be
+    split differently (executors come and go).
+    """
     groups = near_groups(docs, id_col, text_col, words, distance)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("__row"))
-    stay = staged(stay.select("__row"), "near-kept")
-    row = unused(docs, "__row")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(
-        stay.withColumnRenamed("__row", row), row, "left_semi").select(docs.columns)
+    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "digest").agg(
+        F.count("*").alias("n"))
+    stay = staged(firsts.groupBy("root").agg(F.min(F.struct("digest", "doc_id", "n")).alias("s")).select("s.*"), "near-kept")
+    digest = unused(docs, "__digest")
+    marked = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")))))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["doc_id"]) & (marked[digest] == stay["digest"]), "left_semi")
+    if not stay.where("n > 1").isEmpty():  # rows that repeat an id and its text
+        kept = kept.dropDuplicates([id_col, digest])
+    return kept.select(docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -34,11 +34,17 @@ def normalised(piece: str) -> list[str]:
     return piece.lower().split()
 
 
-def units(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """A row per unit of at least ``min_words`` words: where it stands and a 128-bit digest."""
-    rows = id_and_text(docs, id_col, text_col).select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), "text")
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, row, text``: each row with a number of its own, in input order."""
+    return id_and_text(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
 
+
+def units(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """A row per unit of at least ``min_words`` words: where it stands and a 128-bit digest.
+
+    Of ``numbered`` rows. Each of them also gives one row that is no unit,
+    with ``start`` -1, so rows without units are not lost.
+    """
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for k in range(0, len(f), 500):
@@ -61,6 +67,8 @@ def units(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col: str
                 yield pd.DataFrame({"doc_id": g["doc_id"].take(at).reset_index(drop=True),
                                     "row": g["row"].to_numpy()[at], "start": starts, "end": ends, "again": again,
                                     "h1": h[:, 0], "h2": h[:, 1]})
+                yield pd.DataFrame({"doc_id": g["doc_id"], "row": g["row"], "start": -1, "end": -1, "again": False,
+                                    "h1": 0, "h2": 0})
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInPandas(cut, f"doc_id {kind}, row long, start int, end int, again boolean, h1 long, h2 long")
@@ -77,7 +85,11 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 1, id_c
     Rows that repeat an id are ranked by input place. Units of null-id rows
     rank last.
     """
-    found = staged(units(docs, unit, min_words, id_col, text_col), "units")
+    return _repeated(staged(units(numbered(docs, id_col, text_col), unit, min_words), "units"))
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    found = found.where("start >= 0")
     groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
     # Written first: a join straight on an aggregate could not split a hot digest.
     groups = staged(groups.drop("n"), "unit-groups")
@@ -89,33 +101,30 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 1, id_c
         (F.col("row") != F.col("first_row")) | F.col("again")).select("doc_id", "row", "start", "end")
 
 
-def removals(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """``doc_id, row, removed`` of each row that loses text: an array of (start, end), by start.
-
-    ``row`` is the row's place in the input, as the ids may repeat.
-    """
-    gone = repeated_units(docs, unit, min_words, id_col, text_col)
-    return gone.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(
-        F.collect_list(F.struct("start", "end"))).alias("removed")).select("doc_id", "row", "removed")
+def removals(rows: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """``doc_id, row, removed`` of every ``numbered`` row: the (start, end) it loses, by start; none is an empty array."""
+    found = staged(units(rows, unit, min_words), "units")
+    gone = _repeated(found).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    return found.where("start < 0").select("doc_id", "row").join(gone, "row", "left").select(
+        "doc_id", "row", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id, text`` without repeated units, and the ``removed`` original offsets.
 
-    A null text counts as empty; an empty table gives an empty result.
+    A null text counts as empty; an empty table gives an empty result. The
+    numbered rows are written first: both reads of them see the same numbers.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    gone = removals(docs, unit, min_words, id_col, text_col).drop("doc_id")
+    rows = staged(numbered(docs, id_col, text_col), "numbered")
+    gone = removals(rows, unit, min_words).drop("doc_id")
     # The kept pieces lie between the removed ones.
     ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length("text")))
     begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
     text = F.col("text")
     kept = F.array_join(F.zip_with(begins, ends, lambda b, e: text.substr(b + 1, e - b)), "")
-    joined = rows.join(gone, "row", "left")
-    return joined.select("doc_id", F.when(F.col("removed").isNull(), text).otherwise(kept).alias("text"),
-                         F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
+    return rows.join(gone, "row").select("doc_id", F.when(F.size("removed") == 0, text).otherwise(kept).alias("text"),
+                                         "removed")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -124,12 +133,7 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     ``doc_id, n_removed, removed_chars, removed`` (``start:end``, comma-joined;
     code points of the original text), one row per document.
     """
-    docs = documents(spark, sf_dir)
-    gone = removals(docs, "sentence", 8)
-    spans = gone.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.aggregate(
+    gone = removals(numbered(documents(spark, sf_dir)), "sentence", 8)
+    return gone.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.aggregate(
         "removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
         F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed"))
-    zero = F.lit(0).cast("long")
-    return docs.select("doc_id").join(spans, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("removed_chars", zero).alias("removed_chars"),
-        F.coalesce("removed", F.lit("")).alias("removed"))

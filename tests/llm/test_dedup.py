@@ -182,6 +182,45 @@ def test_substring_query_counts_by_document(llm, tmp_path):
     assert got == {1: (0, ""), 2: (1, "2:45")}
 
 
+def test_substring_query_gives_a_row_for_each_row(llm, tmp_path):
+    line = "same eight words stand here in a line today"
+    rows = [(7, line), (7, line), (8, "short"), (None, None)]
+    table(llm, rows, 1).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["removed"]) for r in substring_dedup.op5_substring_dedup(llm, str(tmp_path)).collect())
+    assert got == Counter({(7, ""): 1, (7, "0:43"): 1, (8, ""): 1, (None, ""): 1})
+
+
+def test_dedup_does_not_depend_on_how_the_input_is_split(llm, tmp_path, monkeypatch):
+    """The second read of the table is split in other places than the first."""
+    rows = [r for r in near_copies(5) if r[0] is not None]
+    path = str(tmp_path / "docs")
+    table(llm, rows, 6).write.parquet(path)
+    want = {r["doc_id"] for r in simhash.deduplicate(llm.read.parquet(path)).collect()}
+    lines = [(k, f"line number {k % 9} of all the lines\nown {k}") for k in range(40)]
+    lined = str(tmp_path / "lines")
+    table(llm, lines, 6).write.parquet(lined)
+    before = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(llm.read.parquet(lined)).collect()}
+    real = {m: m.staged for m in (simhash, substring_dedup)}
+
+    def resplit(of):
+        def staged(df, name):
+            out = of(df, name)
+            llm.conf.set("spark.sql.files.maxPartitionBytes", "64")
+            return out
+        return staged
+
+    old = llm.conf.get("spark.sql.files.maxPartitionBytes")
+    for m, of in real.items():
+        monkeypatch.setattr(m, "staged", resplit(of))
+    try:
+        assert {r["doc_id"] for r in simhash.deduplicate(llm.read.parquet(path)).collect()} == want
+        llm.conf.set("spark.sql.files.maxPartitionBytes", old)
+        after = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(llm.read.parquet(lined)).collect()}
+    finally:
+        llm.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert after == before
+
+
 def test_empty_tables(llm):
     none = table(llm, [])
     assert exact_dedup.assign(none).count() == exact_dedup.deduplicate(none).count() == 0
