@@ -1,8 +1,11 @@
 """Run a site's services: ``python -m fieldlink <command> --base <folder> ...``.
 
 Commands:
-  hq       feed, download, broadcast and response services (2 s period)
-  edge     asset state, audit listener, replica monitor, mirror lag (3 s period)
+  hq       feed, download, broadcast and response services, counters (2 s period)
+  edge     asset state, requests, audit listener, replica monitor, mirror lag, counters (3 s period)
+  maintain fold the site's state folders once; hq and edge do it every --maintain-seconds
+  pause    stop the site's replication until resume (the runner follows within a second)
+  resume   go on with it from its position
   mirror   one mirror pass from the HQ files volume to the edge mirror
   publish  publish every asset waiting in "requesting..." once
   status   print the edge asset table
@@ -25,7 +28,7 @@ from fieldlink.config import Sites
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="fieldlink")
-    ap.add_argument("command", choices=["hq", "edge", "mirror", "publish", "status", "init", "drop"])
+    ap.add_argument("command", choices=["hq", "edge", "maintain", "pause", "resume", "mirror", "publish", "status", "init", "drop"])
     ap.add_argument("--base", required=True, help="pipeline folder of this site (shared storage)")
     ap.add_argument("--feed", help="feed folder (hq)")
     ap.add_argument("--peer-base", help="the other site's pipeline folder (replication)")
@@ -34,6 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--source-images")
     ap.add_argument("--checkpoint", help="folder of the services' positions (default: below --base)")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--maintain-seconds", type=int, default=600, help="period of folding state (hq, edge)")
     ap.add_argument("--once", action="store_true")
     a = ap.parse_args(argv)
 
@@ -42,6 +46,10 @@ def main(argv: list[str] | None = None) -> None:
     from fieldlink.sources import volumes
     from fieldlink.streaming import services as svc
 
+    if a.command in ("pause", "resume"):  # a mark in the site's folder; needs no Spark
+        (svc.pause_replication if a.command == "pause" else svc.resume_replication)(svc.Layout(a.base))
+        return
+
     kw = {k: v for k, v in {"hq_root": a.hq_root, "edge_root": a.edge_root,
                             "source_images": a.source_images}.items() if v}
     sites = Sites(**kw)
@@ -57,37 +65,50 @@ def main(argv: list[str] | None = None) -> None:
             steps = [lambda: svc.start_feed_service(spark, layout, a.feed, once),
                      lambda: svc.start_download_service(spark, layout, once),
                      lambda: svc.start_broadcast_service(spark, layout, once),
-                     lambda: svc.start_response_service(spark, layout, once, layout.replica)]
-            if peer:
+                     lambda: svc.start_response_service(spark, layout, once, layout.replica),
+                     lambda: svc.start_site_counters(spark, layout, HQ, once)]
+            if peer and not svc.replication_paused(layout):
                 steps.insert(3, lambda: svc.start_replication(spark, layout, peer, "ASSET_BROADCAST", "HQ", once))
         else:
             steps = [lambda: svc.start_lifecycle_service(spark, layout, layout.replica, once),
+                     lambda: svc.start_request_service(spark, layout, once),
+                     lambda: svc.start_lifecycle_service(spark, layout, layout.replica, once),  # what was requested
+                     lambda: svc.start_site_counters(spark, layout, EDGE, once),
                      lambda: svc.start_audit_listener(spark, layout, once),
                      lambda: svc.start_replica_monitor(spark, layout, once),
                      lambda: svc.start_mirror_lag_service(spark, layout, once)]
-            if peer:
+            if peer and not svc.replication_paused(layout):
                 steps.append(lambda: svc.start_replication(spark, layout, peer, "ASSET_REQUEST", "EDGE", once))
         for step in steps:
             step().awaitTermination()
         site, foreign = (HQ, layout.replica) if a.command == "hq" else (EDGE, layout.replica)
         for q in svc.start_deadletter_service(spark, layout, site, once, foreign).values():
             q.awaitTermination()
+        svc.maintain(spark, layout)
     elif a.command in ("hq", "edge"):
         if a.command == "hq":
             qs = svc.start_hq(spark, layout, a.feed, svc.HQ_PERIOD, layout.replica)
-            if a.peer_base:
-                qs["replicate_broadcast"] = svc.start_replication(
-                    spark, layout, svc.Layout(a.peer_base, sites), "ASSET_BROADCAST", "HQ", svc.HQ_PERIOD)
+            topic, origin, period = "ASSET_BROADCAST", HQ, svc.HQ_PERIOD
         else:
             qs = svc.start_edge(spark, layout, layout.replica, svc.EDGE_PERIOD)
-            if a.peer_base:
-                qs["replicate_request"] = svc.start_replication(
-                    spark, layout, svc.Layout(a.peer_base, sites), "ASSET_REQUEST", "EDGE", svc.EDGE_PERIOD)
+            topic, origin, period = "ASSET_REQUEST", EDGE, svc.EDGE_PERIOD
+        folded = time.monotonic()
         try:
             while all(q.isActive for q in qs.values()):
+                if a.peer_base and svc.replication_paused(layout) == ("replication" in qs):
+                    if "replication" in qs:
+                        qs.pop("replication").stop()
+                    else:
+                        qs["replication"] = svc.start_replication(
+                            spark, layout, svc.Layout(a.peer_base, sites), topic, origin, period)
+                if time.monotonic() - folded >= a.maintain_seconds:
+                    svc.maintain(spark, layout)
+                    folded = time.monotonic()
                 time.sleep(1)
         finally:
             svc.stop_all(qs)
+    elif a.command == "maintain":
+        svc.maintain(spark, layout)
     elif a.command == "mirror":
         plan = volumes.mirror_diff(volumes.list_volume(spark, sites.hq_files), sites.hq_files,
                                    volumes.list_volume(spark, sites.edge_files, missing_ok=True), sites.edge_files)

@@ -36,7 +36,7 @@ def normalize_feed(items: DataFrame, id_fields: tuple[str, ...] = ("item_id", "h
     d = F.get(F.col("item.data"), 0)
     ln = F.get(F.col("item.links"), 0)
     fields = {"item_id": d["item_id"], "href": ln["href"], "title": d["title"]}
-    passthrough = [c for c in ("file", "item_pos") if c in items.columns]
+    passthrough = [c for c in ("file", "item_pos", "raw") if c in items.columns]
     return items.select(
         *passthrough,
         asset_id(*[fields[f] for f in id_fields]).alias("assetID"),

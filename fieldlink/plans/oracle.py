@@ -168,7 +168,7 @@ ORACLE_SQL: dict[str, str] = {
     "topic_consume": _with(PG, MSG) + (
         "SELECT seq, assetID, title, origin FROM msg WHERE event_type = 'signup' AND NOT bad"),
     "document_upsert": _with(PG, MSG) + (
-        "SELECT assetID, max(seq) AS seq, CAST(arg_max(k, seq) AS INTEGER) AS k FROM msg GROUP BY assetID"),
+        "SELECT assetID, max(seq) AS seq, arg_max(props, seq) AS raw, CAST(arg_max(k, seq) AS INTEGER) AS k FROM msg GROUP BY assetID"),
     "document_lookup": _with(PG, MSG) + (
         "SELECT assetID, title FROM pg WHERE assetID IN "
         "(SELECT assetID FROM msg WHERE event_type = 'signup' AND NOT bad)"),

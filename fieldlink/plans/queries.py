@@ -146,9 +146,9 @@ def topic_consume(spark, d):
 
 
 def document_upsert(spark, d):
-    """A4: every event as a whole-document write; newest version per id."""
+    """A4: every event as a whole-document write; newest version per id, with its raw JSON."""
     cur = docs.current(fix.stored_document_changes(spark, d, SITES))
-    return cur.select(F.col("_id").alias("assetID"), "seq",
+    return cur.select(F.col("_id").alias("assetID"), "seq", F.col("extra").alias("raw"),
                       F.get_json_object("extra", "$.k").cast("int").alias("k"))
 
 

@@ -27,9 +27,10 @@ TOPIC_LOG = T.StructType([
 FEED_DATA = _struct(("title", S), ("description", S), ("item_id", S))
 FEED_LINK = _struct(("href", S))
 FEED_ITEM = _struct(("data", T.ArrayType(FEED_DATA)), ("links", T.ArrayType(FEED_LINK)))
-FEED_FILE = _struct(("collection", _struct(("items", T.ArrayType(FEED_ITEM)))))
+# Items are read as their JSON text, so attributes that FEED_ITEM does not name are kept.
+FEED_FILE = _struct(("collection", _struct(("items", T.ArrayType(S)))))
 
-# Stored document (keyed by _id); ``extra`` keeps unknown attributes as JSON.
+# Stored document (keyed by _id); ``extra`` is the JSON text of the item as it came.
 DOCUMENT = T.StructType([
     T.StructField("_id", S, False),
     T.StructField("data", T.ArrayType(FEED_DATA), True),

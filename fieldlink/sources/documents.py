@@ -72,6 +72,20 @@ def lookup(documents: DataFrame, ids: DataFrame, id_col: str = "assetID") -> Dat
     return documents.join(_distinct_ids(ids, id_col), "_id", "left_semi")
 
 
+def whole(documents: DataFrame) -> DataFrame:
+    """``_id, document``: each document as one JSON text.
+
+    The item as it came, unknown attributes included, with ``_id`` and, once
+    downloaded, ``imageDownloadLocation`` added behind its own attributes. A
+    document stored without its text is put together from the declared fields.
+    """
+    own = F.to_json(F.struct("_id", "imageDownloadLocation"))
+    text = F.regexp_replace(F.trim("extra"), r"\s*\}$", "")
+    joined = F.concat(text, F.when(F.trim(text) == "{", F.lit("")).otherwise(F.lit(",")), F.substring(own, 2, 1 << 30))
+    typed = F.to_json(F.struct("data", "links", "_id", "imageDownloadLocation"))
+    return documents.select("_id", F.when(F.col("extra").isNull(), typed).otherwise(joined).alias("document"))
+
+
 def _distinct_ids(ids: DataFrame, id_col: str) -> DataFrame:
     """Each id once: a popular id shrinks in every task before the shuffle, which a semi join's right side needs."""
     return ids.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull()).distinct()

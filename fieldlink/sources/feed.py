@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlink.schemas import FEED_FILE
+from fieldlink.schemas import FEED_FILE, FEED_ITEM
 
 CORRUPT = "_corrupt_record"
 FEED_FILE_READ = T.StructType(FEED_FILE.fields + [T.StructField(CORRUPT, T.StringType(), True)])
@@ -27,11 +27,16 @@ def read_feed_files(spark: SparkSession, path: str, streaming: bool = False) ->
 
 
 def explode_items(feed: DataFrame) -> DataFrame:
-    """One row per item of ``collection.items`` (``item``, and ``item_pos`` within
-    its file) of well-formed files."""
+    """One row per item of ``collection.items`` of well-formed files.
+
+    ``item`` has the declared fields, ``raw`` the item's whole JSON text and
+    ``item_pos`` its place in the file. An item that is no object, or whose
+    declared fields have other types, has them null.
+    """
     cols = [F.col(c) for c in ("file",) if c in feed.columns]
     ok = feed.filter(F.col(CORRUPT).isNull()) if CORRUPT in feed.columns else feed
-    return ok.select(*cols, F.posexplode(F.col("collection.items")).alias("item_pos", "item"))
+    read = F.transform("collection.items", lambda raw: F.struct(F.from_json(raw, FEED_ITEM).alias("item"), raw.alias("raw")))
+    return ok.select(*cols, F.posexplode(read).alias("item_pos", "_e")).select(*cols, "item_pos", "_e.item", "_e.raw")
 
 
 def bad_feed_files(feed: DataFrame) -> DataFrame:

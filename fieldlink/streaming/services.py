@@ -188,7 +188,7 @@ def feed_batch(spark: SparkSession, layout: Layout, files: DataFrame, batch_id:
     same = F.col("item.data").eqNullSafe(F.col("_data")) & F.col("item.links").eqNullSafe(F.col("_links"))
     changes = valid.join(stored, "assetID", "left").select(
         F.col("assetID").alias("_id"), F.col("item.data").alias("data"), F.col("item.links").alias("links"),
-        F.when(same, F.col("_location")).alias("imageDownloadLocation"), F.lit(None).cast("string").alias("extra"),
+        F.when(same, F.col("_location")).alias("imageDownloadLocation"), F.col("raw").alias("extra"),
         "seq", F.lit(0).alias("rev"))
     # Documents first: if the upsert fails the batch fails and nothing is published.
     docs.upsert(layout.documents, changes, batch_id, producer="feed")
@@ -399,22 +399,43 @@ def publish_requests(spark: SparkSession, layout: Layout, batch_id: int) -> Data
     """Asset Request: publish every ``requesting...`` asset once per click.
 
     The asset state lags behind what was published, so clicks whose
-    publication is already logged are left out. Writes the ASSET_REQUEST messages and the publication log (which turns
-    the assets into ``requested``). Returns what was published.
+    publication is already logged are left out. What to publish is written
+    first; a retry of the batch publishes just that, whatever was logged
+    meanwhile. Then come the ASSET_REQUEST messages and the publication log
+    (which turns the assets into ``requested``). Returns what was published.
     """
-    pending = edge.request_publish(asset_table(spark, layout), extra=("description", "filename", "c_seq"))
-    ensure_dirs(spark, layout.publications)
-    logged = _read_batches(spark, layout.publications, ASSET_ACTION).select("assetID", F.col("seq").alias("c_seq"))
-    pending = pending.join(logged.distinct(), ["assetID", "c_seq"], "left_anti")
-    rows = pending.select("assetID", "title", "description", "filename", "status",
-                          F.col("c_seq").alias("seq"),
-                          F.current_timestamp().cast("timestamp_ntz").alias("ts")).persist()
+    plans = f"{layout.base}/request_plans"
+    if not fs.exists(f"{plans}/batch={batch_id}/_SUCCESS"):
+        pending = edge.request_publish(asset_table(spark, layout), extra=("description", "filename", "c_seq"))
+        ensure_dirs(spark, layout.publications)
+        logged = _read_batches(spark, layout.publications, ASSET_ACTION).select("assetID", F.col("seq").alias("c_seq"))
+        pending = pending.join(logged.distinct(), ["assetID", "c_seq"], "left_anti")
+        _write_batch(pending.select(
+            "assetID", "title", "description", "filename", "status", F.col("c_seq").alias("seq"),
+            F.current_timestamp().cast("timestamp_ntz").alias("ts")), plans, batch_id)
+    rows = _read_batches(spark, f"{plans}/batch={batch_id}", REQUEST_PLAN)
     topics.write_topic(topics.encode(rows, TOPIC_ASSET_REQUEST, ASSET_FIELDS, EDGE), layout.topics,
                        TOPIC_ASSET_REQUEST, batch_id)
     _write_batch(rows.select("seq", "ts", "assetID"), layout.publications, batch_id)
     return rows
 
 
+REQUEST_PLAN = "assetID string, title string, description string, filename string, status string, seq long, ts timestamp_ntz"
+
+
+def start_request_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
+    """Asset Request: publishes what waits whenever the asset state has new rows.
+
+    The stream of new state rows only says when to look. A folded folder that
+    is gone before it was read is no loss, since its rows are in the fold.
+    """
+    ensure_dirs(spark, layout.asset_state)
+    src = (spark.readStream.schema("assetID string").option("recursiveFileLookup", "true")
+           .option("ignoreMissingFiles", "true").parquet(layout.asset_state))
+    return _start(src, "asset_request", layout, spark,
+                  lambda df, batch_id: publish_requests(spark, layout, batch_id), trigger)
+
+
 # --- replication ----------------------------------------------------------------
 
 def start_replication(spark: SparkSession, src: Layout, dst: Layout, topic: str, origin: str,
@@ -465,6 +486,45 @@ def current_counters(spark: SparkSession, layout: Layout) -> DataFrame:
     return _latest_by_batch(rows, "service").select("service", "n")
 
 
+def start_site_counters(spark: SparkSession, layout: Layout, site: str, trigger: dict | None = None):
+    """The counters of a site's services, from the topics that they write or, for the two monitors, read."""
+    from fieldlink.config import TOPIC_AUDIT, TOPIC_REPLICA_INFO
+
+    sources = {HQ: {"IMAGE Feed": TOPIC_IMAGEFEED, "Image Download": TOPIC_IMAGE_DOWNLOAD,
+                    "Asset Broadcast": TOPIC_ASSET_BROADCAST},
+               EDGE: {"Asset Request": TOPIC_ASSET_REQUEST, "Audit Listener": TOPIC_AUDIT,
+                      "Upstream Comm": TOPIC_REPLICA_INFO}}
+    return start_counters_service(spark, layout, sources[site], trigger)
+
+
+#: State folders below a site's base, with the key of which they keep the newest row.
+STATE_KEYS = {"asset_state": "assetID", "replica_last": "replica", "mirror_lag": "replica", "counters": "service"}
+
+
+def maintain(spark: SparkSession, layout: Layout) -> None:
+    """Fold a site's state folders (:func:`compact_state`); safe beside the running services."""
+    for name, key in STATE_KEYS.items():
+        if fs.exists(f"{layout.base}/{name}"):
+            compact_state(spark, f"{layout.base}/{name}", key)
+
+
+def _pause_mark(layout: Layout) -> str:
+    return f"{layout.base}/_paused/replication"
+
+
+def pause_replication(layout: Layout) -> None:
+    """Ask the site's runner to stop forwarding; it goes on from its position after ``resume_replication``."""
+    fs.mkdirs(_pause_mark(layout))
+
+
+def resume_replication(layout: Layout) -> None:
+    fs.delete_dir(_pause_mark(layout))
+
+
+def replication_paused(layout: Layout) -> bool:
+    return fs.exists(_pause_mark(layout))
+
+
 def site_topic(spark: SparkSession, layout: Layout, topic: str) -> DataFrame:
     """A site's view of a replicated topic: own rows plus replicated ones, duplicates removed."""
     ensure_dirs(spark, f"{layout.topics}/{topic}", f"{layout.replica}/{topic}")
@@ -604,17 +664,20 @@ def start_hq(spark: SparkSession, layout: Layout, feed_dir: str, trigger: dict |
         "image_download": start_download_service(spark, layout, trigger),
         "asset_broadcast": start_broadcast_service(spark, layout, trigger),
         "asset_response": start_response_service(spark, layout, trigger, request_topics),
+        "service_counters": start_site_counters(spark, layout, HQ, trigger),
         **start_deadletter_service(spark, layout, HQ, trigger, request_topics),
     }
 
 
 def start_edge(spark: SparkSession, layout: Layout, broadcast_topics: str,
                trigger: dict | None = EDGE_PERIOD) -> dict:
-    """Start the EDGE streaming services: asset state, audit listener, replica
-    monitor and mirror lag. Requests are published by :func:`publish_requests`
-    and the viewer reads :func:`asset_table`."""
+    """Start the EDGE streaming services: asset state, asset requests, audit
+    listener, replica monitor, mirror lag and counters. The viewer reads
+    :func:`asset_table`."""
     return {
         "asset_lifecycle": start_lifecycle_service(spark, layout, broadcast_topics, trigger),
+        "asset_request": start_request_service(spark, layout, trigger),
+        "service_counters": start_site_counters(spark, layout, EDGE, trigger),
         "audit_listener": start_audit_listener(spark, layout, trigger),
         "replica_monitor": start_replica_monitor(spark, layout, trigger),
         "mirror_lag": start_mirror_lag_service(spark, layout, trigger),

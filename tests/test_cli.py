@@ -36,8 +36,14 @@ def test_cli_runs_a_feed_item_to_the_edge(tmp_path):
         assert out.returncode == 0, out.stderr[-2000:]
         return out.stdout
 
-    cli("hq", "--base", str(tmp_path / "p_hq"), "--peer-base", str(tmp_path / "p_edge"), "--feed",
-        str(tmp_path / "feed"), "--once")
+    run_hq = lambda: cli("hq", "--base", str(tmp_path / "p_hq"), "--peer-base", str(tmp_path / "p_edge"),
+                         "--feed", str(tmp_path / "feed"), "--once")
+    cli("pause", "--base", str(tmp_path / "p_hq"))
+    run_hq()
+    assert not list(tmp_path.glob("p_edge/replica/**/*.parquet"))
+    cli("resume", "--base", str(tmp_path / "p_hq"))
+    run_hq()
+    assert list(tmp_path.glob("p_edge/replica/**/*.parquet"))
     cli("edge", "--base", str(tmp_path / "p_edge"), "--once")
     status = cli("status", "--base", str(tmp_path / "p_edge"))
     assert aid in status and "Moon" in status

@@ -161,3 +161,91 @@ def test_an_unchanged_item_keeps_its_location(spark, tmp_path):
     for _ in range(2):  # the second time as a retry
         assert ingest(1, "Moon")["imageDownloadLocation"] == "/at/a.jpg"
     assert ingest(2, "Mars")["imageDownloadLocation"] is None
+
+
+def test_unknown_attributes_of_an_item_survive(spark, tmp_path):
+    import hashlib
+    import json
+    import os
+
+    from conftest import rel
+    from fieldlink.config import Sites
+    from fieldlink.sources import feed as feedsrc
+
+    sites = Sites(hq_root=str(tmp_path / "h"), edge_root=str(tmp_path / "e"), source_images=str(tmp_path / "img"))
+    layout = svc.Layout(str(tmp_path / "hq"), sites)
+    item = {"data": [{"title": "Moon {1}", "description": "d", "item_id": "1", "keywords": ["a", {"b": 1.50}]}],
+            "links": [{"href": "http://i/a/moon.jpg", "rel": "preview"}], "size": {"w": 10, "h": None}}
+    aid = hashlib.sha256(b"1:http://i/a/moon.jpg").hexdigest()[:12]
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed/f.json").write_text(json.dumps({"collection": {"items": [item, "no object", {}]}}, indent=1))
+    image = f"{sites.source_images}/{rel(aid, 'moon.jpg')}"
+    os.makedirs(os.path.dirname(image))
+    with open(image, "wb") as f:
+        f.write(b"moon")
+    svc.feed_batch(spark, layout, feedsrc.read_feed_files(spark, str(tmp_path / "feed")), 0)
+    stored = lambda: [json.loads(r["document"]) for r in documents.whole(documents.read_current(spark, layout.documents)).collect()]
+    assert stored() == [{**item, "_id": aid}]
+    assert sorted(r["reason"] for r in spark.read.parquet(f"{layout.deadletter}/feed").collect()) == ["no_data", "no_data"]
+    svc.download_batch(spark, layout, topics.read_topic(spark, layout.topics, "IMAGEFEED"), 0)
+    after = stored()
+    assert len(after) == 1 and after[0].pop("imageDownloadLocation").endswith("moon.jpg")
+    assert after == [{**item, "_id": aid}]
+
+
+def test_whole_document_without_its_text(spark):
+    import json
+
+    rows = [("a", [{"title": "t", "description": None, "item_id": "1"}], None, "/at", None), ("b", None, None, None, " { } ")]
+    got = documents.whole(spark.createDataFrame(rows, documents.DOCUMENT)).collect()
+    assert {r["_id"]: json.loads(r["document"]) for r in got} == {
+        "a": {"data": [{"title": "t", "item_id": "1"}], "_id": "a", "imageDownloadLocation": "/at"}, "b": {"_id": "b"}}
+
+
+def requested_site(spark, tmp_path):
+    """An edge site whose asset ``abcd`` was broadcast and clicked."""
+    from fieldlink.config import Sites
+
+    layout = svc.Layout(str(tmp_path / "edge"), Sites(hq_root=str(tmp_path / "h"), edge_root=str(tmp_path / "e")))
+    rows(spark, layout, "ASSET_BROADCAST", ['{"assetID":"abcd","title":"Moon","filename":"moon.jpg","status":"success"}'])
+    click(spark, layout, 10, 0)
+    svc.start_lifecycle_service(spark, layout, layout.topics).awaitTermination()
+    return layout
+
+
+def click(spark, layout, seq, batch):
+    svc.record_clicks(spark, layout, spark.createDataFrame([(seq, "abcd")], "seq long, assetID string").withColumn(
+        "ts", F.lit(None).cast("timestamp_ntz")), batch)
+
+
+def test_requests_are_published_by_the_service_once(spark, tmp_path):
+    layout = requested_site(spark, tmp_path)
+    sent = lambda: sorted(r["seq"] for r in topics.read_topic(spark, layout.topics, "ASSET_REQUEST").collect())
+    for _ in range(2):  # the state lags behind the first publication
+        svc.start_request_service(spark, layout).awaitTermination()
+        assert sent() == [10]
+    svc.publish_requests(spark, layout, 99)
+    assert sent() == [10]
+    svc.start_lifecycle_service(spark, layout, layout.topics).awaitTermination()
+    svc.publish_requests(spark, layout, 0)  # the service's batch as a retry, after the state has caught up
+    assert sent() == [10]
+    click(spark, layout, 20, 1)
+    svc.start_lifecycle_service(spark, layout, layout.topics).awaitTermination()
+    svc.start_request_service(spark, layout).awaitTermination()
+    assert sent() == [10, 20]
+
+
+def test_maintenance_folds_the_state_and_loses_nothing(spark, tmp_path):
+    import os
+
+    layout = requested_site(spark, tmp_path)
+    for k in range(3):
+        click(spark, layout, 20 + k, 1 + k)
+        svc.start_lifecycle_service(spark, layout, layout.topics).awaitTermination()
+    before = svc.current_asset_state(spark, layout).collect()
+    for _ in range(2):
+        svc.maintain(spark, layout)
+        assert svc.current_asset_state(spark, layout).collect() == before
+    assert len([n for n in os.listdir(layout.asset_state) if "=" in n]) < 4
+    svc.start_request_service(spark, layout).awaitTermination()
+    assert topics.read_topic(spark, layout.topics, "ASSET_REQUEST").count() == 1
