@@ -462,22 +462,28 @@ def site_topic_stream(spark: SparkSession, layout: Layout, topic: str, delay: st
 
 def start_counters_service(spark: SparkSession, layout: Layout, sources: dict[str, str],
                            trigger: dict | None = None):
-    """Service counters as a streaming count per service (E1, J8), update mode.
+    """Service counters as a running count per service.
 
     ``sources`` maps a service name to the topic folder it emits (or reads).
-    Each micro-batch writes the changed counts; :func:`current_counters` reads them.
+    Each micro-batch counts its rows and adds them to the totals of earlier
+    batches; :func:`current_counters` reads the newest. A few totals need no
+    state store with a partition for every shuffle task.
     """
-    parts = None
+    parts, path = None, f"{layout.base}/counters"
+    ensure_dirs(spark, path)
     for service, topic in sources.items():
         ensure_dirs(spark, f"{layout.topics}/{topic}")
         s = topics.read_topic(spark, layout.topics, topic, streaming=True).select(F.lit(service).alias("service"))
         parts = s if parts is None else parts.unionByName(s)
-    counts = parts.groupBy("service").agg(F.count(F.lit(1)).alias("n"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        _write_batch(df.withColumn("batch", F.lit(batch_id).cast("bigint")), f"{layout.base}/counters", batch_id)
+        new = df.groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+        earlier = read_state(spark, path, "service string, n long, batch long").filter(F.col("batch") < batch_id)
+        before = _latest_by_batch(earlier, "service").select("service", "n")
+        total = before.unionByName(new).groupBy("service").agg(F.sum("n").alias("n"))
+        _write_batch(total.withColumn("batch", F.lit(batch_id).cast("bigint")), path, batch_id)
 
-    return _start(counts, "service_counters", layout, spark, batch, trigger, output_mode="update")
+    return _start(parts, "service_counters", layout, spark, batch, trigger)
 
 
 def current_counters(spark: SparkSession, layout: Layout) -> DataFrame:

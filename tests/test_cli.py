@@ -28,7 +28,8 @@ def test_cli_runs_a_feed_item_to_the_edge(tmp_path):
     (img / "moon.jpg").write_bytes(b"moon")
     common = ["--hq-root", str(tmp_path / "hq"), "--edge-root", str(tmp_path / "edge"),
               "--source-images", str(tmp_path / "images"), "--master", "local[2]"]
-    env = {**os.environ, "PYTHONPATH": ROOT}
+    env = {**os.environ, "PYTHONPATH": ROOT,
+           "PYSPARK_SUBMIT_ARGS": "--conf spark.sql.shuffle.partitions=2 pyspark-shell"}
 
     def cli(*args):
         out = subprocess.run([sys.executable, "-m", "fieldlink", *args, *common], cwd=ROOT, capture_output=True,
