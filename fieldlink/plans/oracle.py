@@ -50,7 +50,7 @@ PG = """pg AS (
   FROM pages)"""
 
 MSG = """ev AS (
-  SELECT event_id AS seq, ts, user_id, event_type,
+  SELECT event_id AS seq, ts, user_id, event_type, props,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          event_id % (SELECT count(*) * 6 // 5 FROM pages) AS asset_no
   FROM events),
