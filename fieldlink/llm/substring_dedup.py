@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,11 @@ UNITS = {
     # Lines, cut after sentence ends as well, so a passage inside a line is seen.
     "sentence": re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*(?:[.!?]+[^\S\n]*\n?|\n|\Z)"),
 }
+#: Sentences as above, with the full stops of unspaced scripts, after which no space stands.
+SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?]+(?!\s)[^\n.!?。！？]*)*(?:[.!?]+[^\S\n]*\n?|[。！？]+[^\S\n]*\n?|\n|\Z)")
+#: Characters of scripts that are written without spaces; UNSPACED_WORD of them count as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNSPACED_WORD = 2
 
 
 def units_of(text: str, unit: str) -> Iterator[tuple[int, int]]:
@@ -34,15 +40,74 @@ def normalised(piece: str) -> list[str]:
     return piece.lower().split()
 
 
+def passages_of(text: str, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of what a text can share with an earlier one; the pieces overlap.
+
+    From each sentence on, and back from each sentence, the fewest whole
+    sentences with ``min_words`` words: any run of sentences with so many
+    words, however short each of them is, is a union of such pieces, wherever
+    it begins. Besides, every line and paragraph as a whole, of any length.
+    """
+    words: list[str] = []
+    sentences, first, sizes = [], [], [0]  # without blank ones; first word of each, and words so far
+    unspaced = UNSPACED.search(text) is not None
+    for m in SENTENCE.finditer(text):
+        if own := normalised(m.group()):
+            sentences.append(m.span())
+            first.append(len(words))
+            words += own
+            size = len(own)
+            if unspaced:
+                size = max(size, len(UNSPACED.findall(m.group())) // UNSPACED_WORD)
+            sizes.append(sizes[-1] + size)
+    first.append(len(words))
+    n = len(sentences)
+    runs = []
+    j = 0
+    for i in range(n):  # the fewest from i on
+        while j < n and sizes[j] - sizes[i] < min_words:
+            j += 1
+        if sizes[j] - sizes[i] < min_words:
+            break
+        runs.append((i, j))
+    i = 0
+    for j in range(1, n + 1):  # the fewest up to j
+        while sizes[j] - sizes[i + 1] >= min_words and i + 1 < j:
+            i += 1
+        if sizes[j] - sizes[i] >= min_words:
+            runs.append((i, j))
+    for unit in ("line", "paragraph"):  # both end where a sentence does
+        i = 0
+        for _, end in units_of(text, unit):
+            j = bisect_right(sentences, end, lo=i, key=lambda s: s[1])
+            if j > i:
+                runs.append((i, j))
+            i = j
+    for i, j in sorted(set(runs)):
+        yield sentences[i][0], sentences[j - 1][1], words[first[i] : first[j]]
+
+
+def pieces_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of the units that are hashed; ``unit`` is one of UNITS or ``passage``."""
+    if unit == "passage":
+        yield from passages_of(text, min_words)
+        return
+    for s, e in units_of(text, unit):
+        words = normalised(text[s:e])
+        if len(words) >= min_words:
+            yield s, e, words
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row, text``: each row with a number of its own, in input order."""
     return id_and_text(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
 
 
 def units(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
-    """A row per unit of at least ``min_words`` words: where it stands and a 128-bit digest.
+    """A row per unit of at least ``min_words`` words (``passage``: see :func:`passages_of`): where it stands and a 128-bit digest.
 
-    Of ``numbered`` rows. Each of them also gives one row that is no unit,
+    Of ``numbered`` rows. ``again``: the same text has the digest before,
+    clear of this unit, so a unit never takes part of its own first copy. Each of them also gives one row that is no unit,
     with ``start`` -1, so rows without units are not lost.
     """
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,17 +116,14 @@ def units(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
                 g = f.iloc[k : k + 500]
                 at, starts, ends, again, digests = [], [], [], [], []
                 for n, text in enumerate(g["text"]):
-                    seen = set()
-                    for s, e in units_of(text, unit):
-                        words = normalised(text[s:e])
-                        if len(words) >= min_words:
-                            d = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                            at.append(n)
-                            starts.append(s)
-                            ends.append(e)
-                            again.append(d in seen)
-                            seen.add(d)
-                            digests.append(d)
+                    seen = {}  # digest to the end of its first unit
+                    for s, e, words in pieces_of(text, unit, min_words):
+                        d = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+                        at.append(n)
+                        starts.append(s)
+                        ends.append(e)
+                        again.append(s >= seen.setdefault(d, e) > 0)
+                        digests.append(d)
                 h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
                 at = np.array(at, int)
                 yield pd.DataFrame({"doc_id": g["doc_id"].take(at).reset_index(drop=True),
@@ -101,10 +163,29 @@ def _repeated(found: DataFrame) -> DataFrame:
         (F.col("row") != F.col("first_row")) | F.col("again")).select("doc_id", "row", "start", "end")
 
 
+def joined(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Pieces that overlap or touch made one; they come in order of their starts."""
+    out = []
+    for s, e in zip(starts, ends):
+        reach = np.maximum.accumulate(e)
+        new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
+        last = np.r_[new[1:] - 1, len(s) - 1]
+        out.append([{"start": a, "end": b} for a, b in zip(s[new].tolist(), reach[last].tolist())])
+    return pd.Series(out, dtype=object)
+
+
 def removals(rows: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
-    """``doc_id, row, removed`` of every ``numbered`` row: the (start, end) it loses, by start; none is an empty array."""
+    """``doc_id, row, removed`` of every ``numbered`` row: the (start, end) it loses, by start; none is an empty array.
+
+    Units other than passages are disjoint and stay apart; passages that
+    overlap or touch are joined. What a removed passage says stands earlier
+    and, if that place is removed too, earlier still, so nothing is lost.
+    """
     found = staged(units(rows, unit, min_words), "units")
     gone = _repeated(found).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    if unit == "passage":
+        join = F.pandas_udf(joined, "array<struct<start:int,end:int>>")
+        gone = gone.select("row", join("removed.start", "removed.end").alias("removed"))
     return found.where("start < 0").select("doc_id", "row").join(gone, "row", "left").select(
         "doc_id", "row", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
 
@@ -128,12 +209,13 @@ def deduplicate(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col:
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Sentences of eight words or more over all documents: what each document loses.
+    """Repeated passages over all documents: what each document loses.
 
-    ``doc_id, n_removed, removed_chars, removed`` (``start:end``, comma-joined;
+    Runs of whole sentences with eight words or more, whole lines and whole
+    paragraphs. ``doc_id, n_removed, removed_chars, removed`` (``start:end``, comma-joined;
     code points of the original text), one row per document.
     """
-    gone = removals(numbered(documents(spark, sf_dir)), "sentence", 8)
+    gone = removals(numbered(documents(spark, sf_dir)), "passage", 8)
     return gone.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.aggregate(
         "removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
         F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed"))

@@ -226,3 +226,38 @@ def test_empty_tables(llm):
     assert exact_dedup.assign(none).count() == exact_dedup.deduplicate(none).count() == 0
     assert simhash.near_groups(none).count() == simhash.deduplicate(none).count() == 0
     assert substring_dedup.deduplicate(none).count() == 0
+
+
+def passages_lost(rows):
+    """Of (id, text) rows with ids in order: the spans each loses, without Spark."""
+    seen, out = set(), {}
+    for i, t in rows:
+        own, spans = {}, []
+        for s, e, w in substring_dedup.passages_of(t, 8):
+            w = " ".join(w)
+            if w in seen or s >= own.setdefault(w, e):
+                spans.append((s, e))
+        seen |= set(own)
+        gone = sorted({k for s, e in spans for k in range(s, e)})
+        edges = [k for k in gone if k - 1 not in gone], [k + 1 for k in gone if k + 1 not in gone]
+        out[i] = ",".join(f"{s}:{e}" for s, e in zip(*edges))
+    return out
+
+
+def test_substring_query_removes_passages_of_short_sentences(llm, tmp_path):
+    talk = "He came in. She saw. Who was it? Nobody knew. A door shut. Then rain fell. All slept."
+    items = "- two eggs\n- some flour\n\n- milk\n- a pinch of salt\n"
+    han = "天地玄黃宇宙洪荒。日月盈昃辰宿列張。寒來暑往秋收冬藏。"
+    rows = [(1, f"First own words. {talk} Last own words."), (2, f"Other beginning here. {talk} Other end."),
+            (3, f"List one\n{items}end of one"), (4, f"List two\n{items}end of two"), (5, f"甲乙。{han}丙丁。"),
+            (6, f"戊己。{han}庚辛。"), (7, "Thank you all. And one thing said only here today."),
+            (8, "Thank you all. Another thing that nobody else has said."), (9, "ha. " * 20),
+            (10, "A long sentence of nine words that stands here. Oh no.\n" * 3)]
+    table(llm, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in substring_dedup.op5_substring_dedup(llm, str(tmp_path)).collect()}
+    assert got == passages_lost(rows)
+    for i, part in ((2, talk + " "), (4, items), (6, han)):
+        at = rows[i - 1][1].index(part)
+        assert got[i] == f"{at}:{at + len(part)}"
+    assert [got[i] for i in (1, 3, 5, 7, 8)] == [""] * 5  # first copies, and a short sentence inside other lines
+    assert got[9] == "32:80" and got[10] == "55:165"  # the first eight words, the first line stay
