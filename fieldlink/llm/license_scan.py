@@ -91,13 +91,14 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "
     """``doc_id, n_words, places, matches`` for every row of ``docs``.
 
     ``rare`` words of each template with the highest IDF (over all documents)
-    form a positional index; a base phrase is looked up by its rarest word.
+    and the rarest word of its key phrase form a positional index; a base
+    phrase is looked up by its rarest word.
     Every place where a text has an indexed word gives the template starts
     that would put it there; equal starts from several words fall together.
     At each start the template's words are compared by relative position, and
     the IDF share that matches must reach ``min_share`` (all of it for a base
     phrase) and the key phrase must stand there word by word. As each
-    occurrence of a phrase holds its rarest word, no place is missed.
+    match holds the rarest word of its key phrase, no place is missed.
 
     ``matches``: array of (label, start, share, base); ``places``: sorted
     starts of base phrases. A null or empty text has no words and empty
@@ -108,9 +109,10 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "
     idf = word_rarity(docs, templates, text_col)
     postings: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(templates):
-        by_idf = sorted(set(t.words), key=lambda w: (-idf[w], w))[: 1 if t.base else rare]
+        rarest = lambda ws: sorted(set(ws), key=lambda w: (-idf[w], w))
+        indexed = rarest(t.words)[: 1 if t.base else rare] + rarest(t.key.split())[:1]
         for at, w in enumerate(t.words):
-            if w in by_idf:
+            if w in indexed:
                 postings.setdefault(w, []).append((n, at))
     wide = 1 << 32
     index = F.create_map(*[x for w, ps in sorted(postings.items())

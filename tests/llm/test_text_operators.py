@@ -379,3 +379,16 @@ def test_license_query_has_defined_values_without_words(llm, tmp_path):
         f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.op10_license_scans(llm, str(tmp_path)).collect()}
     assert got == {1: (0, 0, None, None, "", "", 0.0), 2: (6, 2, 0, 3, "reserved", "reserved", 1.0)}
+
+
+def test_license_is_found_without_the_rarest_words(llm):
+    """The words of the key phrase are common; a text has it, but other words where the three rarest would stand."""
+    t = next(t for t in license_scan.TEMPLATES if t.label == "bsd")
+    rows = [(k, "source and binary forms") for k in range(50)]
+    text = " ".join("other" if w in ("are", "in", "modification") else w for w in t.words)
+    rows.append((99, "Some words before. " + text))
+    df = table(llm, rows)
+    idf = license_scan.word_rarity(df, license_scan.TEMPLATES)
+    assert sorted(sorted(set(t.words), key=lambda w: (-idf[w], w))[:3]) == ["are", "in", "modification"]
+    found = {r["doc_id"]: [(m["label"], m["start"]) for m in r["matches"]] for r in license_scan.scan(df).collect()}
+    assert found[99] == [("bsd", 3)] and not any(found[k] for k in range(50))
