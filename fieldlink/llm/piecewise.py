@@ -15,7 +15,7 @@ from fieldlink.llm.common import documents, id_and_text
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, SMALLEST, MOST = 7, 3, 64
-#: A run of this many equal signature characters must be common to both sides.
+#: A run of this many equal signature characters, or of all of a shorter one, is no chance.
 RUN = 4
 #: Bytes hashed at a time, which bounds a very long text's memory.
 BLOCK = 1 << 20
@@ -92,13 +92,19 @@ def _common(a: str, b: str) -> int:
 
 
 def _alike(a: str, b: str) -> float:
-    """1 - edit distance (insertions and deletions) / both lengths; 0 without a common run."""
-    if a == b:
-        return 1.0 if a else 0.0
-    runs = {a[i : i + RUN] for i in range(len(a) - RUN + 1)}
-    if not any(b[i : i + RUN] in runs for i in range(len(b) - RUN + 1)):
-        return 0.0
-    return 2 * _common(a, b) / (len(a) + len(b))
+    """1 - edit distance (insertions and deletions) / both lengths; 0 where that may be chance.
+
+    Without a common run it must reach 1/4 + 1/sqrt(mean length), which
+    signatures of unrelated texts do not: they share a fifth or less on average.
+    """
+    if a == b or not a or not b:
+        return 1.0 if a == b != "" else 0.0
+    share = 2 * _common(a, b) / (len(a) + len(b))
+    if share >= 0.25 + ((len(a) + len(b)) / 2) ** -0.5:
+        return share
+    run = min(RUN, len(a), len(b))
+    runs = {a[i : i + run] for i in range(len(a) - run + 1)}
+    return share if any(b[i : i + run] in runs for i in range(len(b) - run + 1)) else 0.0
 
 
 def likeness(x: str, y: str) -> float:

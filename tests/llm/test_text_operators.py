@@ -235,6 +235,16 @@ def test_fingerprints_of_repeated_and_null_ids(llm):
     assert one[0]["near_next"] == 1.0
 
 
+def test_likeness_of_short_and_of_widely_edited_signatures():
+    assert piecewise.likeness("3:ABC:AB", "3:ABCD:CD") == 6 / 7  # under four chunks on a side
+    a = piecewise.ALPHABET
+    spread = "".join("-" if i % 4 == 3 else c for i, c in enumerate(a))  # no four in a row are left
+    assert piecewise.likeness(f"3:{a}:", f"3:{spread}:") == 0.75
+    r = np.random.default_rng(3)
+    draw = lambda: "3:" + "".join(r.choice(list(a), 64)) + ":"
+    assert np.mean([piecewise.likeness(draw(), draw()) for _ in range(200)]) < 0.01
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
