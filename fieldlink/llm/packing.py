@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldlink.llm import cutting_stock
 from fieldlink.llm.common import documents, id_and_text, staged
 
-#: Tokens of one unit of length in the histogram.
+#: Tokens of one unit of length in the histogram, at most; a room of under 256 units has smaller ones.
 UNIT = 16
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, __split int, __at long"
 
@@ -51,8 +51,9 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 2, id_
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
     A document's ids are cut into full sequences and a rest. The rests'
-    lengths, in units of 16 tokens rounded up, make a histogram of at most
-    ``room / 16`` sizes; column generation on the driver turns it into
+    lengths, in units of up to 16 tokens rounded up, make a histogram of at
+    most ``room / 16`` or 511 sizes; a rest larger than the room's whole units
+    is a sequence of its own; column generation on the driver turns it into
     patterns with multiplicities (the histogram and the patterns are bounded
     by ``room``, not by the corpus). Documents of one size are ranked without
     gaps, by input split and place, and a rank's pattern, and so its sequence,
@@ -63,11 +64,15 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 2, id_
     packed as documents of their own; null ids are kept. An empty table gives
     an empty result; other columns are ignored.
     """
-    cut = staged(pieces(docs, tokenizer, room, end_id, id_col, text_col).withColumn(
-        "size", F.ceil(F.col("length") / UNIT).cast("int")), "pieces")
-    full = -(-room // UNIT)
-    histogram = {r["size"]: r["count"] for r in cut.where(F.col("length") < room).groupBy("size").count().collect()}
-    sizes, used = cutting_stock.patterns(histogram, room // UNIT)
+    if room < 1:
+        raise ValueError(f"a sequence of {room} tokens has no room")
+    unit = max(1, min(UNIT, room // 256))
+    most = room // unit  # larger pieces are alone
+    size = F.ceil(F.col("length") / unit).cast("int")
+    cut = staged(pieces(docs, tokenizer, room, end_id, id_col, text_col).withColumn("size", F.when(
+        (F.col("length") == room) | (size > most), F.lit(most + 1)).otherwise(size)), "pieces")
+    histogram = {r["size"]: r["count"] for r in cut.where(F.col("size") <= most).groupBy("size").count().collect()}
+    sizes, used = cutting_stock.patterns(histogram, most)
     # Of each size: from which rank on, how many in each copy, and the first copy's sequence.
     table: dict[int, list[tuple[int, int, int]]] = {}
     upto, first = dict.fromkeys(sizes.tolist(), 0), 0
@@ -81,23 +86,22 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 2, id_
     whole_from = first
 
     @F.pandas_udf("long")
-    def sequence(size: pd.Series, length: pd.Series, rank: pd.Series) -> pd.Series:
-        size, length, rank = size.to_numpy(), length.to_numpy(), rank.to_numpy()
+    def sequence(size: pd.Series, rank: pd.Series) -> pd.Series:
+        size, rank = size.to_numpy(), rank.to_numpy()
         out = whole_from + rank  # a full piece is a sequence of its own
-        for s in np.unique(size[length < room]):
-            at = (size == s) & (length < room)
+        for s in np.unique(size[size <= most]):
+            at = size == s
             begin, each, base = lookup[int(s)]
             k = np.searchsorted(begin, rank[at], side="right") - 1
             out[at] = base[k] + (rank[at] - begin[k]) // each[k]
         return pd.Series(out)
 
-    cut = cut.withColumn("size", F.when(F.col("length") == room, F.lit(full + 1)).otherwise(F.col("size")))
     counts = cut.groupBy("size", "__split").agg(F.count("*").alias("n"))
     before = Window.partitionBy("size").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("size", "__split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("size", "__split").orderBy("__at", "start")) - 1
     ranked = cut.withColumn("__nth", nth).join(offsets, ["size", "__split"])
-    ranked = ranked.withColumn("sequence_id", sequence("size", "length", F.col("__before") + F.col("__nth")))
+    ranked = ranked.withColumn("sequence_id", sequence("size", F.col("__before") + F.col("__nth")))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "__at", "start").rowsBetween(
         Window.unboundedPreceding, -1)
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",

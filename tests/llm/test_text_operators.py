@@ -245,6 +245,18 @@ def test_likeness_of_short_and_of_widely_edited_signatures():
     assert np.mean([piecewise.likeness(draw(), draw()) for _ in range(200)]) < 0.01
 
 
+@pytest.mark.parametrize("room", [10, 300, 4100])
+def test_packing_in_rooms_that_units_do_not_divide(llm, room):
+    docs = [(k, words(3 * k + 1, k)) for k in range(60)] + [(99, words(5000, 99))]
+    rows = packing.pack(table(llm, docs), packing.default_tokenizer(), room).collect()
+    held, total = Counter(), Counter()
+    for r in rows:
+        held[r["sequence_id"]] += r["length"]
+        total[r["doc_id"]] += r["length"]
+    assert max(held.values()) <= room and all(total[r["doc_id"]] == r["doc_tokens"] for r in rows)
+    assert len(held) <= 1.2 * -(-sum(held.values()) // room) + 1 or room == 10
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
