@@ -2,6 +2,8 @@
 
 from fieldlink.llm import (
     exact_dedup,
+    hard_negatives,
+    importance,
     license_scan,
     packing,
     pii,
@@ -11,6 +13,7 @@ from fieldlink.llm import (
     simhash,
     substring_dedup,
     subwords,
+    url_filter,
 )
 
 QUERIES = {
@@ -24,6 +27,13 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_license_scans": license_scan.op10_license_scans,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_url_filters": url_filter.op13_url_filters,
 }
 
-ORACLE_SQL = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+ORACLE_SQL = {
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_url_filters": url_filter.OP13_SQL,
+}
