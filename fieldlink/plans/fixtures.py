@@ -23,6 +23,10 @@ Mapping (one row of ``events`` is one message):
 * ``k = 99``: the JSON text is cut short (malformed message).
 * source volume: pages with ``page_id % 10 <> 0``; mirror: a third of those
   plus a few already gone from the source, some with a different length.
+* real files (``stored_volumes``): the same volumes with each page's HTML as
+  the file, for pages whose URL does not end in ``/`` (those have no file
+  name). In a real run (``blocked_run``) the target folder of assets with
+  ``page_id % 13 = 0`` is taken by a file, so that their copies fail.
 """
 
 from __future__ import annotations
@@ -344,3 +348,43 @@ def stored_document_changes(spark: SparkSession, d: str, sites: Sites = DEFAULT_
     path = _stored(spark, d, sites, "document_changes",
                    lambda p: document_changes(spark, d).write.parquet(p))
     return spark.read.schema(DOCUMENT_CHANGE).parquet(path)
+
+
+def stored_volumes(spark: SparkSession, d: str, sites: Sites = DEFAULT_SITES) -> str:
+    """Real files written from ``pages``; a volume's path on disk is the returned folder plus its path in ``sites``."""
+    from fieldlink.sources.volumes import store_files
+
+    def write(path: str) -> None:
+        p = page_info(spark, d).join(table(spark, d, "pages").select("page_id", "html"), "page_id").filter("filename <> ''")
+        pid, present = F.col("page_id"), F.col("page_id") % 10 != 0
+        # Each volume's root, the pages in it and what its files hold.
+        held = [(sites.source_images, present, F.col("html")), (sites.download_dir, present, F.col("html")),
+                (sites.hq_files, present, F.col("html")),
+                (sites.edge_files, (present & (pid % 3 == 0)) | (pid % 20 == 0),
+                 F.when(pid % 9 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")))]
+        files = p.select(F.explode(F.array(*[F.when(where, F.struct(
+            F.concat(F.lit(path), asset_path(root, F.col("assetID"), F.col("filename"), sites.layout)).alias("path"),
+            content.alias("content"))) for root, where, content in held])).alias("f")).filter("f IS NOT NULL").select("f.*")
+        failed = store_files(files).filter("NOT ok")
+        if not failed.isEmpty():
+            raise RuntimeError(f"stand-in files could not be written: {failed.first()}")
+
+    return _stored(spark, d, sites, "volumes", write)
+
+
+BLOCKED = 13
+
+
+def blocked_run(spark: SparkSession, d: str, root: str, sites: Sites = DEFAULT_SITES) -> str:
+    """A new folder for one run's copies, where files take the place of some assets' folders below ``root``."""
+    import uuid
+
+    from fieldlink.session import ensure_checkpoint_dir
+    from fieldlink.sources.volumes import store_files
+
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fieldlink-runs/{uuid.uuid4().hex}"
+    taken = page_info(spark, d).filter(F.col("page_id") % BLOCKED == 0).select(
+        F.concat(F.lit(run), F.regexp_replace(asset_path(root, F.col("assetID"), F.lit(""), sites.layout), "/+$", "")).alias("path"),
+        F.lit(b"taken").alias("content"))
+    store_files(taken).write.parquet(f"{run}/_taken")
+    return run

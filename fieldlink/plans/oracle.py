@@ -92,6 +92,12 @@ DL = f"""dl AS (
   FROM msg m LEFT JOIN docs d ON d.assetID = m.assetID
   WHERE m.event_type = 'signup' AND NOT m.bad)"""
 
+# Real files: a page's HTML, where its URL ends in a file name; copies of assets with page_id % 13 = 0 fail.
+FILES = f"""real AS (
+  SELECT pg.assetID, pg.page_id, {rel_sql('pg.assetID', 'pg.filename')} AS rel_path,
+         CAST(octet_length(encode(pages.html)) AS BIGINT) AS n_bytes, sha256(pages.html) AS sha
+  FROM pg JOIN pages ON pages.page_id = pg.page_id WHERE pg.filename <> '')"""
+
 RQ = """rq AS (
   SELECT m.seq, m.ts, m.assetID, m.title AS msg_title, d.found, d.location
   FROM msg m LEFT JOIN docs d ON d.assetID = m.assetID
@@ -175,6 +181,25 @@ ORACLE_SQL: dict[str, str] = {
     "image_download": _with(PG, MSG, DOCS, LISTINGS, DL) + (
         "SELECT seq, assetID, title, description, filename, location, outcome AS status "
         "FROM dl WHERE outcome IN ('success', 'failed')"),
+    "image_download_copies": _with(PG, MSG, DOCS, FILES) + (
+        "SELECT m.seq, m.assetID, d.title, d.url AS description, d.filename, d.location, "
+        "CASE WHEN d.page_id % 13 = 0 THEN 'failed' ELSE 'success' END AS status, "
+        "CASE WHEN d.page_id % 13 <> 0 THEN r.n_bytes END AS n_bytes, CASE WHEN d.page_id % 13 <> 0 THEN r.sha END AS sha256 "
+        "FROM msg m JOIN docs d ON d.assetID = m.assetID JOIN real r ON r.assetID = m.assetID "
+        "WHERE m.event_type = 'signup' AND NOT m.bad AND d.page_id % 10 <> 0"),
+    "asset_response_copies": _with(PG, MSG, DOCS, RQ, FILES) + (
+        f"SELECT g.assetID, g.filename, g.src, '{SITE['hq_files']}/' || {rel_sql('g.assetID', 'g.filename')} AS dst, g.n_requests, "
+        "r.page_id IS NOT NULL AS ok, r.n_bytes, r.sha AS sha256 FROM ("
+        "SELECT assetID, split_part(location, '/', -1) AS filename, location AS src, count(*) AS n_requests "
+        "FROM rq WHERE found AND location IS NOT NULL GROUP BY assetID, location) g "
+        "LEFT JOIN real r ON r.assetID = g.assetID AND r.page_id % 13 <> 0"),
+    "volume_files": _with(PG, FILES) + (
+        f"SELECT '{SITE['hq_files']}' AS volume, rel_path, n_bytes AS length FROM real WHERE page_id % 10 <> 0 UNION ALL "
+        f"SELECT '{SITE['edge_files']}', rel_path, n_bytes + CASE WHEN page_id % 9 = 0 THEN 1 ELSE 0 END FROM real "
+        "WHERE (page_id % 10 <> 0 AND page_id % 3 = 0) OR page_id % 20 = 0"),
+    "asset_digests": _with(PG, DOCS, FILES) + (
+        "SELECT d.assetID, d.location, r.n_bytes, r.sha AS sha256 FROM docs d LEFT JOIN real r ON r.assetID = d.assetID "
+        "WHERE d.location IS NOT NULL"),
     "image_download_deadletter": _with(PG, MSG, DOCS, LISTINGS, DL) + (
         "SELECT seq, assetID, outcome AS reason FROM dl WHERE outcome IN ('not_found', 'file_missing')"),
     "download_outcomes": _with(PG, MSG, DOCS, LISTINGS, DL) + (

@@ -24,6 +24,7 @@ from fieldlink.config import (
     TOPIC_VOLUME_INFO,
 )
 from fieldlink import functions as fx
+from fieldlink.functions.paths import relative_to
 from fieldlink.operators import activity, edge, hq, monitor
 from fieldlink.plans import fixtures as fix
 from fieldlink.session import ensure_checkpoint_dir
@@ -37,6 +38,7 @@ from fieldlink.schemas import (
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
 from fieldlink.sources import topics
+from fieldlink.sources.volumes import copy_files, file_digests, list_volume
 from fieldlink.sources.volumes import mirror_diff as _mirror_diff
 from fieldlink.sources.volumes import volume_usage as _volume_usage
 
@@ -193,6 +195,60 @@ def asset_response(spark, d):
     return hq.response_copies(_responses(spark, d)).select("assetID", "filename", "src", "dst", "n_requests")
 
 
+def _copied(spark, d, manifest, root):
+    """Real copies of ``manifest`` (``src, dst`` as in SITES) from the stored volumes to a run's own folder.
+
+    The copy job runs once, in the write of its results; returns ``dst, ok, n_bytes, sha256``.
+    """
+    volumes_at, run = fix.stored_volumes(spark, d, SITES), fix.blocked_run(spark, d, root, SITES)
+    copies = copy_files(manifest.select(F.concat(F.lit(volumes_at), "src").alias("src"), F.concat(F.lit(run), "dst").alias("dst")))
+    copies.write.parquet(f"{run}/_results")
+    done = spark.read.schema(copies.schema).parquet(f"{run}/_results")
+    return done.select(F.expr(f"substr(dst, {len(run) + 1})").alias("dst"), "ok", F.col("length").alias("n_bytes"), "sha256")
+
+
+def _listed(spark, d, root):
+    """Listing of a real volume, with the paths it has in SITES."""
+    at = fix.stored_volumes(spark, d, SITES)
+    return list_volume(spark, at + root).withColumn("path", F.expr(f"substr(path, {len('file:' + at) + 1})"))
+
+
+def image_download_copies(spark, d):
+    """The download stage with real files: the source volume is listed, the planned
+    copies run (checked by length and digest, published whole), and their outcomes settle the messages."""
+    msgs = _consume(spark, d, TOPIC_IMAGEFEED)
+    planned = hq.plan_downloads(msgs, _documents(spark, d, msgs), _listed(spark, d, SITES.source_images), SITES)
+    manifest = hq.store_manifest(planned)
+    done = _copied(spark, d, manifest, SITES.download_dir)
+    outcomes = hq.resolve_downloads(planned, manifest.join(done, "dst").select("seq", "ok"))
+    return hq.download_published(outcomes).join(done.withColumnRenamed("dst", "location"), "location", "left").select(
+        "seq", "assetID", "title", "description", "filename", "location", "status", "n_bytes", "sha256")
+
+
+def asset_response_copies(spark, d):
+    """Requested assets really copied from the download volume to the HQ files, with each copy's outcome."""
+    manifest = hq.response_copies(_responses(spark, d))
+    return manifest.join(_copied(spark, d, manifest, SITES.hq_files), "dst").select(
+        "assetID", "filename", "src", "dst", "n_requests", "ok", "n_bytes", "sha256")
+
+
+def volume_files(spark, d):
+    """The real files of the HQ files and mirror volumes, found by the walk."""
+    parts = [_listed(spark, d, root).select(F.lit(root).alias("volume"), relative_to("path", root).alias("rel_path"), "length")
+             for root in (SITES.hq_files, SITES.edge_files)]
+    return parts[0].unionByName(parts[1])
+
+
+def asset_digests(spark, d):
+    """Length and SHA-256 of every stored document's file, read in executors; nulls where there is none."""
+    at = fix.stored_volumes(spark, d, SITES)
+    wanted = _documents(spark, d).filter("imageDownloadLocation IS NOT NULL").select(
+        F.col("_id").alias("assetID"), F.col("imageDownloadLocation").alias("location"))
+    read = file_digests(wanted.select(F.concat(F.lit(at), "location").alias("path")))
+    read = read.select(F.expr(f"substr(path, {len(at) + 1})").alias("location"), F.col("length").alias("n_bytes"), "sha256")
+    return wanted.join(read, "location", "left").select("assetID", "location", "n_bytes", "sha256")
+
+
 def asset_response_deadletter(spark, d):
     """Requests whose document is missing or has no location."""
     return hq.response_deadletter(_responses(spark, d))
@@ -357,6 +413,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "image_download_deadletter": image_download_deadletter,
     "download_outcomes": download_outcomes,
     "filename_collisions": filename_collisions,
+    "image_download_copies": image_download_copies,
+    "asset_response_copies": asset_response_copies,
+    "volume_files": volume_files,
+    "asset_digests": asset_digests,
     "asset_broadcast": asset_broadcast,
     "broadcast_listener": broadcast_listener,
     "asset_lifecycle": asset_lifecycle,

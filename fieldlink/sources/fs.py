@@ -13,14 +13,21 @@ _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def resolve(path: str):
-    """``(filesystem, path inside it)`` for a Spark-style path."""
-    if "://" not in path:
-        import os
+    """``(filesystem, path inside it)`` for a Spark-style path.
 
+    Only scheme and authority are read as a URI. What follows is a plain path,
+    in which ``?``, ``#``, ``%``, blanks and other characters stand for themselves.
+    """
+    import os
+
+    if "://" not in path or path.startswith("file://"):
         local = path[len("file:"):] if path.startswith("file:") else path
-        path = "file://" + os.path.abspath(local)
+        local = local[2:] if local.startswith("//") else local
+        return pafs.LocalFileSystem(), os.path.abspath(local)
     scheme, rest = path.split("://", 1)
-    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+    authority, _, inside = rest.partition("/")
+    f, base = pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{authority}/")
+    return f, f"{base.rstrip('/')}/{inside}"
 
 
 def mkdirs(*paths: str) -> None:
@@ -57,6 +64,29 @@ def rename(src: str, dst: str) -> bool:
     return True
 
 
+def write_text(path: str, text: str) -> None:
+    """Write a small file so that readers see all of it or nothing."""
+    import uuid
+
+    f, q = resolve(path)
+    part = f"{q}.{uuid.uuid4().hex}"
+    with f.open_output_stream(part) as out:
+        out.write(text.encode())
+    f.move(part, q)
+
+
+def read_text(path: str) -> str:
+    f, q = resolve(path)
+    with f.open_input_stream(q) as s:
+        return s.read().decode()
+
+
+def delete_file(path: str) -> None:
+    f, q = resolve(path)
+    if f.get_file_info(q).type == pafs.FileType.File:
+        f.delete_file(q)
+
+
 def delete_dir(path: str) -> None:
     f, q = resolve(path)
     if f.get_file_info(q).type == pafs.FileType.Directory:

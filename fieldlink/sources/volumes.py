@@ -1,16 +1,19 @@
 """Volumes: listing, usage, file copies and mirror sync planning.
 
-Listings are walked by executors below the volume's top level (zero-length
-files included); the ``binaryFile`` source (``content`` pruned) is an option,
+Listings are walked by executors, from the root on (zero-length files
+included); the ``binaryFile`` source (``content`` pruned) is an option,
 but it leaves zero-length files out.
 Copies, reads and deletes run in executors through ``mapInPandas`` with
 ``pyarrow.fs``, which speaks to local, HDFS and object-store paths alike; a
 manifest is de-duplicated map-side first, then grouped by destination so two
-copies to one path never race.
+copies to one path never race. How bytes move is in :mod:`.transfer`.
 """
 
 from __future__ import annotations
 
+import collections
+import datetime as dt
+import os
 from typing import Iterator
 
 import pandas as pd
@@ -18,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlink.functions.paths import relative_to
+from fieldlink.session import ensure_checkpoint_dir
+from fieldlink.sources import transfer
 
-COPY_RESULT_SCHEMA = "src string, dst string, ok boolean, error string"
+COPY_RESULT_SCHEMA = "src string, dst string, ok boolean, error string, length bigint, sha256 string"
 LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint"
 
 
@@ -37,32 +42,83 @@ def _prefix(p: str) -> str:
     return f"{scheme}://{rest.split('/', 1)[0]}"
 
 
-def _list_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs as pafs
+#: Entries a task lists before it hands the folders that are left to the next step; rows it holds at a time.
+WALK_ENTRIES, WALK_ROWS = 20_000, 4096
+_WALK_SCHEMA = LISTING_SCHEMA + ", is_dir boolean"
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
-    for pdf in batches:
-        rows = []
-        for d in pdf["dir"]:
-            f, root = _fs_and_path(d)
-            prefix = _prefix(d)
-            for info in f.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
-                if info.type == pafs.FileType.File:
-                    rows.append((prefix + info.path, info.mtime, info.size))
-        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length"])
 
+def _entries(folder: str) -> Iterator[tuple]:
+    """Entries of one folder as ``(path, mtime, size, is_dir)``; none if it is gone. Local folders are read as a stream."""
+    from pyarrow import fs as pafs
 
-def list_volume(spark: SparkSession, path: str, method: str = "tree", missing_ok: bool = False) -> DataFrame:
+    f, root = _fs_and_path(folder)
+    prefix = _prefix(folder)
+    if isinstance(f, pafs.LocalFileSystem):
+        try:
+            with os.scandir(root) as found:
+                for e in found:
+                    if e.is_dir():
+                        if not e.is_symlink():  # a linked folder could lead back here
+                            yield prefix + e.path, None, None, True
+                    elif e.is_file():
+                        try:
+                            st = e.stat()
+                        except FileNotFoundError:  # deleted meanwhile
+                            continue
+                        yield prefix + e.path, _EPOCH + dt.timedelta(microseconds=st.st_mtime_ns // 1000), st.st_size, False
+        except FileNotFoundError:
+            return
+    else:
+        for i in f.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True)):
+            if i.type == pafs.FileType.Directory:
+                yield prefix + i.path, None, None, True
+            elif i.type == pafs.FileType.File:
+                yield prefix + i.path, i.mtime, i.size, False
+
+
+def _walk(batches: Iterator[pd.DataFrame], entries: int | None = None, held: int | None = None) -> Iterator[pd.DataFrame]:
+    """List folders and those below them until ``entries`` entries were seen; folders not listed by then are rows.
+
+    At most about ``entries`` folder names and ``held`` rows are in memory, however large a folder is.
+    """
+    entries, held = entries or WALK_ENTRIES, held or WALK_ROWS
+    frame = lambda rows: pd.DataFrame(rows, columns=["path", "modificationTime", "length", "is_dir"])
+    for pdf in batches:
+        todo, seen, rows = collections.deque(pdf["path"]), 0, []
+        while todo and seen < entries:
+            for row in _entries(todo.popleft()):
+                seen += 1
+                if row[3] and seen < entries:
+                    todo.append(row[0])
+                else:
+                    rows.append(row)
+                if len(rows) >= held:
+                    yield frame(rows)
+                    rows = []
+        rows += [(d, None, None, True) for d in todo]
+        for k in range(0, max(1, len(rows)), held):
+            yield frame(rows[k : k + held])
+
+
+def list_volume(spark: SparkSession, path: str, method: str = "tree", missing_ok: bool = False,
+                parts: bool = False) -> DataFrame:
     """Recursive listing: ``path, modificationTime, length`` (paths as ``scheme:/...``).
 
-    ``tree`` (default): the driver reads only the volume's top level; the
-    sub-trees are walked by executors (``mapInPandas`` with ``pyarrow.fs``).
-    Every file counts, whatever its name or length. A root that does not exist
-    is an error unless ``missing_ok``: an empty listing of a mistyped source
-    would make a mirror delete all it has. ``pyarrow.fs`` must reach the store
-    (local, S3, GCS; HDFS through libhdfs). ``binaryFile``: Spark's file
-    source with ``content`` pruned, which reaches any Hadoop store but holds
-    every file status on the driver and leaves out zero-length files and
-    names that begin with ``_`` or ``.``.
+    ``tree`` (default): a walk in steps. Each step's tasks list the folders
+    found so far and what lies below them, up to some thousand entries a task;
+    the folders that are left are dealt out anew in the next step, so neither
+    the driver nor one task lists a volume, whatever its shape. A step's rows
+    are checkpointed. Every file counts, whatever its name or length, but the
+    part files of running copies, which only ``parts`` shows. Local folders
+    that are links are not followed.
+
+    A root that does not exist is an error unless ``missing_ok``: an empty
+    listing of a mistyped source would make a mirror delete all it has.
+    ``pyarrow.fs`` must reach the store (local, S3, GCS; HDFS through
+    libhdfs). ``binaryFile``: Spark's file source with ``content`` pruned,
+    which reaches any Hadoop store but holds every file status on the driver
+    and leaves out zero-length files and names that begin with ``_`` or ``.``.
     """
     if method == "binaryFile":
         return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -70,16 +126,34 @@ def list_volume(spark: SparkSession, path: str, method: str = "tree", missing_ok
     from pyarrow import fs as pafs
 
     f, root = _fs_and_path(path)
-    prefix = _prefix(path)
-    top = f.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=missing_ok))
-    files = [(prefix + i.path, i.mtime, i.size) for i in top if i.type == pafs.FileType.File]
-    dirs = [(prefix + i.path,) for i in top if i.type == pafs.FileType.Directory]
-    here = spark.createDataFrame(files, LISTING_SCHEMA)
-    if not dirs:
-        return here
-    n = max(1, min(len(dirs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    nested = spark.createDataFrame(dirs, "dir string").repartition(n).mapInPandas(_list_trees, LISTING_SCHEMA)
-    return here.unionByName(nested)
+    if f.get_file_info(root).type != pafs.FileType.Directory:
+        if missing_ok:
+            return spark.createDataFrame([], LISTING_SCHEMA)
+        raise FileNotFoundError(path)
+    ensure_checkpoint_dir(spark)
+    todo, found = spark.createDataFrame([(_prefix(path) + root,)], "path string"), None
+    while True:
+        step = _spread(todo, "path", None if found is not None else 1).mapInPandas(_walk, _WALK_SCHEMA).checkpoint(eager=True)
+        files = step.filter(~F.col("is_dir")).drop("is_dir")
+        found = files if found is None else found.unionByName(files)
+        todo = step.filter("is_dir").select("path")
+        if todo.isEmpty():
+            return found if parts else found.filter(~is_part("path"))
+
+
+def is_part(path) -> "F.Column":
+    """Whether a path is that of a running or dead copy's part file."""
+    name = F.regexp_extract(F.col(path) if isinstance(path, str) else path, "[^/]*$", 0)
+    return name.rlike(transfer.PART)
+
+
+def sweep_parts(spark: SparkSession, path: str, older_than_s: int = 3600) -> DataFrame:
+    """Delete part files of dead copies: those nothing was written to for ``older_than_s`` seconds.
+
+    Returns one row per file (as :func:`delete_files`). A missing root has none.
+    """
+    old = F.col("modificationTime") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(older_than_s))
+    return delete_files(list_volume(spark, path, missing_ok=True, parts=True).filter(is_part("path") & old), "path")
 
 
 def _stat_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,28 +213,14 @@ def file_present(wanted: DataFrame, listing: DataFrame, path_col: str = "path",
 
 
 def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import posixpath
-
-    from pyarrow import fs as pafs
-
     for pdf in batches:
-        oks, errs = [], []
+        rows = []
         for src, dst in zip(pdf["src"], pdf["dst"]):
             try:
-                sfs, spath = _fs_and_path(src)
-                dfs, dpath = _fs_and_path(dst)
-                info = sfs.get_file_info(spath)
-                if info.type != pafs.FileType.File:
-                    raise FileNotFoundError(src)
-                dfs.create_dir(posixpath.dirname(dpath), recursive=True)
-                pafs.copy_files(spath, dpath, source_filesystem=sfs, destination_filesystem=dfs,
-                                use_threads=False)
-                oks.append(True)
-                errs.append(None)
+                rows.append((src, dst, True, None, *transfer.copy(src, dst)))
             except Exception as e:  # one bad file must not fail the batch
-                oks.append(False)
-                errs.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "ok": oks, "error": errs})
+                rows.append((src, dst, False, f"{type(e).__name__}: {e}", None, None))
+        yield pd.DataFrame(rows, columns=["src", "dst", "ok", "error", "length", "sha256"]).astype({"length": "Int64"})
 
 
 def _spread(rows: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
@@ -174,9 +234,11 @@ def _spread(rows: DataFrame, key: str, partitions: int | None = None) -> DataFra
 
 
 def copy_files(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Copy each distinct ``(src, dst)``, overwriting; returns ``src, dst, ok, error``.
+    """Copy each distinct ``(src, dst)``, overwriting; returns ``src, dst, ok, error, length, sha256``.
 
-    Idempotent: running it again rewrites the same files.
+    A target is replaced by a whole and checked copy at once or stays as it
+    was (:func:`.transfer.copy`), also when a task dies or an attempt runs
+    twice. Idempotent: running it again rewrites the same files.
     """
     m = manifest.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     # De-duplicate first (combined map-side, so a popular asset's many copy
@@ -186,6 +248,27 @@ def copy_files(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
     return _spread(m, "dst", partitions).mapInPandas(_copy_batches, COPY_RESULT_SCHEMA)
 
 
+def store_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """Store rows ``(path, content)`` as files: ``path, ok, error, length, sha256``.
+
+    Files appear whole (:func:`.transfer.put`). Of rows that name one path any
+    one wins. No shuffle: the contents stay in their partitions.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows.append((p, True, None, *transfer.put(p, bytes(content))))
+                except Exception as e:  # one bad file must not fail the batch
+                    rows.append((p, False, f"{type(e).__name__}: {e}", None, None))
+            yield pd.DataFrame(rows, columns=["path", "ok", "error", "length", "sha256"]).astype({"length": "Int64"})
+
+    rows = files.select(F.col(path_col).alias("path"), F.col(content_col).cast("binary").alias("content"))
+    rows = rows.filter(F.col("path").isNotNull() & F.col("content").isNotNull())
+    return rows.mapInPandas(run, "path string, ok boolean, error string, length bigint, sha256 string")
+
+
 def mirror_diff(src: DataFrame, src_root: str, dst: DataFrame, dst_root: str,
                 include_same: bool = False) -> DataFrame:
     """Plan a one-way mirror from ``src`` to ``dst`` listings.
@@ -223,11 +306,12 @@ def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except Exception as e:
                 oks.append(False)
                 errs.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"src": [None] * len(pdf), "dst": pdf["dst"], "ok": oks, "error": errs})
+        yield pd.DataFrame({"src": [None] * len(pdf), "dst": pdf["dst"], "ok": oks, "error": errs,
+                            "length": pd.array([None] * len(pdf), "Int64"), "sha256": [None] * len(pdf)})
 
 
 def delete_files(paths: DataFrame, path_col: str = "dst") -> DataFrame:
-    """Delete each distinct path; returns ``src (null), dst, ok, error``."""
+    """Delete each distinct path; returns the columns of :func:`copy_files` (``src``, ``length`` and ``sha256`` null)."""
     p = paths.select(F.col(path_col).alias("dst")).filter(F.col("dst").isNotNull())
     return _spread(p.dropDuplicates(["dst"]), "dst").mapInPandas(_delete_batches, COPY_RESULT_SCHEMA)
 
@@ -247,28 +331,80 @@ def mirror_apply(plan: DataFrame, dst_root: str, src_root: str, delete: bool = T
     return done
 
 
+#: Bytes of a piece, and of the pieces that a task hands over at a time.
+RANGE_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
+
+
+def read_ranges(wanted: DataFrame, path_col: str = "path", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The wanted files' bytes in pieces: ``path, offset, content, error``.
+
+    A file of any size passes through a task in pieces of ``range_bytes``, and
+    a task hands over about ``BATCH_BYTES`` at a time. An empty file is one
+    empty piece; an absent or unreadable one a row with null content and the error.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["path", "offset", "content", "error"]).astype({"offset": "Int64"})
+        rows, held = [], 0
+        for pdf in batches:
+            for p in pdf["path"]:
+                try:
+                    for at, piece in transfer.ranges(p, range_bytes):
+                        rows.append((p, at, piece, None))
+                        held += len(piece)
+                        if held >= BATCH_BYTES or len(rows) >= WALK_ROWS:
+                            yield frame(rows)
+                            rows, held = [], 0
+                except Exception as e:
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
+        yield frame(rows)
+
+    return _wanted(wanted, path_col).mapInPandas(run, "path string, offset bigint, content binary, error string")
+
+
+def file_digests(wanted: DataFrame, path_col: str = "path") -> DataFrame:
+    """``path, length, sha256, error`` of the wanted files, each read a chunk at a time; nulls where a file can't be read."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                try:
+                    rows.append((p, *transfer.digest(p), None))
+                except Exception as e:
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "length", "sha256", "error"]).astype({"length": "Int64"})
+
+    return _wanted(wanted, path_col).mapInPandas(run, "path string, length bigint, sha256 string, error string")
+
+
+def _wanted(wanted: DataFrame, path_col: str) -> DataFrame:
+    """Distinct paths, combined map-side so that hot ones shrink before the shuffle, dealt to tasks."""
+    paths = wanted.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull())
+    return _spread(paths.dropDuplicates(["path"]), "path")
+
+
 def _read_batches_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows, held = [], 0
+    frame = lambda rows: pd.DataFrame(rows, columns=["path", "content", "error"])
     for pdf in batches:
-        contents, errs = [], []
         for p in pdf["path"]:
             try:
                 f, fp = _fs_and_path(p)
                 with f.open_input_stream(fp) as s:
-                    contents.append(s.read())
-                errs.append(None)
-            except Exception as e:  # absent or unreadable: None, like the reference
-                contents.append(None)
-                errs.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"path": pdf["path"], "content": contents, "error": errs})
+                    rows.append((p, s.read(), None))
+                held += len(rows[-1][1])
+            except Exception as e:  # absent or unreadable: no content
+                rows.append((p, None, f"{type(e).__name__}: {e}"))
+            if held >= BATCH_BYTES or len(rows) >= WALK_ROWS:
+                yield frame(rows)
+                rows, held = [], 0
+    yield frame(rows)
 
 
 def read_files(wanted: DataFrame, path_col: str = "path") -> DataFrame:
     """Bytes of the wanted files (A7): ``path, content, error``; absent files give null content.
 
     Only the wanted files are opened (a ``binaryFile`` scan of the whole
-    volume would read every file's bytes); the distinct paths are spread by
-    the de-duplication's hash partitioning.
+    volume would read every file's bytes). A row holds a whole file, a task
+    about ``BATCH_BYTES`` and one file; :func:`read_ranges` is for large files.
     """
-    paths = wanted.select(F.col(path_col).alias("path")).filter(F.col("path").isNotNull())
-    return (_spread(paths.dropDuplicates(["path"]), "path")  # combined map-side: hot paths shrink before the shuffle
-            .mapInPandas(_read_batches_fn, "path string, content binary, error string"))
+    return _wanted(wanted, path_col).mapInPandas(_read_batches_fn, "path string, content binary, error string")
