@@ -3,7 +3,8 @@
 Commands:
   hq       feed, download, broadcast and response services, counters (2 s period)
   edge     asset state, requests, audit listener, replica monitor, mirror lag, counters (3 s period)
-  maintain fold the site's state folders once; hq and edge do it every --maintain-seconds
+  maintain fold the site's state folders and documents and delete what dead copies left;
+           hq and edge fold every --maintain-seconds
   pause    stop the site's replication until resume (the runner follows within a second)
   resume   go on with it from its position
   mirror   one mirror pass from the HQ files volume to the edge mirror
@@ -109,6 +110,7 @@ def main(argv: list[str] | None = None) -> None:
             svc.stop_all(qs)
     elif a.command == "maintain":
         svc.maintain(spark, layout)
+        print(f"left by dead copies: {svc.sweep(spark, layout)} files deleted")
     elif a.command == "mirror":
         plan = volumes.mirror_diff(volumes.list_volume(spark, sites.hq_files), sites.hq_files,
                                    volumes.list_volume(spark, sites.edge_files, missing_ok=True), sites.edge_files)

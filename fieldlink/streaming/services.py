@@ -180,9 +180,8 @@ def feed_batch(spark: SparkSession, layout: Layout, files: DataFrame, batch_id:
     # An item that comes again unchanged keeps the location its file is already stored at.
     # Checkpointed, as a retry overwrites this batch's own folder of the changelog.
     ensure_checkpoint_dir(spark)
-    earlier = docs.read_changelog(spark, layout.documents).filter(F.col("seq") < F.lit(batch_id << _SEQ_SHIFT))
-    stored = docs.lookup(earlier, valid)
-    stored = docs.current(stored).select(
+    earlier = docs.read_versions(spark, layout.documents, valid).filter(F.col("seq") < F.lit(batch_id << _SEQ_SHIFT))
+    stored = docs.current(earlier).select(
         F.col("_id").alias("assetID"), F.col("data").alias("_data"), F.col("links").alias("_links"),
         F.col("imageDownloadLocation").alias("_location")).checkpoint(eager=True)
     same = F.col("item.data").eqNullSafe(F.col("_data")) & F.col("item.links").eqNullSafe(F.col("_links"))
@@ -508,10 +507,21 @@ STATE_KEYS = {"asset_state": "assetID", "replica_last": "replica", "mirror_lag":
 
 
 def maintain(spark: SparkSession, layout: Layout) -> None:
-    """Fold a site's state folders (:func:`compact_state`); safe beside the running services."""
+    """Fold a site's state folders (:func:`compact_state`) and its documents; safe beside the running services."""
     for name, key in STATE_KEYS.items():
         if fs.exists(f"{layout.base}/{name}"):
             compact_state(spark, f"{layout.base}/{name}", key)
+    if fs.exists(layout.documents):
+        # A retried feed batch asks for the documents as they were before it.
+        fed = [int(n.split("=")[1]) for n, is_dir in fs.list_dir(f"{layout.documents}/feed") if is_dir and n.startswith("batch=")]
+        docs.fold(spark, layout.documents, max(fed) << _SEQ_SHIFT if fed else None)
+
+
+def sweep(spark: SparkSession, layout: Layout) -> int:
+    """Delete what dead copies left in the site's volumes; the number of files. Lists the volumes."""
+    s = layout.sites
+    gone = [volumes.sweep_parts(spark, root) for root in (s.download_dir, s.hq_files, s.edge_files)]
+    return sum(g.filter("ok").count() for g in gone)
 
 
 def _pause_mark(layout: Layout) -> str:
