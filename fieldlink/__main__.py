@@ -9,7 +9,7 @@ Commands:
   resume   go on with it from its position
   mirror   one mirror pass from the HQ files volume to the edge mirror
   publish  publish every asset waiting in "requesting..." once
-  status   print the edge asset table
+  status   print the services' counters and the edge asset table
   init     create a site's folders and catalog tables (already there: fine)
   drop     drop a site's tables and folders (give the edge site first)
 
@@ -74,8 +74,8 @@ def main(argv: list[str] | None = None) -> None:
             steps = [lambda: svc.start_lifecycle_service(spark, layout, layout.replica, once),
                      lambda: svc.start_request_service(spark, layout, once),
                      lambda: svc.start_lifecycle_service(spark, layout, layout.replica, once),  # what was requested
-                     lambda: svc.start_site_counters(spark, layout, EDGE, once),
                      lambda: svc.start_audit_listener(spark, layout, once),
+                     lambda: svc.start_site_counters(spark, layout, EDGE, once),
                      lambda: svc.start_replica_monitor(spark, layout, once),
                      lambda: svc.start_mirror_lag_service(spark, layout, once)]
             if peer and not svc.replication_paused(layout):
@@ -85,6 +85,8 @@ def main(argv: list[str] | None = None) -> None:
         site, foreign = (HQ, layout.replica) if a.command == "hq" else (EDGE, layout.replica)
         for q in svc.start_deadletter_service(spark, layout, site, once, foreign).values():
             q.awaitTermination()
+        if a.command == "edge":
+            svc.view_received(spark, layout)
         svc.maintain(spark, layout)
     elif a.command in ("hq", "edge"):
         if a.command == "hq":
@@ -139,6 +141,8 @@ def main(argv: list[str] | None = None) -> None:
         for r in svc.publish_requests(spark, layout, int(time.time())).toLocalIterator():
             print(r["assetID"], r["title"], sep="\t")
     else:
+        for site in (HQ, EDGE):
+            print(site, *[f"{name}: {n}" for name, n in svc.site_counters(spark, layout, site).items()], sep="\t")
         for r in svc.asset_table(spark, layout).select("assetID", "title", "status").toLocalIterator():
             print(r["assetID"], r["title"], r["status"], sep="\t")
     spark.stop()

@@ -32,6 +32,7 @@ from fieldlink.config import (
     DEFAULT_SITES,
     EDGE,
     HQ,
+    SERVICES,
     STATUS_FAILED,
     TOPIC_ASSET_BROADCAST,
     TOPIC_ASSET_REQUEST,
@@ -45,6 +46,7 @@ from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
 from fieldlink.sources import fs, topics, volumes
+from fieldlink.streaming import counters
 
 ASSET_FIELDS = ["title", "description", "filename", "assetID", "status"]
 FEED_FIELDS = ["title", "description", "tablename", "assetID", "messageCreatorID"]
@@ -192,8 +194,9 @@ def feed_batch(spark: SparkSession, layout: Layout, files: DataFrame, batch_id:
     # Documents first: if the upsert fails the batch fails and nothing is published.
     docs.upsert(layout.documents, changes, batch_id, producer="feed")
     msgs = hq.feed_messages(valid, layout.sites, keep=("seq", "ts"))
-    topics.write_topic(topics.encode(msgs, TOPIC_IMAGEFEED, FEED_FIELDS, HQ), layout.topics,
-                       TOPIC_IMAGEFEED, batch_id)
+    out, emitted = counters.observed(topics.encode(msgs, TOPIC_IMAGEFEED, FEED_FIELDS, HQ), "IMAGE Feed")
+    topics.write_topic(out, layout.topics, TOPIC_IMAGEFEED, batch_id)
+    counters.record(layout.base, "IMAGE Feed", batch_id, emitted)
     _write_batch(df.filter(F.col("reason").isNotNull()).select(
         "seq", F.lit("feed").alias("stage"), "reason"), f"{layout.deadletter}/feed", batch_id)
     df.unpersist()
@@ -227,8 +230,9 @@ def download_batch(spark: SparkSession, layout: Layout, df: DataFrame, batch_id:
                 producer="download")
     # A failed copy publishes nothing: there is no file to announce. Its dead letter says why.
     pub = hq.download_published(outcomes.filter(F.col("outcome") != STATUS_FAILED))
-    topics.write_topic(topics.encode(pub, TOPIC_IMAGE_DOWNLOAD, ASSET_FIELDS, HQ), layout.topics,
-                       TOPIC_IMAGE_DOWNLOAD, batch_id)
+    out, emitted = counters.observed(topics.encode(pub, TOPIC_IMAGE_DOWNLOAD, ASSET_FIELDS, HQ), "Image Download")
+    topics.write_topic(out, layout.topics, TOPIC_IMAGE_DOWNLOAD, batch_id)
+    counters.record(layout.base, "Image Download", batch_id, emitted)
     unstored = outcomes.filter(F.col("outcome") == STATUS_FAILED).select(
         "seq", "assetID", F.lit("store_failed").alias("reason"))
     _write_batch(hq.download_deadletter(outcomes).unionByName(unstored), f"{layout.deadletter}/download", batch_id)
@@ -278,8 +282,10 @@ def start_response_service(spark: SparkSession, layout: Layout, trigger: dict |
             F.col("reason").isNull() & ~F.coalesce("stored", F.lit(False)), F.lit("store_failed")).otherwise(F.col("reason")))
         settled = settled.persist()
         _write_batch(hq.response_deadletter(settled), f"{layout.deadletter}/response", batch_id)
-        _write_batch(settled.filter(F.col("reason").isNull())
-                     .select("seq", "ts", "assetID", "msg_title", "reason"), f"{layout.base}/responses", batch_id)
+        out, emitted = counters.observed(settled.filter(F.col("reason").isNull())
+                                         .select("seq", "ts", "assetID", "msg_title", "reason"), "Asset Response")
+        _write_batch(out, f"{layout.base}/responses", batch_id)
+        counters.record(layout.base, "Asset Response", batch_id, emitted)
         settled.unpersist()
         responses.unpersist()
 
@@ -309,6 +315,8 @@ def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topic
     events = edge.lifecycle_events(b, c, p)
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
+        counters.record(layout.base, "Broadcast Listener", batch_id, df.filter("kind = 'b'").count())
         delta = edge.lifecycle_fold(df).persist()
         state_schema = T.StructType(delta.schema.fields + [T.StructField("batch", T.LongType(), True)])
         earlier = read_state(spark, layout.asset_state, state_schema).filter(F.col("batch") < batch_id)
@@ -318,6 +326,7 @@ def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topic
         merged = edge.lifecycle_merge(before.unionByName(delta))
         _write_batch(merged.withColumn("batch", F.lit(batch_id).cast("bigint")), layout.asset_state, batch_id)
         delta.unpersist()
+        df.unpersist()
 
     return _start(events, "asset_lifecycle", layout, spark, batch, trigger)
 
@@ -413,8 +422,9 @@ def publish_requests(spark: SparkSession, layout: Layout, batch_id: int) -> Data
             "assetID", "title", "description", "filename", "status", F.col("c_seq").alias("seq"),
             F.current_timestamp().cast("timestamp_ntz").alias("ts")), plans, batch_id)
     rows = _read_batches(spark, f"{plans}/batch={batch_id}", REQUEST_PLAN)
-    topics.write_topic(topics.encode(rows, TOPIC_ASSET_REQUEST, ASSET_FIELDS, EDGE), layout.topics,
-                       TOPIC_ASSET_REQUEST, batch_id)
+    out, emitted = counters.observed(topics.encode(rows, TOPIC_ASSET_REQUEST, ASSET_FIELDS, EDGE), "Asset Request")
+    topics.write_topic(out, layout.topics, TOPIC_ASSET_REQUEST, batch_id)
+    counters.record(layout.base, "Asset Request", batch_id, emitted)
     _write_batch(rows.select("seq", "ts", "assetID"), layout.publications, batch_id)
     return rows
 
@@ -435,6 +445,41 @@ def start_request_service(spark: SparkSession, layout: Layout, trigger: dict | N
                   lambda df, batch_id: publish_requests(spark, layout, batch_id), trigger)
 
 
+RECEIVED = "assetID string, seq long, title string, description string, path string, ts timestamp_ntz"
+
+
+def view_received(spark: SparkSession, layout: Layout, batch_id: int | None = None) -> DataFrame:
+    """Asset Viewer: requested assets whose file has arrived since the last look, each once per publication.
+
+    Only publications not seen as received before are checked for their file.
+    What a batch finds is written first and stays, so a retry finds the same.
+    Without ``batch_id`` the next free one is taken. Returns the batch's rows.
+    """
+    path = f"{layout.base}/received"
+    ensure_dirs(spark, path, layout.asset_state)
+    if batch_id is None:
+        batch_id = 1 + max((int(n.split("=")[1]) for n, is_dir in fs.list_dir(path) if is_dir and n.startswith("batch=")), default=-1)
+    if not fs.exists(f"{path}/batch={batch_id}/_SUCCESS"):
+        before = _read_batches(spark, path, RECEIVED).select("assetID", F.col("seq").alias("p_seq")).distinct()
+        nothing = spark.createDataFrame([], volumes.LISTING_SCHEMA)
+        waiting = edge.lifecycle_status(current_asset_state(spark, layout), nothing, layout.sites).filter(F.col("status") == "requested")
+        waiting = waiting.join(before, ["assetID", "p_seq"], "left_anti").persist()
+        there = volumes.file_present(waiting.drop("present"), volumes.stat_files(waiting, "path"), "path", "present")
+        _write_batch(there.filter("present").select("assetID", F.col("p_seq").alias("seq"), "title", "description", "path", F.col("p_ts").alias("ts")),
+                     path, batch_id)
+        waiting.unpersist()
+    rows = spark.read.schema(RECEIVED).parquet(f"{path}/batch={batch_id}")
+    counters.record(layout.base, "Asset Viewer", batch_id, rows.count())
+    return rows
+
+
+def start_viewer_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
+    """Asset Viewer on its period: looks for arrived files whether or not there are new messages."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+    return _start(clock, "asset_viewer", layout, spark, lambda df, batch_id: view_received(spark, layout, batch_id),
+                  trigger or EDGE_PERIOD)
+
+
 # --- replication ----------------------------------------------------------------
 
 def start_replication(spark: SparkSession, src: Layout, dst: Layout, topic: str, origin: str,
@@ -460,19 +505,23 @@ def site_topic_stream(spark: SparkSession, layout: Layout, topic: str, delay: st
 
 
 def start_counters_service(spark: SparkSession, layout: Layout, sources: dict[str, str],
-                           trigger: dict | None = None):
-    """Service counters as a running count per service.
-
-    ``sources`` maps a service name to the topic folder it emits (or reads).
-    Each micro-batch counts its rows and adds them to the totals of earlier
-    batches; :func:`current_counters` reads the newest. A few totals need no
-    state store with a partition for every shuffle task.
+                           trigger: dict | None = None, folders: dict[str, str] | None = None,
+                           name: str = "service_counters"):
+    """Running counts of rows that services wrote through the file sink.
+
+    ``sources`` maps a service name to the topic folder it emits, ``folders``
+    to another folder of its output. Each micro-batch counts its rows and adds
+    them to the totals of earlier batches; :func:`current_counters` reads the
+    newest. A few totals need no state store with a partition for every
+    shuffle task.
     """
     parts, path = None, f"{layout.base}/counters"
     ensure_dirs(spark, path)
-    for service, topic in sources.items():
-        ensure_dirs(spark, f"{layout.topics}/{topic}")
-        s = topics.read_topic(spark, layout.topics, topic, streaming=True).select(F.lit(service).alias("service"))
+    outputs = {service: f"{layout.topics}/{topic}" for service, topic in sources.items()} | (folders or {})
+    for service, folder in outputs.items():
+        ensure_dirs(spark, folder)
+        s = (spark.readStream.schema("seq long").option("recursiveFileLookup", "true").parquet(folder)
+             .select(F.lit(service).alias("service")))
         parts = s if parts is None else parts.unionByName(s)
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -482,24 +531,27 @@ def start_counters_service(spark: SparkSession, layout: Layout, sources: dict[st
         total = before.unionByName(new).groupBy("service").agg(F.sum("n").alias("n"))
         _write_batch(total.withColumn("batch", F.lit(batch_id).cast("bigint")), path, batch_id)
 
-    return _start(parts, "service_counters", layout, spark, batch, trigger)
+    return _start(parts, name, layout, spark, batch, trigger)
 
 
 def current_counters(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Newest count per service."""
-    rows = read_state(spark, f"{layout.base}/counters")
+    """Newest count per service of those that :func:`start_counters_service` counts."""
+    rows = read_state(spark, f"{layout.base}/counters", "service string, n long, batch long")
     return _latest_by_batch(rows, "service").select("service", "n")
 
 
 def start_site_counters(spark: SparkSession, layout: Layout, site: str, trigger: dict | None = None):
-    """The counters of a site's services, from the topics that they write or, for the two monitors, read."""
-    from fieldlink.config import TOPIC_AUDIT, TOPIC_REPLICA_INFO
+    """Counts of the site's service that writes through the file sink; the others count in their batches."""
+    if site == HQ:
+        return start_counters_service(spark, layout, {"Asset Broadcast": TOPIC_ASSET_BROADCAST}, trigger, name="sink_counters")
+    return start_counters_service(spark, layout, {}, trigger, {"Audit Listener": f"{layout.base}/audit"}, "sink_counters")
+
 
-    sources = {HQ: {"IMAGE Feed": TOPIC_IMAGEFEED, "Image Download": TOPIC_IMAGE_DOWNLOAD,
-                    "Asset Broadcast": TOPIC_ASSET_BROADCAST},
-               EDGE: {"Asset Request": TOPIC_ASSET_REQUEST, "Audit Listener": TOPIC_AUDIT,
-                      "Upstream Comm": TOPIC_REPLICA_INFO}}
-    return start_counters_service(spark, layout, sources[site], trigger)
+def site_counters(spark: SparkSession, layout: Layout, site: str) -> dict[str, int]:
+    """Rows that each of a site's services has emitted; 0 for those with none, and for Upstream Comm, which only reports."""
+    ensure_dirs(spark, f"{layout.base}/counters")
+    sinks = {r["service"]: r["n"] for r in current_counters(spark, layout).collect()}
+    return {name: sinks[name] if name in sinks else counters.total(layout.base, name) for at, name in SERVICES if at == site}
 
 
 #: State folders below a site's base, with the key of which they keep the newest row.
@@ -511,6 +563,8 @@ def maintain(spark: SparkSession, layout: Layout) -> None:
     for name, key in STATE_KEYS.items():
         if fs.exists(f"{layout.base}/{name}"):
             compact_state(spark, f"{layout.base}/{name}", key)
+    for _, service in SERVICES:
+        counters.fold(layout.base, service)
     if fs.exists(layout.documents):
         # A retried feed batch asks for the documents as they were before it.
         fed = [int(n.split("=")[1]) for n, is_dir in fs.list_dir(f"{layout.documents}/feed") if is_dir and n.startswith("batch=")]
@@ -688,11 +742,11 @@ def start_hq(spark: SparkSession, layout: Layout, feed_dir: str, trigger: dict |
 def start_edge(spark: SparkSession, layout: Layout, broadcast_topics: str,
                trigger: dict | None = EDGE_PERIOD) -> dict:
     """Start the EDGE streaming services: asset state, asset requests, audit
-    listener, replica monitor, mirror lag and counters. The viewer reads
-    :func:`asset_table`."""
+    listener, replica monitor, mirror lag, viewer and counters."""
     return {
         "asset_lifecycle": start_lifecycle_service(spark, layout, broadcast_topics, trigger),
         "asset_request": start_request_service(spark, layout, trigger),
+        "asset_viewer": start_viewer_service(spark, layout, trigger),
         "service_counters": start_site_counters(spark, layout, EDGE, trigger),
         "audit_listener": start_audit_listener(spark, layout, trigger),
         "replica_monitor": start_replica_monitor(spark, layout, trigger),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldlink.config import Sites
 from fieldlink.operators import hq
-from fieldlink.schemas import ASSET_MSG
+from fieldlink.schemas import ASSET_MSG, IMAGEFEED_MSG
+from fieldlink.sources import feed as feedsrc
 from fieldlink.sources import topics
 from fieldlink.sources import volumes
 from fieldlink.streaming import services as svc
@@ -340,3 +341,87 @@ def test_site_topic_batch_view_drops_duplicates(spark, env):
                        "ASSET_REQUEST", 0)
     got = sorted((r.origin, r.seq) for r in svc.site_topic(spark, edL, "ASSET_REQUEST").collect())
     assert got == [("EDGE", 1), ("EDGE", 2), ("HQ", 5), ("HQ", 6)]
+
+
+def test_counters_of_all_services_and_retries(spark, env):
+    """Every service counts what it emitted, once per batch however often the batch runs; malformed rows count nowhere."""
+    from fieldlink.schemas import TOPIC_LOG
+
+    sites, hqL, edL, tmp = env
+    items = [("1", "Moon", "http://img/a/moon.jpg"), ("2", "Mars", "http://img/b/mars.jpg"), ("3", "Venus", "http://img/c/venus.jpg")]
+    ids = {t: aid(i, h) for i, t, h in items}
+    for t, f in (("Moon", "moon.jpg"), ("Mars", "mars.jpg")):
+        write(f"{sites.source_images}/{rel(ids[t], f)}", t.encode())
+    feed_file(str(tmp / "feed/f1.json"), items)
+    bad = lambda topic: spark.createDataFrame([(7, None, "HQ", topic, None, "{no json")], TOPIC_LOG)
+    run(svc.start_feed_service(spark, hqL, str(tmp / "feed")))
+    topics.write_topic(bad("IMAGEFEED"), hqL.topics, "IMAGEFEED", 900)
+    run(svc.start_download_service(spark, hqL))
+    topics.write_topic(bad("IMAGE_DOWNLOAD"), hqL.topics, "IMAGE_DOWNLOAD", 900)
+    run(svc.start_broadcast_service(spark, hqL))
+    run(svc.start_site_counters(spark, hqL, "HQ"))
+    run(svc.start_replication(spark, hqL, edL, "ASSET_BROADCAST", "HQ"))
+    svc.record_clicks(spark, edL, spark.createDataFrame(
+        [(10 ** 15, ids["Moon"])], "seq long, assetID string").withColumn("ts", F.lit(None).cast("timestamp_ntz")), 0)
+    run(svc.start_lifecycle_service(spark, edL, edL.replica))
+    for _ in range(2):  # a retry of the same batch
+        svc.publish_requests(spark, edL, 0)
+    run(svc.start_lifecycle_service(spark, edL, edL.replica))
+    assert svc.view_received(spark, edL).count() == 0  # the file is not there yet
+    run(svc.start_replication(spark, edL, hqL, "ASSET_REQUEST", "EDGE"))
+    run(svc.start_response_service(spark, hqL, request_topics=hqL.replica))
+    write(f"{sites.edge_files}/{rel(ids['Moon'], 'moon.jpg')}", b"Moon")
+    for batch in (5, 5, 6):  # a retry, and a later look that finds nothing new
+        found = svc.view_received(spark, edL, batch).collect()
+        assert [r.title for r in found] == (["Moon"] if batch == 5 else [])
+    good = '{"operation":"DB_GET","upstreamPath":"/x"}'
+    topics.write_topic(spark.createDataFrame([(k, None, "EDGE", "AUDIT", None, v) for k, v in enumerate([good, good, "{no"])], TOPIC_LOG),
+                       edL.topics, "AUDIT", 0)
+    run(svc.start_audit_listener(spark, edL))
+    run(svc.start_site_counters(spark, edL, "EDGE"))
+    hq_want = {"IMAGE Feed": 3, "Image Download": 2, "Asset Broadcast": 2, "Asset Response": 1}
+    edge_want = {"Audit Listener": 2, "Upstream Comm": 0, "Broadcast Listener": 2, "Asset Request": 1, "Asset Viewer": 1}
+    assert (svc.site_counters(spark, hqL, "HQ"), svc.site_counters(spark, edL, "EDGE")) == (hq_want, edge_want)
+    # Retries of earlier batches replace their numbers; folding keeps them.
+    feed = feedsrc.read_feed_files(spark, str(tmp / "feed"))
+    svc.feed_batch(spark, hqL, feed, 0)
+    svc.download_batch(spark, hqL, spark.read.parquet(f"{hqL.topics}/IMAGEFEED/batch=0"), 0)
+    for k in range(3):
+        assert (svc.site_counters(spark, hqL, "HQ"), svc.site_counters(spark, edL, "EDGE")) == (hq_want, edge_want)
+        svc.maintain(spark, hqL)
+        svc.maintain(spark, edL)
+    # The same numbers as the batch query gives for what the services wrote.
+    from fieldlink.operators import monitor
+
+    batch = monitor.service_counters(spark, {
+        "IMAGE Feed": topic_rows(spark, hqL.topics, "IMAGEFEED", IMAGEFEED_MSG), "Image Download": topic_rows(spark, hqL.topics, "IMAGE_DOWNLOAD"),
+        "Asset Broadcast": topic_rows(spark, hqL.topics, "ASSET_BROADCAST"), "Asset Response": spark.read.parquet(f"{hqL.base}/responses"),
+        "Audit Listener": spark.read.parquet(f"{edL.base}/audit"), "Broadcast Listener": topic_rows(spark, edL.replica, "ASSET_BROADCAST"),
+        "Asset Request": spark.read.schema("seq long").option("recursiveFileLookup", "true").parquet(edL.publications),
+        "Asset Viewer": spark.read.option("recursiveFileLookup", "true").parquet(f"{edL.base}/received")})
+    assert {r.service: r.n for r in batch.collect()} == {**hq_want, **edge_want}
+
+
+def test_folded_counts_survive_failures(tmp_path, monkeypatch):
+    from fieldlink.streaming import counters
+
+    base, want = str(tmp_path), 0
+    for b in range(40):
+        counters.record(base, "S", b, b)
+        counters.record(base, "S", b, b + 1)  # the retry counts
+        want += b + 1
+        if b % 3 == 0:
+            name = ["write_text", "delete_file"][b % 2]
+            real = getattr(counters.fs, name)
+            monkeypatch.setattr(counters.fs, name, lambda *a: (_ for _ in ()).throw(OSError("gone")))
+            try:
+                counters.fold(base, "S")
+            except OSError:
+                pass
+            monkeypatch.setattr(counters.fs, name, real)
+            assert counters.total(base, "S") == want
+        if b % 4 == 0:
+            counters.fold(base, "S")
+        assert counters.total(base, "S") == want
+    assert counters.total(base, "none") == 0
+    assert len(counters._files(counters._folder(base, "S"))[1]) < 12
