@@ -11,12 +11,8 @@ number of partitions.
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldlink.session import ensure_checkpoint_dir
 
@@ -55,41 +51,22 @@ def with_previous(df: DataFrame, key: str, order: str, value: str, out: str | No
     """Add ``out`` = ``value`` of the previous row of the same ``key`` in ``order``.
 
     Equal to ``lag(value) OVER (PARTITION BY key ORDER BY order)``, but a hot
-    key is spread over several tasks.
+    key is spread over several tasks: ``lag`` runs inside the range partitions,
+    and the first row of each takes the last row of the one before. Rows with a
+    null key have no previous row.
     """
     out = out or f"prev_{value}"
-    ck = _ranged(df, [F.col(key), F.col(order)], partitions).withColumn("_pid", F.spark_partition_id())
-    schema = T.StructType(ck.schema.fields + [
-        T.StructField(out, ck.schema[value].dataType, True),
-        T.StructField("_first", T.BooleanType(), False),
-    ])
-
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry_key, carry_val, seen = None, None, False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            prev = pdf[value].shift(1).astype(object)
-            same = pdf[key].eq(pdf[key].shift(1))
-            first = pd.Series(False, index=pdf.index)
-            if seen:
-                prev.iloc[0] = carry_val
-                same.iloc[0] = pdf[key].iloc[0] == carry_key
-            else:
-                first.iloc[0] = True
-                same.iloc[0] = False
-            prev = prev.where(same & prev.notna(), None)
-            carry_key, carry_val, seen = pdf[key].iloc[-1], pdf[value].iloc[-1], True
-            yield pdf.assign(**{out: prev, "_first": first})
-
-    inner = ck.mapInPandas(within, schema)
-    # Last row of each non-empty partition, then the previous partition's last row.
-    last = ck.groupBy("_pid").agg(
-        F.max_by(F.struct(F.col(key).alias("_lk"), F.col(value).alias("_lv")),
-                 F.struct(F.col(key), F.col(order))).alias("_last"))
-    w = Window.orderBy("_pid")
-    carry = last.select("_pid", F.lag("_last").over(w).alias("_carry"))
-    firsts = (inner.filter("_first").join(F.broadcast(carry), "_pid", "left")
-              .withColumn(out, F.when(F.col("_carry._lk") == F.col(key), F.col("_carry._lv")))
-              .drop("_carry"))
-    return inner.filter(~F.col("_first")).unionByName(firsts).drop("_pid", "_first")
+    ensure_checkpoint_dir(df.sparkSession)
+    by = [F.col(key), F.col(order)]
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    # The range partition's number travels with the row, so the partitions stay as they are from here on.
+    ck = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    pair = F.struct(F.col(key).alias("k"), F.col(value).alias("v"))
+    inside = ck.withColumn("_prev", F.lag(pair).over(Window.partitionBy("_pid").orderBy(*by)))
+    # One row per partition: a bounded broadcast.
+    last = ck.groupBy("_pid").agg(F.max_by(pair, F.struct(*by)).alias("_last"))
+    carry = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_carry"))
+    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
+    return (inside.join(F.broadcast(carry), "_pid")
+            .withColumn(out, F.when(prev["k"] == F.col(key), prev["v"]))
+            .drop("_pid", "_prev", "_carry"))

@@ -28,15 +28,14 @@ def test_shorten_matches_textwrap(spark, samples, width):
         assert got[i] == textwrap.shorten(t, width), (t, width)
 
 
-def test_shorten_known_difference_at_hyphens(spark):
-    """Documented: Python may also cut after a hyphen; this expression cuts only at spaces."""
+def test_shorten_cuts_behind_hyphens(spark):
+    """As Python does: between letters, and inside a word longer than the width."""
     cases = [("a well-known fact about everything here", 13), ("abc-defghijklmnopqrstuvwxyz end", 12)]
     df = spark.createDataFrame(cases, "t string, w int")
     got = [fx_row.s for fx_row in df.select(
         F.when(F.col("w") == 13, fx.shorten("t", 13)).otherwise(fx.shorten("t", 12)).alias("s"))
         .orderBy(F.monotonically_increasing_id()).collect()]
-    assert got == ["a [...]", "[...]"]
-    assert [textwrap.shorten(t, w) for t, w in cases] == ["a well- [...]", "abc- [...]"]
+    assert got == [textwrap.shorten(t, w) for t, w in cases] == ["a well- [...]", "abc- [...]"]
 
 
 def test_timedelta_text_matches_python(spark):
@@ -146,3 +145,19 @@ def test_quote_plus_random_unicode(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     got = {r.i: r.q for r in df.select("i", fx.quote_plus("v").alias("q")).collect()}
     assert got == {i: urllib.parse.quote_plus(v) for i, v in enumerate(values)}
+
+
+def test_shorten_equals_textwrap_on_hyphens_dashes_and_long_words(spark):
+    import random
+    import textwrap
+
+    r = random.Random(5)
+    parts = ["a", "bc", "-", "--", " ", "  ", ".", ",", "é", "1", "x-y", "well-known", "'", "\t", "日本", "e-mail", "---", "_", "!", "Z", "\x1c", " "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(6000)]
+    texts += ["a" * 100, "-" * 100, "ab-" * 40, None, "", " ", "one-two-" * 9, "a state-of-the-art well-known e-mail long-word", "x" * 31 + "-y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for width in (6, 9, 32, 64):
+        got = {x.i: x.t for x in df.select("i", fx.shorten("s", width).alias("t")).collect()}
+        assert got == {i: None if t is None else textwrap.shorten(t, width, placeholder=" [...]") for i, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        fx.shorten("s", 4)

@@ -70,3 +70,17 @@ def test_helpers_random_against_windows(spark, rows, parts):
     assert got_prev == want_prev
     got_pos = {r.seq: r.pos for r in with_position(df, [F.col("seq").desc()], partitions=parts).collect()}
     assert got_pos == {len(rows) - 1 - i: i + 1 for i in range(len(rows))}
+
+
+def test_previous_value_has_no_python_and_splits_a_hot_key(spark):
+    """A key with a third of the rows lies in several range partitions, and lag runs in each of them."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"),
+        F.col("id").alias("seq"), F.when(F.col("id") % 11 != 0, F.col("id") % 7).alias("value")).repartition(5)
+    got = with_previous(df, "key", "seq", "value", partitions=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Pandas" not in plan and "Python" not in plan
+    want = df.withColumn("prev_value", F.lag("value").over(Window.partitionBy("key").orderBy("seq")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    parts = df.repartitionByRange(8, "key", "seq").withColumn("p", F.spark_partition_id())
+    assert parts.where("key = 'hot'").select("p").distinct().count() >= 2
