@@ -7,6 +7,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from fieldlink.llm.common import documents, id_and_text
 
 SPACE = "▁"
-#: Words and piece pairs kept per worker; a full cache starts anew.
-CACHE, PAIRS = 400_000, 2_000_000
+#: Words and piece pairs kept per worker; of a full cache of words the shorter half stays. Words of some texts that are looked up at a time.
+CACHE, PAIRS, TOGETHER = 400_000, 2_000_000, 200_000
+#: Keys of a trie node beside its children.
+PIECE, FITS = 0, 1
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -39,31 +42,52 @@ class Vocabulary:
             else:
                 self.ids[piece], self.score[piece] = i, sp.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode())
-        self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or any("\n" in p and p != "\n" for p in self.ids):
             raise ValueError("a piece spans words; texts of this model can't be cut into words")
         self.words: dict[str, bytes] = {}
-        self._fits: dict[tuple[str | None, str], bool] = {}
+        # The pieces as a trie: a node has its children by character, the piece that ends there, and for every piece
+        # that may stand before it whether the two are left apart.
+        self.root: dict = {}
+        for piece in self.ids:
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[PIECE], node[FITS] = piece, {}
+        self.pairs = 0
 
     def merges(self, text: str) -> list[str]:
         """Pieces of a short string by merging the best-scored neighbours, leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best[0] == -np.inf:
+        parts, of, none = list(text), self.score.get, -np.inf
+        scores = [of(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            i = -best[1]
+            i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = of(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = of(parts[i] + parts[i + 1], none)
         return parts
 
-    def fits(self, before: str | None, piece: str) -> bool:
-        """Whether the model leaves this neighbour and piece apart (and the piece whole)."""
-        key = (before, piece)
-        if key not in self._fits:
-            if len(self._fits) >= PAIRS:
-                self._fits.clear()
-            self._fits[key] = self.merges((before or "") + piece) == ([before, piece] if before else [piece])
-        return self._fits[key]
+    def fits(self, before: str | None, node: dict) -> bool:
+        """Whether the model leaves this neighbour and the node's piece apart (and the piece whole)."""
+        piece = node[PIECE]
+        if self.pairs >= PAIRS:
+            self._forget(self.root)
+            self.pairs = 0
+        self.pairs += 1
+        ok = self.merges((before or "") + piece) == ([before, piece] if before else [piece])
+        node[FITS][before] = ok
+        return ok
+
+    def _forget(self, node: dict) -> None:
+        node.get(FITS, {}).clear()
+        for c, child in node.items():
+            if isinstance(c, str):
+                self._forget(child)
 
     def encode_words(self, words: list[str]) -> None:
         """Ids of words not known yet, as little-endian unsigned 32-bit bytes in ``self.words``.
@@ -72,11 +96,13 @@ class Vocabulary:
         node's forward state is the last piece of its prefix's best
         segmentation; it follows from the states above it alone, since the
         pieces of a prefix that ends at a piece boundary stay the same
-        whatever follows. A word starts from the states it shares with the
-        word before.
+        whatever follows. Beside it stand the pieces that go on here: the
+        places where one may have begun, with their node in the trie of
+        pieces. A word starts from the states it shares with the word before.
         """
-        ids, known, fits, longest = self.ids, self._fits, self.fits, self.longest
-        last: list[str | None] = []  # the piece that ends at each character of the current path
+        ids, root, fits = self.ids, self.root, self.fits
+        last: list[str] = []  # the piece that ends at each character of the current path
+        going: list[list] = []  # and (start, node) of the pieces that go on behind it, earliest start first
         prior = ""
         for word in sorted(words):
             shared = 0
@@ -84,27 +110,29 @@ class Vocabulary:
                 if a != b:
                     break
                 shared += 1
-            del last[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                found = None  # no piece boundary lies here
-                for start in range(end - longest if end > longest else 0, end):
-                    piece = word[start:end]
-                    if piece not in ids:
-                        if start == end - 1:
-                            found = piece  # outside the vocabulary: bytes, merged with nothing
-                        continue
-                    before = None
-                    if start:
-                        before = last[start - 1]
-                        if before is None:
-                            continue
-                        if before not in ids:
-                            before = None
-                    ok = known.get((before, piece))
-                    if ok or (ok is None and fits(before, piece)):
-                        found = piece
-                        break
+            del last[shared:], going[shared:]
+            alive = going[-1] if shared else []
+            for end in range(shared, len(word)):
+                c, found, nxt = word[end], None, []
+                for start, node in alive:
+                    node = node.get(c)
+                    if node is not None:
+                        nxt.append((start, node))
+                        if found is None and PIECE in node:
+                            before = last[start - 1] if start else None
+                            if before is not None and before not in ids:
+                                before = None
+                            ok = node[FITS].get(before)
+                            if ok or (ok is None and fits(before, node)):
+                                found = node[PIECE]
+                node = root.get(c)
+                if node is not None:
+                    nxt.append((end, node))
+                if found is None:  # the character itself; outside the vocabulary it becomes bytes, merged with nothing
+                    found = c
                 last.append(found)
+                going.append(nxt)
+                alive = nxt
             out, end = [], len(word)
             while end:
                 piece = last[end - 1]
@@ -116,16 +144,32 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts: the words of the marked text one after another."""
-        marked = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        out, words = [], self.words
-        for k in range(0, len(marked), 200):
-            part = marked[k : k + 200]
-            new = {w for ws in part for w in ws if w not in words}
-            if len(words) + len(new) > CACHE:
-                words.clear()
-                new = {w for ws in part for w in ws}
+        out, held, n = [], [], 0
+        for i, t in enumerate(texts):
+            held.append(WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [])
+            n += len(held[-1])
+            if n > TOGETHER or i + 1 == len(texts):
+                out += self._look_up(held)
+                held, n = [], 0
+        return out
+
+    def _look_up(self, texts: list[list[str]]) -> list[bytes]:
+        known, words = self.words, list(chain.from_iterable(texts))
+        ids = list(map(known.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            new = {words[k] for k in missing}
+            if len(known) + len(new) > CACHE:
+                stay = sorted(known.items(), key=lambda x: len(x[0]))[: CACHE // 2]
+                known.clear()
+                known.update(stay)
             self.encode_words(list(new))
-            out += [b"".join(map(words.__getitem__, ws)) for ws in part]
+            for k in missing:
+                ids[k] = known[words[k]]
+        at, out = 0, []
+        for ws in texts:
+            out.append(b"".join(ids[at : at + len(ws)]))
+            at += len(ws)
         return out
 
     def decode(self, ids: bytes) -> str:
