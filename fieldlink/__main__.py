@@ -3,8 +3,9 @@
 Commands:
   hq       feed, download, broadcast and response services, counters (2 s period)
   edge     asset state, requests, audit listener, replica monitor, mirror lag, counters (3 s period)
-  maintain fold the site's state folders and documents and delete what dead copies left;
-           hq and edge fold every --maintain-seconds
+  maintain fold the site's state folders and documents, delete topic files that all consumers have read
+           and that are older than --topic-ttl-seconds, and what dead copies left (the last only here);
+           hq and edge do the rest every --maintain-seconds
   pause    stop the site's replication until resume (the runner follows within a second)
   resume   go on with it from its position
   mirror   one mirror pass from the HQ files volume to the edge mirror
@@ -24,7 +25,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from fieldlink.config import Sites
+from fieldlink.config import TOPIC_TTL_SECONDS, Sites
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -39,6 +40,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--checkpoint", help="folder of the services' positions (default: below --base)")
     ap.add_argument("--master", default=None)
     ap.add_argument("--maintain-seconds", type=int, default=600, help="period of folding state (hq, edge)")
+    ap.add_argument("--topic-ttl-seconds", type=int, default=TOPIC_TTL_SECONDS, help="retention of topic messages (hq, edge, maintain)")
     ap.add_argument("--once", action="store_true")
     a = ap.parse_args(argv)
 
@@ -87,7 +89,7 @@ def main(argv: list[str] | None = None) -> None:
             q.awaitTermination()
         if a.command == "edge":
             svc.view_received(spark, layout)
-        svc.maintain(spark, layout)
+        svc.maintain(spark, layout, a.topic_ttl_seconds)
     elif a.command in ("hq", "edge"):
         if a.command == "hq":
             qs = svc.start_hq(spark, layout, a.feed, svc.HQ_PERIOD, layout.replica)
@@ -105,13 +107,13 @@ def main(argv: list[str] | None = None) -> None:
                         qs["replication"] = svc.start_replication(
                             spark, layout, svc.Layout(a.peer_base, sites), topic, origin, period)
                 if time.monotonic() - folded >= a.maintain_seconds:
-                    svc.maintain(spark, layout)
+                    svc.maintain(spark, layout, a.topic_ttl_seconds)
                     folded = time.monotonic()
                 time.sleep(1)
         finally:
             svc.stop_all(qs)
     elif a.command == "maintain":
-        svc.maintain(spark, layout)
+        svc.maintain(spark, layout, a.topic_ttl_seconds)
         print(f"left by dead copies: {svc.sweep(spark, layout)} files deleted")
     elif a.command == "mirror":
         plan = volumes.mirror_diff(volumes.list_volume(spark, sites.hq_files), sites.hq_files,

@@ -60,7 +60,12 @@ def rename(src: str, dst: str) -> bool:
     _, d = resolve(dst)
     if f.get_file_info(d).type != pafs.FileType.NotFound:
         return False
-    f.move(s, d)
+    try:
+        f.move(s, d)
+    except OSError:
+        if f.get_file_info(d).type == pafs.FileType.NotFound:
+            raise
+        return False
     return True
 
 

@@ -9,12 +9,15 @@ dead letter instead of ending the consumer.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlink.config import TOPIC_TTL_SECONDS
 from fieldlink.schemas import TOPIC_LOG
+from fieldlink.sources import fs
 
 CORRUPT = "_corrupt"
 ENVELOPE = ["seq", "ts", "origin", "topic", "key"]
@@ -25,10 +28,18 @@ def topic_path(base: str, topic: str) -> str:
     return f"{base.rstrip('/')}/{topic}"
 
 
+#: Bytes of files that a micro-batch of a topic's consumer takes at most (at least one file).
+BYTES_PER_TRIGGER = 1 << 30
+
+
 def read_topic(spark: SparkSession, base: str, topic: str, streaming: bool = False,
-               max_files_per_trigger: int | None = None, partitioned: bool = False) -> DataFrame:
+               max_files_per_trigger: int | None = None, partitioned: bool = False,
+               max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Open one topic.
 
+    A stream takes a backlog in micro-batches of at most ``BYTES_PER_TRIGGER``
+    (or the given limit). Files that retention deletes meanwhile are left out.
+
     Two layouts: a folder per topic (``<base>/<topic>``; written by the
     streaming file sink and read through its commit log, or by
     ``foreachBatch`` as ``batch=<id>/`` sub-folders), or an archive log
@@ -40,11 +51,14 @@ def read_topic(spark: SparkSession, base: str, topic: str, streaming: bool = Fal
                 .select(*[F.col(f.name).cast(f.dataType) for f in TOPIC_LOG.fields], *_day_col(base, spark)))
     path = topic_path(base, topic)
     if streaming:
-        r = spark.readStream.schema(TOPIC_LOG).option("recursiveFileLookup", "true")
+        r = spark.readStream.schema(TOPIC_LOG).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
         if max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        else:
+            r = r.option("maxBytesPerTrigger", str(max_bytes_per_trigger or BYTES_PER_TRIGGER))
         return r.parquet(path)
-    return spark.read.schema(TOPIC_LOG).option("recursiveFileLookup", "true").parquet(path)
+    return (spark.read.schema(TOPIC_LOG).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+            .parquet(path))
 
 
 def read_topic_log(spark: SparkSession, base: str, topic_names: list[str] | None = None) -> DataFrame:
@@ -62,8 +76,6 @@ def read_topic_log(spark: SparkSession, base: str, topic_names: list[str] | None
 
 def _day_col(base: str, spark: SparkSession) -> list:
     """``dt`` when the archive is partitioned by day (kept so filters on it prune folders)."""
-    from fieldlink.sources import fs
-
     for name, is_dir in fs.list_dir(base):
         if is_dir and name.startswith("topic="):
             return [F.col("dt")] if any(d and n.startswith("dt=") for n, d in fs.list_dir(f"{base}/{name}")) else []
@@ -194,17 +206,27 @@ def write_topic_log(rows: DataFrame, base: str, mode: str = "errorifexists", by_
         rows.write.mode(mode).partitionBy("topic").parquet(base)
 
 
-def write_topic(rows: DataFrame, base: str, topic: str, batch_id: int | None = None) -> None:
-    """Append encoded rows to a topic (batch or inside ``foreachBatch``).
+def write_topic(rows: DataFrame, base: str, topic: str, batch_id: int | None = None) -> bool:
+    """Append encoded rows to a topic (batch or inside ``foreachBatch``); whether this call published them.
 
-    With ``batch_id`` the rows replace ``batch=<id>/``, so a retried
-    micro-batch does not append a second copy.
+    With ``batch_id`` the rows are written under a name of this attempt's own,
+    which readers leave out, and then become ``batch=<id>/`` in one step. A
+    batch that is there already stays as it is: what a consumer has listed
+    never changes or vanishes, and a retried micro-batch adds nothing.
     """
     path = topic_path(base, topic)
     if batch_id is None:
         rows.write.mode("append").parquet(path)
-    else:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        return True
+    final = f"{path}/batch={batch_id}"
+    if fs.exists(f"{final}/_SUCCESS"):
+        return False
+    attempt = f"{path}/_attempt-{batch_id}-{uuid.uuid4().hex}"
+    rows.write.parquet(attempt)
+    if fs.rename(attempt, final):
+        return True
+    fs.delete_dir(attempt)  # another attempt was faster
+    return False
 
 
 def write_topic_stream(rows: DataFrame, base: str, topic: str, checkpoint: str,

@@ -38,15 +38,16 @@ from fieldlink.config import (
     TOPIC_ASSET_REQUEST,
     TOPIC_IMAGE_DOWNLOAD,
     TOPIC_IMAGEFEED,
+    TOPIC_TTL_SECONDS,
     Sites,
 )
 from fieldlink.operators import edge, hq
-from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, IMAGEFEED_MSG, STORE_RESULT
+from fieldlink.schemas import ASSET_ACTION, ASSET_MSG, IMAGEFEED_MSG, STORE_RESULT, TOPIC_LOG
 from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.sources import documents as docs
 from fieldlink.sources import feed as feedsrc
 from fieldlink.sources import fs, topics, volumes
-from fieldlink.streaming import counters
+from fieldlink.streaming import counters, retention
 
 ASSET_FIELDS = ["title", "description", "filename", "assetID", "status"]
 FEED_FIELDS = ["title", "description", "tablename", "assetID", "messageCreatorID"]
@@ -146,10 +147,9 @@ def start_deadletter_service(spark: SparkSession, layout: Layout, site: str, tri
     for topic, schema in _consumed(site).items():
         foreign = topic == (TOPIC_ASSET_REQUEST if site == HQ else TOPIC_ASSET_BROADCAST)
         base = replicated if foreign and replicated else layout.topics
-        ensure_dirs(spark, f"{base}/{topic}")
-        src = topics.read_topic(spark, base, topic, streaming=True)
-        bad = topics.unusable(src, topic, schema, needs="status" if topic == TOPIC_IMAGE_DOWNLOAD else None)
         name = f"deadletter_{topic.lower()}"
+        src = _topic_stream(spark, layout, name, base, topic)
+        bad = topics.unusable(src, topic, schema, needs="status" if topic == TOPIC_IMAGE_DOWNLOAD else None)
         queries[name] = (bad.writeStream.format("parquet").queryName(name).outputMode("append")
                          .option("checkpointLocation", layout.checkpoint(spark, name))
                          .trigger(**(trigger or {"availableNow": True}))
@@ -157,6 +157,21 @@ def start_deadletter_service(spark: SparkSession, layout: Layout, site: str, tri
     return queries
 
 
+def _publish(rows: DataFrame, layout: Layout, topic: str, batch_id: int, service: str) -> None:
+    """Write a batch's messages, once, and record how many the service emitted."""
+    out, emitted = counters.observed(rows, service)
+    if not topics.write_topic(out, layout.topics, topic, batch_id):  # an earlier attempt did
+        emitted = rows.sparkSession.read.schema(TOPIC_LOG).parquet(f"{layout.topics}/{topic}/batch={batch_id}").count()
+    counters.record(layout.base, service, batch_id, emitted)
+
+
+def _topic_stream(spark: SparkSession, layout: Layout, name: str, base: str, topic: str) -> DataFrame:
+    """Stream of a topic's folder; the query ``name`` is noted as its consumer, for retention."""
+    ensure_dirs(spark, f"{base}/{topic}")
+    retention.note_consumer(layout.base, name, layout.checkpoint(spark, name), [f"{base}/{topic}"])
+    return topics.read_topic(spark, base, topic, streaming=True)
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -194,9 +209,7 @@ def feed_batch(spark: SparkSession, layout: Layout, files: DataFrame, batch_id:
     # Documents first: if the upsert fails the batch fails and nothing is published.
     docs.upsert(layout.documents, changes, batch_id, producer="feed")
     msgs = hq.feed_messages(valid, layout.sites, keep=("seq", "ts"))
-    out, emitted = counters.observed(topics.encode(msgs, TOPIC_IMAGEFEED, FEED_FIELDS, HQ), "IMAGE Feed")
-    topics.write_topic(out, layout.topics, TOPIC_IMAGEFEED, batch_id)
-    counters.record(layout.base, "IMAGE Feed", batch_id, emitted)
+    _publish(topics.encode(msgs, TOPIC_IMAGEFEED, FEED_FIELDS, HQ), layout, TOPIC_IMAGEFEED, batch_id, "IMAGE Feed")
     _write_batch(df.filter(F.col("reason").isNotNull()).select(
         "seq", F.lit("feed").alias("stage"), "reason"), f"{layout.deadletter}/feed", batch_id)
     df.unpersist()
@@ -230,9 +243,7 @@ def download_batch(spark: SparkSession, layout: Layout, df: DataFrame, batch_id:
                 producer="download")
     # A failed copy publishes nothing: there is no file to announce. Its dead letter says why.
     pub = hq.download_published(outcomes.filter(F.col("outcome") != STATUS_FAILED))
-    out, emitted = counters.observed(topics.encode(pub, TOPIC_IMAGE_DOWNLOAD, ASSET_FIELDS, HQ), "Image Download")
-    topics.write_topic(out, layout.topics, TOPIC_IMAGE_DOWNLOAD, batch_id)
-    counters.record(layout.base, "Image Download", batch_id, emitted)
+    _publish(topics.encode(pub, TOPIC_IMAGE_DOWNLOAD, ASSET_FIELDS, HQ), layout, TOPIC_IMAGE_DOWNLOAD, batch_id, "Image Download")
     unstored = outcomes.filter(F.col("outcome") == STATUS_FAILED).select(
         "seq", "assetID", F.lit("store_failed").alias("reason"))
     _write_batch(hq.download_deadletter(outcomes).unionByName(unstored), f"{layout.deadletter}/download", batch_id)
@@ -245,15 +256,14 @@ def download_batch(spark: SparkSession, layout: Layout, df: DataFrame, batch_id:
 def start_download_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
     """Image Download: IMAGEFEED -> lookup, copy, document update -> IMAGE_DOWNLOAD."""
     s = layout.sites
-    ensure_dirs(spark, f"{layout.topics}/{TOPIC_IMAGEFEED}", s.source_images)
-    src = topics.read_topic(spark, layout.topics, TOPIC_IMAGEFEED, streaming=True)
+    ensure_dirs(spark, s.source_images)
+    src = _topic_stream(spark, layout, "image_download", layout.topics, TOPIC_IMAGEFEED)
     return _start(src, "image_download", layout, spark, lambda d, bid: download_batch(spark, layout, d, bid), trigger)
 
 
 def start_broadcast_service(spark: SparkSession, layout: Layout, trigger: dict | None = None):
     """Asset Broadcast: IMAGE_DOWNLOAD minus failed -> ASSET_BROADCAST (file sink, exactly-once)."""
-    ensure_dirs(spark, f"{layout.topics}/{TOPIC_IMAGE_DOWNLOAD}")
-    src = topics.read_topic(spark, layout.topics, TOPIC_IMAGE_DOWNLOAD, streaming=True)
+    src = _topic_stream(spark, layout, "asset_broadcast", layout.topics, TOPIC_IMAGE_DOWNLOAD)
     out = hq.asset_broadcast(topics.consume(src, TOPIC_IMAGE_DOWNLOAD, ASSET_MSG))
     rows = topics.encode(out, TOPIC_ASSET_BROADCAST, ASSET_FIELDS, HQ)
     return topics.write_topic_stream(rows, layout.topics, TOPIC_ASSET_BROADCAST,
@@ -263,8 +273,7 @@ def start_broadcast_service(spark: SparkSession, layout: Layout, trigger: dict |
 def start_response_service(spark: SparkSession, layout: Layout, trigger: dict | None = None,
                            request_topics: str | None = None):
     """Asset Response: ASSET_REQUEST -> lookup -> copy into the mission volume."""
-    ensure_dirs(spark, f"{request_topics or layout.topics}/{TOPIC_ASSET_REQUEST}")
-    src = topics.read_topic(spark, request_topics or layout.topics, TOPIC_ASSET_REQUEST, streaming=True)
+    src = _topic_stream(spark, layout, "asset_response", request_topics or layout.topics, TOPIC_ASSET_REQUEST)
     s = layout.sites
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -306,9 +315,8 @@ def start_lifecycle_service(spark: SparkSession, layout: Layout, broadcast_topic
     streaming state store, so :func:`compact_state` can also drop long-idle
     assets (``keep``). A retried batch reads only earlier batches.
     """
-    ensure_dirs(spark, layout.clicks, layout.publications, layout.asset_state,
-                f"{broadcast_topics}/{TOPIC_ASSET_BROADCAST}")
-    b = topics.consume(topics.read_topic(spark, broadcast_topics, TOPIC_ASSET_BROADCAST, streaming=True),
+    ensure_dirs(spark, layout.clicks, layout.publications, layout.asset_state)
+    b = topics.consume(_topic_stream(spark, layout, "asset_lifecycle", broadcast_topics, TOPIC_ASSET_BROADCAST),
                        TOPIC_ASSET_BROADCAST, ASSET_MSG)
     c = spark.readStream.schema(ASSET_ACTION).option("recursiveFileLookup", "true").parquet(layout.clicks)
     p = spark.readStream.schema(ASSET_ACTION).option("recursiveFileLookup", "true").parquet(layout.publications)
@@ -422,9 +430,7 @@ def publish_requests(spark: SparkSession, layout: Layout, batch_id: int) -> Data
             "assetID", "title", "description", "filename", "status", F.col("c_seq").alias("seq"),
             F.current_timestamp().cast("timestamp_ntz").alias("ts")), plans, batch_id)
     rows = _read_batches(spark, f"{plans}/batch={batch_id}", REQUEST_PLAN)
-    out, emitted = counters.observed(topics.encode(rows, TOPIC_ASSET_REQUEST, ASSET_FIELDS, EDGE), "Asset Request")
-    topics.write_topic(out, layout.topics, TOPIC_ASSET_REQUEST, batch_id)
-    counters.record(layout.base, "Asset Request", batch_id, emitted)
+    _publish(topics.encode(rows, TOPIC_ASSET_REQUEST, ASSET_FIELDS, EDGE), layout, TOPIC_ASSET_REQUEST, batch_id, "Asset Request")
     _write_batch(rows.select("seq", "ts", "assetID"), layout.publications, batch_id)
     return rows
 
@@ -490,9 +496,8 @@ def start_replication(spark: SparkSession, src: Layout, dst: Layout, topic: str,
     per direction gives multi-master replication. Pausing is ``stop()``;
     resuming restarts from the checkpoint.
     """
-    ensure_dirs(spark, f"{src.topics}/{topic}")
-    rows = topics.read_topic(spark, src.topics, topic, streaming=True).filter(F.col("origin") == origin)
     name = f"replicate_{origin}_{topic}".lower()
+    rows = _topic_stream(spark, src, name, src.topics, topic).filter(F.col("origin") == origin)
     return topics.write_topic_stream(rows, dst.replica, topic, src.checkpoint(spark, name), trigger, name)
 
 
@@ -520,9 +525,10 @@ def start_counters_service(spark: SparkSession, layout: Layout, sources: dict[st
     outputs = {service: f"{layout.topics}/{topic}" for service, topic in sources.items()} | (folders or {})
     for service, folder in outputs.items():
         ensure_dirs(spark, folder)
-        s = (spark.readStream.schema("seq long").option("recursiveFileLookup", "true").parquet(folder)
-             .select(F.lit(service).alias("service")))
+        s = (spark.readStream.schema("seq long").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+             .parquet(folder).select(F.lit(service).alias("service")))
         parts = s if parts is None else parts.unionByName(s)
+    retention.note_consumer(layout.base, name, layout.checkpoint(spark, name), list(outputs.values()))
 
     def batch(df: DataFrame, batch_id: int) -> None:
         new = df.groupBy("service").agg(F.count(F.lit(1)).alias("n"))
@@ -558,13 +564,17 @@ def site_counters(spark: SparkSession, layout: Layout, site: str) -> dict[str, i
 STATE_KEYS = {"asset_state": "assetID", "replica_last": "replica", "mirror_lag": "replica", "counters": "service"}
 
 
-def maintain(spark: SparkSession, layout: Layout) -> None:
-    """Fold a site's state folders (:func:`compact_state`) and its documents; safe beside the running services."""
+def maintain(spark: SparkSession, layout: Layout, topic_ttl_s: int = TOPIC_TTL_SECONDS) -> None:
+    """Fold a site's state folders (:func:`compact_state`) and its documents, and delete expired topic files.
+
+    Safe beside the running services.
+    """
     for name, key in STATE_KEYS.items():
         if fs.exists(f"{layout.base}/{name}"):
             compact_state(spark, f"{layout.base}/{name}", key)
     for _, service in SERVICES:
         counters.fold(layout.base, service)
+    retention.expire_topics(spark, layout, topic_ttl_s)
     if fs.exists(layout.documents):
         # A retried feed batch asks for the documents as they were before it.
         fed = [int(n.split("=")[1]) for n, is_dir in fs.list_dir(f"{layout.documents}/feed") if is_dir and n.startswith("batch=")]
@@ -626,8 +636,8 @@ def start_replica_monitor(spark: SparkSession, layout: Layout, trigger: dict | N
     from fieldlink.schemas import REPLICA_INFO_MSG
 
     last_path = f"{layout.base}/replica_last"
-    ensure_dirs(spark, f"{layout.topics}/{TOPIC_REPLICA_INFO}", last_path)
-    src = topics.consume(topics.read_topic(spark, layout.topics, TOPIC_REPLICA_INFO, streaming=True),
+    ensure_dirs(spark, last_path)
+    src = topics.consume(_topic_stream(spark, layout, "replica_monitor", layout.topics, TOPIC_REPLICA_INFO),
                          TOPIC_REPLICA_INFO, REPLICA_INFO_MSG)
     obs = monitor.replica_observations(src, layout.sites).select("replica", "seq", "state")
     last_schema = "replica string, seq long, state string, batch long"
@@ -664,8 +674,7 @@ def start_audit_listener(spark: SparkSession, layout: Layout, trigger: dict | No
     from fieldlink.operators import monitor
     from fieldlink.schemas import AUDIT_MSG
 
-    ensure_dirs(spark, f"{layout.topics}/{TOPIC_AUDIT}")
-    audit = topics.consume(topics.read_topic(spark, layout.topics, TOPIC_AUDIT, streaming=True), TOPIC_AUDIT, AUDIT_MSG)
+    audit = topics.consume(_topic_stream(spark, layout, "audit_listener", layout.topics, TOPIC_AUDIT), TOPIC_AUDIT, AUDIT_MSG)
     return (monitor.audit_replication(audit, layout.sites).writeStream.format("parquet")
             .queryName("audit_listener").option("checkpointLocation", layout.checkpoint(spark, "audit_listener"))
             .trigger(**(trigger or {"availableNow": True})).outputMode("append")
@@ -678,8 +687,7 @@ def start_mirror_lag_service(spark: SparkSession, layout: Layout, trigger: dict
     from fieldlink.operators import monitor
     from fieldlink.schemas import VOLUME_INFO_MSG
 
-    ensure_dirs(spark, f"{layout.topics}/{TOPIC_VOLUME_INFO}")
-    vi = topics.consume(topics.read_topic(spark, layout.topics, TOPIC_VOLUME_INFO, streaming=True),
+    vi = topics.consume(_topic_stream(spark, layout, "mirror_lag", layout.topics, TOPIC_VOLUME_INFO),
                         TOPIC_VOLUME_INFO, VOLUME_INFO_MSG)
     lag = monitor.mirror_lag(vi)
 
