@@ -12,7 +12,7 @@ Commands:
   publish  publish every asset waiting in "requesting..." once
   status   print the services' counters and the edge asset table
   init     create a site's folders and catalog tables (already there: fine)
-  drop     drop a site's tables and folders (give the edge site first)
+  drop     drop a site's tables and folders (give the edge site first); with --peer-base both sites and HQ's volumes
 
 Roots default to the values in ``fieldlink.config``; ``--once`` drains what is
 there and stops (``availableNow``) instead of running on the period.
@@ -138,7 +138,7 @@ def main(argv: list[str] | None = None) -> None:
         from fieldlink.sources import catalog
 
         layouts = [layout] + ([svc.Layout(a.peer_base, sites)] if a.peer_base else [])
-        catalog.drop_catalog(spark, layouts)
+        catalog.drop_catalog(spark, layouts, hq_volumes=len(layouts) > 1)
     elif a.command == "publish":
         for r in svc.publish_requests(spark, layout, int(time.time())).toLocalIterator():
             print(r["assetID"], r["title"], sep="\t")

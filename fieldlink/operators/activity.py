@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,26 @@ def all_tiles(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def newest_of(seqs: DataFrame, tiles_from: Callable[[int], DataFrame], n: int = 20, first: int = 4) -> DataFrame:
+    """A service's newest ``n`` tiles, made from as few of its messages as that takes.
+
+    ``seqs`` has the ``seq`` of all its messages; ``tiles_from(seq)`` makes
+    all tiles of the messages from there on, each with its message's ``seq``. The
+    newest ``first * n`` messages are tried first, then eight times as many,
+    until ``n`` tiles are found: no older message can give a newer one. So
+    joins and decoding see some hundred messages, not a service's history.
+    At most ``n`` rows pass through the driver.
+    """
+    k = first * n
+    while True:
+        seen = seqs.select("seq").orderBy(F.col("seq").desc()).limit(k).agg(F.min("seq").alias("cut"), F.count("*").alias("n")).first()
+        tiles = tiles_from(seen["cut"] if seen["n"] == k else -(1 << 63)).select(*TILE_COLUMNS)
+        rows = tiles.orderBy(F.col("seq").desc(), F.col("service")).limit(n).collect()
+        if len(rows) == n or seen["n"] < k:
+            return seqs.sparkSession.createDataFrame(rows, tiles.schema)
+        k *= 8
+
+
 def newest(tiles: DataFrame, n: int = 20, exact: bool = False) -> DataFrame:
     """Newest ``n`` tiles with shortened texts (G2: a distributed top-k).
 

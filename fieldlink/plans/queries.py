@@ -7,6 +7,7 @@ Every query reads the driver's tables through the stand-ins in
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,6 @@ from fieldlink import functions as fx
 from fieldlink.functions.paths import relative_to
 from fieldlink.operators import activity, edge, hq, monitor
 from fieldlink.plans import fixtures as fix
-from fieldlink.session import ensure_checkpoint_dir
 from fieldlink.schemas import (
     ASSET_MSG,
     AUDIT_MSG,
@@ -66,10 +66,15 @@ def _log(spark, d):
     return topics.read_topic_log(spark, fix.stored_topic_log(spark, d, SITES))
 
 
-def _consume(spark, d, topic):
-    """One topic read from the stored log (only its partition is listed) and decoded."""
-    raw = topics.read_topic(spark, fix.stored_topic_log(spark, d, SITES), topic, partitioned=True)
-    return topics.consume(raw, topic, TOPIC_SCHEMAS[topic])
+def _raw(spark, d, topic):
+    """One topic read from the stored log (only its partition is listed)."""
+    return topics.read_topic(spark, fix.stored_topic_log(spark, d, SITES), topic, partitioned=True)
+
+
+def _consume(spark, d, topic, only=None):
+    """One topic read from the stored log and decoded; ``only``: a condition that spares the rest the decoding."""
+    raw = _raw(spark, d, topic)
+    return topics.consume(raw if only is None else raw.filter(only), topic, TOPIC_SCHEMAS[topic])
 
 
 def _documents(spark, d, ids=None):
@@ -84,39 +89,38 @@ def _normalized_feed(spark, d):
     return hq.normalize_feed(feedsrc.explode_items(files))
 
 
-def _download_outcomes(spark, d):
-    msgs = _consume(spark, d, TOPIC_IMAGEFEED)
+def _download_outcomes(spark, d, only=None):
+    msgs = _consume(spark, d, TOPIC_IMAGEFEED, only)
     return hq.image_download(msgs, _documents(spark, d, msgs), fix.stored_listing(spark, d, "images", SITES),
                              fix.stored_actions(spark, d, "store", SITES), SITES)
 
 
-def _responses(spark, d):
-    msgs = _consume(spark, d, TOPIC_ASSET_REQUEST)
+def _responses(spark, d, only=None):
+    msgs = _consume(spark, d, TOPIC_ASSET_REQUEST, only)
     return hq.asset_response(msgs, _documents(spark, d, msgs), SITES)
 
 
-def _lifecycle(spark, d):
-    return edge.asset_lifecycle(
-        _consume(spark, d, TOPIC_ASSET_BROADCAST),
-        fix.stored_actions(spark, d, "click", SITES),
-        fix.stored_actions(spark, d, "publication", SITES),
-        fix.stored_listing(spark, d, "mirror", SITES),
-        SITES)
+def _lifecycle(spark, d, assets=None):
+    """State of all assets, or of those in ``assets``."""
+    events = [_consume(spark, d, TOPIC_ASSET_BROADCAST), fix.stored_actions(spark, d, "click", SITES),
+              fix.stored_actions(spark, d, "publication", SITES)]
+    if assets is not None:
+        events = [e.join(assets, "assetID", "left_semi") for e in events]
+    return edge.asset_lifecycle(*events, fix.stored_listing(spark, d, "mirror", SITES), SITES)
 
 
 def _replica_obs(spark, d):
     return monitor.replica_observations(_consume(spark, d, TOPIC_REPLICA_INFO), SITES)
 
 
-def _tiles(spark, d):
-    outcomes = _download_outcomes(spark, d)
-    return activity.all_tiles(
-        activity.feed_tiles(_consume(spark, d, TOPIC_IMAGEFEED)),
-        activity.download_tiles(hq.download_published(outcomes)),
-        activity.broadcast_tiles(hq.asset_broadcast(_consume(spark, d, TOPIC_IMAGE_DOWNLOAD))),
-        activity.response_tiles(_responses(spark, d)),
-        activity.viewer_tiles(edge.viewer(_lifecycle(spark, d))),
-    )
+#: The services whose tiles follow messages: their topic, and their tiles from the messages that meet a condition.
+MESSAGE_TILES = [
+    (TOPIC_IMAGEFEED, lambda spark, d, only: activity.feed_tiles(_consume(spark, d, TOPIC_IMAGEFEED, only))),
+    (TOPIC_IMAGEFEED, lambda spark, d, only: activity.download_tiles(hq.download_published(_download_outcomes(spark, d, only)))),
+    (TOPIC_IMAGE_DOWNLOAD, lambda spark, d, only: activity.broadcast_tiles(
+        hq.asset_broadcast(_consume(spark, d, TOPIC_IMAGE_DOWNLOAD, only)))),
+    (TOPIC_ASSET_REQUEST, lambda spark, d, only: activity.response_tiles(_responses(spark, d, only))),
+]
 
 
 # --- A: sources and sinks -----------------------------------------------------
@@ -360,17 +364,32 @@ def malformed_messages(spark, d):
 # --- activity -----------------------------------------------------------------
 
 def activity_feed(spark, d):
-    """The five services' tiles, newest 20, texts shortened."""
-    return activity.newest(_tiles(spark, d), ACTIVITY_N)
+    """The five services' tiles, newest 20, texts shortened; each service's from its newest messages."""
+    parts = [activity.newest_of(_raw(spark, d, topic), lambda seq, make=make: make(spark, d, F.col("seq") >= seq), ACTIVITY_N)
+             for topic, make in MESSAGE_TILES]
+    published = fix.stored_actions(spark, d, "publication", SITES)
+    # A viewer tile has the seq of its asset's last publication: only assets published from there on can have one.
+    recent = lambda seq: published.filter(F.col("seq") >= seq).select("assetID").distinct()
+    parts.append(activity.newest_of(published, lambda seq: activity.viewer_tiles(edge.viewer(_lifecycle(spark, d, recent(seq)))),
+                                    ACTIVITY_N))
+    return activity.newest(activity.all_tiles(*parts), ACTIVITY_N)
 
 
 def activity_visible(spark, d):
-    """Tiles still shown after a one-day time-to-live (viewer tiles never expire)."""
-    ensure_checkpoint_dir(spark)
-    # "now" is the newest tile: written once (reliable checkpoint) so the max
-    # and the filter read the tiles instead of computing the five producers twice.
-    tiles = _tiles(spark, d).checkpoint(eager=True)
-    return activity.visible(tiles, ACTIVITY_TTL_S).select("seq", "service")
+    """Tiles still shown after a one-day time-to-live (viewer tiles never expire).
+
+    Every decodable feed message gives a tile, so the newest tile is no older
+    than the newest of them; messages more than the time-to-live before that
+    can't show, and their days are not read.
+    """
+    last = _consume(spark, d, TOPIC_IMAGEFEED).agg(F.max("ts")).first()[0]
+    only = None
+    if last is not None:
+        since = last - dt.timedelta(seconds=ACTIVITY_TTL_S)
+        only = (F.col("dt") >= F.lit(since.date())) & (F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    recent = [make(spark, d, only) for _, make in MESSAGE_TILES]
+    tiles = activity.all_tiles(*recent, activity.viewer_tiles(edge.viewer(_lifecycle(spark, d))))
+    return activity.visible(tiles.select("seq", "ts", "service"), ACTIVITY_TTL_S).select("seq", "service")
 
 
 # --- scalar functions ---------------------------------------------------------

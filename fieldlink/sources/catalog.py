@@ -33,9 +33,15 @@ def init_catalog(spark: SparkSession, layout, database: str = "fieldlink", topic
     return folders
 
 
-def drop_catalog(spark: SparkSession, layouts: list, database: str = "fieldlink") -> None:
-    """Drop tables and delete the sites' folders, in the order given (edge first)."""
+def drop_catalog(spark: SparkSession, layouts: list, database: str = "fieldlink", hq_volumes: bool = False) -> None:
+    """Drop tables and delete the sites' folders, in the order given (edge first).
+
+    With a site go its pipeline folder, its services' positions, wherever they
+    are kept, and the edge's mirror; ``hq_volumes`` also deletes HQ's files and
+    downloads. The source images are not the pipeline's and stay.
+    """
     spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
     for layout in layouts:
-        for f in (layout.base, layout.sites.edge_files):
+        s = layout.sites
+        for f in (layout.base, layout.positions, s.edge_files, *([s.hq_files, s.download_dir] if hq_volumes else [])):
             fs.delete_dir(f)

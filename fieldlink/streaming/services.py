@@ -94,14 +94,19 @@ class Layout:
     def copies(self) -> str:
         return f"{self.base}/copies"
 
+    @property
+    def positions(self) -> str:
+        """Folder of the positions of the site's services."""
+        root = self.checkpoint_root or f"{self.base}/_positions"
+        return f"{root}/{self.base.strip('/').replace('/', '_')}"
+
     def checkpoint(self, spark: SparkSession, name: str) -> str:
         """The service's position folder; an error if it is lost while its output is still there.
 
         From an empty checkpoint a service would count its batches from 0 again
         and overwrite, skip or repeat what it wrote before.
         """
-        root = self.checkpoint_root or f"{self.base}/_positions"
-        path = f"{root}/{self.base.strip('/').replace('/', '_')}/{name}"
+        path = f"{self.positions}/{name}"
         ran = f"{self.base}/_ran/{name}"
         if fs.exists(ran) and not fs.exists(path):
             raise RuntimeError(f"{name} ran on {self.base} before, but its checkpoint {path} is gone")

@@ -154,6 +154,26 @@ def test_catalog_init_and_drop(spark, tmp_path):
     assert not os.path.exists(hqL.base) and not os.path.exists(edL.base)
 
 
+def test_drop_takes_positions_and_volumes(spark, tmp_path):
+    """Positions that are kept elsewhere and HQ's files go too; the source images stay."""
+    from fieldlink.config import Sites
+    from fieldlink.sources import catalog
+    from fieldlink.streaming.services import Layout
+
+    sites = Sites(hq_root=str(tmp_path / "hq"), edge_root=str(tmp_path / "edge"), source_images=str(tmp_path / "images"))
+    hqL, edL = (Layout(str(tmp_path / n), sites, str(tmp_path / "ck")) for n in ("p_hq", "p_edge"))
+    for layout in (edL, hqL):
+        catalog.init_catalog(spark, layout, "fl_test_drop", ["IMAGEFEED"])
+        layout.checkpoint(spark, "image_feed")
+    write(f"{sites.source_images}/a.jpg", b"1")
+    write(f"{sites.hq_files}/a.jpg", b"1")
+    catalog.drop_catalog(spark, [edL], "fl_test_drop")
+    assert os.path.exists(f"{sites.hq_files}/a.jpg") and os.path.exists(hqL.positions) and not os.path.exists(edL.positions)
+    catalog.drop_catalog(spark, [edL, hqL], "fl_test_drop", hq_volumes=True)
+    assert not os.path.exists(hqL.positions) and not os.path.exists(sites.hq_files) and not os.path.exists(sites.download_dir)
+    assert os.listdir(sites.source_images) == ["a.jpg"]
+
+
 def test_broadcast_deadletter_for_missing_status(spark):
     rows = [(1, "a", "success"), (2, "b", None), (3, "c", "failed")]
     df = spark.createDataFrame(rows, "seq long, assetID string, status string")
