@@ -50,21 +50,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``root`` is the smallest node of the component; nodes without a link to
     another node do not appear. Every round replaces each node's parents by its
     smallest one and then jumps over one generation, so long chains shorten
-    by halves. All steps are map-side combined aggregates and joins whose
-    skewed side AQE can split; each round is written out.
+    by halves. All steps are map-side combined aggregates and joins. AQE splits
+    a hot node of a join only if the other side is not an aggregate of the same
+    stage, so the aggregates are written before they are joined; each round is
+    written out too.
     """
     up = (edges.where("u <> v")
           .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     up = staged(up, "links")
     for _ in range(rounds):
-        low = up.groupBy("u").agg(F.min("v").alias("p"))
+        low = staged(up.groupBy("u").agg(F.min("v").alias("p")), "links")
         hooked = up.join(low, "u")
         # u -> p; the other parents v of u -> p as well.
         flat = hooked.select(
             F.explode(F.array(F.struct("u", F.col("p").alias("v")), F.struct(F.col("v").alias("u"), F.col("p").alias("v")))).alias("e")
         ).select("e.*").where("u <> v").distinct()
         flat = staged(flat, "links")
-        parent = flat.groupBy("u").agg(F.min("v").alias("pp"))
+        parent = staged(flat.groupBy("u").agg(F.min("v").alias("pp")), "links")
         jumped = flat.join(parent.withColumnRenamed("u", "x"), F.col("v") == F.col("x"), "left")
         # An edge to a node that has a parent itself is not final yet; keep that node's own edges too.
         nxt = staged(jumped.select("u", F.coalesce("pp", "v").alias("v"), F.col("pp").isNotNull().alias("moved")), "links")

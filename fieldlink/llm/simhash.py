@@ -231,6 +231,15 @@ def links(reps: DataFrame, distance: int = 4, block: int = 20_000) -> DataFrame:
     return pairs.groupBy("s", "na", "nb", "ba", "bb").applyInPandas(walk, "u long, v long")
 
 
+def smallest_ids(roots: DataFrame) -> DataFrame:
+    """``fp, root, component_id`` of rows ``(fp, first_id, root)``: the smallest id of each root.
+
+    The ids are written before the join, so that a root with most of the rows is split over tasks.
+    """
+    least = staged(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
+    return roots.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                 distance: int = 4) -> DataFrame:
     """``doc_id, digest, fp, root, component_id``: one row per input row.
@@ -247,10 +256,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
     reps = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     edges = staged(links(reps.select("fp"), distance).distinct(), "fingerprint-links")
-    roots = reps.join(components(edges), F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = staged(roots.join(least, "root").select("fp", "root", "component_id"), "fingerprint-components")
+    roots = staged(reps.join(components(edges), F.col("fp") == F.col("node"), "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    labels = staged(smallest_ids(roots), "fingerprint-components")
     return marked.join(labels, "fp", "left").select("doc_id", "digest", "fp", "root", "component_id")
 
 
