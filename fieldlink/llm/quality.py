@@ -181,12 +181,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_lines: i
 
     The sample takes labelled documents outside the held-out fold by the
     smallest hash of their id. Only their line features, never ids or other
-    columns, come to the driver. Without documents of both labels there is
-    nothing to learn and the result is None.
+    columns, come to the driver. An id that is labelled both ways counts as
+    label 0; of rows that repeat an id the smallest text is taken. Without
+    documents of both labels there is nothing to learn and the result is None.
     """
     rows = id_and_text(docs, "doc_id", "text")
     known = labels.select(labels["doc_id"].alias("__id"), labels["quality"].alias("__good")).where(
-        "__good IS NOT NULL AND __id IS NOT NULL").distinct()
+        "__good IS NOT NULL AND __id IS NOT NULL").groupBy("__id").agg(F.min("__good").alias("__good"))
     known = known.where(~held_out(F.col("__id")))
     tally = {r["__good"]: r["count"] for r in known.groupBy("__good").count().collect()}
     picked = None
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_lines: i
         picked = some if picked is None else picked.unionByName(some)
     picked = staged(picked, "labelled")  # at most 2 * per_class rows
     sample = rows.join(F.broadcast(picked), rows["doc_id"] == picked["__id"]).groupBy("__id").agg(
-        F.first("text").alias("text"), F.first("__good").alias("__good")).select("text", "__good")  # one row an id
+        F.min("text").alias("text"), F.min("__good").alias("__good")).select("text", "__good")  # one row an id
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlink.llm.common import documents, id_and_text, staged
+from fieldlink.llm.common import documents, id_and_text, staged, unused
 
 
 @dataclasses.dataclass(frozen=True)
@@ -53,7 +53,7 @@ def _switch(on: Column, cases: list[tuple[int, Column]]) -> Column:
 
 
 def place(df: DataFrame, key: str, tree: list[Shard], name: str = "shard") -> DataFrame:
-    """``df`` with the shard of each row as column ``name`` (int).
+    """``df`` with the shard of each row as column ``name`` (int), in place of a column of that name; all others stay.
 
     Every level draws among the children of the node that won the level above;
     a node weighs what its shards weigh together. A draw depends on the key,
@@ -61,11 +61,12 @@ def place(df: DataFrame, key: str, tree: list[Shard], name: str = "shard") -> Da
     only into, out of or within the subtrees that hold it. The expression has
     one hash per child of the nodes passed through.
     """
-    col, regions = df[key], sorted({s.region for s in tree})
+    col, regions, columns = df[key], sorted({s.region for s in tree}), df.columns
+    region, rack = unused(df, "__region"), unused(df, "__rack")
     weigh = lambda **at: sum(s.weight for s in tree if all(getattr(s, k) == v for k, v in at.items()))
-    df = df.withColumn("__region", _pick(col, 1, regions, [weigh(region=r) for r in regions]))
+    df = df.withColumn(region, _pick(col, 1, regions, [weigh(region=r) for r in regions]))
     racks = {r: sorted({s.rack for s in tree if s.region == r}) for r in regions}
-    df = df.withColumn("__rack", _switch(F.col("__region"), [
+    df = df.withColumn(rack, _switch(F.col(region), [
         (r, _pick(col, 1000 + r, racks[r], [weigh(region=r, rack=k) for k in racks[r]])) for r in regions]))
     leaf = []
     for r in regions:
@@ -73,8 +74,9 @@ def place(df: DataFrame, key: str, tree: list[Shard], name: str = "shard") -> Da
         for k in racks[r]:
             shards = [s for s in tree if (s.region, s.rack) == (r, k)]
             own.append((k, _pick(col, 1_000_000 + r * 1000 + k, [s.shard for s in shards], [s.weight for s in shards])))
-        leaf.append((r, _switch(F.col("__rack"), own)))
-    return df.withColumn(name, _switch(F.col("__region"), leaf).cast("int")).drop("__region", "__rack")
+        leaf.append((r, _switch(F.col(rack), own)))
+    placed = _switch(F.col(region), leaf).cast("int").alias(name)
+    return df.select(*[F.col(f"`{c}`") for c in columns if c.lower() != name.lower()], placed)
 
 
 def assign(docs: DataFrame, tree: list[Shard], grown: list[Shard], id_col: str = "doc_id",
