@@ -176,18 +176,18 @@ def test_substring_dedup(llm, unit, least):
 
 
 def test_substring_query_counts_by_document(llm, tmp_path):
-    rows = [(1, "same eight words stand here in a line today\nown"), (2, "x\nsame eight words stand here in a line today")]
+    rows = [(1, "same sixteen words stand here in one long line of text that every document has today\nown"), (2, "x\nsame sixteen words stand here in one long line of text that every document has today")]
     table(llm, rows, 1).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_removed"], r["removed"]) for r in substring_dedup.op5_substring_dedup(llm, str(tmp_path)).collect()}
-    assert got == {1: (0, ""), 2: (1, "2:45")}
+    assert got == {1: (0, ""), 2: (1, f"2:{2 + 84}")}
 
 
 def test_substring_query_gives_a_row_for_each_row(llm, tmp_path):
-    line = "same eight words stand here in a line today"
+    line = "same sixteen words stand here in one long line of text that every document has today"
     rows = [(7, line), (7, line), (8, "short"), (None, None)]
     table(llm, rows, 1).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = Counter((r["doc_id"], r["removed"]) for r in substring_dedup.op5_substring_dedup(llm, str(tmp_path)).collect())
-    assert got == Counter({(7, ""): 1, (7, "0:43"): 1, (8, ""): 1, (None, ""): 1})
+    assert got == Counter({(7, ""): 1, (7, f"0:{len(line)}"): 1, (8, ""): 1, (None, ""): 1})
 
 
 def test_dedup_does_not_depend_on_how_the_input_is_split(llm, tmp_path, monkeypatch):
@@ -233,7 +233,7 @@ def passages_lost(rows):
     seen, out = set(), {}
     for i, t in rows:
         own, spans = {}, []
-        for s, e, w in substring_dedup.passages_of(t, 8):
+        for s, e, w in substring_dedup.passages_of(t, substring_dedup.PASSAGE_WORDS):
             w = " ".join(w)
             if w in seen or s >= own.setdefault(w, e):
                 spans.append((s, e))
@@ -246,18 +246,63 @@ def passages_lost(rows):
 
 def test_substring_query_removes_passages_of_short_sentences(llm, tmp_path):
     talk = "He came in. She saw. Who was it? Nobody knew. A door shut. Then rain fell. All slept."
-    items = "- two eggs\n- some flour\n\n- milk\n- a pinch of salt\n"
-    han = "天地玄黃宇宙洪荒。日月盈昃辰宿列張。寒來暑往秋收冬藏。"
+    items = "- two eggs\n- some flour\n\n- milk\n- a pinch of salt\n- sugar\n- one lemon\n"
+    han = "天地玄黃宇宙洪荒。日月盈昃辰宿列張。寒來暑往秋收冬藏。閏餘成歲律呂調陽。"
     rows = [(1, f"First own words. {talk} Last own words."), (2, f"Other beginning here. {talk} Other end."),
             (3, f"List one\n{items}end of one"), (4, f"List two\n{items}end of two"), (5, f"甲乙。{han}丙丁。"),
             (6, f"戊己。{han}庚辛。"), (7, "Thank you all. And one thing said only here today."),
-            (8, "Thank you all. Another thing that nobody else has said."), (9, "ha. " * 20),
-            (10, "A long sentence of nine words that stands here. Oh no.\n" * 3)]
+            (8, "Thank you all. Another thing that nobody else has said."), (9, "ha. " * 40),
+            (10, "A long sentence of many more words that stands here on its own and goes on. Oh no.\n" * 3),
+            (11, "Short line alone\nsome text of the first document"), (12, "Short line alone\nand other words of the second")]
     table(llm, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["removed"] for r in substring_dedup.op5_substring_dedup(llm, str(tmp_path)).collect()}
     assert got == passages_lost(rows)
     for i, part in ((2, talk + " "), (4, items), (6, han)):
         at = rows[i - 1][1].index(part)
         assert got[i] == f"{at}:{at + len(part)}"
-    assert [got[i] for i in (1, 3, 5, 7, 8)] == [""] * 5  # first copies, and a short sentence inside other lines
-    assert got[9] == "32:80" and got[10] == "55:165"  # the first eight words, the first line stay
+    # First copies, a short sentence inside other lines, and a short line beside others.
+    assert [got[i] for i in (1, 3, 5, 7, 8, 11, 12)] == [""] * 7
+    line = len(rows[9][1]) // 3
+    assert got[9] == "64:160" and got[10] == f"{line}:{3 * line}"  # the first sixteen words, the first line stay
+
+
+def test_passages_equal_all_repeated_runs_of_sentences(llm):
+    """Independent of the operator: every run of whole sentences of 16 words that an earlier document holds goes."""
+    import random
+
+    r = random.Random(8)
+    pool = [" ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([1, 2, 3, 5, 9, 18]))) for _ in range(60)]
+    texts, seen, want = [], set(), {}
+    for i in range(120):
+        at = r.randrange(50)
+        own = [f"own{i} {k} {r.randrange(10**9)}" for k in range(r.randrange(4))]
+        own[r.randrange(len(own) + 1):0] = pool[at : at + r.randrange(12)]
+        texts.append([(s, r.choice([". ", ".\n", "! ", "?\n"])) for s in own])
+    for i, sentences in enumerate(texts):
+        spans, at, gone, runs = [], 0, set(), set()
+        for s, stop in sentences:
+            spans.append((at, at + len(s + stop)))
+            at += len(s + stop)
+        for a in range(len(sentences)):
+            for b in range(a + 1, len(sentences) + 1):
+                part = " ".join((s + stop.strip()).lower() for s, stop in sentences[a:b])
+                if len(part.split()) >= 16:
+                    runs.add(part)
+                    if part in seen:
+                        gone.update(range(spans[a][0], spans[b - 1][1]))
+        seen |= runs
+        want[i] = gone
+    rows = table(llm, [(i, "".join(s + stop for s, stop in t)) for i, t in enumerate(texts)])
+    got = substring_dedup.removals(substring_dedup.numbered(rows), "passage", 16).collect()
+    assert {x["doc_id"]: {k for s in x["removed"] for k in range(s["start"], s["end"])} for x in got} == want
+    assert sum(map(bool, want.values())) > 20
+
+
+def test_paragraphs_of_a_long_text_are_cut_as_before():
+    import random
+    import re
+
+    old, r = re.compile(r"(?:[^\n]|\n(?!\s*\n))+(?:\n\s*)?|\n\s*"), random.Random(9)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "b ", "\n", "\n\n", " ", "\t", "\u2028"]) for _ in range(r.randrange(30)))
+        assert [m.span() for m in old.finditer(t)] == [m.span() for m in substring_dedup.UNITS["paragraph"].finditer(t)]
